@@ -139,7 +139,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
             data = encode_file(ids, np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held]), np.cumsum(lengths) - lengths)
             uri = f"{folder}/part-{part:06d}-{file_no:04d}-{uuid.uuid4().hex}.dac"
             fs, path = common.filesystem(uri)
-            with fs.open_output_stream(path) as out:
+            with fs.open_output_stream(path, compression=None) as out:
                 out.write(data)
             row = common.record(schema, part=[part], file_no=[file_no], uri=[uri], bytes=[len(data)], n_docs=[len(lengths)], n_ids=[len(ids)])
             file_no, held = file_no + 1, []
