@@ -1 +1 @@
-""""""
+"""Column functions: text, identity, hashes, numbers."""

@@ -1 +1 @@
-""""""
+"""Listings, stored tables and line formats."""
