@@ -174,13 +174,10 @@ def u4(spark: SparkSession, d: str) -> DataFrame:
     return status.all_spaces(v.where("space = ''"), v.where("space <> ''")).groupBy("space").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered("l3_order_statuses", _status_sql("SELECT state, min(rn) AS first_at, max(rn) AS last_at FROM (SELECT state, row_number() OVER (ORDER BY state = 'orphaned', modified DESC, source_key) AS rn FROM st LEFT JOIN sources USING (source_key)) GROUP BY state"))
+@registered("l3_order_statuses", _status_sql("SELECT st.source_key, state, modified FROM st LEFT JOIN sources USING (source_key) ORDER BY state = 'orphaned', modified DESC, source_key"))
 def l3(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    ordered = status.sync_status(sources(spark, d), vectors(spark, d), "", MODEL)
-    rn = F.row_number().over(Window.orderBy(F.col("state") == "orphaned", F.col("last_modified").desc(), "source_key"))
-    return ordered.withColumn("rn", rn.cast("bigint")).groupBy("state").agg(F.min("rn").alias("first_at"), F.max("rn").alias("last_at"))
+    ordered = status.order_statuses(status.sync_status(sources(spark, d), vectors(spark, d), "", MODEL))
+    return ordered.select("source_key", "state", seconds("last_modified").alias("modified"))
 
 
 @registered("t8_select_work", _status_sql("SELECT f.source_key, CASE WHEN st.state IS NULL OR st.state = 'orphaned' THEN 'missing' ELSE 'queued' END AS outcome FROM files f LEFT JOIN st USING (source_key) WHERE f.doc_id % 4 = 0"))
