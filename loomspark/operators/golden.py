@@ -16,7 +16,6 @@ from ..functions.text import norm
 TOLERANCE, DERIVATION_TOLERANCE, SIMILAR, LEAST_QUESTION, CONTEXT_CHARS, DIGEST = 0.05, 0.25, 0.85, 12, 110, 120
 PER_SECTION, CROSS, UNANSWERABLE, ARITHMETIC = (500, 1, 5), (1.0, 2, 12), (0.45, 2, 8), 12
 TYPES, DIFFICULTIES = ("lookup", "arithmetic", "multi_hop", "unanswerable", "temporal", "distractor", "synthesis"), ("easy", "medium", "hard")
-_NONE = F.lit(None)
 
 
 def _list(c: str) -> Column:
