@@ -48,20 +48,21 @@ def first_map(sizes: Sizes, shards: int = SHARDS, slots: int = SLOTS) -> dict[in
     return placed
 
 
-def rebalanced(placed: dict[int, int], sizes: Sizes, shards: int, tolerance: float = 0.01, most_moves: int | None = None) -> dict[int, int]:
-    """An edited map: slots move from the heaviest shard to the lightest until all are within the tolerance of the mean.
+def rebalanced(placed: dict[int, int], sizes: Sizes, shards: int, tolerance: float = 0.01) -> dict[int, int]:
+    """An edited map: single slots move from the heaviest shard to the lightest until all are within the tolerance.
 
-    shards may exceed the map's: a new shard takes slots only into itself, as it is the lightest until filled.
+    With more shards than the map has, slots move into the new shards only.
     """
     out, load, held = dict(placed), dict.fromkeys(range(shards), 0), {s: {} for s in range(shards)}
     for slot, shard in placed.items():
         load[shard] += sizes.get(slot, 0)
         held[shard][slot] = sizes.get(slot, 0)
     mean = sum(load.values()) / shards
-    for _ in range(most_moves if most_moves is not None else len(placed)):
-        heavy, light = max(load, key=load.get), min(load, key=load.get)
+    new = sorted(set(range(shards)).difference(placed.values()))
+    for _ in placed:
+        heavy, light = max(load, key=load.get), min(new or load, key=load.get)
         gap = load[heavy] - load[light]
-        if load[heavy] <= mean * (1 + tolerance) and load[light] >= mean * (1 - tolerance):
+        if load[light] >= mean * (1 - tolerance) and (new or load[heavy] <= mean * (1 + tolerance)):
             break
         fits = [(abs(gap / 2 - size), slot) for slot, size in held[heavy].items() if 0 < size < gap]
         if not fits:
