@@ -358,10 +358,11 @@ def test_quality_of_odd_tables(spark, odd, empty):
 
 def test_nnpu_finds_what_positives_lack():
     rng = np.random.default_rng(1)
-    good, bad = rng.normal(0, 1, (600, 8)), rng.normal(0, 1, (200, 8)) + np.r_[4.0, np.zeros(7)]
-    model = quality.fit(good[:300], np.concatenate([good[300:], bad[:100]]), 0.75)
-    fresh = model.score(rng.normal(0, 1, (200, 8)))
-    assert (model.score(bad[100:]) < np.quantile(fresh, 0.05)).mean() > 0.9 and (fresh > 0.5).mean() > 0.9
+    good, bad = rng.normal(0, 1, (8000, 4)), rng.normal(0, 1, (2000, 4)) + np.r_[4.0, np.zeros(3)]
+    model = quality.fit(good[:4000], np.concatenate([good[4000:], bad[:1000]]), 0.8)
+    kept, found = model.score(rng.normal(0, 1, (1000, 4))), model.score(bad[1000:])
+    assert (kept > 0.5).mean() > 0.95 and (found < 0.5).mean() > 0.85
+    assert quality.fit(good[:0], good, 0.8).score(good[:1])[0] == pytest.approx(0.8)
 
 
 # --- 9
