@@ -198,8 +198,12 @@ class CountTransducer:
         self.renew()
 
     def renew(self) -> None:
-        self.to = np.full((1 << 10) * 256, -1, np.int32)
-        self.change = np.zeros((1 << 10) * 256, np.int16)
+        #: Bytes have columns in order of their first use; the table is as wide as the text needs.
+        self.column = np.full(256, -1, np.int64)
+        self.bytes_of: list[int] = []
+        self.width, self.rows = 64, 1 << 12
+        self.to = np.full(self.rows * self.width, -1, np.int32)
+        self.change = np.zeros(self.rows * self.width, np.int16)
         #: A state: for each suffix that may grow into a token, longest first, (suffix, last token before it, count there less the count now).
         self.states: list[tuple] = []
         self.number: dict[tuple, int] = {}
@@ -209,14 +213,31 @@ class CountTransducer:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            if len(self.states) * 256 > len(self.to):
-                self.to = np.concatenate([self.to, np.full(len(self.to), -1, np.int32)])
-                self.change = np.concatenate([self.change, np.zeros(len(self.change), np.int16)])
+            if len(self.states) > self.rows:
+                self._resize(self.rows + self.rows // 2, self.width)
         return self.number[key]
 
+    def _resize(self, rows: int, width: int) -> None:
+        for name, fill in (("to", -1), ("change", 0)):
+            old = getattr(self, name).reshape(self.rows, self.width)
+            new = np.full((rows, width), fill, old.dtype)
+            new[: self.rows, : self.width] = old
+            setattr(self, name, new.ravel())
+        self.rows, self.width = rows, width
+
+    def _columns(self, data: np.ndarray) -> np.ndarray:
+        """The column of each byte of data."""
+        for b in np.flatnonzero(np.bincount(data, minlength=256)).tolist():
+            if self.column[b] < 0:
+                self.column[b] = len(self.bytes_of)
+                self.bytes_of.append(b)
+        if len(self.bytes_of) > self.width:
+            self._resize(self.rows, 2 * self.width if len(self.bytes_of) <= 2 * self.width else 256)
+        return self.column[data]
+
     def compile(self, transition: int) -> None:
-        state, byte = divmod(transition, 256)
-        b, grown, change, last = bytes((byte,)), [], None, None
+        state, column = divmod(transition, self.width)
+        b, grown, change, last = bytes((self.bytes_of[column],)), [], None, None
         for suffix, before, count in self.states[state]:
             longer = suffix + b
             if longer in self.nodes:
@@ -225,17 +246,19 @@ class CountTransducer:
                 if longer in self.inner:
                     grown.append((longer, before, count))
         key = (*((s, t, c - change) for s, t, c in grown), (b"", last, 0))
-        self.to[transition] = self._state(key)
+        reached = self._state(key)
+        self.to[transition] = reached
         self.change[transition] = change
 
     def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Tokens of each word data[start:start+length]; all words advance together, one byte a step."""
         order = np.argsort(-length, kind="stable")
         at, size = start[order], length[order]
+        column = self._columns(data).astype(np.uint8)
         state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         living = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
         for step, m in enumerate(living.tolist()):
-            asked = (state[:m] << 8) | data[at[:m] + step]
+            asked = state[:m] * self.width + column[at[:m] + step]
             reached = self.to[asked]
             missing = np.flatnonzero(reached < 0)
             if len(missing):
