@@ -31,7 +31,7 @@ MAGIC = b"DACTOK01"
 #: Bits of a bitmap between two entries of its rank directory.
 RANK_BITS = 512
 #: Ids after which a task begins a new file.
-FILE_IDS = 8_000_000
+FILE_IDS = 4_000_000
 _HEAD = struct.Struct("<8sIIQQ")
 _LEVEL = struct.Struct("<QQQQ")
 

@@ -15,7 +15,7 @@ import numpy as np
 from . import spans
 
 #: Slots of a worker's cache, and the ids that it holds at most before it starts anew.
-SLOTS, POOL = 1 << 21, 12_000_000
+SLOTS, POOL = 1 << 21, 6_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,8 +101,8 @@ class Encoder:
 
     def renew(self) -> None:
         self.key = np.zeros(SLOTS, np.uint64)
-        self.first = np.zeros(SLOTS, np.int64)
-        self.count = np.zeros(SLOTS, np.int64)
+        self.first = np.zeros(SLOTS, np.int32)
+        self.count = np.zeros(SLOTS, np.int32)
         self.pool = np.zeros(1 << 16, np.uint32)
         self.used = 0
 
@@ -134,7 +134,7 @@ class Encoder:
         h = spans.hashes(data, start, end)
         slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != h)
-        first, count = self.first[slot], self.count[slot]
+        first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
         pool = self.pool
         if len(miss):
             new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
@@ -144,7 +144,7 @@ class Encoder:
             places = self.used + np.cumsum(lengths) - lengths
             total = self.used + int(lengths.sum())
             if total > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(2 * total - self.used, np.uint32)])
+                self.pool = np.concatenate([self.pool[: self.used], np.zeros(total + (1 << 20) - self.used, np.uint32)])
             self.pool[self.used : total] = np.concatenate(learnt)
             first[miss], count[miss] = places[back], lengths[back]
             slots = slot[miss[where]]
