@@ -52,6 +52,15 @@ def parse_variant(variant: str) -> tuple[str, int, int]:
     return parts[0], size, overlap
 
 
+def resolve_variant(named: str | None, strategy: str | None = None, size: int | None = None, overlap: int | None = None, default: str = "") -> str:
+    """The space to use: a named variant beats a requested geometry, which beats the default ('' is the original space)."""
+    if named is not None:
+        return variant_id(*parse_variant(named)) if named else ""
+    if strategy is not None and size is not None and overlap is not None:
+        return variant_id(*parse_variant(variant_id(strategy, size, overlap)))
+    return default
+
+
 def variant_struct(variant) -> Column:
     """strategy, size, overlap; null where parse_variant refuses."""
     v = col(variant)

@@ -22,13 +22,21 @@ p AS (SELECT document_id, vector_id, CASE WHEN k = 0 AND a = 'reuse' AND max((a
 
 @registered("t9_index_sweep_files", with_cte(*_BASE, then=f", {_TODO} SELECT source_key, CASE WHEN n > 0 THEN 'indexed' ELSE 'empty' END AS outcome, coalesce(chunks, 0) AS chunks, coalesce(reused, 0) AS reused, coalesce(pruned, 0) AS pruned FROM (SELECT source_key, (SELECT count(*) FROM w WHERE w.source_key = stale.source_key) AS n FROM stale) LEFT JOIN (SELECT source_key, count(*) FILTER (WHERE a = 'embed') AS chunks, count(*) FILTER (WHERE a = 'reuse') AS reused, count(*) FILTER (WHERE a = 'prune') AS pruned FROM p JOIN (SELECT DISTINCT document_id, source_key FROM w) USING (document_id) GROUP BY 1) USING (source_key)").replace("\n, stale", ",\nstale"))
 def t9(spark: SparkSession, d: str) -> DataFrame:
-    return sweep.index_sweep(sources(spark, d), vectors(spark, d), "", VARIANT, MODEL)[1]
+    return _sweep(spark, d)[1]
+
+
+def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A sweep over a stored index, as it would find one."""
+    path = fresh(spark, "vectors")
+    v = vectors(spark, d)
+    v.write.partitionBy("space").parquet(path)
+    held = spark.read.schema(v.schema).parquet(path).withColumn("space", F.coalesce("space", F.lit("")))
+    return sweep.index_sweep(sources(spark, d), held, "", VARIANT, MODEL)
 
 
 @registered("t9_index_sweep_vectors", with_cte(*_BASE, then=f", {_TODO} SELECT vector_id, md5(content) AS content_md5 FROM vectors WHERE space = '' AND vector_id NOT IN (SELECT vector_id FROM p WHERE a <> 'reuse') AND source_key NOT IN (SELECT source_key FROM stale WHERE source_key NOT IN (SELECT source_key FROM w)) UNION ALL SELECT c.vector_id, md5(content) FROM chunks c JOIN p ON c.vector_id = p.vector_id AND p.a = 'embed'").replace("\n, stale", ",\nstale"))
 def t9b(spark: SparkSession, d: str) -> DataFrame:
-    after = sweep.index_sweep(sources(spark, d), vectors(spark, d), "", VARIANT, MODEL)[0]
-    return after.where("space = ''").select("vector_id", F.md5("content").alias("content_md5"))
+    return _sweep(spark, d)[0].where("space = ''").select("vector_id", F.md5("content").alias("content_md5"))
 
 
 @registered("io17_history_upsert", "SELECT user_id AS job_id, event_id AS cursor, CASE WHEN event_id % 3 = 0 THEN 'again' ELSE event_type END AS event FROM events")

@@ -72,3 +72,19 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
 def merged(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """stored with changes in place of the rows of their keys: the upsert of history tables."""
     return stored.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
+
+
+def save_extractions(extractions: DataFrame, path: str, buckets: int = 256) -> None:
+    """Stores extractions (document_id, ...) by bucket of their document: only buckets that hold one of them are
+    rewritten, with the other documents of the bucket kept."""
+    spark = extractions.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    new = extractions.withColumn("bucket", bucket)
+    old = read_table(spark, path, new.schema)
+    touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
+    replace_partitions(merged(touched, new, ["document_id"]).select(*new.columns), path, "bucket")
+
+
+def pruned_artifacts(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Table artifacts (document_id, table_id) that their document no longer has."""
+    return before.join(after.select("document_id").distinct(), "document_id", "left_semi").join(after, ["document_id", "table_id"], "left_anti")

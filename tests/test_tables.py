@@ -120,3 +120,26 @@ def test_scorer(spark, gold, answer, correct):
     row = golden.score_predictions(spark.createDataFrame([gold], GOLD), p).first()
     assert row.correct is correct
     assert (row.recall, row.precision) == ((1.0, 1.0) if gold[-1] else (None, None))
+
+
+def test_extractions_replace_their_own(spark, tmp_path):
+    path, schema = str(tmp_path / "ex"), "document_id string, text string"
+    stored.save_extractions(spark.createDataFrame([("a", "1"), ("b", "2")], schema), path, 2)
+    stored.save_extractions(spark.createDataFrame([("a", "new"), ("c", "3")], schema), path, 2)
+    assert {(r.document_id, r.text) for r in spark.read.parquet(path).collect()} == {("a", "new"), ("b", "2"), ("c", "3")}
+    t = "document_id string, table_id string"
+    gone = stored.pruned_artifacts(spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t1")], t), spark.createDataFrame([("a", "t1")], t))
+    assert [(r.document_id, r.table_id) for r in gone.collect()] == [("a", "t2")]
+
+
+def test_chunk_in_sql(spark):
+    from loomspark.functions import ids, sql
+    from loomspark.operators import chunking
+
+    sql.register(spark)
+    docs = spark.createDataFrame([("a", "x. " * 150)], "source_key string, text string")
+    docs.createOrReplaceTempView("sql_docs")
+    for v in ("fixed-64-16", "recursive-64-16", "boundary-64-0"):
+        got = [r.content for r in spark.sql(f"SELECT c.* FROM sql_docs, LATERAL chunk(text, '{v}') c ORDER BY position").collect()]
+        assert got == [r.content for r in chunking.chunk_all(docs, [v]).orderBy("chunk_index").collect()]
+    assert ids.resolve_variant("fixed-64-16", "boundary", 128, 0) == "fixed-64-16" and ids.resolve_variant(None, "boundary", 128, 0) == "boundary-128-0" and ids.resolve_variant(None) == ""
