@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 from . import chunking
 
-#: The least body of a plain heading, title length of an untitled block, longest heading, words that begin headings.
+#: The least body of a plain heading, title length of an untitled block, longest heading, words that
+#: begin headings, and the patterns of rules, ATX headings and numbered headings.
 MIN_BODY, TITLE_CHARS, MAX_HEADING = 40, 80, 90
 KEYWORDS = ("article", "section", "chapter", "part", "appendix", "exhibit", "schedule", "annex", "clause")
 RULE = r"^\s*([=\-_*~])\1{7,}\s*$"

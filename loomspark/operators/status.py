@@ -37,6 +37,7 @@ def state(etag="etag", model: str = "") -> Column:
 
 
 def reason(model: str) -> Column:
+    """What is said of each state (fixed values)."""
     said = {
         "orphaned": F.lit("Vectors exist for a file that is no longer in object storage."),
         "unsupported": F.lit("No extractor for this file type; it will be skipped during indexing."),
