@@ -20,19 +20,22 @@ def binder(spark: SparkSession, d: str, heading, preamble=None) -> DataFrame:
     return docs.groupBy("source_key").agg(whole.alias("text")).withColumn("text", F.concat(preamble, F.lit("\n"), "text") if preamble is not None else F.col("text"))
 
 
-_ID = F.col("doc_id").cast("string")
 _S = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
 _KEY = "source || '/' || (doc_id // 1000) AS source_key"
 
 
+def _id():
+    return F.col("doc_id").cast("string")
+
+
 @registered("s2_atx_sections", f"SELECT {_KEY}, 'doc-' || doc_id AS title, md5({_S}) AS body_md5 FROM documents WHERE {_S} <> ''")
 def s2(spark: SparkSession, d: str) -> DataFrame:
-    return sections.sections(binder(spark, d, F.concat(F.lit("## doc-"), _ID))).select("source_key", "title", F.md5("body").alias("body_md5"))
+    return sections.sections(binder(spark, d, F.concat(F.lit("## doc-"), _id()))).select("source_key", "title", F.md5("body").alias("body_md5"))
 
 
 @registered("s1_ruled_sections", f"SELECT {_KEY}, 'Doc ' || doc_id AS title, md5({_S}) AS body_md5 FROM documents WHERE {_S} <> '' UNION ALL SELECT DISTINCT {_KEY}, 'These are the documents that follow in this binder.', md5('These are the documents that follow in this binder.') FROM documents")
 def s1(spark: SparkSession, d: str) -> DataFrame:
-    b = binder(spark, d, F.concat(F.lit("\n========\nDoc "), _ID), F.lit("These are the documents that follow in this binder."))
+    b = binder(spark, d, F.concat(F.lit("\n========\nDoc "), _id()), F.lit("These are the documents that follow in this binder."))
     return sections.sections(b).select("source_key", "title", F.md5("body").alias("body_md5"))
 
 
@@ -40,7 +43,7 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT *, sum(CASE WHEN NOT (sub AND subs * 2 <= n) OR rn = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY source_key ORDER BY doc_id) AS island FROM b)
 SELECT source_key, arg_min('doc-' || doc_id, doc_id) AS title, md5(regexp_replace(string_agg(CASE WHEN rk = 1 THEN body ELSE 'doc-' || doc_id || chr(10) || body END, chr(10) || chr(10) ORDER BY doc_id), '^\\s+|\\s+$', '', 'g')) AS body_md5, count(*) - 1 AS n_sub FROM (SELECT *, row_number() OVER (PARTITION BY source_key, island ORDER BY doc_id) AS rk FROM g) GROUP BY source_key, island""")
 def s6(spark: SparkSession, d: str) -> DataFrame:
-    b = binder(spark, d, F.concat(F.when(F.col("doc_id") % 4 == 3, "### doc-").otherwise("## doc-"), _ID))
+    b = binder(spark, d, F.concat(F.when(F.col("doc_id") % 4 == 3, "### doc-").otherwise("## doc-"), _id()))
     return sections.sections(b).select("source_key", "title", F.md5("body").alias("body_md5"), F.size("subsections").cast("bigint").alias("n_sub"))
 
 
@@ -66,7 +69,7 @@ def s4(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("s7_section_spans")
 def s7(spark: SparkSession, d: str) -> DataFrame:
-    return sections.section_spans(binder(spark, d, F.concat(F.lit("## doc-"), _ID)), found_only=True)
+    return sections.section_spans(binder(spark, d, F.concat(F.lit("## doc-"), _id())), found_only=True)
 
 
 @registered("s8_probes", with_cte("files", "sources", "allchunks", "chunks", then=r"""SELECT vector_id, array_to_string([x for x in [a, CASE WHEN b <> a THEN b ELSE '' END, CASE WHEN c <> a AND c <> b THEN c ELSE '' END] if length(x) >= 16], '|') AS probes FROM (SELECT vector_id, regexp_replace(right(content, 96), '^\s+|\s+$', '', 'g') AS a, regexp_replace(substr(content, greatest(1, floor((length(content) - 96) / 2)::INT + 1), 96), '^\s+|\s+$', '', 'g') AS b, regexp_replace(left(content, 96), '^\s+|\s+$', '', 'g') AS c FROM chunks)"""))
@@ -76,13 +79,13 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("j9_map_sections")
 def j9(spark: SparkSession, d: str) -> DataFrame:
-    b = binder(spark, d, F.concat(F.lit("## doc-"), _ID))
+    b = binder(spark, d, F.concat(F.lit("## doc-"), _id()))
     return sections.map_sections(chunking.chunk_fixed(b, 256, 32), b)
 
 
 @registered("c5_chunk_structural")
 def c5(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_all(binder(spark, d, F.concat(F.lit("## doc-"), _ID)), ["structural-256-32"]).select("source_key", "chunk_index", "token_count", F.md5("content").alias("content_md5"), "note")
+    return chunking.chunk_all(binder(spark, d, F.concat(F.lit("## doc-"), _id())), ["structural-256-32"]).select("source_key", "chunk_index", "token_count", F.md5("content").alias("content_md5"), "note")
 
 
 @registered("c10_split_text")
