@@ -26,6 +26,8 @@ from . import common, spans
 #: Bounds of the fitting sample; score from which a text counts as good.
 MOST_POSITIVES, MOST_UNLABELLED, THRESHOLD = 4_000, 8_000, 0.3
 _STEPS, _RATE, _DECAY = 400, 0.03, 3e-4
+#: Bytes of text whose features are computed at once; each takes some hundred bytes of scratch memory.
+BLOCK = 1 << 20
 
 #: Character classes: each ASCII mark by itself, letters by case, digits, blanks, line ends, controls, the rest.
 _CLASS = np.zeros(256, np.int64)
@@ -164,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIV
     schema = pa.schema([("p", pa.bool_()), ("q", pa.bool_()), ("x", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, most=BLOCK):
             x = features(*common.flat(b.column(0)))
             yield common.record(schema, p=b.column(1), q=b.column(2), x=[row.tobytes() for row in x])
 
@@ -179,7 +181,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, most=BLOCK):
             yield common.record(schema, doc_id=b.column(0), score=held.value.score(features(*common.flat(b.column(1)))))
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, score double")
@@ -190,7 +192,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in common.blocks(batches):
+        for b in common.blocks(batches, most=BLOCK):
             yield b.filter(pa.array(model.value.score(features(*common.flat(b.column(b.schema.get_field_index("text"))))) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)
