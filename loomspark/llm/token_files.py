@@ -167,12 +167,16 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
     The manifest must be a stored table (it is read twice). Each file is read document by document through
-    its directory; only file counts, not documents, meet in the running sum.
+    its directory; only one row per task that wrote meets in the running sum.
     """
     from pyspark.sql import Window
 
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = manifest.withColumn("before", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    earlier = Window.unboundedPreceding, -1
+    inside = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("file_no").rowsBetween(*earlier)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("total"))  # one row per task that wrote
+    parts = parts.select(F.col("part").alias("of"), F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("parts_before"))
+    files = manifest.withColumn("inside", inside).join(parts, F.col("part") == F.col("of")).withColumn("before", F.col("parts_before") + F.col("inside"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
