@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -9,7 +10,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a vectorised step handles at once inside a task; bounds a task's scratch memory.
 BLOCK_BYTES = 2 << 20
@@ -87,3 +89,25 @@ def texts(column: pa.Array) -> list[bytes]:
 
 def record(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(k).type) for k, c in columns.items()], schema=schema)
+
+
+def without(docs: DataFrame, key: list[Column], dropped: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """docs without the rows whose key is in dropped (its columns in the key's order; nulls are equal), and one of the
+    rows that share a key: the longest text, then the least of all columns. All columns stay. keys has the keys of
+    all rows where they are known."""
+    held = [f"__key{i}" for i in range(len(key))]
+    keyed = docs.select("*", *[k.alias(h) for k, h in zip(key, held, strict=True)])
+    keys = keyed.select(*held) if keys is None else keys.toDF(*held)
+    repeated = saved(keys.groupBy(*held).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-rows")
+    dropped = saved(dropped, "dropped-rows")
+
+    def joined(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        other = other.toDF(*[f"{h}_of" for h in held])
+        return rows.join(other, functools.reduce(lambda a, b: a & b, [rows[h].eqNullSafe(other[f"{h}_of"]) for h in held]), how)
+
+    stay = joined(keyed, dropped, "left_anti")
+    if repeated.isEmpty():
+        return stay.drop(*held)
+    shorter = -F.coalesce(F.length("text"), F.lit(0))
+    once = joined(stay, repeated, "left_semi").groupBy(*held).agg(F.min(F.struct(shorter.alias("__shorter"), *docs.columns)).alias("__row"))
+    return joined(stay, repeated, "left_anti").drop(*held).unionByName(once.select("__row.*").drop("__shorter"))
