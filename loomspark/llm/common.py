@@ -102,7 +102,7 @@ def without(docs: DataFrame, key: list[Column], dropped: DataFrame, keys: DataFr
     dropped = saved(dropped, "dropped-rows")
 
     def joined(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
-        other = other.toDF(*[f"{h}_of" for h in held])
+        other = other.toDF(*[f"{h}_of" for h in held]).hint("merge")  # one plan for any size: disk stays in proportion
         return rows.join(other, functools.reduce(lambda a, b: a & b, [rows[h].eqNullSafe(other[f"{h}_of"]) for h in held]), how)
 
     stay = joined(keyed, dropped, "left_anti")

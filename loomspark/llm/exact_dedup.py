@@ -220,9 +220,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay."""
-    dropped = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("dropped_id"))
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["dropped_id"]), "left_anti")
+    """docs without the rows that exact_groups drops, and one of the rows that repeat a doc_id and a text without
+    blanks, the one with the most code points; all columns stay."""
+    groups = common.saved(exact_groups(docs), "exact-groups")
+    body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), BLANKS.decode(), "")
+    key = [F.col("doc_id").cast("bigint"), F.sha2(body, 256)]
+    dropped = groups.where("not kept").select("doc_id", "text_sha256").distinct()
+    return common.without(docs, key, dropped, groups.select("doc_id", "text_sha256"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

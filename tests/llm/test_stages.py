@@ -76,3 +76,9 @@ def test_pairs_across_components_of_one_bucket(spark):
     members = spark.createDataFrame(rows, "bucket long, component long, node long, sketch binary")
     got = sorted(tuple(r) for r in near_copies.across(members, 3).collect())
     assert got == [(0, 1), (0, 2), (1, 2), (1, 9), (2, 9)]
+
+
+def test_exact_stage_drops_rows_not_ids(spark):
+    rows = [(None, "a b"), (1, "ab"), (None, "unique"), (5, "x"), (5, "a  b"), (7, "r"), (7, "r"), (7, "r "), (None, "n"), (None, "n"), (8, None), (9, " ")]
+    got = cp.exact_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, "unique"), (5, "x"), (5, "a  b"), (7, "r "), (None, "n"), (9, " ")]))
