@@ -86,6 +86,15 @@ def r3(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(out).select("doc_id", "verdict", F.md5("text").alias("text_md5"))
 
 
+@registered("r3_stream_screen_all")
+def r3_all(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through all recognizers."""
+    out = fresh(spark, "screened")
+    mask = {"actions": {"personal": "mask", "business": "mask", "ambiguous": "mask", "infra": "mask"}}
+    jobs.stream_screen(stream(spark, d, "documents").select("doc_id", "text"), mask, out, fresh(spark, "audit"), fresh(spark, "screen-checkpoint")).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "verdict", F.md5("text").alias("text_md5"))
+
+
 @registered("r4_stream_totals", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY ALL")
 def r4(spark: SparkSession, d: str) -> DataFrame:
     e = stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
