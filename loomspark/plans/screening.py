@@ -181,3 +181,50 @@ def d11(spark: SparkSession, d: str) -> DataFrame:
     policy = {"own_domains": ["example.org"], "actions": {"personal": "tag", "business": "tag", "ambiguous": "reject"}}
     kept = governance.without_blocked(governance.screen(files(spark, d), policy, ONLY_MAIL))
     return chunking.chunk_fixed(kept, 64, 0).groupBy("source_key").agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+# --- the same over all documents with all recognizers; RE2 states neither the look-arounds nor the checks of digits
+
+MASK = {"actions": {"personal": "mask", "business": "mask", "ambiguous": "mask", "infra": "mask"}}
+
+
+@registered("d4_classify_all")
+def d4_all(spark: SparkSession, d: str) -> DataFrame:
+    out = governance.screen(table(spark, d, "documents"), POLICY)
+    return out.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.entity", "f.value", "f.class")
+
+
+@registered("d5_apply_policy_all")
+def d5_all(spark: SparkSession, d: str) -> DataFrame:
+    return governance.screen(table(spark, d, "documents"), MASK).select("doc_id", "verdict", F.md5("text").alias("text_md5"))
+
+
+@registered("d7_shift_offsets_all")
+def d7_all(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").withColumn("spans", F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), F.coalesce(F.length("text"), F.lit(0)).alias("end"))))
+    out = governance.shift_spans(governance.screen(docs, MASK))
+    return out.select("doc_id", F.col("spans")[0]["end"].alias("end_after"), F.col("spans")[0]["start"].alias("start_after"))
+
+
+@registered("d8_modes_all")
+def d8_all(spark: SparkSession, d: str) -> DataFrame:
+    mode = F.element_at(F.array(F.lit("off"), F.lit("audit_only"), F.lit("enforce")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents").withColumn("policy", governance.policy_column(MASK).withField("mode", mode))
+    return governance.screen(docs).select("doc_id", "verdict", F.size("findings").alias("n_findings"), F.md5("text").alias("text_md5"))
+
+
+@registered("d10_audit_all")
+def d10_all(spark: SparkSession, d: str) -> DataFrame:
+    return governance.audit(governance.screen(table(spark, d, "documents"), POLICY)).select("doc_id", "entity", "class", "verbatim", "preview", "action")
+
+
+@registered("a5_summarize_findings_all")
+def a5_all(spark: SparkSession, d: str) -> DataFrame:
+    return governance.summarize_findings(governance.screen(table(spark, d, "documents"), POLICY))
+
+
+@registered("d11_blocked_leave_no_chunks_all")
+def d11_all(spark: SparkSession, d: str) -> DataFrame:
+    policy = {"own_domains": ["example.org"], "actions": {"personal": "reject", "business": "tag", "ambiguous": "reject", "infra": "tag"}}
+    kept = governance.without_blocked(governance.screen(files(spark, d), policy))
+    return chunking.chunk_fixed(kept, 64, 0).groupBy("source_key").agg(F.count(F.lit(1)).alias("n_chunks"))

@@ -30,3 +30,25 @@ def md5(text):
 def test_stream_screens_all(spark, tmp_path):
     got = {r.doc_id: (r.verdict, r.text_md5) for r in registry.queries()["r3_stream_screen_all"](spark, table(spark, tmp_path)).collect()}
     assert got == {k: ("allowed", md5(masked(t))) for k, t in DOCS}
+
+
+CLASSES = [
+    (0, "EMAIL", "a.b@gmail.com", "personal"), (0, "EMAIL", "info@example.org", "business"), (1, "PHONE", "+63 917 555 0123", "personal"), (2, "SSN", "000-12-3456", "personal"), (3, "CREDIT_CARD", "4111 1111 1111 1111", "personal"),
+    (4, "IP_ADDRESS", "192.0.2.44", "infra"), (7, "PHONE", "(202) 555-0180", "business"), (7, "SSN", "123-45-6789", "personal"), (7, "EMAIL", "x@y.example", "ambiguous"),
+]
+
+
+def test_screening_queries_run_all_recognizers(spark, tmp_path):
+    d, q = table(spark, tmp_path), registry.queries()
+    rows = lambda name: sorted(tuple(r) for r in q[name](spark, d).collect())
+    assert rows("d4_classify_all") == sorted(CLASSES)
+    assert rows("d5_apply_policy_all") == [(k, "allowed", md5(masked(t))) for k, t in DOCS]
+    assert rows("d7_shift_offsets_all") == [(k, len(masked(t)), 0) for k, t in DOCS]
+    count = lambda k: sum(c[0] == k for c in CLASSES)
+    assert rows("d8_modes_all") == [(k, "allowed" if k % 3 else "unscreened", count(k) if k % 3 else 0, md5(masked(t) if k % 3 == 2 else t)) for k, t in DOCS]
+    action = {"personal": "mask", "business": "tag", "ambiguous": "mask", "infra": "tag"}
+    assert rows("d10_audit_all") == sorted((k, e, c, "preview", v[0] + "*" * (len(v) - 2) + v[-1], action[c]) for k, e, v, c in CLASSES)
+    kinds = [(e, c, action[c]) for _, e, _, c in CLASSES]
+    assert rows("a5_summarize_findings_all") == sorted({(*k, kinds.count(k)) for k in kinds})
+    blocked = {k for k, _, _, c in CLASSES if c in ("personal", "ambiguous")}
+    assert rows("d11_blocked_leave_no_chunks_all") == [(f"s/{k}.txt", 1) for k, t in DOCS if k not in blocked and t]
