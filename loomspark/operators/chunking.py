@@ -37,12 +37,15 @@ def truncate_tokens(docs: DataFrame, n: int) -> DataFrame:
 
 
 def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Equal token windows: position, content, and the window count of the document; no shuffle."""
+    """Equal token windows: position, content, its offsets in the stripped text, and the window count; no shuffle."""
     step = size - overlap
     t = docs.select("source_key", text.tokens(text.strip("text")).alias("t")).where(F.size("t") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("t") - size) / F.lit(step)).cast("int"))
-    w = t.select("source_key", "t", F.posexplode(F.sequence(F.lit(0), last)).alias("position", "w"), (last + 1).alias("windows"))
-    return w.select("source_key", "position", text.strip(F.array_join(F.slice("t", F.col("w") * step + 1, size), "")).alias("content"), "windows", F.least(F.lit(size), F.size("t") - F.col("w") * step).alias("token_count"))
+    t = t.withColumn("lengths", F.transform("t", F.length))
+    w = t.select("source_key", "t", "lengths", F.posexplode(F.sequence(F.lit(0), last)).alias("position", "w"), (last + 1).alias("windows"))
+    content = text.strip(F.array_join(F.slice("t", F.col("w") * step + 1, size), ""))
+    w = w.withColumn("content", content).withColumn("end_offset", F.aggregate(F.slice("lengths", 1, F.col("w") * step + size), F.lit(0), lambda a, x: a + x))  # a window ends with its last token
+    return w.select("source_key", "position", "content", (F.col("end_offset") - F.length("content")).alias("start_offset"), "end_offset", "windows", F.least(F.lit(size), F.size("t") - F.col("w") * step).alias("token_count"))
 
 
 def chunk_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -52,7 +55,7 @@ def chunk_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     w = w.withColumn("chunk_index", F.col("position").cast("int")).withColumn("chunk_total", F.col("windows").cast("int"))
     w = w.withColumn("vector_id", ids.vector_id("document_id", "chunk_index")).withColumn("overlap", F.when(F.col("position") == 0, 0).otherwise(overlap))
     w = w.withColumn("note", F.when(F.col("position") == F.col("windows") - 1, "the document's tail, taken whole").otherwise("a token window"))
-    return w.withColumn("start_offset", F.lit(None).cast("int")).withColumn("end_offset", F.lit(None).cast("int")).select(*CHUNK_COLUMNS)
+    return w.select(*CHUNK_COLUMNS)
 
 
 Segment = tuple[str, int, int, str]
