@@ -245,12 +245,12 @@ def c8(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("c3_chunk_boundary")
 def c3(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_all(sources(spark, d), ["boundary-64-16"])
+    return chunking.chunk_all(files(spark, d), ["boundary-64-16"])
 
 
 @registered("c4_chunk_recursive")
 def c4(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_all(sources(spark, d), ["recursive-64-16"])
+    return chunking.chunk_all(files(spark, d), ["recursive-64-16"])
 
 
 @registered("c9_locate_chunks", with_cte(*BASE, then=r"SELECT vector_id, CASE WHEN strpos(regexp_replace(text, '^\s+|\s+$', '', 'g'), content) > 0 THEN strpos(regexp_replace(text, '^\s+|\s+$', '', 'g'), content) - 1 ELSE 0 END AS start FROM chunks"))

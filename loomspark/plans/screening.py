@@ -64,7 +64,7 @@ def s3(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("s4_sections_of_documents")
 def s4(spark: SparkSession, d: str) -> DataFrame:
-    return sections.sections(sources(spark, d)).select("source_key", "position", "title", "level", F.md5("body").alias("body_md5"))
+    return sections.sections(files(spark, d)).select("source_key", "position", "title", "level", F.md5("body").alias("body_md5"))
 
 
 @registered("s7_section_spans")
@@ -90,7 +90,7 @@ def c5(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("c10_split_text")
 def c10(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.segmented(sources(spark, d), lambda t: chunking.boundary_segments(t, 400, 0)).select("source_key", "position", F.md5("content").alias("content_md5"), "note")
+    return chunking.segmented(files(spark, d), lambda t: chunking.boundary_segments(t, 400, 0)).select("source_key", "position", F.md5("content").alias("content_md5"), "note")
 
 
 # --- personal data
