@@ -1,9 +1,10 @@
 """Token ids of whole texts by the tokenizers library, with a cache of chunks.
 
 Texts are cut where the tokenizer itself always cuts, so that a chunk can be encoded alone. Chunks are found,
-hashed and looked up with NumPy, many texts at once; a chunk that is not in the worker's cache goes through
-the library, hundreds in one call. The cache is a table of fixed size by hash: a newcomer takes its place.
-Nothing is truncated: a chunk is as long as the text has it.
+hashed and looked up with NumPy, many texts at once; a cached chunk's bytes are compared with the text's, so a
+hash that two chunks share changes nothing. A chunk that is not in the worker's cache goes through the library,
+hundreds in one call. The cache is a table of fixed size by hash: a newcomer takes its place. Nothing is
+truncated: a chunk is as long as the text has it.
 """
 
 from __future__ import annotations
@@ -14,8 +15,8 @@ import numpy as np
 
 from . import spans
 
-#: Slots of a worker's cache, and the ids that it holds at most before it starts anew.
-SLOTS, POOL = 1 << 21, 6_000_000
+#: Slots of a worker's cache, the ids that it holds at most before it starts anew, and bytes of text handled at once.
+SLOTS, POOL, AT_ONCE = 1 << 20, 4_000_000, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,10 +102,10 @@ class Encoder:
 
     def renew(self) -> None:
         self.key = np.zeros(SLOTS, np.uint64)
-        self.first = np.zeros(SLOTS, np.int32)
-        self.count = np.zeros(SLOTS, np.int32)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        #: place of a chunk's bytes in raw, their number (0: a free slot), and place and number of its ids in pool
+        self.at, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.first, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.raw, self.pool = _Growing(np.uint8), _Growing(np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -131,31 +132,62 @@ class Encoder:
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
         start, end = self.cuts(data, at)
+        ids, counts, i = [], [], 0
+        while i < len(start):  # chunks of a bounded number of bytes at once, however long a text is
+            j = max(i + 1, int(np.searchsorted(end, start[i] + AT_ONCE, "right")))
+            part = data[start[i] : end[j - 1]]
+            found, count = self._ids(part, start[i:j] - start[i], end[i:j] - start[i])
+            ids.append(found)
+            counts.append(count)
+            i = j
+        ends = np.concatenate([np.zeros(1, np.int64), *counts]).cumsum()
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), ends[np.searchsorted(start, at, "left")]
+
+    def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all chunks, and how many each has. A cached chunk counts only if its bytes are the same."""
+        size = end - start
         h = spans.hashes(data, start, end)
         slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        miss = np.flatnonzero(self.key[slot] != h)
+        known = (self.key[slot] == h) & (self.size[slot] == size)
+        hit = np.flatnonzero(known)
+        known[hit] = spans.equal(data, start[hit], self.raw.data, self.at[slot[hit]].astype(np.int64), size[hit])
         first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
-        pool = self.pool
+        miss = np.flatnonzero(~known)
         if len(miss):
-            new, where, back = np.unique(h[miss], return_index=True, return_inverse=True)
-            raw = data.tobytes()
-            learnt = self._learn([raw[s:e].decode() for s, e in zip(start[miss[where]].tolist(), end[miss[where]].tolist(), strict=True)])
+            raw, number = data.tobytes(), {}
+            back = np.array([number.setdefault(raw[s:e], len(number)) for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)])
+            learnt = self._learn([piece.decode() for piece in number])
             lengths = np.array([len(x) for x in learnt], np.int64)
-            places = self.used + np.cumsum(lengths) - lengths
-            total = self.used + int(lengths.sum())
-            if total > len(self.pool):
-                self.pool = np.concatenate([self.pool[: self.used], np.zeros(total + (1 << 20) - self.used, np.uint32)])
-            self.pool[self.used : total] = np.concatenate(learnt)
+            places = self.pool.add(np.concatenate(learnt)) + np.cumsum(lengths) - lengths
             first[miss], count[miss] = places[back], lengths[back]
-            slots = slot[miss[where]]
-            self.key[slots], self.first[slots], self.count[slots] = new, places, lengths
-            self.used, pool = total, self.pool
-        ids = pool[spans.gathered(first, count)]
-        ends = np.concatenate([[0], np.cumsum(count)])
-        offsets = ends[np.searchsorted(start, at, "left")]
-        if self.used > POOL:
+            where = miss[np.unique(back, return_index=True)[1]]
+            sizes = size[where]
+            kept = self.raw.add(np.frombuffer(b"".join(number), np.uint8)) + np.cumsum(sizes) - sizes
+            slots = slot[where]
+            # one newcomer a slot: of several the last in order, in all columns alike
+            last = len(slots) - 1 - np.unique(slots[::-1], return_index=True)[1]
+            for column, values in ((self.key, h[where]), (self.at, kept), (self.size, sizes), (self.first, places), (self.count, lengths)):
+                column[slots[last]] = values[last]
+        ids = self.pool.data[spans.gathered(first, count)]
+        if self.pool.used > POOL or self.raw.used > 4 * POOL:
             self.renew()
-        return ids, offsets
+        return ids, count
+
+
+class _Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.used = np.zeros(1 << 16, kind), 0
+
+    def add(self, values: np.ndarray) -> int:
+        """The place from which on values stand."""
+        at, total = self.used, self.used + len(values)
+        if total > len(self.data):
+            self.data = np.concatenate([self.data[:at], np.zeros(total + (1 << 20) - at, self.data.dtype)])
+        self.data[at:total] = values
+        self.used = total
+        return at
 
 
 _encoders: dict[str, Encoder] = {}
