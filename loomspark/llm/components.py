@@ -14,14 +14,15 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, pairs["u"] == least["w"]).select("u", "v", "m")
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """links (a, b: long, not null) to (node, component): the least node that each linked node can reach.
 
-    Nodes without links to others are not returned. Each round is written to the shared folder.
+    Nodes without links to others are not returned. Each round is written to the shared folder; rounds go on until
+    nothing changes, about twice the logarithm of the longest chain.
     """
     edges = common.saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = common.saved(large, "links")
@@ -32,4 +33,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         state = now
-    raise RuntimeError("components did not settle")

@@ -1,10 +1,13 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Each task cuts its training documents into shards of a few MB, names the word n-grams of the shard by
-doubling (1, 2, 4, 8, ... words; a name is the n-gram's rank in the sorted test n-grams), sorts the suffixes
-of the shard into a suffix array and binary-searches every test window in it. Suffixes whose doubling names
-show that they share no window with the test set are left out before the sort, so the array is sparse.
-Neighbouring window matches on a diagonal join into the longest verbatim matches.
+Each task cuts its training documents into shards of a few MB and sorts the suffixes of a shard's words into a
+suffix array, by prefix doubling up to the length of a window. Every suffix of the test items is then searched in
+it by bisection: the range of training suffixes that begin with its first word is narrowed word by word until it is
+empty or a whole window long. What remains are all places that hold the window. A place whose word before differs
+from the test's begins a longest verbatim match, which is followed to its end.
+
+Words have names: their number among the words of the test items, found by hash and compared byte by byte. Words
+that no item holds have no name, and no suffix begins with them, since no test suffix could be found there.
 
 The work is a map over documents: no shuffle, and one shard is in memory at a time. The test set is sent to
 the tasks in blocks of at most BLOCK_OF_TESTS bytes; with more blocks than one, the hits are united by document.
@@ -34,7 +37,7 @@ _WORD[0x00:0x30] = _WORD[0x3A:0x61] = _WORD[0x7B:0x80] = False
 
 
 class Words:
-    """The words of a run of texts: start, end, text index and 64-bit hash of each."""
+    """The words of a run of texts: start, end and text index of each."""
 
     def __init__(self, data: np.ndarray, at: np.ndarray):
         self.data, self.n_texts = _LOWER[data], len(at) - 1
@@ -49,157 +52,185 @@ class Words:
         last[edges - 1] = is_word[edges - 1]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.text = np.searchsorted(at, self.start, "right") - 1
-        self.hash = spans.hashes(self.data, self.start, self.end)
-
-    def word(self, i: int) -> bytes:
-        return self.data[self.start[i] : self.end[i]].tobytes()
 
-
-def _pair(a: np.ndarray, b: np.ndarray, shift: int) -> np.ndarray:
-    """a[i] with b[i + shift] as one key; 0 where either is 0 (no name)."""
-    out = np.zeros(len(a), np.int64)
-    if shift < len(a):
-        x, y = a[:-shift].astype(np.int64), b[shift:].astype(np.int64)
-        both = (x > 0) & (y > 0)
-        out[:-shift][both] = (x[both] << 32) | y[both]
-    return out
+    def spread(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(names with a gap of no name after each text, the place of each word among them)."""
+        place = np.arange(len(names)) + self.text
+        out = np.zeros((int(place[-1]) if len(place) else 0) + 2, np.int64)
+        out[place] = names
+        return out, place
 
 
 class TestSet:
-    """Names of all n-grams of the test items, by doubling, and the windows of each item."""
+    """The words of the test items by name, and the window that begins at each of their suffixes."""
 
     __test__ = False
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.window = window
-        lengths = np.array([len(t) for _, t in items], np.int64)
-        data = np.frombuffer(b"".join(t for _, t in items), np.uint8)
-        words = Words(data, np.concatenate([[0], np.cumsum(lengths)]))
         self.ids = [k for k, _ in items]
-        self.vocabulary, first, word = np.unique(words.hash, return_index=True, return_inverse=True)
-        self.spelled = [words.word(i) for i in first]
-        # one gap of no name after each item, so that no n-gram spans two items
-        self.row = words.text
-        place = np.arange(len(word)) + words.text * (window + 1)
-        n = (int(place[-1]) if len(place) else 0) + window + 2
-        self.base = np.zeros(n, np.int64)
-        self.base[place] = word + 1
-        self.keys: dict[int, np.ndarray] = {}
+        lengths = np.array([len(t) for _, t in items], np.int64)
+        words = Words(np.frombuffer(b"".join(t for _, t in items), np.uint8), np.concatenate([[0], np.cumsum(lengths)]))
+        raw = words.data.tobytes()
+        self.number: dict[bytes, int] = {}
+        names = np.array([self.number.setdefault(raw[s:e], len(self.number) + 1) for s, e in zip(words.start.tolist(), words.end.tolist(), strict=True)], np.int64)
+        self.spelled = np.frombuffer(b"".join(self.number), np.uint8)
+        size = np.array([len(w) for w in self.number], np.int64)
+        end = np.cumsum(size)
+        h = spans.hashes(self.spelled, end - size, end)
+        order = np.argsort(h, kind="stable")
+        self.hash, self.size, self.at, self.name = h[order], size[order], (end - size)[order], order + 1
+        self.base, place = words.spread(names)
         counts = np.bincount(words.text, minlength=len(items))
-        begins = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        #: {window length: (sorted window names, first index of each name's items, item rows, first place of each name)}
-        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = {}
-        by_length: dict[int, list[np.ndarray]] = {}
-        for row, count in enumerate(counts):
-            if count:
-                m = min(int(count), window)
-                starts = np.arange(begins[row], begins[row] + count - m + 1)
-                by_length.setdefault(m, []).append(starts)
-        for m, starts in by_length.items():
-            at = np.concatenate(starts)
-            name = self.named(self.base, m, learn=True)[place[at]]
-            order = np.lexsort((at, self.row[at], name))
-            name, row, spot = name[order], self.row[at][order], place[at][order]
-            new = np.ones(len(name), bool)
-            new[1:] = (name[1:] != name[:-1]) | (row[1:] != row[:-1])
-            name, row, spot = name[new], row[new], spot[new]
-            names, first = np.unique(name, return_index=True)
-            self.windows[m] = (names, np.append(first, len(name)), row, spot[first])
-
-    def named(self, base: np.ndarray, m: int, learn: bool = False, known: dict | None = None) -> np.ndarray:
-        """The name of the m words that start at each place; 0 where no test item holds them."""
-        known = {} if known is None else known
-        if m == 1:
-            return base
-        if m not in known:
-            half = 1 << ((m - 1).bit_length() - 1)
-            pairs = _pair(self.named(base, half, learn, known), self.named(base, m - half, learn, known), half)
-            if learn and m not in self.keys:
-                self.keys[m] = np.unique(pairs[pairs > 0])
-            known[m] = _lookup(self.keys[m], pairs)
-        return known[m]
-
-
-def _lookup(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    """1 + the place of each asked key in keys; 0 for absent ones and for 0."""
-    out = np.zeros(len(asked), np.int64)
-    some = np.flatnonzero(asked)
-    if len(some) and len(keys):
-        at = np.minimum(np.searchsorted(keys, asked[some]), len(keys) - 1)
-        out[some] = np.where(keys[at] == asked[some], at + 1, 0)
-    return out
-
-
-def search_shard(tests: TestSet, data: np.ndarray, at: np.ndarray) -> tuple[Words, np.ndarray, list[tuple[int, int]], list[np.ndarray]]:
-    """(words, hit flag of each word, sorted (text, item row) pairs, [text, item row, word, words] of each longest match)."""
-    words = Words(data, at)
-    place = np.minimum(np.searchsorted(tests.vocabulary, words.hash), max(len(tests.vocabulary) - 1, 0))
-    name = np.where(tests.vocabulary[place] == words.hash, place + 1, 0) if len(tests.vocabulary) else np.zeros(len(words.hash), np.int64)
-    gap = tests.window + 1
-    spread = np.arange(len(name)) + words.text * gap  # a gap between texts, as between items
-    hit, pairs, found = np.zeros(len(name), bool), [], []
-    if not len(name):
-        return words, hit, [], []
-    back = np.full(int(spread[-1]) + gap + 1, -1, np.int64)
-    back[spread] = np.arange(len(name))
-    while True:
-        base = np.zeros(len(back), np.int64)
-        base[spread] = name
-        known: dict[int, np.ndarray] = {}
-        matches, wrong = [], []
-        for m, (names, *_) in tests.windows.items():
-            of = tests.named(base, m, known=known)
-            suffix = np.flatnonzero(of)
-            suffix = suffix[np.argsort(of[suffix], kind="stable")]  # the shard's sparse suffix array
-            ranks = of[suffix]
-            low, high = np.searchsorted(ranks, names, "left"), np.searchsorted(ranks, names, "right")
-            some = np.flatnonzero(high > low)
-            if len(some):
-                count = high[some] - low[some]
-                which = np.repeat(some, count)
-                where = back[suffix[np.repeat(low[some], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]]
-                matches.append((m, which, where))
-                covered = np.unique((where[:, None] + np.arange(m)).ravel())
-                wrong += [i for i in covered if words.word(i) != tests.spelled[name[i] - 1]]
-        if not wrong:
+        left = (np.cumsum(counts)[words.text] if len(place) else place) - np.arange(len(place))  # words from here to the item's end
+        length = np.minimum(counts, window)[words.text]
+        whole = left >= length
+        #: place, length and item of each window
+        self.place, self.length, self.row = place[whole], length[whole], words.text[whole]
+
+    def names(self, words: Words) -> np.ndarray:
+        """The name of each word; 0 for a word that no item holds."""
+        if not len(self.hash) or not len(words.start):
+            return np.zeros(len(words.start), np.int64)
+        h, size = spans.hashes(words.data, words.start, words.end), words.end - words.start
+        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+        some = np.flatnonzero(self.hash[at] == h)
+        out = np.zeros(len(h), np.int64)
+        same = self.size[at[some]] == size[some]
+        same[same] = spans.equal(words.data, words.start[some[same]], self.spelled, self.at[at[some[same]]], size[some[same]])
+        out[some[same]] = self.name[at[some[same]]]
+        for i in some[~same].tolist():  # another word of that hash
+            out[i] = self.number.get(words.data[words.start[i] : words.end[i]].tobytes(), 0)
+        return out
+
+
+def suffix_array(base: np.ndarray, depth: int) -> np.ndarray:
+    """Places of base that hold a name, in order of the depth names from there on; a 0 ends a suffix and follows each."""
+    some = np.flatnonzero(base)
+    order = some[np.argsort(base[some], kind="stable")]
+    slot = np.arange(len(order))
+    rank = np.zeros(len(base), np.int64)
+    rank[order] = np.maximum.accumulate(np.where(np.append(True, base[order][1:] != base[order][:-1]), slot, 0)) + 1 if len(order) else 0
+    k = 1
+    while k < depth:
+        same = rank[order[1:]] == rank[order[:-1]]
+        open_slots = np.flatnonzero(np.append(same, False) | np.append(False, same))
+        if not len(open_slots):
             break
-        name[wrong] = 0  # a hash met another word: that word is in no test item
-    for m, which, where in matches:
-        _, first, rows, spot = tests.windows[m]
-        hit[np.unique((where[:, None] + np.arange(m)).ravel())] = True
-        both = np.unique(np.stack([words.text[where], which]), axis=1)
-        count = first[both[1] + 1] - first[both[1]]
-        item = rows[np.repeat(first[both[1]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
-        pairs.append(np.stack([np.repeat(both[0], count), item]))
-        # neighbouring hits on one diagonal of document and item make the longest matches
-        order = np.argsort(where, kind="stable")
-        i, same = where[order], which[order]
-        new = np.ones(len(i), bool)
-        new[1:] = (i[1:] != i[:-1] + 1) | (words.text[i[1:]] != words.text[i[:-1]]) | (spot[same[1:]] != spot[same[:-1]] + 1)
-        begin = np.flatnonzero(new)
-        end = np.append(begin[1:], len(i)) - 1
-        found.append(np.stack([words.text[i[begin]], rows[first[same[begin]]], i[begin], i[end] - i[begin] + m]))
-    united = np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else []
-    return words, hit, [tuple(x) for x in united], found
-
-
-_SCHEMA = "doc_id bigint, text_key bigint, n_words bigint, item_ids array<string>, spans array<struct<start:bigint,end:bigint>>, matches array<struct<item_id:string,word:bigint,n_words:bigint>>"
+        place = order[open_slots]
+        key = rank[place] << 32 | rank[np.minimum(place + k, len(base) - 1)]
+        by = np.argsort(key, kind="stable")
+        place, key = place[by], key[by]
+        order[open_slots] = place
+        rank[place] = np.maximum.accumulate(np.where(np.append(True, key[1:] != key[:-1]), open_slots, 0)) + 1
+        k *= 2
+    return order
+
+
+def _bisected(values: np.ndarray, order: np.ndarray, shift: int, low: np.ndarray, high: np.ndarray, wanted: np.ndarray, right: bool) -> np.ndarray:
+    """For each range low..high of order, where wanted stands (or, right, ends) among values[order + shift]."""
+    low, high = low.copy(), high.copy()
+    while True:
+        open_ones = low < high
+        if not open_ones.any():
+            return low
+        middle = (low + high) >> 1
+        found = values[order[np.minimum(middle, len(order) - 1)] + shift]
+        below = (found <= wanted) if right else (found < wanted)
+        low = np.where(open_ones & below, middle + 1, low)
+        high = np.where(open_ones & ~below, middle, high)
+
+
+def search(tests: TestSet, base: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(windows found in the suffix array, begin and end of each one's range there)."""
+    asked = np.arange(len(tests.place))
+    low, high = np.zeros(len(asked), np.int64), np.full(len(asked), len(order), np.int64)
+    done: list[tuple] = []
+    depth = 0
+    while len(asked):
+        wanted = tests.base[tests.place[asked] + depth]
+        begin = _bisected(base, order, depth, low, high, wanted, False)
+        end = _bisected(base, order, depth, begin, high, wanted, True)
+        depth += 1
+        found = end > begin
+        asked, low, high = asked[found], begin[found], end[found]
+        whole = tests.length[asked] == depth
+        done.append((asked[whole], low[whole], high[whole]))
+        asked, low, high = asked[~whole], low[~whole], high[~whole]
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate([none, *x]) for x in zip(*done, strict=True)) if done else (none, none, none)
+
+
+def search_shard(tests: TestSet, data: np.ndarray, at: np.ndarray, keep_matches: bool = True) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, hit flag of each word, (text, item row) pairs, (text, item row, item place, word, words) of each longest match)."""
+    words = Words(data, at)
+    base, place = words.spread(tests.names(words))
+    order = suffix_array(base, int(tests.length.max(initial=0)))
+    window, low, high = search(tests, base, order)
+    word = np.zeros(len(base), np.int64)
+    word[place] = np.arange(len(place))
+    # windows of one range and length are the same words: their places count once
+    length = tests.length[window]
+    groups, first, of = np.unique(np.stack([low, length]), axis=1, return_index=True, return_inverse=True)
+    n = high[first] - low[first]
+    which, where = np.repeat(np.arange(len(n)), n), word[order[spans.gathered(low[first], n)]]
+    edge = np.bincount(where, minlength=len(place) + 1) - np.bincount(where + groups[1][which], minlength=len(place) + 1)
+    hit = np.cumsum(edge)[: len(place)] > 0
+    # the items of a group of windows
+    rows = np.unique(np.stack([of.ravel(), tests.row[window]]), axis=1)
+    begin = np.searchsorted(rows[0], np.arange(len(n) + 1))
+    both = np.unique(np.stack([words.text[where], which]), axis=1)
+    pairs, step = [np.zeros((2, 0), np.int64)], 1 << 18
+    for i in range(0, both.shape[1], step):
+        text, group = both[:, i : i + step]
+        count = begin[group + 1] - begin[group]
+        pairs.append(np.unique(np.stack([np.repeat(text, count), rows[1][spans.gathered(begin[group], count)]]), axis=1))
+    found = [np.zeros((5, 0), np.int64)]
+    if keep_matches:
+        total = np.cumsum(high - low)
+        i = 0
+        while i < len(window):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + step, "right")))
+            count = high[i:j] - low[i:j]
+            found.append(_longest(tests, base, np.repeat(window[i:j], count), order[spans.gathered(low[i:j], count)], word, words))
+            i = j
+    return words, hit, np.unique(np.concatenate(pairs, axis=1), axis=1), np.concatenate(found, axis=1)
+
+
+def _longest(tests: TestSet, base: np.ndarray, window: np.ndarray, there: np.ndarray, word: np.ndarray, words: Words) -> np.ndarray:
+    """Matches that begin at these places of test windows in the training text, each to its end."""
+    here = tests.place[window]
+    before, other = tests.base[np.maximum(here - 1, 0)], base[np.maximum(there - 1, 0)]
+    begins = (here == 0) | (there == 0) | (before == 0) | (before != other)
+    window, here, there = window[begins], here[begins], there[begins]
+    size = tests.length[window].copy()
+    going = np.arange(len(size))
+    while len(going):
+        a, b = tests.base[here[going] + size[going]], base[there[going] + size[going]]
+        going = going[(a == b) & (a > 0)]
+        size[going] += 1
+    row, first = tests.row[window], word[there]
+    item_start = np.searchsorted(tests.row, row)  # the item's first window begins at its first word
+    return np.stack([words.text[first], row, here - tests.place[item_start], first, size])
+
+
+_SPANS, _MATCHES = "array<struct<start:bigint,end:bigint>>", "array<struct<item_id:string,item_word:bigint,word:bigint,n_words:bigint>>"
+_SCHEMA = f"doc_id bigint, text_key bigint, n_words bigint, item_ids array<string>, spans {_SPANS}, matches {_MATCHES}"
 
 
 def _search(tests, keep_matches: bool):
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    match_type = pa.list_(pa.struct([("item_id", pa.string()), ("word", pa.int64()), ("n_words", pa.int64())]))
+    match_type = pa.list_(pa.struct([("item_id", pa.string()), ("item_word", pa.int64()), ("word", pa.int64()), ("n_words", pa.int64())]))
     schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", spans_type), ("matches", match_type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = tests.value
         for b in common.blocks(batches):
-            words, hit, pairs, found = search_shard(held, *common.flat(b.column(1)))
+            words, hit, pairs, found = search_shard(held, *common.flat(b.column(1)), keep_matches)
             n = b.num_rows
             n_words = np.bincount(words.text, minlength=n)
             begins = np.concatenate([[0], np.cumsum(n_words)])
             items: list[list[str]] = [[] for _ in range(n)]
-            for text, row in pairs:
+            for text, row in pairs.T.tolist():
                 items[text].append(held.ids[row])
             covered: list[list[dict]] = [[] for _ in range(n)]
             edge = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
@@ -210,10 +241,8 @@ def _search(tests, keep_matches: bool):
                     covered[text].append({"start": s - int(begins[text]), "end": stop - int(begins[text])})
                     s = stop
             matches: list[list[dict]] = [[] for _ in range(n)]
-            if keep_matches:
-                for part in found:
-                    for text, row, word, length in part.T.tolist():
-                        matches[text].append({"item_id": held.ids[row], "word": word - int(begins[text]), "n_words": length})
+            for text, row, item_word, word, length in found[:, np.lexsort(found[[2, 3, 1]])].T.tolist():
+                matches[text].append({"item_id": held.ids[row], "item_word": item_word, "word": word - int(begins[text]), "n_words": length})
             yield common.record(schema, doc_id=b.column(0), text_key=b.column(2), n_words=n_words, item_ids=[sorted(set(x)) for x in items], spans=covered, matches=matches)
 
     return run
@@ -235,7 +264,8 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     """Per row of docs: doc_id, n_words, item_ids (sorted strings), spans (hit word ranges), matches (longest ones).
 
     docs needs doc_id and text; benchmark needs item_id and text; further columns are ignored. A match entry
-    names the first item that holds its windows, the document's word and the words matched. Null texts
+    names an item, the item's word and the document's word where it begins, and the words matched, at least a window
+    (or the whole of a shorter item); there is one for each item and place that can't be made longer. Null texts
     have no words. Items with a null id or without words match nothing. Repeated rows give repeated rows.
     A null doc_id stays null. Empty tables give no rows, or no hits.
     """
@@ -267,9 +297,9 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     counts = parts[0].select("doc_id", "text_key", "n_words")
     return counts.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key")), "left").select(
         "doc_id", "n_words",
-        F.coalesce("item_ids", F.expr("cast(array() as array<string>)")).alias("item_ids"),
-        F.coalesce("spans", F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")).alias("spans"),
-        F.coalesce("matches", F.expr("cast(array() as array<struct<item_id:string,word:bigint,n_words:bigint>>)")).alias("matches"),
+        F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
+        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
+        F.coalesce("matches", F.array().cast(_MATCHES)).alias("matches"),
     )
 
 
@@ -285,7 +315,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 
         def keep(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for b in common.blocks(batches):
-                words, hit, _, _ = search_shard(held.value, *common.flat(b.column(b.schema.get_field_index("text"))))
+                words, hit, _, _ = search_shard(held.value, *common.flat(b.column(b.schema.get_field_index("text"))), False)
                 yield b.filter(pa.array(np.bincount(words.text[hit], minlength=b.num_rows) == 0))
 
         kept = kept.mapInArrow(keep, kept.schema)
