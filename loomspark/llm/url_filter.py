@@ -1,12 +1,13 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join.
 
-A rule is a canonical host and path ("example.com", "/en/7"). A url's candidate keys are its host and all
-parent domains, each with the prefixes of its path at the path lengths that occur in the list. A blocked Bloom
+A rule is a canonical host and path ("example.com", "/en/7"). A url's candidate keys are its domains of as many
+labels as rules have, each with the prefixes of its path at the lengths that such rules have. A blocked Bloom
 filter of the listed keys (one 256-bit block a key, eight bits in it) passes possible hits; only those are
 joined to the list by hash, which removes false positives. The longest rule that fits gives the verdict.
 
-The filter has a bounded size: a longer list makes it pass more, never too little. Pages are dealt out by row
-in the one shuffle that picks the longest rule, so a host that holds a third of all pages is spread.
+The filter has a bounded size: a longer list makes it pass more, never too little. Pages that it rejects take no
+part in any shuffle; the others are dealt out by row where the longest rule is picked, so a host that holds a third
+of all pages is spread.
 """
 
 from __future__ import annotations
@@ -69,40 +70,50 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     order stays. A rule fits its host and all subdomains when the page's path starts with the rule's. The
     longest rule (host and path together, then host) gives the verdict, without one it is `default` and rule is
     null. Null urls and those without :// have an empty host and path. Repeated rows stay. Rules with nulls are
-    left out.
+    left out. Pages may have columns of any other name. Only the pages that the filter passes are joined and
+    shuffled; for those pages is read a second time. A long url costs in proportion to its length: only
+    domains of as many labels and characters as rules have are looked at.
     """
     spark = pages.sparkSession
     rules = rules.select("verdict", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path").dropna()
-    rules = common.saved(rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")).withColumn("key", F.concat("host", F.lit("\n"), "path")), "url-rules")
+    rules = common.saved(rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")), "url-rules")
     n = rules.count()
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().toLocalIterator())
-    bloom = spark.sparkContext.broadcast(build_filter(rules.select(F.xxhash64("key").alias("h")), n))
+    shape = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")).distinct()
+    shapes = sorted((r.labels, r.length) for r in shape.toLocalIterator())  # as many as kinds of rules, not as rules
+    longest = rules.agg(F.max(F.length("host"))).first()[0] or 0
+    bloom = spark.sparkContext.broadcast(build_filter(rules.select(F.xxhash64("host", "path").alias("h")), n))
 
     @F.pandas_udf("array<int>")
-    def possible(hashes: pd.Series) -> pd.Series:
-        """Places of the keys that the filter passes."""
-        lists = [np.asarray(x, np.int64) for x in hashes]
-        counts = np.array([len(x) for x in lists])
-        block, bits = _places(np.concatenate([*lists, np.zeros(0, np.int64)]), len(bloom.value))
-        hit = ((bloom.value[block] & bits) == bits).all(axis=1)
+    def possible(hashes: pd.Series, given: pd.Series) -> pd.Series:
+        """Places of the given keys that the filter passes."""
+        counts = np.array([len(x) for x in hashes])
+        block, bits = _places(np.concatenate([*hashes, np.zeros(0, np.int64)]), len(bloom.value))
+        hit = ((bloom.value[block] & bits) == bits).all(axis=1) & np.concatenate([*given, np.zeros(0, bool)]).astype(bool)
         return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.split(hit, np.cumsum(counts)[:-1])], dtype=object)
 
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = canonical(F.col("url"))
-    rows = pages.select("*").drop("host", "path", "rule", "verdict").withColumn("host", host).withColumn("path", path)
-    labels = F.split("host", r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(F.transform(F.filter(F.array(*[F.lit(x) for x in lengths]).cast("array<int>"), lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k)))
-    keys = F.flatten(F.transform(domains, lambda d: F.transform(prefixes, lambda p: F.concat(d, F.lit("\n"), p))))
-    rows = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__keys", keys)
-    hashes = F.transform("__keys", lambda k: F.xxhash64(k))
-    passed = rows.withColumn("__at", possible(hashes)).withColumn("__key", F.explode_outer(F.transform("__at", lambda i: F.get("__keys", i)))).drop("__keys", "__at")
-    exact = rules.select(F.col("key").alias("__rule_key"), F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("verdict").alias("__verdict"))
+    row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)  # pages' columns lie in one, no name can clash
+    rows = pages.select(row.alias("row"), host.alias("host"), path.alias("path"))
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+    domain = {k: F.substring_index("host", ".", -k) for k in {k for k, _ in shapes}}
+    keys = [
+        F.when((labels >= k) & (F.length(domain[k]) <= longest) & (F.length("path") >= n_path), F.struct(domain[k].alias("host"), F.substring("path", 1, n_path).alias("path")))
+        for k, n_path in shapes
+    ]
+    hashes = F.array(*[F.coalesce(F.when(k.isNotNull(), F.xxhash64(k["host"], k["path"])), F.lit(0)) for k in keys]).cast("array<bigint>")
+    rows = rows.withColumn("at", possible(hashes, F.array(*[k.isNotNull() for k in keys]).cast("array<boolean>")))
+    columns = [F.col("row." + f"`{c}`") for c in kept]
+    clean = rows.where("size(at) = 0").select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    if not keys:
+        return clean
+    passed = rows.where("size(at) > 0").withColumn("id", F.monotonically_increasing_id()).withColumn("key", F.explode(F.transform("at", lambda i: F.get(F.array(*keys), i))))
+    exact = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
     exact = F.broadcast(exact) if n <= BROADCAST_RULES else exact
-    joined = passed.join(exact, passed["__key"] == exact["__rule_key"], "left")
-    best = F.max(F.when(F.col("__verdict").isNotNull(), F.struct(F.length("__rule_key").alias("n"), F.length("__host").alias("h"), F.col("__host"), F.col("__path"), F.col("__verdict"))))
-    judged = joined.groupBy("__row").agg(*[F.first(c).alias(c) for c in [*kept, "host", "path"]], best.alias("__best"))
-    return judged.select(*kept, "host", "path", F.concat("__best.__host", "__best.__path").alias("rule"), F.coalesce("__best.__verdict", F.lit(default)).alias("verdict"))
+    joined = passed.join(exact, (F.col("key.host") == F.col("rule_host")) & (F.col("key.path") == F.col("rule_path")), "left")
+    found = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("n_host"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
+    best = joined.groupBy("id").agg(F.any_value("row").alias("row"), F.any_value("host").alias("host"), F.any_value("path").alias("path"), F.max(F.when(F.col("rule_host").isNotNull(), found)).alias("best"))
+    return clean.unionByName(best.select(*columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

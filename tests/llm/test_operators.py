@@ -63,10 +63,25 @@ def test_decontaminate_equals_brute_force(spark, data):
 @given(st.lists(st.text(alphabet="ab c,é", max_size=60), max_size=6), st.lists(st.text(alphabet="ab c,é", max_size=40), max_size=4))
 def test_search_shard(texts, items):
     tests = decontaminate.TestSet([(str(i), t.encode()) for i, t in enumerate(items)], 3)
-    _, hit, pairs, found = decontaminate.search_shard(tests, *common.flat(pa.array(texts, pa.string())))
+    words, hit, pairs, found = decontaminate.search_shard(tests, *common.flat(pa.array(texts, pa.string())))
     want = decontaminate.brute_force(list(enumerate(texts)), list(enumerate(items)), 3)
-    assert int(hit.sum()) == sum(r[2] for r in want) and len(pairs) == sum(r[3] for r in want)
-    assert all(length >= 1 for part in found for length in part[3])
+    assert int(hit.sum()) == sum(r[2] for r in want) and pairs.shape[1] == sum(r[3] for r in want)
+    begins = np.concatenate([[0], np.cumsum(np.bincount(words.text, minlength=len(texts)))])
+    got = sorted((t, i, place, word - begins[t], n) for t, i, place, word, n in found.T.tolist())
+    assert got == sorted((t, i, *m) for t, text in enumerate(texts) for i, item in enumerate(items) for m in longest_by_hand(text, item, 3))
+
+
+def longest_by_hand(text, item, window):
+    """(item word, word, words) of each match that can't be made longer."""
+    a, b = (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for t in (item, text))
+    least, out = min(len(a), window), set()
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        if a[i] == b[j] and not (i and j and a[i - 1] == b[j - 1]):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            out |= {(i, j, n)} if n >= least else set()
+    return out
 
 
 def test_longest_matches_in_blocks_of_tests(spark):
@@ -77,16 +92,40 @@ def test_longest_matches_in_blocks_of_tests(spark):
     many = {r.doc_id: r for r in decontaminate.longest_matches(docs, bench, block_bytes=1).collect()}
     assert [(s.start, s.end) for s in one[1].spans] == [(s.start, s.end) for s in many[1].spans] == [(2, 22)]
     assert one[1].item_ids == many[1].item_ids == ["0", "10"] and one[2].spans == many[2].spans == []
-    assert max(m.n_words for m in one[1].matches) == 20
+    assert sorted(map(tuple, one[1].matches)) == sorted(map(tuple, many[1].matches)) == [("0", 5, 2, 20), ("10", 0, 7, 15)]
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {2, 3}
 
 
+def thue_morse(n):
+    """Two words of n letters that share every polynomial hash modulo a power of two."""
+    bits = [i.bit_count() % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_colliding_words_are_told_apart(spark):
+    one, other = thue_morse(1024)
+    bench = spark.createDataFrame([(0, one), (1, other)], "item_id long, text string")
+    docs = spark.createDataFrame([(0, f"x {one} y"), (1, f"{other}!")], "doc_id long, text string")
+    assert {r.doc_id: r.item_ids for r in decontaminate.longest_matches(docs, bench).collect()} == {0: ["0"], 1: ["1"]}
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate.spans, "hashes", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    tests = decontaminate.TestSet([("0", b"a b c"), ("1", b"c b a")])
+    _, _, pairs, _ = decontaminate.search_shard(tests, *common.flat(pa.array(["x a b c", "a c b a", "d e"], pa.string())))
+    assert pairs.T.tolist() == [[0, 0], [1, 1]]
+    texts = ["one two three", "six", "one one two"] * 2
+    enc = tokens.Encoder(BYTE)
+    ids, at = enc.encode(*common.flat(pa.array(texts, pa.string())))
+    assert [ids[at[i] : at[i + 1]].tolist() for i in range(6)] == [library_byte().encode(t).ids for t in texts]
+
+
 # --- 2, 6, 10
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encoder_equals_library(path):
-    texts = [t for _, t, _ in ODD[:-1]] + [ODD[-1][1], "x.\nY, z!\n\n a  b", "| a |b|", "<|startoftext|>x"]
+    texts = [t for _, t, _ in ODD[:-1]] + [ODD[-1][1], "x.\nY, z!\n\n a  b", "| a |b|", "<|startoftext|>x", *(w for n in (1024, 2048, 4096) for w in thue_morse(n))]
     enc, lib = tokens.Encoder(path), library(path)
     for _ in range(2):  # cold and from the cache
         ids, at = enc.encode(*common.flat(pa.array(texts, pa.string())))
@@ -500,3 +539,16 @@ def test_pipeline_stages_equal_brute_force(spark, data):
 def test_vocabulary_format():
     with open(BYTE, encoding="utf-8") as f:
         assert json.load(f)["model"]["type"] == "BPE"
+
+
+def test_url_filter_on_clashing_columns_and_long_hosts(spark):
+    names = ("row", "at", "id", "key", "best", "rule_host", "__row", "__keys", "__key", "Rule", "a.b")
+    long = "http://" + "a." * 20_000 + "example.com/en/7"
+    pages = spark.createDataFrame([(1, long), (2, "http://" + "x" * 500_000 + ".org/es/" + "y" * 500_000), (3, "http://none.example/")], "page_id long, url string")
+    for c in names:
+        pages = pages.withColumn(c, F.lit("mine"))
+    got = {r.page_id: r for r in url_filter.judge(pages, spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")).collect()}
+    assert {k: (r.rule, r.verdict) for k, r in got.items()} == {1: ("example.com/en/7", "allow"), 2: ("org/es/", "block"), 3: (None, "allow")}
+    assert all(r[c] == "mine" for r in got.values() for c in names if c != "Rule")
+    none = spark.createDataFrame([], "verdict string, host string, path string")
+    assert {r.verdict for r in url_filter.judge(pages, none, "block").collect()} == {"block"}
