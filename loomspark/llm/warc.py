@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,21 +35,36 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2016-09-19T17:20:24Z"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:page:{'null' if page_id is None else page_id}>"
-
-
-def make_record(page_id, url: str | None, payload: bytes, digest: bytes, refers_to) -> bytes:
-    """A response with the payload, or a revisit without it."""
-    head = [b"WARC/1.1", b"WARC-Type: " + (b"response" if refers_to is None else b"revisit"), b"WARC-Record-ID: " + record_id(page_id).encode(), b"WARC-Date: " + _DATE.encode()]
+def make_record(name: str, page_id, url: str | None, payload: bytes, digest: bytes, refers_to, refers_url: str | None = None) -> bytes:
+    """A response with an HTTP head and the payload, or a revisit with the head alone. name: unique among all records."""
+    kind = b"response" if refers_to is None else b"revisit"
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:%b>" % str(uuid.uuid5(uuid.NAMESPACE_URL, name)).encode(), b"WARC-Date: " + _DATE.encode()]
     if url is not None:
         head.append(b"WARC-Target-URI: " + " ".join(url.split()).encode())
-    head += [b"WARC-Payload-Digest: sha256:" + base64.b32encode(digest), b"X-Payload-Length: %d" % len(payload)]
-    if refers_to is not None:
-        head += [b"WARC-Refers-To: " + record_id(refers_to).encode(), b"WARC-Profile: " + _PROFILE.encode()]
-        payload = b""
-    head += [b"Content-Type: text/html", b"Content-Length: %d" % len(payload)]
-    return b"\r\n".join(head) + b"\r\n\r\n" + payload + b"\r\n\r\n"
+    head += [b"WARC-Payload-Digest: sha256:" + base64.b32encode(digest), b"X-Page-Id: %b" % (b"null" if page_id is None else b"%d" % page_id)]
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    if refers_to is None:
+        block += payload
+    else:
+        head += [b"X-Refers-To-Page: %d" % refers_to, b"WARC-Refers-To-Date: " + _DATE.encode(), b"WARC-Profile: " + _PROFILE.encode()]
+        head += [b"WARC-Refers-To-Target-URI: " + " ".join(refers_url.split()).encode()] if refers_url is not None else []
+    head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def make_info(name: str) -> bytes:
+    """The record that opens a bundle."""
+    block = b"software: loomspark\r\nformat: WARC File Format 1.1\r\n"
+    head = [b"WARC/1.1", b"WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>".encode(), b"WARC-Date: " + _DATE.encode(), b"WARC-Filename: " + name.encode()]
+    head += [b"Content-Type: application/warc-fields", b"Content-Length: %d" % len(block)]
+    return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def http_payload(block: bytes) -> tuple[bytes, int]:
+    """(payload of an HTTP response, its length as the head states it)."""
+    stop = block.index(b"\r\n\r\n")
+    told = next(int(line.split(b":")[1]) for line in block[:stop].split(b"\r\n") if line.lower().startswith(b"content-length:"))
+    return block[stop + 4 :], told
 
 
 def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
@@ -126,23 +141,17 @@ def open_bundle(uri: str, size: int) -> Bundle:
     return Bundle(lambda at, n: handle.read_at(n, at), size)
 
 
-def payload_digests(pages: DataFrame) -> DataFrame:
-    """page_id, digest (SHA-256) and n (bytes) of each page's html."""
-    schema = pa.schema([("page_id", pa.int64()), ("digest", pa.binary()), ("n", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            payloads = common.texts(b.column(1))
-            yield common.record(schema, page_id=b.column(0), digest=[hashlib.sha256(p).digest() for p in payloads], n=[len(p) for p in payloads])
-
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id bigint, digest binary, n bigint")
+def _digest(html) -> Column:
+    """SHA-256 of a text's UTF-8 bytes, as bytes."""
+    return F.unhex(F.sha2(html.cast("binary"), 256))
 
 
 def revisits(pages: DataFrame) -> DataFrame:
-    """page_id of each page whose payload another page with a smaller id has, and that page: refers_to."""
-    digests = common.saved(payload_digests(pages).where((F.col("n") >= MIN_REVISIT) & F.col("page_id").isNotNull()), "payloads")
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("of"), "refers_to")
-    return digests.join(first, digests["digest"] == first["of"]).where("page_id > refers_to").select(F.col("page_id").alias("revisit_id"), "refers_to").distinct()
+    """page_id and digest of each payload of MIN_REVISIT bytes or more that a page with a smaller id has, and that page: refers_to, refers_url."""
+    html = F.col("html").cast("string")
+    digests = common.saved(pages.where((F.octet_length(html) >= MIN_REVISIT) & F.col("page_id").isNotNull()).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), _digest(html).alias("digest")), "payloads")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min(F.struct("page_id", "url"))["url"].alias("refers_url"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("of"), "refers_to", "refers_url")
+    return digests.join(first, digests["digest"] == first["of"]).where("page_id > refers_to").select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to", "refers_url").distinct()
 
 
 _INDEX = "page_id bigint, uri string, bytes bigint, frame int, offset bigint, length bigint"
@@ -150,23 +159,28 @@ _INDEX = "page_id bigint, uri string, bytes bigint, frame int, offset bigint, le
 
 def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) under folder; returns the index, one row per record:
-    page_id, bundle uri and size, frame, offset and length in the frame's plain bytes.
+    page_id, bundle uri and size, frame, offset and length in the frame's plain bytes. Each bundle opens with a
+    warcinfo record, which the index leaves out.
 
     Null html counts as empty. A null page_id is always a response and is not referred to; a page whose id and
-    payload repeat is a response each time. Other columns are not read. An empty table writes nothing. Store the
-    index before use: each evaluation writes. A task that runs again writes bundles of other names.
+    payload repeat is a response each time, with names of their own. Other columns are not read. An empty table
+    writes nothing. Store the index before use: each evaluation writes. A task that runs again writes bundles of
+    other names.
     """
     source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    later = common.saved(revisits(pages), "revisits")
-    # ids are unique or nearly so: no hot key, and only revisits are looked up
-    marked = source.join(later, F.when(F.octet_length("html") >= MIN_REVISIT, source["page_id"]) == later["revisit_id"], "left").select("page_id", "url", "html", "refers_to")
+    later = common.saved(revisits(pages), "revisits").withColumn("asks", F.lit(0).cast("bigint"))
+    # pages that can't be revisits meet nothing: each has a key of its own, none is a hot one
+    asks = F.when((F.octet_length("html") >= MIN_REVISIT) & F.col("page_id").isNotNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
+    source = source.withColumn("asking", asks).withColumn("digest", _digest(F.coalesce("html", F.lit(""))))
+    meet = (F.coalesce("page_id", F.lit(0)) == later["revisit_id"]) & (source["digest"] == later["revisit_digest"]) & (source["asking"] == later["asks"])
+    marked = source.join(later, meet, "left").select("page_id", source["url"], "html", "refers_to", "digest", "refers_url")
     schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("bytes", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, ids, places = BundleWriter(), [], []
+        writer = None
 
         def flush():
-            data, uri = writer.finish(), f"{folder}/{uuid.uuid4().hex}.warc.zst"
+            data = writer.finish()
             fs, path = common.filesystem(uri)
             with fs.open_output_stream(path, compression=None) as out:
                 out.write(data)
@@ -174,13 +188,17 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
             return common.record(schema, page_id=ids, uri=[uri] * len(ids), bytes=[len(data)] * len(ids), frame=frame, offset=offset, length=length)
 
         for b in batches:
-            for page_id, url, payload, refers_to in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b.column(2)), b.column(3).to_pylist(), strict=True):
+            for page_id, url, payload, *rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b.column(2)), *[b.column(i).to_pylist() for i in (4, 3, 5)], strict=True):
+                if writer is None:
+                    uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+                    writer, ids, places = BundleWriter(), [], []
+                    writer.add(make_info(uri.rsplit("/", 1)[1]))
                 ids.append(page_id)
-                places.append(writer.add(make_record(page_id, url, payload, hashlib.sha256(payload).digest(), refers_to)))
+                places.append(writer.add(make_record(f"{uri} {len(ids)}", page_id, url, payload, *rest)))
                 if writer.out.tell() >= BUNDLE_BYTES:
                     yield flush()
-                    writer, ids, places = BundleWriter(), [], []
-        if ids:
+                    writer = None
+        if writer is not None:
             yield flush()
 
     fs, path = common.filesystem(folder)
@@ -189,35 +207,36 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """Each record of the indexed bundles: page_id, url, record_type, refers_to, payload_bytes, payload_digest (hex),
-    payload (null for a revisit). Digests of responses are taken from the payload that was read."""
+    """Each record of the index: page_id, url, record_type, refers_to, payload_bytes, payload_digest (hex), payload (null
+    for a revisit). Records are reached by their places in the index: a frame is read once for those of it that the
+    index lists, so an index of some rows reads some frames. Digests of responses are taken from the payload read."""
     n = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
-
-    def page(name: str | None):
-        key = name[len("<urn:page:") : -1] if name else "null"
-        return None if key == "null" else int(key)
+    page = lambda text: None if text in (None, "null") else int(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, opened, frame, plain, rows, held = None, None, None, b"", [], 0
         for b in batches:
-            for uri, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, held = [], 0
-                for headers, block in open_bundle(uri, size).records():
-                    response = headers["WARC-Type"] == "response"
-                    told = base64.b32decode(headers["WARC-Payload-Digest"][7:])
-                    digest = hashlib.sha256(block).digest() if response else told
-                    if digest != told:
-                        raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
-                    rows.append((page(headers["WARC-Record-ID"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], page(headers.get("WARC-Refers-To")), int(headers["X-Payload-Length"]), digest.hex(), block if response else None))
-                    held += len(block)
-                    if held > (8 << 20):
-                        yield common.record(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
-                        rows, held = [], 0
-                if rows:
+            for uri, size, k, offset in zip(*[b.column(i).to_pylist() for i in range(4)], strict=True):
+                if uri != opened:
+                    bundle, opened, frame = open_bundle(uri, size), uri, None
+                if k != frame:
+                    frame, plain = k, bundle.frame(k)
+                headers, block, _ = parse_record(plain, offset)
+                payload, told_bytes = http_payload(block)
+                told, response = base64.b32decode(headers["WARC-Payload-Digest"][7:]), headers["WARC-Type"] == "response"
+                if response and (hashlib.sha256(payload).digest() != told or len(payload) != told_bytes):
+                    raise ValueError(f"payload of {headers['WARC-Record-ID']} is damaged")
+                rows.append((page(headers["X-Page-Id"]), headers.get("WARC-Target-URI"), headers["WARC-Type"], page(headers.get("X-Refers-To-Page")), told_bytes, told.hex(), payload if response else None))
+                held += len(payload)
+                if held > (8 << 20) or len(rows) >= 10_000:
                     yield common.record(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
+                    rows, held = [], 0
+        if rows:
+            yield common.record(schema, **dict(zip(schema.names, zip(*rows, strict=True), strict=True)))
 
-    bundles = index.select("uri", "bytes").distinct().repartition(n, "uri")
-    return bundles.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
+    places = index.select("uri", "bytes", "frame", "offset").repartition(n, "uri").sortWithinPartitions("uri", "frame", "offset")
+    return places.mapInArrow(run, "page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, payload_digest string, payload binary")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
