@@ -5,7 +5,8 @@ bits (a mask for each choice). In a bucket's sorted run of fingerprints, bit pla
 bitset per bit. A run is compared with itself shifted by 1, 2, 3, ... places; carry-save counters over whole
 planes keep the distances of 64 pairs per machine word, and blocks of words whose pairs all exceed the radius
 are abandoned. Buckets with too many fingerprints are split by further masks on their free bits, which loses no
-pair. Each task returns links to the least member of what it found connected, not all pairs.
+pair, until none is large: a bucket of few free bits can't be. Each task returns links to the least member of what it
+found connected, not all pairs.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from . import common, spans
 from .components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-#: Fingerprints in a bucket beyond which it is split, and how often.
-HOT_BUCKET, MOST_SPLITS = 4096, 3
+#: Distinct fingerprints in a bucket beyond which it is split.
+HOT_BUCKET = 4096
 #: Machine words (64 pairs each) of a block that is abandoned as a whole.
 WORDS = 16
 
@@ -132,23 +133,25 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tupl
             return
         valid = _packed(same).reshape(-1, WORDS)
         live = np.flatnonzero(valid.any(axis=1))
-        low = np.zeros((len(live), WORDS), np.uint64)  # two-bit counters, and those that ran over
-        high, over = low.copy(), ~valid[live]
+        over = ~valid[live]
+        # counters of just enough bits, begun so high that radius + 1 runs over
+        width = max(1, radius.bit_length())
+        begin = (1 << width) - 1 - radius
+        planes_of = [np.full((len(live), WORDS), np.uint64(0xFFFFFFFFFFFFFFFF if begin >> k & 1 else 0)) for k in range(width)]
         moved = _shifted(planes, shift)
         blocks, others = planes.reshape(64, -1, WORDS), moved.reshape(64, -1, WORDS)
         for b in range(64):
-            differ = blocks[b, live] ^ others[b, live]
-            carry = low & differ
-            low ^= differ
-            if radius == 3:
-                over |= high & carry
-                high ^= carry
-            else:
-                over, high, low = _count_up(over, high, low, differ, carry, radius)
+            carry = blocks[b, live] ^ others[b, live]
+            for k in range(width):
+                grown = planes_of[k] & carry
+                planes_of[k] ^= carry
+                carry = grown
+            over |= carry
             if b % 8 == 7:
                 open_blocks = ~(over == np.uint64(0xFFFFFFFFFFFFFFFF)).all(axis=1)
                 if not open_blocks.all():
-                    live, low, high, over = live[open_blocks], low[open_blocks], high[open_blocks], over[open_blocks]
+                    live, over = live[open_blocks], over[open_blocks]
+                    planes_of = [c[open_blocks] for c in planes_of]
                     if not len(live):
                         break
         if len(live):
@@ -159,14 +162,6 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tupl
         shift += 1
 
 
-def _count_up(over, high, low, differ, carry, radius):
-    """Counters for a radius below 3: a count of radius + 1 runs over."""
-    grown = high & carry
-    high = high ^ carry
-    count = {0: low | high, 1: high, 2: high & low}[radius]
-    return over | grown | count, high, low
-
-
 class _Forest:
     """Union-find over 0..n-1 with the least index as root, for arrays of pairs."""
 
@@ -231,7 +226,9 @@ def bucket_links(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between nodes (fp distinct, node) so that all pairs within the radius are connected."""
+    """Links (a, b) between nodes (fp distinct, node) so that all pairs within the radius (0 to 31) are connected."""
+    if not 0 <= radius < 32:
+        raise ValueError("a radius lies between 0 and 31 bits")
     spark = nodes.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     masks = first_masks(nodes.count(), radius)
@@ -241,22 +238,19 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
     rows = masked(nodes.select("fp", "node"), F.array(*[F.lit(_signed(m)) for m in masks]))
     links = None
-    for level in range(MOST_SPLITS + 1):
-        hot = None
-        if level < MOST_SPLITS:
-            hot = common.saved(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_BUCKET).select("mask", "value"), "hot-buckets")
-            hot = None if hot.isEmpty() else hot
-        cold = rows.join(hot, ["mask", "value"], "left_anti") if hot is not None else rows
-        found = bucket_links(cold, radius, partitions)
+    while True:
+        hot = common.saved(rows.groupBy("mask", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(HOT_BUCKET, 1 << radius)).select("mask", "value"), "hot-buckets")
+        found = bucket_links(rows.join(hot, ["mask", "value"], "left_anti"), radius, partitions)
         links = found if links is None else links.unionByName(found)
-        if hot is None:
-            break
-        finer = {_signed(m): [_signed(m | s) for s in split_masks([b for b in range(64) if not m >> b & 1], radius + 1, radius)] for m in masks}
-        table = F.create_map(*[x for m, s in finer.items() for x in (F.lit(m), F.array(*map(F.lit, s)))])
-        rows = rows.join(hot, ["mask", "value"], "left_semi").select("fp", "node", table[F.col("mask")].alias("finer"))
-        rows = masked(rows, F.col("finer")).drop("finer")
-        masks = sorted({m & ((1 << 64) - 1) for s in finer.values() for m in s})
-    return links
+        finer = {}
+        for (m,) in hot.select("mask").distinct().toLocalIterator():  # as many as masks
+            finer[m] = [_signed(m & ((1 << 64) - 1) | s) for s in split_masks([b for b in range(64) if not m >> b & 1], radius + 1, radius)]
+        if not finer:
+            return links
+        table = F.broadcast(spark.createDataFrame(list(finer.items()), "mask long, finer array<long>"))
+        split = rows.join(hot, ["mask", "value"], "left_semi").join(table, "mask").select("fp", "node", "finer")
+        # rows of several hot buckets may meet again in one finer bucket
+        rows = common.saved(masked(split, F.col("finer")).drop("finer").distinct(), "split-buckets")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
@@ -264,15 +258,16 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
 
     Words are split at [\\x20\\x09-\\x0D] after A-Z are lower-cased; shingles of `shingle` words count with their
     repeats, a shorter text is one shingle, a text without words has fingerprint zero. component_id is the
-    smallest doc_id that links of at most `radius` bits reach; null doc_ids never stand for a component, and
-    rows of which all copies have a null doc_id have a null component. Rows repeat as they come; other columns
-    are not read; an empty table gives no rows.
+    smallest doc_id that links of at most `radius` bits (0 to 31) reach. Rows with a null doc_id link like others but
+    never stand for a component; a component of null doc_ids only has a null component_id. Rows repeat as they
+    come; other columns are not read; an empty table gives no rows.
     """
     rows = common.saved(fingerprints(docs, shingle), "fingerprints")
-    nodes = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("node")).where("node is not null"), "distinct-fingerprints")
-    labels = components(near_links(nodes, radius))
-    roots = nodes.join(labels, "node", "left").select(F.col("fp").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    roots = common.saved(roots, "roots")
+    nodes = common.saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    labels = components(near_links(nodes.select("fp", F.col("fp").alias("node")), radius))
+    labelled = common.saved(nodes.join(labels, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "labelled")
+    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    roots = common.saved(labelled.join(least, "component").select(F.col("fp").alias("of"), "component_id"), "roots")
     joined = rows.join(roots, rows["fp"] == roots["of"], "left")
     return joined.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

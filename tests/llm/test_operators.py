@@ -317,25 +317,30 @@ def test_filters_merge_without_loss(a, b):
 
 def test_warc_bundles(spark):
     big = "<p>" + "x" * 200
-    rows = [(5, "http://a", big), (2, "http://b\r\n: c", big), (9, None, big), (1, "u", "small"), (3, "u", "small"), (4, "u", None), (None, "u", big), (7, "u", "é" * 70000), (2, "again", big)]
+    rows = [(5, "http://a", big), (2, "http://b\r\n: c", big), (9, None, big), (1, "u", "small"), (3, "u", "small"), (4, "u", None), (None, "u", big), (7, "u", "é" * 70000), (2, "again", big), (9, "other", big + "!")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("refers_to", F.lit("mine"))
     index = common.saved(warc.write_bundles(pages, common.fresh(spark, "w")), "i")
     got = sorted((r.page_id or -1, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_bundles(index).collect())
     n = len(big)
-    assert got == [(-1, n, "response", None), (1, 5, "response", None), (2, n, "response", None), (2, n, "response", None), (3, 5, "response", None), (4, 0, "response", None), (5, n, "revisit", 2), (7, 140000, "response", None), (9, n, "revisit", 2)]
+    assert got == [(-1, n, "response", None), (1, 5, "response", None), (2, n, "response", None), (2, n, "response", None), (3, 5, "response", None), (4, 0, "response", None), (5, n, "revisit", 2), (7, 140000, "response", None), (9, n, "revisit", 2), (9, n + 1, "response", None)]
     for r in index.collect():
         headers, block = warc.open_bundle(r.uri, r.bytes).record(r.frame, r.offset)
-        assert headers["WARC-Record-ID"] == warc.record_id(r.page_id) and len(block) == int(headers["Content-Length"])
+        assert headers["X-Page-Id"] == ("null" if r.page_id is None else str(r.page_id)) and len(block) == int(headers["Content-Length"]) and block.startswith(b"HTTP/1.1 200 OK")
+    bundles = {r.uri: r.bytes for r in index.collect()}
+    named = [(h["WARC-Type"], h["WARC-Record-ID"]) for uri, size in bundles.items() for h, _ in warc.open_bundle(uri, size).records()]
+    assert len({x for _, x in named}) == len(named) == len(rows) + len(bundles) and sum(t == "warcinfo" for t, _ in named) == len(bundles)
+    some = warc.read_bundles(index.where("page_id = 9")).collect()
+    assert sorted((r.page_id, r.refers_to or 0) for r in some) == [(9, 0), (9, 2)]
     assert warc.write_bundles(pages.limit(0), common.fresh(spark, "w")).count() == 0
 
 
 def test_bundle_frames_are_independent():
     w = warc.BundleWriter()
-    places = [w.add(warc.make_record(i, f"u{i}", bytes([65 + i % 26]) * 50_000, b"d" * 32, None)) for i in range(30)]
+    places = [w.add(warc.make_record(f"n{i}", i, f"u{i}", bytes([65 + i % 26]) * 50_000, b"d" * 32, None)) for i in range(30)]
     raw = w.finish()
     b = warc.Bundle(lambda at, n: raw[at : at + n], len(raw))
     assert len(b.sizes) > 3 and len(list(b.records())) == 30
-    assert all(b.record(f, o)[1] == bytes([65 + i % 26]) * 50_000 for i, (f, o, _) in enumerate(places))
+    assert all(warc.http_payload(b.record(f, o)[1])[0] == bytes([65 + i % 26]) * 50_000 for i, (f, o, _) in enumerate(places))
 
 
 # --- 7
@@ -440,7 +445,7 @@ def test_simhash_of_documents(spark, data):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1) | st.integers(0, 31)), max_size=150), st.sampled_from([0, 1, 2, 3]))
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**64 - 1) | st.integers(0, 31)), max_size=150), st.sampled_from([0, 1, 2, 3, 4, 9, 20]))
 def test_close_pairs(rows, radius):
     rows.sort()
     group, fp = np.array([g for g, _ in rows], np.int64), np.array([f for _, f in rows], np.uint64)
@@ -484,6 +489,15 @@ def test_simhash_of_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicate(odd).columns == odd.columns
 
 
+def test_null_ids_carry_links(spark, monkeypatch):
+    rows = [(4, 0), (None, 0b111), (2, 0b111111), (9, -1), (None, 1 << 40 | 0xFFFFFF)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, shingle: spark.createDataFrame(rows, "doc_id long, fp long"))
+    got = {(r.doc_id, int(r.fingerprint, 16)): r.component_id for r in simhash.near_duplicates(spark.range(1)).collect()}
+    assert got == {(4, 0): 2, (None, 7): 2, (2, 63): 2, (9, (1 << 64) - 1): 9, (None, 1 << 40 | 0xFFFFFF): None}
+    with pytest.raises(ValueError, match="radius"):
+        simhash.near_links(spark.range(1).select(F.col("id").alias("fp"), F.col("id").alias("node")), 40)
+
+
 def test_components_of_long_chains(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, 101), (105, 101), (200, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
