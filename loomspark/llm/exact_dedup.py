@@ -3,7 +3,7 @@
 One pass over the texts gives each row's digests (a 64-bit fingerprint, SHA-256, code points). Each partition
 builds counting quotient filters of its fingerprints, one per range of quotients: the quotient is implied by
 the place, the remainder is stored, runs of equal remainders by a counter. Filters of one range merge without
-loss, since both hold their remainders sorted. Fingerprints whose merged count is above one go to byte
+loss, since all hold their remainders sorted. Fingerprints whose merged count is above one go to byte
 verification: their normalised texts themselves are compared, group by group; all other rows are unique.
 
 Shuffled are filters, digests of rows, and one normalised text per task and group; a group of copies is
@@ -24,56 +24,65 @@ from . import common
 
 #: Characters that don't count: [\x20\x09-\x0D].
 BLANKS = b" \t\n\v\f\r"
-#: Fingerprints per filter that are aimed at, and bits of a stored remainder.
-FILTER_ROWS = 200_000
+#: Fingerprints per filter that are aimed at; bits of the Bloom filter at most (32 MB) and for each fingerprint.
+FILTER_ROWS, BLOOM_BITS, BITS_A_KEY = 200_000, 1 << 28, 12
 
 
 class QuotientFilter:
     """A counting quotient filter of 64-bit fingerprints that share their top `prefix_bits`.
 
-    Slots are kept in order of (quotient, remainder), without gaps: `runs` counts the slots of each quotient,
-    as the occupied and run-end bits of the classic layout do; `remainders` are sorted within a run; `counts`
-    are the counters.
+    The next `quotient_bits` of a fingerprint are its quotient and say in which run it stands, the rest is the
+    remainder that is stored. `occupied` has a bit for each quotient that has a run, `run_ends` a bit for the last slot
+    of each run; runs stand in order of their quotients, without gaps, and hold their remainders sorted, each with a
+    counter. A filter of more fingerprints has more quotient bits: bits move from remainders to quotients, nothing
+    is lost.
     """
 
-    def __init__(self, prefix_bits: int, quotient_bits: int, runs: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
-        self.prefix_bits, self.quotient_bits, self.runs, self.remainders, self.counts = prefix_bits, quotient_bits, runs, remainders, counts
+    def __init__(self, prefix_bits: int, quotient_bits: int, occupied: np.ndarray, run_ends: np.ndarray, remainders: np.ndarray, counts: np.ndarray):
+        self.prefix_bits, self.quotient_bits, self.occupied, self.run_ends, self.remainders, self.counts = prefix_bits, quotient_bits, occupied, run_ends, remainders, counts
 
     @classmethod
-    def of(cls, prefix_bits: int, quotient_bits: int, fingerprints: np.ndarray, counts: np.ndarray) -> QuotientFilter:
+    def of(cls, prefix_bits: int, fingerprints: np.ndarray, counts: np.ndarray) -> QuotientFilter:
         """From fingerprints in ascending order, each once, with counts."""
+        quotient_bits = min(max(3, len(fingerprints).bit_length()), 64 - prefix_bits - 1)
         low = np.uint64(64 - prefix_bits - quotient_bits)
-        quotient = (fingerprints >> low) & np.uint64((1 << quotient_bits) - 1)
-        runs = np.bincount(quotient.astype(np.int64), minlength=1 << quotient_bits)
-        return cls(prefix_bits, quotient_bits, runs.astype(np.uint32), fingerprints & np.uint64((1 << int(low)) - 1), counts.astype(np.uint64))
+        quotient = ((fingerprints >> low) & np.uint64((1 << quotient_bits) - 1)).astype(np.int64)
+        occupied = np.zeros(1 << quotient_bits, bool)
+        occupied[quotient] = True
+        run_ends = np.append(quotient[1:] != quotient[:-1], True)[: len(quotient)]
+        remainders = fingerprints & np.uint64((1 << int(low)) - 1)
+        return cls(prefix_bits, quotient_bits, np.packbits(occupied, bitorder="little"), np.packbits(run_ends, bitorder="little"), remainders, counts.astype(np.uint64))
 
     def fingerprints(self, prefix: int) -> np.ndarray:
-        low = 64 - self.prefix_bits - self.quotient_bits
-        quotient = np.repeat(np.arange(len(self.runs), dtype=np.uint64), self.runs)
+        """All fingerprints in ascending order: the k-th run belongs to the k-th occupied quotient."""
+        n = len(self.remainders)
+        quotients = np.flatnonzero(np.unpackbits(self.occupied, bitorder="little"))
+        ends = np.unpackbits(self.run_ends, bitorder="little", count=n)
+        run = np.cumsum(ends) - ends  # runs that ended before each slot
+        low = np.uint64(64 - self.prefix_bits - self.quotient_bits)
         top = np.uint64((prefix << (64 - self.prefix_bits)) & ((1 << 64) - 1)) if self.prefix_bits else np.uint64(0)
-        return top | (quotient << np.uint64(low)) | self.remainders
-
-    def merged(self, other: QuotientFilter) -> QuotientFilter:
-        """Both filters' fingerprints with their counts added: a merge of two sorted sequences of one layout."""
-        a, b = self.fingerprints(0), other.fingerprints(0)
-        both = np.concatenate([a, b])
-        order = np.argsort(both, kind="stable")  # a merge: both are sorted
-        both, counts = both[order], np.concatenate([self.counts, other.counts])[order]
-        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
-        return QuotientFilter.of(self.prefix_bits, self.quotient_bits, both[first], np.add.reduceat(counts, first) if len(first) else counts)
+        return top | (quotients[run].astype(np.uint64) << low) | self.remainders
+
+    @staticmethod
+    def merged(filters: list[QuotientFilter]) -> QuotientFilter:
+        """All filters' fingerprints with their counts added: one merge of their sorted sequences."""
+        every = np.concatenate([np.zeros(0, np.uint64), *[f.fingerprints(0) for f in filters]])
+        counts = np.concatenate([np.zeros(0, np.uint64), *[f.counts for f in filters]])
+        order = np.argsort(every, kind="stable")
+        every, counts = every[order], counts[order]
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.zeros(0, np.int64)
+        return QuotientFilter.of(filters[0].prefix_bits, every[first], np.add.reduceat(counts, first) if len(first) else counts)
 
     def dumps(self) -> bytes:
-        used = np.flatnonzero(self.runs)
-        head = np.array([self.prefix_bits, self.quotient_bits, len(used), len(self.remainders)], "<u8").tobytes()
-        return head + used.astype("<u4").tobytes() + self.runs[used].astype("<u4").tobytes() + self.remainders.astype("<u8").tobytes() + self.counts.astype("<u8").tobytes()
+        head = np.array([self.prefix_bits, self.quotient_bits, len(self.remainders)], "<u8").tobytes()
+        return head + self.remainders.astype("<u8").tobytes() + self.counts.astype("<u8").tobytes() + self.occupied.tobytes() + self.run_ends.tobytes()
 
     @classmethod
     def loads(cls, data: bytes) -> QuotientFilter:
-        prefix_bits, quotient_bits, used, n = np.frombuffer(data, "<u8", 4).tolist()
-        runs = np.zeros(1 << quotient_bits, np.uint32)
-        runs[np.frombuffer(data, "<u4", used, 32)] = np.frombuffer(data, "<u4", used, 32 + 4 * used)
-        at = 32 + 8 * used
-        return cls(prefix_bits, quotient_bits, runs, np.frombuffer(data, "<u8", n, at), np.frombuffer(data, "<u8", n, at + 8 * n))
+        prefix_bits, quotient_bits, n = np.frombuffer(data, "<u8", 3).tolist()
+        at, width = 24 + 16 * n, (1 << quotient_bits) // 8
+        occupied, run_ends = np.frombuffer(data, np.uint8, width, at), np.frombuffer(data, np.uint8, -1, at + width)
+        return cls(prefix_bits, quotient_bits, occupied, run_ends, np.frombuffer(data, "<u8", n, 24), np.frombuffer(data, "<u8", n, 24 + 8 * n))
 
 
 def row_digests(docs: DataFrame) -> DataFrame:
@@ -93,7 +102,6 @@ def row_digests(docs: DataFrame) -> DataFrame:
 def repeated_fingerprints(fps: DataFrame, n_rows: int) -> DataFrame:
     """Fingerprints (column fp) that occur more than once, by merged quotient filters; n_rows sizes the filters."""
     prefix_bits = max(0, int(n_rows // FILTER_ROWS).bit_length())
-    quotient_bits = 16
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("prefix", pa.int64()), ("filter", pa.binary())])
@@ -104,7 +112,7 @@ def repeated_fingerprints(fps: DataFrame, n_rows: int) -> DataFrame:
             prefix = (fp >> np.uint64(64 - prefix_bits)).astype(np.int64) if prefix_bits else np.zeros(len(fp), np.int64)
             cuts = np.flatnonzero(np.append(True, prefix[1:] != prefix[:-1]))
             for s, e in zip(cuts, np.append(cuts[1:], len(fp)), strict=True):
-                yield common.record(schema, prefix=[int(prefix[s])], filter=[QuotientFilter.of(prefix_bits, quotient_bits, fp[s:e], count[s:e]).dumps()])
+                yield common.record(schema, prefix=[int(prefix[s])], filter=[QuotientFilter.of(prefix_bits, fp[s:e], count[s:e]).dumps()])
 
         for b in batches:
             held.append(b.column(0).to_numpy())
@@ -115,19 +123,11 @@ def repeated_fingerprints(fps: DataFrame, n_rows: int) -> DataFrame:
         if size:
             yield from filters()
 
-    def merge(key, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = None
-        for b in batches:
-            for data in b.column(b.schema.get_field_index("filter")).to_pylist():
-                part = QuotientFilter.loads(data)
-                whole = part if whole is None else whole.merged(part)
-        found = whole.fingerprints(key[0].as_py())[whole.counts > 1].view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found)], names=["fp"])
-
-    def merge_table(key, table):
-        return pa.Table.from_batches(list(merge(key, table.to_batches())))
+    def merge(key, table):  # a range holds FILTER_ROWS fingerprints or so, and each task's count of it
+        whole = QuotientFilter.merged([QuotientFilter.loads(data) for data in table.column("filter").to_pylist()])
+        return pa.table({"fp": pa.array(whole.fingerprints(key[0].as_py())[whole.counts > 1].view(np.int64))})
 
-    return fps.select("fp").mapInArrow(build, "prefix bigint, filter binary").groupBy("prefix").applyInArrow(merge_table, "fp bigint")
+    return fps.select("fp").mapInArrow(build, "prefix bigint, filter binary").groupBy("prefix").applyInArrow(merge, "fp bigint")
 
 
 def verified_groups(docs: DataFrame, repeated: DataFrame) -> DataFrame:
@@ -136,23 +136,23 @@ def verified_groups(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     Texts travel as bytes: equal ones are summed up in each task first. Two texts of one SHA-256 stop the job.
     """
     suspects = _suspects(docs, repeated)
-    groups = suspects.groupBy("sha", "body").agg(
-        F.sum("n").alias("group_size"),
-        F.max(F.struct(F.col("n_chars"), (-F.col("doc_id")).alias("minus_id"))).alias("best"),
-    )
-    groups = groups.groupBy("sha").agg(F.count(F.lit(1)).alias("bodies"), F.sum("group_size").alias("group_size"), F.max("best").alias("best"))
+    order = F.struct((-F.col("n_chars")).alias("fewer"), F.col("doc_id").isNull().alias("last"), F.col("doc_id"))
+    groups = suspects.groupBy("sha", "body").agg(F.sum("n").alias("group_size"), F.min(order).alias("best"))
+    groups = groups.groupBy("sha").agg(F.count(F.lit(1)).alias("bodies"), F.sum("group_size").alias("group_size"), F.min("best").alias("best"))
     checked = F.when(F.col("bodies") > 1, F.raise_error(F.lit("two texts have one SHA-256")).cast("bigint")).otherwise(F.col("group_size"))
-    return groups.select("sha", checked.alias("group_size"), (-F.col("best.minus_id")).alias("keep_id")).where("group_size > 1")
+    return groups.select("sha", checked.alias("group_size"), F.col("best.doc_id").alias("keep_id")).where("group_size > 1")
 
 
 def _suspects(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """sha, body, n, n_chars, doc_id: best row and count of each text in each task, for rows whose fingerprint repeats.
 
-    A Bloom filter of bounded size lets the map drop most unique texts before the exact semi-join.
+    A Bloom filter of bounded size lets the map drop most unique texts before the exact semi-join. Beyond some
+    twenty million repeated fingerprints it passes more and more unique texts, which are then shuffled too; the
+    result stays the same.
     """
     spark = docs.sparkSession
     seen = repeated.count()
-    bits = 1 << min(26, max(10, int(seen * 12).bit_length()))
+    bits = 1 << min(BLOOM_BITS.bit_length() - 1, max(10, int(seen * BITS_A_KEY).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(bits // 64, np.uint64)
@@ -163,9 +163,10 @@ def _suspects(docs: DataFrame, repeated: DataFrame) -> DataFrame:
         for i in range(0, len(some), 65536):
             yield pa.RecordBatch.from_arrays([pa.array(some[i : i + 65536]), pa.array(words[some[i : i + 65536]].view(np.int64))], names=["at", "word"])
 
-    words = np.zeros(bits // 64, np.uint64)  # at most 8 MB, whatever the input
-    for row in repeated.coalesce(8).mapInArrow(mark, "at bigint, word bigint").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
-        words[row["at"]] = np.uint64(row["word"] & ((1 << 64) - 1))
+    words = np.zeros(bits // 64, np.uint64)
+    parts = repeated.coalesce(8).mapInArrow(mark, "at bigint, word bigint").groupBy((F.col("at") / 4096).cast("bigint").alias("page"))
+    for row in parts.agg(F.collect_list("at").alias("at"), F.collect_list("word").alias("word")).toLocalIterator():  # pages of at most 8 * 4096 words
+        np.bitwise_or.at(words, np.array(row["at"]), np.array(row["word"], np.int64).view(np.uint64))
     bloom = spark.sparkContext.broadcast(words)
     schema = pa.schema([("fp", pa.int64()), ("sha", pa.binary()), ("body", pa.binary()), ("n", pa.int64()), ("n_chars", pa.int64()), ("doc_id", pa.int64())])
 
