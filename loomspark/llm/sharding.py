@@ -1,14 +1,15 @@
 """Sharding by fixed virtual slots.
 
 Records hash into a fixed number of slots. Bytes and rows are summed up per slot (map-side first), and a
-versioned table maps slots to shards. The first version places the heaviest slots first, each on the lightest
-shard; later versions edit the one before: a rebalancing moves single slots from heavy to light shards, a new
-shard takes slots only into itself. The slot table has a fixed size, whatever the data.
+versioned table maps slots to shards. Version 0 deals the slots out in turn, whatever they hold; later versions edit
+the one before: a rebalancing moves single slots from heavy to light shards, a new shard takes slots only into
+itself. A slot that outgrows the mean (records of one key can't be told apart by a hash) is dealt out over further
+slots by row. The slot table has a bounded size, whatever the data.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from . import common
 SLOTS, SHARDS = 16_384, 40
 #: Bytes that a record takes besides its text.
 RECORD_BYTES = 16
+#: A slot of so many times the mean's rows, and of so many rows at least, is dealt out over more slots.
+GROWN, LEAST_GROWN = 8, 1000
 
 Sizes = dict[int, int]
 
@@ -37,18 +40,29 @@ def slot_sizes(rows: DataFrame) -> tuple[Sizes, Sizes]:
     return {r.vslot: r.bytes for r in found}, {r.vslot: r.n for r in found}
 
 
-def first_map(sizes: Sizes, shards: int = SHARDS, slots: int = SLOTS) -> dict[int, int]:
-    """slot -> shard: heaviest slots first, each to the lightest shard; empty slots are dealt out last."""
-    heap = [(0, 0, s) for s in range(shards)]
-    placed = {}
-    for slot in sorted(range(slots), key=lambda k: (-sizes.get(k, 0), k)):
-        load, n, shard = heapq.heappop(heap)
-        placed[slot] = shard
-        heapq.heappush(heap, (load + sizes.get(slot, 0), n + 1, shard))
-    return placed
+def split_slots(rows: DataFrame, counts: Sizes, slots: int = SLOTS) -> DataFrame:
+    """rows of a stored table with the rows of slots that outgrow the mean (GROWN times, and LEAST_GROWN rows) dealt out
+    over slots numbered from `slots` on, together at most slots / GROWN * 2 of them."""
+    mean = max(sum(counts.values()) / slots, LEAST_GROWN / GROWN)
+    grown, at = [], slots
+    for slot in sorted(counts):
+        if counts[slot] > GROWN * mean:
+            pieces = math.ceil(counts[slot] / (GROWN * mean)) * 2
+            grown.append((slot, at, pieces))
+            at += pieces
+    if not grown:
+        return rows
+    table = F.broadcast(rows.sparkSession.createDataFrame(grown, "vslot int, first int, pieces int"))
+    nth = F.pmod(F.monotonically_increasing_id(), F.col("pieces")).cast("int")
+    return rows.join(table, "vslot", "left").withColumn("vslot", F.coalesce(F.col("first") + nth, "vslot")).drop("first", "pieces")
 
 
-def rebalanced(placed: dict[int, int], sizes: Sizes, shards: int, tolerance: float = 0.01) -> dict[int, int]:
+def first_map(slots, shards: int = SHARDS) -> dict[int, int]:
+    """slot -> shard, dealt out in turn."""
+    return {slot: i % shards for i, slot in enumerate(sorted(slots))}
+
+
+def rebalanced(placed: dict[int, int], sizes: Sizes, shards: int, tolerance: float = 0.001) -> dict[int, int]:
     """An edited map: single slots move from the heaviest shard to the lightest until all are within the tolerance.
 
     With more shards than the map has, slots move into the new shards only.
@@ -58,22 +72,21 @@ def rebalanced(placed: dict[int, int], sizes: Sizes, shards: int, tolerance: flo
         load[shard] += sizes.get(slot, 0)
         held[shard][slot] = sizes.get(slot, 0)
     mean = sum(load.values()) / shards
-    new = sorted(set(range(shards)).difference(placed.values()))
-    for _ in placed:
+    new = set(range(shards)).difference(placed.values())
+    while True:
         heavy, light = max(load, key=load.get), min(new or load, key=load.get)
         gap = load[heavy] - load[light]
         if load[light] >= mean * (1 - tolerance) and (new or load[heavy] <= mean * (1 + tolerance)):
-            break
+            return out
         fits = [(abs(gap / 2 - size), slot) for slot, size in held[heavy].items() if 0 < size < gap]
         if not fits:
-            break
-        slot = min(fits)[1]
+            return out
+        slot = min(fits)[1]  # each move lessens the sum of squared loads, so moves come to an end
         size = held[heavy].pop(slot)
         held[light][slot] = size
         out[slot] = light
         load[heavy] -= size
         load[light] += size
-    return out
 
 
 def save_map(spark: SparkSession, folder: str, version: int, placed: dict[int, int]) -> DataFrame:
@@ -108,14 +121,20 @@ def place(rows: DataFrame, placed: DataFrame, counts: Sizes) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, size, text_crc32, vslot, shard, slot.
 
-    Shards get nearly equal bytes. The slot map is stored as version 0 under `folder`. Repeated rows, null ids
-    and null texts are records like others; other columns are not read; an empty table gives no rows.
+    Shards get nearly equal bytes. Under `folder` the slot map is stored twice: version 0, dealt out without regard to
+    sizes, and version 1, edited so that shards are even, which is used. Repeated rows, null ids and null texts are
+    records like others; other columns are not read; an empty table gives no rows.
     """
-    spark = docs.sparkSession
+    spark, folder = docs.sparkSession, folder or common.fresh(docs.sparkSession, "slot-map")
     rows = common.saved(with_slot(docs, slots), "slotted")
     sizes, counts = slot_sizes(rows)
-    placed = save_map(spark, folder or common.fresh(spark, "slot-map"), 0, first_map(sizes, shards, slots))
-    return place(rows, placed, counts)
+    split = split_slots(rows, counts, slots)
+    if split is not rows:
+        rows = common.saved(split, "split-slots")
+        sizes, counts = slot_sizes(rows)
+    first = first_map(sorted({*range(slots), *counts}), shards)
+    save_map(spark, folder, 0, first)
+    return place(rows, save_map(spark, folder, 1, rebalanced(first, sizes, shards)), counts)
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -299,14 +299,20 @@ def test_exact_dedup_of_odd_rows(odd, empty):
     assert exact_dedup.deduplicate(odd).columns == odd.columns
 
 
+def test_exact_dedup_of_the_least_id(spark):
+    rows = [(-(2**63), "a b"), (4, "ab"), (None, "ab")]
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.keep_id, r.group_size) for r in got} == {(-(2**63), 3)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=60), st.lists(st.integers(0, 40), max_size=60))
 def test_filters_merge_without_loss(a, b):
     def of(values):
         fp, n = np.unique(np.array(values, np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(4), return_counts=True)
-        return exact_dedup.QuotientFilter.of(4, 6, fp, n)
+        return exact_dedup.QuotientFilter.of(4, fp, n)
 
-    whole, both = of(a).merged(of(b)), of(a + b)
+    whole, both = exact_dedup.QuotientFilter.merged([of(a), of(b), of([])]), of(a + b)
     again = exact_dedup.QuotientFilter.loads(whole.dumps())
     for x in (whole, again):
         assert x.fingerprints(0).tolist() == both.fingerprints(0).tolist() and x.counts.tolist() == both.counts.tolist()
@@ -347,23 +353,55 @@ def test_bundle_frames_are_independent():
 
 
 def test_sharding(spark, data, odd, empty):
-    got = sharding.op7_shards(spark, data).collect()
+    rows = common.saved(sharding.with_slot(_docs(spark, data)), "s")
     docs = {r.doc_id: r.text for r in _docs(spark, data).collect()}
-    load, slots = defaultdict(int), defaultdict(list)
-    for r in got:
-        text = docs[r.doc_id].encode()
-        assert (r["size"], r.text_crc32) == (len(text) + 16, zlib.crc32(text))
+    vslot = {r.doc_id: r.vslot for r in rows.collect()}
+    # placement by hand: slots in turn, then moves from the heaviest to the lightest shard
+    sizes = defaultdict(int)
+    for k, t in docs.items():
+        sizes[vslot[k]] += len(t.encode()) + 16
+    placed = {s: s % 40 for s in range(sharding.SLOTS)}
+    load = [sum(sizes[s] for s in range(k, sharding.SLOTS, 40)) for k in range(40)]
+    mean = sum(load) / 40
+    while not (min(load) >= 0.999 * mean and max(load) <= 1.001 * mean):
+        heavy, light = load.index(max(load)), load.index(min(load))
+        gap = load[heavy] - load[light]
+        fits = [(abs(gap / 2 - sizes[s]), s) for s in sizes if placed[s] == heavy and 0 < sizes[s] < gap]
+        if not fits:
+            break
+        s = min(fits)[1]
+        placed[s], load[heavy], load[light] = light, load[heavy] - sizes[s], load[light] + sizes[s]
+    want, nth = {}, defaultdict(int)
+    for s in sorted(sizes):
+        for k in sorted(k for k in docs if vslot[k] == s):
+            want[k] = (placed[s], nth[placed[s]])
+            nth[placed[s]] += 1
+    got = sharding.op7_shards(spark, data).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in got} == want and len(got) == len(docs)
+    assert all((r["size"], r.text_crc32) == (len(docs[r.doc_id].encode()) + 16, zlib.crc32(docs[r.doc_id].encode())) for r in got)
+    assert len(sharding.shard_documents(odd, 3, 64).collect()) == len(ODD) and sharding.shard_documents(empty, 3, 64).count() == 0
+
+
+def test_sharding_is_even_at_size(spark):
+    load = defaultdict(int)
+    for r in sharding.op7_shards(spark, "/root/testdata/sf0.1").collect():
         load[r.shard] += r["size"]
-        slots[r.shard].append(r.slot)
-    assert len(got) == len(docs) and all(sorted(s) == list(range(len(s))) for s in slots.values())
-    assert max(load.values()) - min(load.values()) <= max(r["size"] for r in got)
-    rows = sharding.shard_documents(odd, 3, 64).collect()
-    assert len(rows) == len(ODD) and sharding.shard_documents(empty, 3, 64).count() == 0
+    assert len(load) == 40 and max(load.values()) < 1.01 * min(load.values())
+
+
+def test_one_key_is_dealt_out(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") > 2000, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.lit("same text").alias("text"))
+    rows = sharding.shard_documents(docs, 4, 64).collect()
+    load = defaultdict(list)
+    for r in rows:
+        load[r.shard].append(r.slot)
+    assert len(rows) == 6000 and all(sorted(s) == list(range(len(s))) for s in load.values())
+    assert max(map(len, load.values())) < 1.1 * min(map(len, load.values()))
 
 
 def test_slot_maps_are_edited(spark):
     sizes = {s: 100 + s % 7 for s in range(200)}
-    first = sharding.first_map(sizes, 4, 200)
+    first = sharding.first_map(sizes, 4)
     grown = sharding.rebalanced(first, sizes, 5)
     moved = {s for s in first if first[s] != grown[s]}
     assert moved and {grown[s] for s in moved} == {4}
