@@ -1,14 +1,18 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives (labelled rows of quality 1) and unlabelled web text are enough: with the class prior p, the
-risk of a score g is p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]), unbiased and kept non-negative; l is the
-logistic loss, so that 1 / (1 + exp(-g)) estimates the probability of class 1. The prior is estimated from the
-share of positives among the labelled rows that may be learnt from.
+Trusted positives (labelled rows of quality 1) and unlabelled web text are enough. With the class prior p and a linear
+score g, the risk is p E+[l(g)] + max(0, Eu[l(-g)] - p E+[l(-g)]): unbiased for p E+[l(g)] + (1 - p) E-[l(-g)] and kept
+non-negative. l is the squared loss (1 - g)^2, for which the best g is 2 P(good) - 1, so (1 + g) / 2 is the score. This
+risk needs no rows, only the second moments of the features over the positives and over the unlabelled rows: they are
+summed up in one pass over all documents, and the minimum is found from them. Where the second term would be
+negative, its weight is lowered from 1 until it is zero, which is the minimum of the risk with max(0, .).
+
+The prior is estimated without negatives: rows that lie above a threshold of any score make up a share q+ of the
+positives and qu of the unlabelled rows, and p q+ <= qu. The bound qu / q+ is taken where, with an allowance for chance,
+it is least (best bin estimation), from histograms of a positives-against-unlabelled score over all documents.
 
 Scores see the text alone: shares of character classes, shapes of words and lines, repeats of words and lines,
-and trigrams of character classes, all over the whole text. The model is fitted on a bounded sample
-(MOST_POSITIVES and MOST_UNLABELLED rows, those of the least hash) with NumPy; features and scores are computed
-in tasks, without a shuffle.
+and trigrams of character classes, all over the whole text.
 """
 
 from __future__ import annotations
@@ -23,9 +27,11 @@ from pyspark.sql import functions as F
 
 from . import common, spans
 
-#: Bounds of the fitting sample; score from which a text counts as good.
-MOST_POSITIVES, MOST_UNLABELLED, THRESHOLD = 4_000, 8_000, 0.3
-_STEPS, _RATE, _DECAY = 400, 0.03, 3e-4
+#: Labelled ids that are learnt from at most (those of the least hash; unlabelled rows all count); score from which a
+#: text counts as good; weight of the penalty on the squared coefficients of many positives (more for few).
+MOST_POSITIVES, THRESHOLD, RIDGE = 20_000, 0.3, 0.3
+#: Bins of the histograms for the prior; blocks in which moments are summed up.
+BINS, BLOCKS = 4096, 16
 #: Bytes of text whose features are computed at once; each takes some hundred bytes of scratch memory.
 BLOCK = 1 << 20
 
@@ -102,7 +108,7 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A linear score of standardised features."""
+    """A linear score of standardised features; it lies between 0 and 1 and is 1 where good is certain."""
 
     mean: np.ndarray
     scale: np.ndarray
@@ -110,37 +116,75 @@ class Model:
     bias: float
     prior: float
 
+    def line(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.mean) * self.scale) @ self.weight + self.bias
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        g = np.clip((x - self.mean) * self.scale, -6, 6) @ self.weight + self.bias
-        return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
+        return np.clip((1 + self.line(x)) / 2, 0, 1)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
-    """Minimises the non-negative risk with Adam over the whole sample. Without positives or unlabelled rows the
-    score is the prior."""
-    width = positive.shape[1]
-    if not len(positive) or not len(unlabelled):
-        p = min(max(prior, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(p / (1 - p))), prior)
-    mean, spread = unlabelled.mean(axis=0), unlabelled.std(axis=0)
+def second_moments(x: np.ndarray) -> np.ndarray:
+    """Sums of the products of all features and a one, over the rows of x."""
+    z = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    return (z.T @ z).astype(np.float64)
+
+
+def constant(width: int, prior: float) -> Model:
+    return Model(np.zeros(width), np.zeros(width), np.zeros(width), 2 * prior - 1, prior)
+
+
+def _standardised(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, scale, moments of positives, moments of unlabelled rows), the latter two averages of standardised features."""
+    u, p = unlabelled / unlabelled[-1, -1], positive / positive[-1, -1]
+    mean = u[-1, :-1]
+    spread = np.sqrt(np.maximum(np.diag(u)[:-1] - mean**2, 0))
     scale = np.where(spread > 1e-6, 1 / np.maximum(spread, 0.01), 0)
-    xp, xu = (np.clip((x - mean) * scale, -6, 6) for x in (positive, unlabelled))
-    w, b = np.zeros(width), float(np.log(prior / (1 - prior)) if 0 < prior < 1 else 0)
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-    for t in range(1, _STEPS + 1):
-        gp, gu = xp @ w + b, xu @ w + b
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        dp_pos, dp_neg, du = (sigmoid(gp) - 1) / len(gp), sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
-        if negative >= 0:
-            cp, cu = prior * dp_pos - prior * dp_neg, du
-        else:  # the estimate of the negatives' risk fell below zero: step back from it
-            cp, cu = prior * dp_neg, -du
-        grad = np.append(xp.T @ cp + xu.T @ cu + _DECAY * w, cp.sum() + cu.sum())
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-        step = _RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, b = w - step[:-1], b - step[-1]
-    return Model(mean, scale, w, float(b), prior)
+    move = np.diag(np.append(scale, 1.0))
+    move[:-1, -1] = -mean * scale
+    return mean, scale, move @ p @ move.T, move @ u @ move.T
+
+
+def _penalty(positive: np.ndarray) -> np.ndarray:
+    """The penalty's matrix: it doubles where there are as many coefficients as positive rows; the constant is free."""
+    width = len(positive)
+    return RIDGE * (1 + width / positive[-1, -1]) * np.diag(np.append(np.ones(width - 1), 0))
+
+
+def contrast(positive: np.ndarray, unlabelled: np.ndarray) -> tuple[Model, float, float]:
+    """A score that is high where positives are denser than unlabelled rows, and its mean and spread over the latter."""
+    mean, scale, p, u = _standardised(positive, unlabelled)
+    w = np.linalg.solve(u + _penalty(positive), p[-1])
+    centre = float(w @ u[-1])
+    return Model(mean, scale, w[:-1], float(w[-1]), 0.5), centre, float(np.sqrt(max(w @ u @ w - centre**2, 1e-12)))
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled rows from histograms of one score (counts by bin, ascending)."""
+    above = [np.cumsum(h[::-1])[::-1] / h.sum() for h in (positive, unlabelled)]
+    chance = sum(np.sqrt(np.log(4 / 0.1) / (2 * h.sum())) for h in (positive, unlabelled))
+    some = above[0] > 0
+    bound = (above[1][some] + 1.01 * chance) / above[0][some]
+    at = int(np.argmin(bound))
+    return float(np.clip(above[1][some][at] / above[0][some][at], 0.01, 0.99))
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
+    """The minimum of the non-negative risk from the moments of positives and of unlabelled rows."""
+    mean, scale, p, u = _standardised(positive, unlabelled)
+
+    def at(theta: float) -> tuple[np.ndarray, float]:
+        """(coefficients, risk of the negatives) where that risk counts theta times."""
+        w = np.linalg.solve(prior * (1 - theta) * p + theta * u + _penalty(positive), prior * (1 + theta) * p[-1] - theta * u[-1])
+        return w, float(w @ u @ w + 2 * w @ u[-1] + 1 - prior * (w @ p @ w + 2 * w @ p[-1] + 1))
+
+    w, negatives = at(1.0)
+    if negatives < 0:
+        low, high = 0.0, 1.0
+        for _ in range(40):  # halving, to the precision of the sums
+            middle = (low + high) / 2
+            low, high = (middle, high) if at(middle)[1] >= 0 else (low, middle)
+        w, _ = at(low)
+    return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
 def held_out(doc_id):
@@ -148,31 +192,88 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIVES, most_unlabelled: int = MOST_UNLABELLED, prior: float | None = None) -> Model:
-    """Fits on labelled rows of quality 1 and on unlabelled documents, none of them held out.
+def _flagged(docs: DataFrame, labels: DataFrame, most_positives: int) -> DataFrame:
+    """text and positive (its label may be learnt from, and is 1) of all rows that are not held out."""
+    known = labels.where(F.col("doc_id").isNotNull() & (F.col("quality") == 1) & ~held_out(F.col("doc_id"))).select(F.col("doc_id").alias("of")).distinct()
+    chosen = common.saved(known.orderBy(F.xxhash64("of"), "of").limit(most_positives), "positives")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")))
+    return rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("positive"))
+
+
+def _sums(rows: DataFrame) -> list[np.ndarray]:
+    """Moments of (all rows, positive rows): each task sums up its own, blocks of those sums are added by as many tasks."""
+    upper = np.triu_indices(WIDTH + 1)
+    schema = pa.schema([("kind", pa.int32()), ("block", pa.int32()), ("sums", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = [np.zeros((WIDTH + 1, WIDTH + 1)), np.zeros((WIDTH + 1, WIDTH + 1))]
+        for b in common.blocks(batches, most=BLOCK):
+            x, positive = features(*common.flat(b.column(0))), np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)
+            sums[0] += second_moments(x)
+            sums[1] += second_moments(x[positive])
+        for kind, s in enumerate(sums):
+            if s[-1, -1]:
+                parts = np.array_split(s[upper], BLOCKS)
+                yield common.record(schema, kind=[kind] * BLOCKS, block=list(range(BLOCKS)), sums=[x.tobytes() for x in parts])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}
+        for b in batches:
+            for kind, block, data in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                x = np.frombuffer(data)
+                total[kind, block] = total[kind, block] + x if (kind, block) in total else x
+        for (kind, block), x in total.items():
+            yield common.record(schema, kind=[kind], block=[block], sums=[x.tobytes()])
+
+    made = rows.mapInArrow(run, "kind int, block int, sums binary").repartition(2 * BLOCKS, "kind", "block").mapInArrow(add, "kind int, block int, sums binary")
+    found = {(r.kind, r.block): np.frombuffer(r.sums) for r in made.collect()}  # 2 * BLOCKS rows
+    out = []
+    for kind in (0, 1):
+        s = np.zeros((WIDTH + 1, WIDTH + 1))
+        if (kind, 0) in found:
+            s[upper] = np.concatenate([found[kind, k] for k in range(BLOCKS)])
+            s = s + np.triu(s, 1).T
+        out.append(s)
+    return out
 
-    Rows with null ids or a null quality are left out. The sample's ids (at most both bounds) go to all tasks; the
-    features of the sample, not its texts, come to the driver.
-    """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
-    if prior is None:
-        prior = known.agg(F.avg((F.col("quality") == 1).cast("double"))).first()[0]
-        prior = 0.5 if prior is None else min(max(prior, 0.02), 0.98)
-    least = lambda df, n: df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    positives = least(known.where("quality = 1"), most_positives).withColumn("positive", F.lit(True))
-    others = least(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))), most_unlabelled).withColumn("positive", F.lit(False))
-    sample = positives.unionByName(others).groupBy(F.col("doc_id").alias("of")).agg(F.max("positive").alias("p"), F.min("positive").alias("q"))
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("of"))
-    schema = pa.schema([("p", pa.bool_()), ("q", pa.bool_()), ("x", pa.binary())])
+
+def _histograms(rows: DataFrame, model: Model, low: float, high: float) -> list[np.ndarray]:
+    """Counts by bin of the model's line between low and high, of (all rows, positive rows)."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    schema = pa.schema([("bin", pa.int32()), ("every", pa.int64()), ("positives", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, BINS), np.int64)
         for b in common.blocks(batches, most=BLOCK):
-            x = features(*common.flat(b.column(0)))
-            yield common.record(schema, p=b.column(1), q=b.column(2), x=[row.tobytes() for row in x])
+            at = np.clip((held.value.line(features(*common.flat(b.column(0)))) - low) / (high - low) * BINS, 0, BINS - 1).astype(np.int64)
+            counts[0] += np.bincount(at, minlength=BINS)
+            counts[1] += np.bincount(at[np.asarray(b.column(1).to_numpy(zero_copy_only=False), bool)], minlength=BINS)
+        some = np.flatnonzero(counts[0])
+        yield common.record(schema, bin=some, every=counts[0][some], positives=counts[1][some])
+
+    out = np.zeros((2, BINS))
+    for r in rows.mapInArrow(run, "bin int, every bigint, positives bigint").groupBy("bin").agg(F.sum("every").alias("every"), F.sum("positives").alias("positives")).collect():  # BINS rows
+        out[:, r["bin"]] = r["every"], r["positives"]
+    return [out[0], out[1]]
 
-    rows = chosen.select("text", "p", "q").mapInArrow(run, "p boolean, q boolean, x binary").collect()
-    pick = lambda flag: np.array([np.frombuffer(r.x, np.float32) for r in rows if flag(r)]).reshape(-1, WIDTH)
-    return fit(pick(lambda r: r.p), pick(lambda r: not r.q), prior)
+
+def train(docs: DataFrame, labels: DataFrame, most_positives: int = MOST_POSITIVES, prior: float | None = None) -> Model:
+    """Fits on the documents of trusted positive labels and on all documents, none of them held out.
+
+    docs: doc_id, text; labels: doc_id, quality. Labels with a null id or quality are left out, those that repeat count
+    once; documents with a null id are unlabelled; repeated documents count each. At most most_positives labelled ids
+    (those of the least hash) go to all tasks; moments and histograms of a fixed size come to the driver, whatever the
+    input. Without positives or documents the score is the prior, 0.5 if that isn't given.
+    """
+    rows = _flagged(docs, labels, most_positives)
+    unlabelled, positive = _sums(rows)
+    if not positive[-1, -1]:
+        return constant(WIDTH, 0.5 if prior is None else prior)
+    if prior is None:
+        model, centre, spread = contrast(positive, unlabelled)
+        every, positives = _histograms(rows, model, centre - 8 * spread, centre + 8 * spread)
+        prior = estimated_prior(positives, every)
+    return fit(positive, unlabelled, prior)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -438,13 +438,54 @@ def test_quality_of_odd_tables(spark, odd, empty):
     assert quality.keep_good(odd, labels).columns == odd.columns
 
 
-def test_nnpu_finds_what_positives_lack():
+def test_risk_and_prior_of_a_toy():
     rng = np.random.default_rng(1)
-    good, bad = rng.normal(0, 1, (8000, 4)), rng.normal(0, 1, (2000, 4)) + np.r_[4.0, np.zeros(3)]
-    model = quality.fit(good[:4000], np.concatenate([good[4000:], bad[:1000]]), 0.8)
-    kept, found = model.score(rng.normal(0, 1, (1000, 4))), model.score(bad[1000:])
-    assert (kept > 0.5).mean() > 0.95 and (found < 0.5).mean() > 0.85
-    assert quality.fit(good[:0], good, 0.8).score(good[:1])[0] == pytest.approx(0.8)
+    good, bad = rng.normal(0, 1, (20000, 4)), rng.normal(0, 1, (6000, 4)) + np.r_[4.0, np.zeros(3)]
+    for share in (0.3, 0.8):
+        n = int(8000 * share)
+        mixed = np.concatenate([good[4000 : 4000 + n], bad[: 8000 - n] if share < 0.5 else bad[:1600]])
+        p, u = quality.second_moments(good[:4000]), quality.second_moments(mixed)
+        line, centre, spread = quality.contrast(p, u)
+        edges = np.linspace(centre - 8 * spread, centre + 8 * spread, 1001)
+        histogram = lambda x: np.histogram(np.clip(line.line(x), edges[0], edges[-1]), edges)[0]  # noqa: B023, E731
+        prior = quality.estimated_prior(histogram(good[:4000]), histogram(mixed))
+        assert abs(prior - n / len(mixed)) < 0.05
+        model = quality.fit(p, u, prior)
+        assert (model.score(good[15000:]) > 0.5).mean() > 0.9 and (model.score(bad[5700:]) < 0.5).mean() > 0.8
+        assert np.allclose(model.score(good[:5]), np.clip((1 + model.line(good[:5])) / 2, 0, 1))
+
+
+def test_risk_of_negatives_stays_at_zero(monkeypatch):
+    """With more features than rows the unbiased risk of the negatives would fall below zero; brute force over steps agrees."""
+    monkeypatch.setattr(quality, "RIDGE", 0.001)
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(0, 1, (30, 40)), rng.normal(0.1, 1, (35, 40))
+    model = quality.fit(quality.second_moments(p), quality.second_moments(u), 0.9)
+    g = lambda x: model.line(x)
+    negatives = np.mean((1 + g(u)) ** 2) - 0.9 * np.mean((1 + g(p)) ** 2)
+    assert abs(negatives) < 1e-6
+
+    def risk(w, b):
+        gp, gu = ((x - model.mean) * model.scale @ w + b for x in (p, u))
+        return 0.9 * np.mean((1 - gp) ** 2) + max(0, np.mean((1 + gu) ** 2) - 0.9 * np.mean((1 + gp) ** 2)) + 0.001 * (1 + 41 / 30) * (w @ w)
+
+    best = risk(model.weight, model.bias)
+    for _ in range(300):
+        assert risk(model.weight + rng.normal(0, 0.01, 40), model.bias + rng.normal(0, 0.01)) >= best - 1e-9
+
+
+def test_moments_and_prior_are_of_all_documents(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = _docs(spark, d), spark.read.parquet(f"{d}/labels.parquet")
+    rows = quality._flagged(docs, labels, 10**6)
+    every, positive = quality._sums(rows.repartition(7))
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    texts = [(r.doc_id, r.text) for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    of = lambda t: quality.second_moments(quality.features(*common.flat(pa.array(t, pa.string()))).astype(np.float64))
+    assert np.allclose(every, of([t for _, t in texts]), rtol=1e-4) and np.allclose(positive, of([t for k, t in texts if k in good]), rtol=1e-4)
+    model, centre, spread = quality.contrast(positive, every)
+    counts = quality._histograms(rows, model, centre - 8 * spread, centre + 8 * spread)
+    assert counts[0].sum() == len(texts) and counts[1].sum() == sum(k in good for k, _ in texts)
 
 
 # --- 9
