@@ -1,7 +1,7 @@
 """Packing of documents into fixed windows by non-negative least squares.
 
 A document's ids are cut into whole windows and a tail. The tails of some thousand documents make a histogram
-of lengths. Shallow combinations of two or three lengths that fill a window exactly are the columns of a
+of lengths. All combinations of two or three lengths that fill a window exactly are the columns of a
 matrix; non-negative least squares finds how often to use each so that the histogram is met. The counts are
 rounded, never beyond what the histogram holds; what is left is packed greedily, longest first, the last piece
 cut where its window is full. A window that is still open goes on with the next group of documents, so that
@@ -26,8 +26,8 @@ from .tokens import encoder
 WINDOW = 2048
 #: A group of documents that is packed together ends at so many documents or ids.
 GROUP_DOCS, GROUP_IDS = 16_384, 8_000_000
-#: Combinations of three lengths that are tried at most, those in best supply first; least-squares steps.
-TRIPLES, STEPS = 20_000, 60
+#: Least squares ends when a step lessens the squared residue by less than this part of it.
+CONVERGED = 1e-3
 
 
 def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
@@ -42,36 +42,40 @@ def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
     x, y, z = x[ok], y[ok], z[ok]
     ok = histogram[z] > 0
     triples = np.stack([x[ok], y[ok], z[ok]], axis=1)
-    supply = histogram[triples].min(axis=1)
-    triples = triples[np.argsort(-supply, kind="stable")[:TRIPLES]]
     return np.concatenate([pairs, triples]).astype(np.int64)
 
 
 def repeat_counts(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
     """x >= 0 with least || A x - histogram ||, A the counts of lengths in combinations; multiplicative updates."""
-    used = combos > 0
-    weight = histogram.astype(float)
-    x = np.maximum(np.where(used, weight[combos], np.inf).min(axis=1) / 8, 1e-3)
-    target = np.where(used, weight[combos], 0).sum(axis=1)
-    for _ in range(STEPS):
-        met = np.bincount(combos[used], (x[:, None] * used)[used], len(histogram))
-        x *= target / np.maximum(np.where(used, met[combos], 0).sum(axis=1), 1e-9)
-    return x
+    used = np.append(0.0, np.ones(len(histogram) - 1))  # length 0 stands for no length
+    want = histogram * used
+    of = lambda lengths: lengths[combos[:, 0]] + lengths[combos[:, 1]] + lengths[combos[:, 2]]
+    target = of(want)
+    x = np.maximum(np.where(combos > 0, want[combos], np.inf).min(axis=1) / 8, 1e-3)
+    last = np.inf
+    while True:
+        met = sum(np.bincount(combos[:, k], x, len(histogram)) for k in range(3)) * used
+        residue = float(((met - want) ** 2).sum())
+        if residue <= 1 or last - residue < CONVERGED * last:
+            return x
+        last = residue
+        x *= target / np.maximum(of(met), 1e-9)
 
 
 def rounded(histogram: np.ndarray, combos: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Whole counts near x, the largest first, that together use no length more often than there is."""
-    left, out = histogram.tolist(), np.zeros(len(combos), np.int64)
-    rows = combos.tolist()
-    for up in (0, 1):  # whole parts first, then one more for the largest remainders
-        order = np.argsort(-(x if not up else x - np.floor(x)), kind="stable").tolist()
-        for i in order:
-            want = 1 if up else int(x[i])
-            if want:
-                lengths = [v for v in rows[i] if v]
-                can = min(want, *(left[v] // lengths.count(v) for v in lengths))
-                if can:
-                    out[i] += can
+    left, out = histogram.copy(), np.zeros(len(combos), np.int64)
+    left[0] = len(combos)  # length 0 stands for no length
+    for up in (False, True):  # whole parts first, then one more for the largest remainders
+        order = np.argsort(-(x - np.floor(x) if up else x), kind="stable")
+        order = order if up else order[: np.count_nonzero(x >= 1)]
+        for i in range(0, len(order), 4096):
+            part = order[i : i + 4096]
+            for k in part[(left[combos[part]] > 0).all(axis=1)].tolist():
+                lengths = [v for v in combos[k].tolist() if v]
+                can = min(1 if up else int(x[k]), *(int(left[v]) // lengths.count(v) for v in lengths))
+                if can > 0:
+                    out[k] += can
                     for v in lengths:
                         left[v] -= can
     return out
@@ -124,8 +128,8 @@ def pack(docs: DataFrame, vocabulary: str, window: int = WINDOW, end_id: int | N
 
     docs needs doc_id and text; other columns are not read. Each document's ids, with end_id after them, lie in
     exactly one piece each. Null and empty texts have end_id alone (and no piece without one). Repeated rows are
-    packed each; null ids stay null. Sequences are numbered within each task's own range. An empty table gives
-    no rows.
+    packed each; null ids stay null. Sequences are numbered within each task's own range, so another division of the
+    input into tasks gives other numbers and other neighbours. An empty table gives no rows.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 

@@ -54,11 +54,16 @@ def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
             parts = [b" ".join(words[k : k + shingle]) for k in range(n - shingle + 1)]
         hashed += [digest(p, SEED) for p in parts]
         count[i] = len(parts)
-    out = np.zeros(len(texts), np.uint64)
+    return majority(np.array(hashed, np.uint64), count)
+
+
+def majority(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each run of count hashes the bits that are set in over half of them; none for an empty run."""
+    out = np.zeros(len(count), np.uint64)
     some = np.flatnonzero(count)
     if len(some):
         first = (np.cumsum(count) - count)[some]
-        bits = 2 * _bit_counts(np.array(hashed, np.uint64), first, count[some]) > count[some][:, None]
+        bits = 2 * _bit_counts(h, first, count[some]) > count[some][:, None]
         out[some] = np.packbits(bits, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
@@ -111,8 +116,9 @@ def _packed(flags: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(bits, [(0, 0)] * (bits.ndim - 1) + [(0, short)])).view(np.uint64)
 
 
-def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs (i, j) with group[i] == group[j] and at most `radius` bits between fp[i] and fp[j].
+def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int, part: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (i, j) with group[i] == group[j] and at most `radius` bits between fp[i] and fp[j]; with part, only
+    those with part[i] != part[j].
 
     Equal groups lie together. Yields the pairs of one shift at a time.
     """
@@ -131,6 +137,8 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tupl
             same[:-shift] = owner[shift:] == owner[:-shift]
         if not same.any():
             return
+        if part is not None:
+            same[:-shift] &= part[kept][shift:] != part[kept][:-shift]
         valid = _packed(same).reshape(-1, WORDS)
         live = np.flatnonzero(valid.any(axis=1))
         over = ~valid[live]
@@ -162,7 +170,7 @@ def close_pairs(fp: np.ndarray, group: np.ndarray, radius: int) -> Iterator[tupl
         shift += 1
 
 
-class _Forest:
+class Forest:
     """Union-find over 0..n-1 with the least index as root, for arrays of pairs."""
 
     def __init__(self, n: int):
@@ -193,7 +201,7 @@ def bucket_links(rows: DataFrame, radius: int, partitions: int) -> DataFrame:
         order = np.lexsort((node, value, mask))
         mask, value, fp, node = mask[order], value[order], fp[order], node[order]
         new = np.append(True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1]))
-        forest = _Forest(len(fp))
+        forest = Forest(len(fp))
         for i, j in close_pairs(fp.view(np.uint64), np.cumsum(new), radius):
             forest.union(i, j)
         every = np.arange(len(fp))

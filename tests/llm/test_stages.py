@@ -4,8 +4,8 @@ import itertools
 import random
 
 import corpus_pipeline as cp
-import numpy as np
-from loomspark.llm import near_copies
+from loomspark.llm import near_copies, simhash
+from pyspark.sql import functions as F
 
 
 def brute_force_components(rows):
@@ -59,23 +59,63 @@ def test_near_stage_keeps_one_repeated_row(spark):
     assert sorted(map(tuple, got), key=str) == sorted(set(rows), key=str)
 
 
-def test_sketches_find_pairs_at_the_limit():
+def test_candidates_at_the_limit():
     rng, found = random.Random(5), 0
     for _ in range(300):
         text = _words(rng, 124)
         other = [*text[:60], "x", *text[61:90], "y", *text[91:]]  # 110 of 130 shingles: 0.846
-        a, b = near_copies.sketches_of([" ".join(text).encode(), " ".join(other).encode()])
-        found += (a.reshape(-1, near_copies.ROWS) == b.reshape(-1, near_copies.ROWS)).all(axis=1).any() and np.count_nonzero(a == b) >= near_copies.LEAST_EQUAL
+        h, count = near_copies.hashed([" ".join(text).encode(), " ".join(other).encode()])
+        a, b = near_copies._buckets(near_copies.sketches_of(h, count))
+        x, y = simhash.majority(h, count).tolist()
+        found += (a == b).any() and (x ^ y).bit_count() <= near_copies.RADIUS
     assert found == 300
 
 
-def test_pairs_across_components_of_one_bucket(spark):
-    rng = np.random.default_rng(1)
-    base = rng.integers(0, 256, 125, dtype=np.uint8)
-    rows = [(7, k, k, bytearray(base if k < 3 else rng.integers(0, 256, 125, dtype=np.uint8))) for k in range(5)] + [(7, 0, 9, bytearray(base))]
-    members = spark.createDataFrame(rows, "bucket long, component long, node long, sketch binary")
-    got = sorted(tuple(r) for r in near_copies.across(members, 3).collect())
-    assert got == [(0, 1), (0, 2), (1, 2), (1, 9), (2, 9)]
+def test_large_bucket_in_tiles_equals_brute_force(spark, monkeypatch):
+    """A group of near copies most of which aren't similar to its least row, in chunks of a few rows."""
+    monkeypatch.setattr(near_copies, "TILE", 16)
+    rng, rows = random.Random(9), []
+    base = _words(rng, 120)
+    for k in range(130):
+        other = list(base)
+        for i in rng.sample(range(120), 1 + k % 12):
+            other[i] = f"own{k}x{i}"
+        rows.append((k, " ".join(other)))
+    rng.shuffle(rows)
+    rows = [(k, t) for k, (_, t) in enumerate(rows)]
+    want = {k for i, k in brute_force_components(rows).items() if i == k}
+    assert 5 < len(want) < 120
+    got = cp.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got} == want
+
+
+def test_recall_on_planted_near_copies(spark):
+    """Copies with words changed, dropped and added at random places: all at 0.8 or more go."""
+    rng, rows, planted = random.Random(11), [], []
+    for k in range(150):
+        text = _words(rng, rng.choice((40, 150, 600)))
+        rows.append((k, " ".join(text)))
+        other = list(text)
+        for _ in range(max(1, len(text) // 100)):
+            i = rng.randrange(len(other))
+            other[i : i + 1] = rng.choice(([], ["new"], [other[i], "put"]))
+        rows.append((1000 + k, " ".join(other)))
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (text, other)]
+        if len(sets[0] & sets[1]) >= 0.8 * len(sets[0] | sets[1]):
+            planted.append(1000 + k)
+    got = {r.doc_id for r in cp.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(planted) > 100 and not got & set(planted) and set(range(150)) <= got
+
+
+def test_stages_on_empty_and_odd_tables(spark):
+    rows = [(None, None, None), (1, "", "x"), (1, "", "x"), (2, "word " * 30000, "x"), (3, "a b c", None), (3, "a b c", None), (None, "a  b c", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("node", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("bucket", F.lit("x"))
+    d = "/root/testdata/sf0.001"
+    for name, stage in cp.STAGES:
+        for frame in (docs, docs.limit(0)):
+            got = stage(spark, frame, d)
+            assert got.count() <= frame.count() + (100 if name == "pack" else 0)
+            assert name == "pack" or got.columns == docs.columns
 
 
 def test_exact_stage_drops_rows_not_ids(spark):
