@@ -6,8 +6,10 @@ from every start state at once; the chunks' state maps are composed by a paralle
 each chunk its true start state. The second reads the bytes of one word and carries, on each transition, the
 change in the number of tokens (+1, 0, or less when a byte joins earlier tokens into a longer one); the sum
 over a word is its token count. Its state is what later bytes can still depend on: the longest suffix that
-begins some token, and for each place where a token may begin, the last token before it. It is compiled as the
-text asks for transitions, and starts anew when its table is full; counts don't depend on that.
+begins some token, and for each place where a token may begin, the last token before it. It has too many states for
+maps of all of them, so the parts of a long word have maps of the states that they may begin in, and these maps,
+with the tokens emitted, are composed by a prefix scan too. It is compiled as the text asks for transitions, and
+starts anew when its table is full, also within a word; counts don't depend on that.
 
 Both rest on a property of byte-pair encoding: a sequence of tokens is the encoding of its text if and only if
 each neighbouring pair is the encoding of its own text.
@@ -24,11 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, spans
 
 OVER = 1024
 #: Characters in a chunk of the first transducer, and states of the second one that a worker holds at most.
 CHUNK, MOST_STATES = 256, 150_000
+#: Bytes of a part of a long word, and bytes before it from which its first state is guessed.
+PART, LEAD = 256, 32
 
 # --- the first transducer: character classes to word starts ---------------------------------------------
 
@@ -235,8 +239,7 @@ class CountTransducer:
             self._resize(self.rows, 2 * self.width if len(self.bytes_of) <= 2 * self.width else 256)
         return self.column[data]
 
-    def compile(self, transition: int) -> None:
-        state, column = divmod(transition, self.width)
+    def compile(self, state: int, column: int) -> None:
         b, grown, change, last = bytes((self.bytes_of[column],)), [], None, None
         for suffix, before, count in self.states[state]:
             longer = suffix + b
@@ -247,32 +250,95 @@ class CountTransducer:
                     grown.append((longer, before, count))
         key = (*((s, t, c - change) for s, t, c in grown), (b"", last, 0))
         reached = self._state(key)
-        self.to[transition] = reached
-        self.change[transition] = change
+        self.to[state * self.width + column] = reached
+        self.change[state * self.width + column] = change
 
-    def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Tokens of each word data[start:start+length]; all words advance together, one byte a step."""
+    def advance(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after data[start:start+length], change of the count) from a state each; all advance together, one byte a step."""
         order = np.argsort(-length, kind="stable")
-        at, size = start[order], length[order]
-        column = self._columns(data).astype(np.uint8)
-        state, total = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        at, size, state = start[order], length[order], state[order].astype(np.int64)
+        total = np.zeros(len(at), np.int64)
         living = np.searchsorted(-size, -np.arange(1, (int(size[0]) if len(size) else 0) + 1), "right")
         for step, m in enumerate(living.tolist()):
-            asked = state[:m] * self.width + column[at[:m] + step]
+            if len(self.states) > MOST_STATES:  # anew, with the states that are in use
+                used, back = np.unique(state, return_inverse=True)
+                keys = [self.states[x] for x in used.tolist()]
+                self.renew()
+                state = np.array([self._state(k) for k in keys])[back]
+            here = self._columns(data[at[:m] + step])
+            asked = state[:m] * self.width + here
             reached = self.to[asked]
             missing = np.flatnonzero(reached < 0)
             if len(missing):
-                for x in np.unique(asked[missing]).tolist():
-                    self.compile(x)
+                new = np.unique(asked[missing]).tolist()
+                for x in new:
+                    self.compile(*divmod(x, self.width))
+                asked = state[:m] * self.width + here
                 reached = self.to[asked]
             total[:m] += self.change[asked]
             state[:m] = reached
-        out = np.empty(len(at), np.int64)
-        out[order] = total
-        if len(self.states) > MOST_STATES:
-            self.renew()
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return state[back], total[back]
+
+    def counts(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Tokens of each word data[start:start+length]; long ones in parts."""
+        out = np.zeros(len(start), np.int64)
+        short = length <= PART
+        out[short] = self.advance(data, start[short], length[short], np.zeros(np.count_nonzero(short), np.int64))[1]
+        if not short.all():
+            out[~short] = self.composed(data, start[~short], length[~short])
         return out
 
+    def composed(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Tokens of long words. Each is cut into parts; a part's map gives, for the states that it may begin in, the
+        state it ends in and the tokens it emits. It is first made for the state that the bytes just before the part
+        lead to, then for every end of the part before that it lacks, until none is missing; a prefix scan composes
+        the maps. All parts of all words run together."""
+        parts = -(-length // PART)
+        first = np.cumsum(parts) - parts
+        at = np.repeat(start, parts) + PART * spans.gathered(np.zeros(len(parts), np.int64), parts)
+        size = np.minimum(PART, np.repeat(start + length, parts) - at)
+        opens = np.zeros(len(at), bool)
+        opens[first] = True
+        names: dict[tuple, int] = {}  # states by name, as the table may begin anew in between
+        keys: list[tuple] = []
+
+        def named(states: np.ndarray) -> list[int]:
+            used, back = np.unique(states, return_inverse=True)
+            of = []
+            for x in used.tolist():
+                key = self.states[x]
+                if key not in names:
+                    names[key] = len(keys)
+                    keys.append(key)
+                of.append(names[key])
+            return np.array(of, np.int64)[back].tolist()
+
+        before = np.where(opens, 0, LEAD)
+        states, _ = self.advance(data, at - before, before, np.zeros(len(at), np.int64))
+        asked = list(enumerate(named(states)))
+        maps: list[dict[int, tuple[int, int]]] = [{} for _ in at]
+        while asked:
+            lanes = np.array([k for k, _ in asked])
+            begin = np.array([self._state(keys[x]) for _, x in asked])
+            ended, emitted = self.advance(data, at[lanes], size[lanes], begin)
+            nexts = []
+            for (k, x), y, n in zip(asked, named(ended), emitted.tolist(), strict=True):
+                maps[k][x] = (y, n)
+                if k + 1 < len(at) and not opens[k + 1]:
+                    nexts.append((k + 1, y))
+            asked = [(k, y) for k, y in dict.fromkeys(nexts) if y not in maps[k]]
+        # the scan: each entry points to the entry of the next part that it leads to; pointers are doubled
+        place = {(k, x): i for i, (k, x) in enumerate((k, x) for k, m in enumerate(maps) for x in m)}
+        over = len(place)
+        last = np.append(opens[1:], True)
+        to = np.array([over if last[k] else place[k + 1, y] for k, m in enumerate(maps) for y, _ in m.values()] + [over])
+        total = np.array([n for m in maps for _, n in m.values()] + [0])
+        while (to != over).any():
+            total, to = total + total[to], to[to]
+        return total[[place[k, named(np.zeros(1, np.int64))[0]] for k in first.tolist()]]
+
 
 class TokenCounter:
     def __init__(self, path: str):

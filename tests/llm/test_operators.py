@@ -140,6 +140,16 @@ def test_counter_equals_library(text):
     assert got.tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in (text, "", text + text)]
 
 
+@pytest.mark.parametrize("states", [150_000, 300])
+def test_long_words_are_composed_of_parts(states, monkeypatch):
+    monkeypatch.setattr(token_counts, "MOST_STATES", states)
+    rng = np.random.default_rng(4)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    texts = ["a" * 3000, letters(5000, "ab"), letters(2000, "etaoinshrdlu"), letters(1500, "日本語中文字漢"), "x " + letters(700, "abc") + ". " + letters(900, "xyzé"), "ab" * 800 + " c", "9" * 1000, "-" * 257 + "=" * 256]
+    got = token_counts.TokenCounter(BYTE).count(*common.flat(pa.array(texts, pa.string())))
+    assert got.tolist() == [len(library_byte().encode(t, add_special_tokens=False).ids) for t in texts]
+
+
 _LIB: list = []
 
 
