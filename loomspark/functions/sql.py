@@ -10,10 +10,10 @@ from . import ids
 
 
 def _fixed(text: str, size: int, overlap: int):
-    marks = chunking._TOKEN.findall(text.strip())
-    last = max(0, -(-(len(marks) - size) // (size - overlap)))
-    for k in range(last + 1 if marks else 0):
-        yield "".join(marks[k * (size - overlap) :][:size]).strip(), None, None, "a token window"
+    marks = chunking.Marks(text)
+    n, step = len(marks.ends), size - overlap
+    for first in range(0, max(n - overlap, 1) if n else 0, step):
+        yield marks.segment(first, min(first + size, n), "a token window")
 
 
 class Chunk:

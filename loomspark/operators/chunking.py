@@ -1,14 +1,17 @@
 """Cutting documents into chunks. Input: source_key, text; output: one row per chunk.
 
-The fixed strategy is all columns. Boundary and recursive cuts depend on what was emitted before, so they run
-row by row inside Arrow batches, documents spread over tasks; structural cuts use the sections of sections.py.
+The fixed strategy is all columns. Boundary and recursive cuts depend on what was emitted before, so they run inside
+Arrow batches, document by document, as searches in the sorted offsets of a text's words and breaks; chunks are
+numbered there, and nothing is shuffled. Structural cuts use the sections of sections.py, which are shuffled by document.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,12 +21,12 @@ from ..functions import ids, text
 CHUNK_COLUMNS = ("source_key", "document_id", "chunk_index", "chunk_total", "vector_id", "content", "token_count", "overlap", "start_offset", "end_offset", "note")
 
 
-def identified(segments: DataFrame, overlap: int) -> DataFrame:
-    """Contiguous chunk index, total and ids for (source_key, position, content, start_offset, end_offset, note)."""
-    doc = Window.partitionBy("source_key")
-    out = segments.withColumn("chunk_index", (F.row_number().over(doc.orderBy("position")) - 1).cast("int"))
-    out = out.withColumn("chunk_total", F.count(F.lit(1)).over(doc).cast("int")).withColumn("document_id", ids.document_id("source_key"))
-    return out.withColumn("vector_id", ids.vector_id("document_id", "chunk_index")).withColumn("token_count", F.size(text.tokens("content"))).withColumn("overlap", F.when(F.col("chunk_index") == 0, 0).otherwise(overlap)).select(*CHUNK_COLUMNS)
+def numbered(segments: DataFrame, overlaps: list[int]) -> DataFrame:
+    """Chunk columns of segments that the map has numbered; overlaps: of each plan. No shuffle."""
+    shared = F.array(*map(F.lit, overlaps))[F.col("plan")]
+    out = segments.withColumnRenamed("position", "chunk_index").withColumnRenamed("total", "chunk_total").withColumn("document_id", ids.document_id("source_key"))
+    out = out.withColumn("vector_id", ids.vector_id("document_id", "chunk_index")).withColumn("token_count", F.size(text.tokens("content")))
+    return out.withColumn("overlap", F.when(F.col("chunk_index") == 0, 0).otherwise(shared)).select("plan", *CHUNK_COLUMNS)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -59,150 +62,172 @@ def chunk_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 Segment = tuple[str, int, int, str]
-_TOKEN = re.compile(r"\s*\S+")
 #: Where a window may be trimmed, best first, and what such a cut is called.
 _BREAKS = ((re.compile(r"\n\s*\n"), "cut at a blank line"), (re.compile(r"(?<=[.!?])\s"), "cut at a sentence end"))
 #: Separators from coarse to fine, and what a cut at each is called.
 _LEVELS = (("\n\n", "a blank line"), ("\n", "a line end"), (". ", "a sentence end"), (" ", "a word break"))
+#: What other cuts are called.
+_WHOLE, _TAIL, _LIMIT, _NO_BREAK = "the whole document fits in one chunk", "the document's tail, taken whole", "the token limit", "no break in reach — cut at the token limit"
+_INK = re.compile(r"\S+")
 
 
-def boundary_segments(whole: str, size: int, overlap: int) -> Iterator[Segment]:
-    """Windows of tokens trimmed to the last blank line, else sentence end, in their final quarter."""
-    whole = whole.strip()
-    ends = [m.end() for m in _TOKEN.finditer(whole)]
-    if not ends:
-        return
-    if len(ends) <= size:
-        yield whole, 0, len(whole), "the whole document fits in one chunk"
-        return
-    at, cursor = 0, 0
-    while True:
-        begin = ends[at - 1] if at else 0
-        if at + size >= len(ends):
-            piece, note = whole[begin:], "the document's tail, taken whole"
-        else:
-            piece, note = whole[begin : ends[at + size - 1]], "no break in reach — cut at the token limit"
-            least = int(len(piece) * 0.75)
-            for pattern, said in _BREAKS:
-                cuts = [m.end() for m in pattern.finditer(piece) if m.end() >= least]
-                if cuts:
-                    piece, note = piece[: cuts[-1]], said
-                    break
-        content = piece.strip()
-        if content:
-            start = whole.find(content, cursor)
-            start = cursor if start < 0 else start
-            yield content, start, start + len(content), note
-        if at + size >= len(ends):
-            return
-        at += max(1, (len(_TOKEN.findall(content)) or size) - overlap)
-        if at >= len(ends):
-            return
-        cursor = ends[at - 1]
-
-
-def _shredded(piece: str, size: int, level: int = 0, name: str = "the token limit") -> Iterator[tuple[str, int, str]]:
-    """(piece, tokens, level name): split by ever finer separators until pieces fit; they join back to the text."""
-    marks = _TOKEN.findall(piece)
-    rest = piece[sum(map(len, marks)) :]
-    if len(marks) <= size:
-        if piece:
-            yield piece, len(marks), name
-        return
-    while level < len(_LEVELS) and _LEVELS[level][0] not in piece:
-        level += 1
-    if level == len(_LEVELS):
-        for i in range(0, len(marks), size):
-            part = marks[i : i + size]
-            yield "".join(part) + (rest if i + size >= len(marks) else ""), len(part), "the token limit"
-        return
-    separator, said = _LEVELS[level]
-    *parts, last = piece.split(separator)
-    for part in [*(p + separator for p in parts), last]:
-        yield from _shredded(part, size, level + 1, said)
-
-
-def recursive_segments(whole: str, size: int, overlap: int) -> Iterator[Segment]:
-    """Pieces of _shredded packed up to the size; the next chunk goes back over whole pieces within the overlap."""
-    whole = whole.strip()
-    pieces = list(_shredded(whole, size))
-    starts, at = [], 0
-    for p, _, _ in pieces:
-        starts.append(at)
-        at += len(p)
+class Marks:
+    """A stripped text and where its words lie: the first and, after the last, the end character of each, ascending."""
+
+    def __init__(self, text: str):
+        self.text = text.strip()
+        found = [m.span() for m in _INK.finditer(self.text)]
+        self.heads, self.ends = np.array(found, np.int64).reshape(-1, 2).T
+
+    def upto(self, at) -> np.ndarray:
+        """Words that end at or before each offset."""
+        return np.searchsorted(self.ends, at, "right")
+
+    def within(self, start: int, end: int) -> int:
+        """Words of which some character lies in start..end."""
+        return int(np.searchsorted(self.heads, end, "left") - np.searchsorted(self.ends, start, "right"))
+
+    def segment(self, first: int, last: int, note: str) -> Segment:
+        """Words first..last-1 with what lies between them."""
+        start, end = int(self.heads[first]), int(self.ends[last - 1])
+        return self.text[start:end], start, end, note
+
+
+def boundary_cuts(marks: Marks, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """(first word, last word + 1, note) of windows that end at the last blank line, else sentence end, of their final quarter."""
+    n = len(marks.ends)
+    breaks = [(np.array([m.end() for m in p.finditer(marks.text)], np.int64), said) for p, said in _BREAKS]
     first = 0
-    while first < len(pieces):
-        held, stop = pieces[first][1], first + 1
-        while stop < len(pieces) and held + pieces[stop][1] <= size:
-            held, stop = held + pieces[stop][1], stop + 1
-        raw = whole[starts[first] : starts[stop - 1] + len(pieces[stop - 1][0])]
-        content = raw.strip()
-        if content:
-            start = starts[first] + raw.index(content)
-            yield content, start, start + len(content), f"cut at {pieces[stop - 1][2]}"
-        if stop == len(pieces):
+    while first + size < n:
+        begin, limit = int(marks.ends[first - 1]) if first else 0, int(marks.ends[first + size - 1])
+        least = max(begin + int((limit - begin) * 0.75), begin + 2 if first else 0)
+        # the greatest break up to the limit, of the first kind that has one late enough
+        reach = [(int(at[k - 1]), said) for at, said in breaks if (k := int(np.searchsorted(at, limit, "right"))) and at[k - 1] >= least]
+        last, said = (int(marks.upto(reach[0][0])), reach[0][1]) if reach else (first + size, _NO_BREAK)
+        if last > first:
+            yield first, last, said
+        first += max(1, (last - first or size) - overlap)
+    if first < n:
+        yield first, n, _TAIL if first else _WHOLE
+
+
+def boundary_segments(text: str, size: int, overlap: int) -> Iterator[Segment]:
+    marks = Marks(text)
+    for cut in boundary_cuts(marks, size, overlap):
+        yield marks.segment(*cut)
+
+
+def recursive_pieces(marks: Marks, size: int) -> tuple[np.ndarray, list[str]]:
+    """(offsets between pieces, name of the cut that made each piece): level by level, the pieces that are too large are
+    cut at all separators in them, and what no separator helps is cut every `size` words."""
+    edges, names = np.array([0, len(marks.text)]), np.array([_LIMIT], object)
+
+    def refined(cuts: np.ndarray, said: str) -> tuple[np.ndarray, np.ndarray]:
+        large = np.diff(marks.upto(edges)) > size
+        piece = np.searchsorted(edges, cuts, "left") - 1  # the piece that a cut falls in, or ends
+        inside = cuts[large[np.minimum(piece, len(large) - 1)] & ~np.isin(cuts, edges)]
+        every = np.union1d(edges, inside)
+        parent = np.searchsorted(edges, every[:-1], "right") - 1
+        fresh = np.isin(np.arange(len(large)), np.searchsorted(edges, inside, "left") - 1)
+        return every, np.where(fresh[parent], said, names[parent])
+
+    for separator, said in _LEVELS:
+        edges, names = refined(np.array([m.end() for m in re.finditer(re.escape(separator), marks.text)], np.int64), said)
+    counts = marks.upto(edges)
+    every = [marks.ends[k + size - 1 : last - 1 : size] for k, last in zip(counts[:-1], counts[1:], strict=True) if last - k > size]
+    edges, names = refined(np.concatenate([np.zeros(0, np.int64), *every]), _LIMIT)
+    return edges, names.tolist()
+
+
+def recursive_cuts(marks: Marks, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
+    """Pieces packed up to the size by running sums of words; the next chunk goes back over whole pieces within the overlap."""
+    edges, names = recursive_pieces(marks, size)
+    upto, first = marks.upto(edges), 0
+    while first < len(names):
+        last = max(first + 1, int(np.searchsorted(upto, upto[first] + size, "right")) - 1)
+        if upto[last] > upto[first]:
+            yield int(upto[first]), int(upto[last]), f"cut at {names[last - 1]}"
+        if last == len(names):
             return
-        back, carried = stop, 0
-        while back > first + 1 and carried + pieces[back - 1][1] <= overlap:
-            back -= 1
-            carried += pieces[back][1]
-        first = back
+        first = min(last, max(first + 1, int(np.searchsorted(upto, upto[last] - overlap, "left"))))
+
+
+def recursive_segments(text: str, size: int, overlap: int) -> Iterator[Segment]:
+    marks = Marks(text)
+    if len(marks.ends):
+        for cut in recursive_cuts(marks, size, overlap):
+            yield marks.segment(*cut)
+
+
+def merged_sections(tokens_from: np.ndarray, tokens_to: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first, last + 1) section of each group: sections join forward until they hold `least` tokens, a short tail backward."""
+    groups, first = [], 0
+    while first < len(tokens_to):
+        enough = np.flatnonzero(tokens_to[first:] - tokens_from[first] >= least)
+        if not len(enough):
+            return [*groups[:-1], (groups[-1][0] if groups else first, len(tokens_to))]
+        last = first + int(enough[0]) + 1
+        groups.append((first, last))
+        first = last
+    return groups
+
+
+def structural_segments(text: str, sections: list[tuple[str, int, int]], size: int, overlap: int) -> Iterator[Segment]:
+    """A chunk for each group of sections (title, start, end), under the first one's title; a group beyond the size is cut
+    at boundaries, in what the title leaves of it."""
+    marks = Marks(text)
+    start, end = (np.array([x[i] for x in sections], np.int64) for i in (1, 2))
+    groups = merged_sections(np.searchsorted(marks.ends, start, "right"), np.searchsorted(marks.heads, end, "left"), max(1, size // 4))
+    for first, last in groups:
+        title, begin, stop = sections[first][0], int(start[first]), int(end[last - 1])
+        note = f"section: {title}" + (f" (+{last - first - 1} short section(s) merged in)" if last - first > 1 else "")
+        head, body = Marks(title), marks.text[begin:stop]
+        room = max(1, size - len(head.ends))
+        if marks.within(begin, stop) <= room:
+            parts = [(body, 0, len(body), "")]
+        else:
+            parts = list(boundary_segments(body, room, min(overlap, room - 1)))
+        for nth, (content, s, e, _) in enumerate(parts, 1):
+            under = content if content.lstrip().startswith(head.text) else f"{head.text}\n\n{content}"
+            yield under, begin + s, begin + e, note + (f" — part {nth} of {len(parts)}" if len(parts) > 1 else "")
 
 
-_SEGMENTS = "source_key string, position int, content string, start_offset int, end_offset int, note string"
+_SEGMENTS = pa.schema([("source_key", pa.string()), ("plan", pa.int32()), ("position", pa.int32()), ("total", pa.int32()), ("content", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("note", pa.string())])
+_SEGMENTS_DDL = "source_key string, plan int, position int, total int, content string, start_offset int, end_offset int, note string"
 
 
-def segmented(docs: DataFrame, cut: Callable[[str], Iterator[Segment]]) -> DataFrame:
-    """Segments of each document's whole text, one Arrow batch of documents at a time."""
-    schema = pa.schema([("source_key", pa.string()), ("position", pa.int32()), ("content", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("note", pa.string())])
+def _cut_map(*cuts: Callable[..., Iterator[Segment]]):
+    """A map over (source_key, further columns) to the segments of each cut in turn, numbered, with their total."""
 
     def run(batches):
         for b in batches:
-            for key, whole in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows = [(key, i, *s) for i, s in enumerate(cut(whole or ""))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+            for key, *args in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                for plan, cut in enumerate(cuts):
+                    found = list(cut(*args))
+                    if found:
+                        columns = [[key] * len(found), [plan] * len(found), range(len(found)), [len(found)] * len(found), *zip(*found, strict=True)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+
+    return run
+
+
+def segmented(docs: DataFrame, *cuts: Callable[[str], Iterator[Segment]]) -> DataFrame:
+    """Segments of each document's whole text by each cut, in one pass and without a shuffle."""
+    return docs.select("source_key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_cut_map(*cuts), _SEGMENTS_DDL)
+
 
-    return docs.select("source_key", "text").mapInArrow(run, _SEGMENTS)
+def _sequential(docs: DataFrame, plans: list[tuple[str, int, int]]) -> DataFrame:
+    """Chunks of boundary and recursive plans (strategy, size, overlap), with a column plan: the place in plans."""
+    by = {"boundary": boundary_segments, "recursive": recursive_segments}
+    return numbered(segmented(docs, *[functools.partial(by[s], size=n, overlap=o) for s, n, o in plans]), [o for _, _, o in plans])
 
 
 def chunk_boundary(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    ids.parse_variant(ids.variant_id("boundary", size, overlap))
-    return identified(segmented(docs, lambda t: boundary_segments(t, size, overlap)), overlap)
+    return _sequential(docs, [ids.parse_variant(ids.variant_id("boundary", size, overlap))]).select(*CHUNK_COLUMNS)
 
 
 def chunk_recursive(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    ids.parse_variant(ids.variant_id("recursive", size, overlap))
-    return identified(segmented(docs, lambda t: recursive_segments(t, size, overlap)), overlap)
-
-
-def structural_segments(whole: str, spans: list[tuple[str, int, int]], size: int, overlap: int) -> Iterator[Segment]:
-    """One section a chunk under its heading; short ones merge forward, a short tail back; long ones are cut again."""
-    whole = whole.strip()
-    n_tokens = lambda s: len(_TOKEN.findall(s))
-    least, merged, open_at = max(1, size // 4), [], None
-    for i, (title, start, end) in enumerate(spans):
-        open_at = (title, start, i) if open_at is None else open_at
-        if n_tokens(whole[open_at[1] : end]) >= least:
-            merged.append((open_at[0], open_at[1], end, i - open_at[2] + 1))
-            open_at = None
-    if open_at is not None:
-        tail = (open_at[0], open_at[1], spans[-1][2], len(spans) - open_at[2])
-        if merged:
-            title, start, _, n = merged.pop()
-            tail = (title, start, tail[2], n + tail[3])
-        merged.append(tail)
-    for title, start, end, n in merged:
-        head, body = title.strip(), whole[start:end]
-        said = f"section: {title}" + (f" (+{n - 1} short section(s) merged in)" if n > 1 else "")
-        led = lambda t: t if not head or t.lstrip().startswith(head) else f"{head}\n\n{t}"  # noqa: B023, E731
-        room = max(1, size - n_tokens(head))
-        if n_tokens(body) <= room:
-            yield led(body), start, end, said
-            continue
-        parts = list(boundary_segments(body, room, min(overlap, room - 1)))
-        for k, (content, s, e, _) in enumerate(parts, 1):
-            yield led(content), start + s, start + e, said + (f" — part {k} of {len(parts)}" if len(parts) > 1 else "")
+    return _sequential(docs, [ids.parse_variant(ids.variant_id("recursive", size, overlap))]).select(*CHUNK_COLUMNS)
 
 
 def chunk_structural(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -210,17 +235,9 @@ def chunk_structural(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
     ids.parse_variant(ids.variant_id("structural", size, overlap))
     spans = section_spans(docs).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("position", "title", "start", "end"))).alias("spans"))
-    schema = pa.schema([("source_key", pa.string()), ("position", pa.int32()), ("content", pa.string()), ("start_offset", pa.int32()), ("end_offset", pa.int32()), ("note", pa.string())])
-
-    def run(batches):
-        for b in batches:
-            for key, whole, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                rows = [(key, i, *s) for i, s in enumerate(structural_segments(whole or "", [(x["title"], x["start"], x["end"]) for x in found], size, overlap))]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
-
-    cut = docs.select("source_key", "text").join(spans, "source_key").mapInArrow(run, _SEGMENTS)
-    return identified(cut, overlap)
+    cut = lambda text, spans: structural_segments(text, [(x["title"], x["start"], x["end"]) for x in spans], size, overlap)
+    both = docs.select("source_key", F.coalesce("text", F.lit("")).alias("text")).join(spans, "source_key")
+    return numbered(both.mapInArrow(_cut_map(cut), _SEGMENTS_DDL), [overlap]).select(*CHUNK_COLUMNS)
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {"fixed": chunk_fixed, "boundary": chunk_boundary, "recursive": chunk_recursive, "structural": chunk_structural}
@@ -229,13 +246,14 @@ if set(STRATEGIES) != set(ids.STRATEGIES):
 
 
 def chunk_all(docs: DataFrame, variants: list[str]) -> DataFrame:
-    """Chunks of all variants in one job, with a column variant. Unknown variants are refused before any work."""
-    out = None
-    for v in variants:
-        strategy, size, overlap = ids.parse_variant(v)
-        part = STRATEGIES[strategy](docs, size, overlap).withColumn("variant", F.lit(v))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Chunks of all variants in one job, with a column variant. Unknown variants are refused before any work; all
+    boundary and recursive ones are cut in one pass over the documents."""
+    plans = {v: ids.parse_variant(v) for v in variants}
+    together = [v for v in variants if plans[v][0] in ("boundary", "recursive")]
+    parts = [STRATEGIES[plans[v][0]](docs, *plans[v][1:]).withColumn("variant", F.lit(v)) for v in variants if v not in together]
+    if together:
+        parts.append(_sequential(docs, [plans[v] for v in together]).withColumn("variant", F.array(*map(F.lit, together))[F.col("plan")]).drop("plan"))
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def preview(docs: DataFrame, variant: str) -> tuple[DataFrame, DataFrame]:
@@ -256,9 +274,11 @@ def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def overlap_check(chunks: DataFrame) -> DataFrame:
-    """Tokens that each chunk repeats from the one before: the longest tail of one that begins the other, by offsets."""
+    """Tokens of each chunk that the next one of its document and variant repeats: those from the next one's start on."""
     w = Window.partitionBy("source_key", "variant").orderBy("chunk_index")
-    return chunks.withColumn("next_start", F.lead("start_offset").over(w)).withColumn("shared_chars", F.greatest(F.lit(0), F.col("end_offset") - F.col("next_start")))
+    rows = chunks.withColumn("next_start", F.lead("start_offset").over(w))
+    shared = F.greatest(F.lit(0), F.col("end_offset") - F.col("next_start"))
+    return rows.withColumn("shared_tokens", F.when(F.col("next_start").isNotNull(), F.size(text.tokens(F.right("content", shared)))))
 
 
 def locate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:

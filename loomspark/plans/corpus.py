@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, text
+from ..functions import ids
 from ..operators import chunking, status
 from ..registry import registered
 from ..sources import listing, stored
 from .tables import MODEL, VARIANT, chunks, files, pages_of, seconds, sources, table, vectors, with_cte
 
 BASE = ("files", "sources", "allchunks", "chunks")
+ALL = ("files", "allchunks")
 INDEX = (*BASE, "vectors")
 
 
-@registered("io1_scan_sources", with_cte("files", "sources", then="SELECT source_key, modified AS last_modified, size, etag FROM sources WHERE starts_with(source_key, 'src1')"))
+@registered("io1_scan_sources", with_cte("files", then="SELECT source_key, modified AS last_modified, size, etag FROM files WHERE starts_with(source_key, 'src1')"))
 def io1(spark: SparkSession, d: str) -> DataFrame:
-    return listing.scan_table(sources(spark, d), "src1").withColumn("last_modified", seconds("last_modified"))
+    return listing.scan_table(files(spark, d), "src1").withColumn("last_modified", seconds("last_modified"))
 
 
 @registered("io3_route_by_type", r"""SELECT page_id, lower(regexp_extract(url, '\.[^./]+$', 0)) AS extension, CASE WHEN lower(regexp_extract(url, '\.[^./]+$', 0)) IN ('.txt', '.md', '.pdf') THEN 'supported' ELSE 'unsupported' END AS route FROM pages""")
@@ -208,20 +209,20 @@ def c1(spark: SparkSession, d: str) -> DataFrame:
     return chunking.truncate_tokens(docs, 50).select("doc_id", "n_tokens", F.md5("text").alias("head_md5"))
 
 
-@registered("c2_chunk_fixed", with_cte(*BASE, then="SELECT source_key, chunk_index, md5(content) AS content_md5, token_count FROM chunks"))
+@registered("c2_chunk_fixed", with_cte(*ALL, then="SELECT source_key, chunk_index, md5(content) AS content_md5, token_count, end_offset - length(content) AS start_offset, end_offset FROM allchunks"))
 def c2(spark: SparkSession, d: str) -> DataFrame:
-    return chunks(spark, d).select("source_key", "chunk_index", F.md5("content").alias("content_md5"), "token_count")
+    c = chunks(spark, d, every=True)
+    return c.select("source_key", "chunk_index", F.md5("content").alias("content_md5"), F.col("token_count"), F.col("start_offset").cast("bigint"), F.col("end_offset").cast("bigint"))
 
 
-@registered("w4_chunk_identity", with_cte(*BASE, then="SELECT vector_id, document_id, chunk_index, chunk_total, CASE WHEN chunk_index = 0 THEN 0 ELSE 16 END AS overlap FROM chunks"))
+@registered("w4_chunk_identity", with_cte(*ALL, then="SELECT vector_id, document_id, chunk_index, chunk_total, CASE WHEN chunk_index = 0 THEN 0 ELSE 16 END AS overlap FROM allchunks"))
 def w4(spark: SparkSession, d: str) -> DataFrame:
-    w = chunking.fixed_windows(sources(spark, d), 64, 16)
-    return chunking.identified(w.select("source_key", "position", "content", F.lit(None).cast("int").alias("start_offset"), F.lit(None).cast("int").alias("end_offset"), F.lit("").alias("note")), 16).select("vector_id", "document_id", "chunk_index", "chunk_total", "overlap")
+    return chunks(spark, d, every=True).select("vector_id", "document_id", "chunk_index", "chunk_total", "overlap")
 
 
-@registered("a4_chunk_stats", with_cte(*BASE, then="SELECT source_key, count(*) AS n_chunks, sum(token_count)::BIGINT AS total_tokens, min(token_count) AS min_tokens, floor(median(token_count))::INT AS median_tokens, max(token_count) AS max_tokens, round(greatest(0.0, 1 - any_value(doc_tokens) / sum(token_count)), 6) AS repeated FROM chunks GROUP BY source_key"))
+@registered("a4_chunk_stats", with_cte(*ALL, then="SELECT source_key, count(*) AS n_chunks, sum(token_count)::BIGINT AS total_tokens, min(token_count) AS min_tokens, floor(median(token_count))::INT AS median_tokens, max(token_count) AS max_tokens, round(greatest(0.0, 1 - any_value(doc_tokens) / sum(token_count)), 6) AS repeated FROM allchunks GROUP BY source_key"))
 def a4(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_stats(chunks(spark, d), sources(spark, d)).drop("variant")
+    return chunking.chunk_stats(chunks(spark, d, every=True), files(spark, d)).drop("variant")
 
 
 @registered("c6_parse_variant", r"""WITH v AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'recursive-512-64' WHEN 1 THEN 'wobbly-512-64' WHEN 2 THEN 'fixed-128-128' WHEN 3 THEN 'structural-' || (64 + doc_id) || '-0' ELSE 'nonsense' END AS variant FROM documents)
@@ -233,14 +234,14 @@ def c6(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.when(ids.variant_struct("variant").isNotNull(), ids.variant_label("variant")).alias("label"))
 
 
-@registered("c7_chunk_all", with_cte(*BASE, then="""SELECT 'fixed-64-16' AS variant, count(*) AS n, sum(token_count)::BIGINT AS tokens FROM chunks UNION ALL SELECT 'fixed-96-0', sum(ceil(len(t) / 96.0))::BIGINT, sum(len(t))::BIGINT FROM wins WHERE doc_id % 23 <> 0"""))
+@registered("c7_chunk_all", with_cte(*ALL, then="""SELECT 'fixed-64-16' AS variant, source_key, count(*) AS n, sum(token_count)::BIGINT AS tokens FROM allchunks GROUP BY source_key UNION ALL SELECT 'fixed-96-0', source_key, ceil(len(t) / 96.0)::BIGINT, len(t)::BIGINT FROM wins"""))
 def c7(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunk_all(sources(spark, d), ["fixed-64-16", "fixed-96-0"]).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"))
+    return chunking.chunk_all(files(spark, d), ["fixed-64-16", "fixed-96-0"]).groupBy("variant", "source_key").agg(F.count(F.lit(1)).alias("n"), F.sum("token_count").alias("tokens"))
 
 
-@registered("c8_preview", with_cte(*BASE, then="SELECT source_key, sum(ceil(len(t) / 128.0))::BIGINT AS n_chunks FROM wins WHERE doc_id % 23 <> 0 GROUP BY 1"))
+@registered("c8_preview", with_cte(*ALL, then="SELECT source_key, ceil(len(t) / 128.0)::BIGINT AS n_chunks, len(t)::BIGINT AS total_tokens, least(128, (len(t) - 1) % 128 + 1)::INT AS min_tokens, least(128, len(t))::INT AS max_tokens FROM wins"))
 def c8(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.preview(sources(spark, d), "fixed-128-0")[1].select("source_key", "n_chunks")
+    return chunking.preview(files(spark, d), "fixed-128-0")[1].select("source_key", "n_chunks", "total_tokens", "min_tokens", "max_tokens")
 
 
 @registered("c3_chunk_boundary")
@@ -253,20 +254,21 @@ def c4(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunk_all(files(spark, d), ["recursive-64-16"])
 
 
-@registered("c9_locate_chunks", with_cte(*BASE, then=r"SELECT vector_id, CASE WHEN strpos(regexp_replace(text, '^\s+|\s+$', '', 'g'), content) > 0 THEN strpos(regexp_replace(text, '^\s+|\s+$', '', 'g'), content) - 1 ELSE 0 END AS start FROM chunks"))
+_STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+
+
+@registered("c9_locate_chunks", with_cte(*ALL, then=f""", c AS (SELECT vector_id, content, {_STRIPPED} AS doc, coalesce(lag(end_offset - length(content)) OVER (PARTITION BY source_key ORDER BY chunk_index) + 1, 0) AS cursor FROM allchunks)
+SELECT vector_id, CASE WHEN strpos(substr(doc, cursor + 1), content) > 0 THEN cursor + strpos(substr(doc, cursor + 1), content) - 1 WHEN strpos(doc, content) > 0 THEN strpos(doc, content) - 1 ELSE cursor END AS start FROM c""").replace("\n, c AS", ",\nc AS"))
 def c9(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d).select("vector_id", "source_key", "content", F.lit(0).alias("cursor"))
-    return chunking.locate_chunks(c, sources(spark, d)).select("vector_id", F.col("start").cast("bigint").alias("start"))
+    """Each chunk is searched from one character after the start of the chunk before it."""
+    before = F.lag("start_offset").over(Window.partitionBy("source_key").orderBy("chunk_index"))
+    c = chunks(spark, d, every=True).select("vector_id", "source_key", "content", F.coalesce(before + 1, F.lit(0)).alias("cursor"))
+    return chunking.locate_chunks(c, files(spark, d)).select("vector_id", F.col("start").cast("bigint").alias("start"))
 
 
-@registered("w10_overlap_check", with_cte(*BASE, then=r"""SELECT source_key, sum(greatest(0, s + length(content) - nxt))::BIGINT AS shared_chars FROM (SELECT *, lead(s) OVER (PARTITION BY source_key ORDER BY chunk_index) AS nxt FROM (SELECT *, length(array_to_string(regexp_extract_all(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s*\S+')[1:chunk_index*48], '')) + length(array_to_string(regexp_extract_all(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s*\S+')[chunk_index*48+1:chunk_index*48+64], '')) - length(content) AS s FROM chunks)) GROUP BY source_key"""))
+@registered("w10_overlap_check", with_cte(*ALL, then=r"""SELECT source_key, coalesce(sum(len(regexp_extract_all(substr(content, length(content) - (end_offset - nxt) + 1), '\s*\S+'))), 0)::BIGINT AS shared_tokens FROM (SELECT *, lead(end_offset - length(content)) OVER (PARTITION BY source_key ORDER BY chunk_index) AS nxt FROM allchunks) GROUP BY source_key"""))
 def w10(spark: SparkSession, d: str) -> DataFrame:
-    t = sources(spark, d).select("source_key", text.tokens(text.strip("text")).alias("t"))
-    c = chunks(spark, d).join(t, "source_key")
-    before = F.length(F.array_join(F.slice("t", 1, F.col("chunk_index") * 48), ""))
-    start = before + F.length(F.array_join(F.slice("t", F.col("chunk_index") * 48 + 1, 64), "")) - F.length("content")
-    c = c.withColumn("start_offset", start).withColumn("end_offset", F.col("start_offset") + F.length("content")).drop("t")
-    return chunking.overlap_check(c).groupBy("source_key").agg(F.sum("shared_chars").alias("shared_chars"))
+    return chunking.overlap_check(chunks(spark, d, every=True)).groupBy("source_key").agg(F.coalesce(F.sum("shared_tokens"), F.lit(0)).alias("shared_tokens"))
 
 
 @registered("j8_stamp_pages", with_cte("pages_of", then=r"""

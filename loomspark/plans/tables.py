@@ -62,7 +62,7 @@ CTE = {
 wins AS (SELECT *, greatest(0, ceil((len(t) - {SIZE}) / {SIZE - OVERLAP}.0))::INT + 1 AS n FROM toks WHERE len(t) > 0),
 allchunks AS (SELECT doc_id, source_key, substr(sha1(source_key), 1, 16) AS document_id, k::INT AS chunk_index, n AS chunk_total,
   substr(sha1(source_key), 1, 16) || '#' || lpad(k::VARCHAR, 5, '0') AS vector_id,
-  {_STRIP.format(f"array_to_string(t[k*{SIZE - OVERLAP}+1:k*{SIZE - OVERLAP}+{SIZE}], '')")} AS content, least({SIZE}, len(t) - k*{SIZE - OVERLAP})::INT AS token_count, len(t) AS doc_tokens, text FROM wins, unnest(range(n)) AS u(k))""",
+  {_STRIP.format(f"array_to_string(t[k*{SIZE - OVERLAP}+1:k*{SIZE - OVERLAP}+{SIZE}], '')")} AS content, length(array_to_string(t[1:k*{SIZE - OVERLAP}+{SIZE}], '')) AS end_offset, least({SIZE}, len(t) - k*{SIZE - OVERLAP})::INT AS token_count, len(t) AS doc_tokens, text FROM wins, unnest(range(n)) AS u(k))""",
     "chunks": "chunks AS (SELECT * FROM allchunks WHERE doc_id % 23 <> 0)",
     "vectors": f"""held AS (SELECT * FROM allchunks WHERE doc_id % 19 <> 0 AND NOT (doc_id % 7 = 0 AND chunk_index = chunk_total - 1 AND chunk_total > 1)),
 drift AS (SELECT * FROM held UNION ALL SELECT * REPLACE (chunk_total AS chunk_index, document_id || '#' || lpad(chunk_total::VARCHAR, 5, '0') AS vector_id) FROM held WHERE doc_id % 13 = 0 AND chunk_index = 0),

@@ -1,4 +1,6 @@
-"""Properties that hold for every strategy, and the sequential cuts on fixed inputs."""
+"""Properties that hold for every strategy, and the sequential cuts against their rules."""
+
+import re
 
 import pytest
 from hypothesis import given
@@ -6,6 +8,7 @@ from hypothesis import strategies as st
 
 from loomspark.functions import ids
 from loomspark.operators import chunking, sections
+from loomspark.plans import tables
 
 TEXT = "# Top\n\nFirst words here. " + "alpha beta gamma. " * 40 + "\n\n## Two\n" + "delta epsilon zeta eta " * 60 + "\n\n## Three\nshort tail here with enough text to be a section of its own."
 
@@ -36,6 +39,83 @@ def test_refused(variant):
         ids.parse_variant(variant)
 
 
+def by_rule(text, size, overlap):
+    """Boundary windows checked character by character: (content, note) from the rule alone."""
+    text, out = text.strip(), []
+    words = [m.span() for m in re.finditer(r"\S+", text)]
+    if len(words) <= size:
+        return [(text, "whole")] if text else []
+    first = 0
+    while first < len(words):
+        begin = words[first - 1][1] if first else 0
+        if first + size >= len(words):
+            out.append((text[begin:].strip(), "tail"))
+            break
+        piece = text[begin : words[first + size - 1][1]]
+        ends = range(len(piece), int(len(piece) * 0.75) - 1, -1)
+        blank = next((e for e in ends if e and piece[e - 1] == "\n" and re.search(r"\n\s*\n$", piece[:e]) and not re.match(r"\s*\n", piece[e:])), None)
+        stop = next((e for e in ends if e > 1 and piece[e - 1].isspace() and piece[e - 2] in ".!?"), None)
+        cut = blank if blank is not None else stop
+        content = piece[:cut].strip() if cut is not None else piece.strip()
+        if content:
+            out.append((content, "blank" if blank is not None else "sentence" if stop is not None else "limit"))
+        first += max(1, (len(content.split()) or size) - overlap)
+    return out
+
+
+def split_by_rule(text, size, level=0):
+    if len(text.split()) <= size:
+        return [text] if text else []
+    for k, separator in enumerate(["\n\n", "\n", ". ", " "][level:], level):
+        if separator in text:
+            *parts, last = text.split(separator)
+            return [piece for part in [*(x + separator for x in parts), last] for piece in split_by_rule(part, size, k + 1)]
+    return [text]  # one word more than size can't be: words are parted by a separator, or by other white space
+
+
+@given(st.text(alphabet="ab .\n!", max_size=300), st.integers(2, 9), st.integers(0, 1))
+def test_boundary_by_rule(text, size, overlap):
+    names = {"a blank line": "blank", "a sentence end": "sentence", "break in reach": "limit", "tail": "tail", "fits in one": "whole"}
+    got = [(c, next(v for k, v in names.items() if k in note)) for c, _, _, note in chunking.boundary_segments(text, size, overlap)]
+    assert got == by_rule(text, size, overlap)
+
+
+@given(st.text(alphabet="ab .\n", max_size=300), st.integers(2, 9), st.integers(0, 3))
+def test_recursive_by_rule(text, size, overlap):
+    whole = text.strip()
+    pieces = split_by_rule(whole, size)
+    marks = chunking.Marks(text)
+    edges, _ = chunking.recursive_pieces(marks, size)
+    assert [whole[a:b] for a, b in zip(edges, edges[1:], strict=False) if b > a] == pieces
+    n = [len(p.split()) for p in pieces]
+    want, first = [], 0
+    while first < len(pieces):
+        last = next(k for k in range(len(pieces), first, -1) if sum(n[first:k]) <= size or k == first + 1)
+        want += [c] if (c := "".join(pieces[first:last]).strip()) else []
+        if last == len(pieces):
+            break
+        first = next(k for k in range(first + 1, last + 1) if sum(n[k:last]) <= overlap)
+    assert [c for c, _, _, _ in chunking.recursive_segments(text, size, overlap)] == want
+
+
+@pytest.mark.parametrize("variant", ["boundary-64-16", "recursive-64-16"])
+def test_queries_by_rule(spark, data, variant):
+    strategy, docs = variant.split("-")[0], {r.source_key: r.text for r in tables.files(spark, data).collect()}
+    df = chunking.chunk_all(tables.files(spark, data), [variant])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.source_key, []).append((r.chunk_index, r.content, r.chunk_total))
+        assert docs[r.source_key].strip()[r.start_offset : r.end_offset] == r.content
+    for key, text in docs.items():
+        rows = sorted(got.get(key, []))
+        assert [i for i, _, _ in rows] == list(range(len(rows))) and {t for _, _, t in rows} <= {len(rows)}
+        if strategy == "boundary":
+            assert [c for _, c, _ in rows] == [c for c, _ in by_rule(text, 64, 16)]
+        else:
+            assert "".join(split_by_rule(text.strip(), 64)) == text.strip() and all(len(c.split()) <= 64 for _, c, _ in rows)
+
+
 @given(st.text(alphabet="ab .\n!", max_size=300), st.integers(2, 9), st.integers(0, 1))
 def test_boundary_offsets(text, size, overlap):
     whole = text.strip()
