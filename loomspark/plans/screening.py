@@ -137,7 +137,14 @@ def d5(spark: SparkSession, d: str) -> DataFrame:
     return governance.screen(table(spark, d, "documents"), mask, ONLY_MAIL).select("doc_id", "verdict", F.md5("text").alias("text_md5"))
 
 
-@registered("d6_pseudonymize")
+def _hmac_sql(value: str) -> str:
+    """HMAC-SHA256 of a column under the pseudonym key, from SHA-256 alone: both padded keys are constants."""
+    key = governance.PSEUDONYM_KEY.ljust(64, b"\0")
+    inner, outer = ("".join(f"\\x{b ^ x:02X}" for b in key) for x in (0x36, 0x5C))
+    return f"sha256('{outer}'::BLOB || unhex(sha256('{inner}'::BLOB || {value}::VARCHAR::BLOB)))"
+
+
+@registered("d6_pseudonymize", f"SELECT doc_id, 'pii-' || substr({_hmac_sql('source')}, 1, {governance.PSEUDONYM_LENGTH}) AS pseudonym FROM documents")
 def d6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", governance.pseudonym("source").alias("pseudonym"))
 
