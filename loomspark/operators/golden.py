@@ -138,35 +138,43 @@ def validate(rows: DataFrame, sections: DataFrame, found: DataFrame) -> DataFram
     """rows (set_id = source_key, row_id, position, ...; operator and operands of a derivation) with issues and status.
 
     Checks: sections_exist, keys_verbatim, keys_in_section, numeric_grounded, forbidden_grounded, refusal_shape,
-    self_check, no_duplicates. Sections and facts join by document, once.
+    self_check, no_duplicates. A document's keys and numbers are gathered and looked up in its sections once; rows are
+    joined to the verdicts, not to the text.
     """
+    no_text, no_numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
     s = sections.where("level <> 'sub'")
     whole = s.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("position", "title", norm(F.concat("title", F.lit("\n"), "body")).alias("body")))).alias("secs"))
     figures = found.groupBy("source_key").agg(F.collect_set("value").alias("figures"))
-    r = rows.join(whole, "source_key", "left").join(figures, "source_key", "left")
-    r = r.withColumn("secs", F.coalesce("secs", F.filter("secs", lambda x: F.lit(False)), F.expr("cast(array() as array<struct<position:int,title:string,body:string>>)")))
-    doc = F.array_join(F.transform("secs", lambda x: x["body"]), " ")
-    r = r.withColumn("__doc", doc)
-    cited = F.filter("secs", lambda x: F.array_contains(_list("gold_sections"), x["title"]))
-    states = lambda v: F.exists(F.coalesce("figures", F.array().cast("array<double>")), lambda f: F.abs(f - v) < 1e-9)
+    keys = F.array_distinct(F.flatten(F.collect_list(F.transform(F.concat(_list("answer_keys"), _list("forbidden_keys")), norm))))
+    numbers = F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.concat(F.array("numeric_answer"), F.coalesce("operands", no_numbers))))))
+    asked = rows.groupBy("source_key").agg(keys.alias("keys"), numbers.alias("numbers")).join(whole, "source_key", "left").join(figures, "source_key", "left")
+    every = F.coalesce("secs", F.array().cast("array<struct<position:int,title:string,body:string>>"))
+    doc = F.array_join(F.transform(every, lambda x: x["body"]), " ")
+    verdict = F.transform("keys", lambda k: F.struct(k.alias("key"), F.struct(F.contains(doc, k).alias("verbatim"), F.transform(F.filter(every, lambda x: F.contains(x["body"], k)), lambda x: x["title"]).alias("titles")).alias("v")))
+    stated = F.filter("numbers", lambda n: F.exists(F.coalesce("figures", no_numbers), lambda f: F.abs(f - n) < 1e-9))
+    checked = asked.select("source_key", F.map_from_entries(verdict).alias("verdicts"), stated.alias("stated"), F.transform(every, lambda x: x["title"]).alias("titles"))
+    r = rows.join(checked, "source_key", "left")
+    states = lambda v: F.array_contains("stated", v)
     issue = lambda name, items: F.transform(items, lambda k: F.concat(F.lit(f"{name}: "), k))
-    verbatim = lambda k: F.contains(F.col("__doc"), norm(k))
-    operands = F.coalesce("operands", F.array().cast("array<double>"))
+    of = lambda k: F.element_at("verdicts", norm(k))
+    verbatim = lambda k: of(k)["verbatim"]
+    cited = lambda k: F.exists(_list("gold_sections"), lambda t: F.array_contains(of(k)["titles"], t))
+    operands = F.coalesce("operands", no_numbers)
     computed = recomputed(F.col("operator"), operands)
     numeric = F.when(F.col("numeric_answer").isNull() | states(F.col("numeric_answer")), None).when(computed.isNull(), "not stated, no derivation").when(F.exists(operands, lambda o: ~states(o)), "derivation uses figures that are not stated").when(F.abs(computed - F.col("numeric_answer")) > DERIVATION_TOLERANCE, "derivation computes another figure")
     unanswerable = F.col("type") == "unanswerable"
     shape = F.when(unanswerable & ~F.coalesce("must_refuse", F.lit(False)), "typed unanswerable without must_refuse").when(F.coalesce("must_refuse", F.lit(False)) & ~unanswerable, "must_refuse on another type")
     low = norm("answer")
     issues = F.concat(
-        issue("sections_exist", F.filter(_list("gold_sections"), lambda t: ~F.exists("secs", lambda x: x["title"] == t))),
+        issue("sections_exist", F.filter(_list("gold_sections"), lambda t: ~F.array_contains("titles", t))),
         issue("keys_verbatim", F.filter(_list("answer_keys"), lambda k: ~verbatim(k))),
-        issue("keys_in_section", F.filter(_list("answer_keys"), lambda k: verbatim(k) & (F.size(_list("gold_sections")) > 0) & ~F.exists(cited, lambda x: F.contains(x["body"], norm(k))))),
+        issue("keys_in_section", F.filter(_list("answer_keys"), lambda k: verbatim(k) & (F.size(_list("gold_sections")) > 0) & ~cited(k))),
         issue("numeric_grounded", F.array_compact(F.array(numeric))),
         issue("forbidden_grounded", F.filter(_list("forbidden_keys"), lambda k: ~verbatim(k))),
         issue("forbidden_grounded", F.filter(_list("forbidden_keys"), lambda k: (norm(k) != "") & F.contains(low, norm(k)))),
         issue("refusal_shape", F.array_compact(F.array(shape))),
     )
-    r = r.withColumn("issues", issues).drop("secs", "figures", "__doc")
+    r = r.withColumn("issues", issues).drop("verdicts", "stated", "titles")
     own = score(r.withColumn("pred_answer", F.col("answer")).withColumn("retrieved_sections", F.lit(None).cast("array<string>")))
     r = own.withColumn("issues", F.concat("issues", F.when(~F.col("correct"), F.array(F.lit("self_check: the reference answer fails its own row"))).otherwise(F.array().cast("array<string>")))).drop("pred_answer", "retrieved_sections", "reasons", "correct", "support", "recall", "precision")
     again = duplicate_questions(rows).select("source_key", "row_id", F.lit(True).alias("again"))

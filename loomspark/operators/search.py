@@ -1,20 +1,23 @@
 """Embedding, exact similarity search inside a space, and what becomes of the matches.
 
-Questions come in blocks of bounded size that are sent to all tasks; each task keeps its own best k per question
-with NumPy, so that only k rows per question and task are shuffled. The sparse form joins on term buckets.
+Questions are sent to all tasks, in passes of bounded size; each task keeps its own best k per question with NumPy, over
+all its batches, so that only k rows per question and task are shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-#: Questions in one block, and bounds of k.
-BLOCK, K = 2048, (1, 50)
+#: Questions, and vectors, whose scores are in memory at once; bytes of questions in a pass; bounds of k; sparse width.
+BLOCK, TILE, QUESTION_BYTES, K = 1024, 1024, 64 << 20, (1, 50)
 BUCKETS = 1024
 
 
@@ -42,10 +45,99 @@ def embed(chunks: DataFrame, embedder: Callable[[list[str]], list[list[float]]],
     return chunks.mapInPandas(run, schema).withColumn("embedding_model", F.lit(model))
 
 
+def packed(rows: DataFrame, key: str) -> DataFrame:
+    """Sparse rows (key, bucket, weight) as one row a key: buckets and weights, BUCKETS of them at most."""
+    held = F.array_sort(F.collect_list(F.struct("bucket", "weight")))
+    return rows.groupBy(key).agg(held.alias("e")).select(key, F.col("e.bucket").alias("buckets"), F.col("e.weight").alias("weights"))
+
+
+def _matrix(columns: list[pa.Array]) -> np.ndarray:
+    """Rows of dense embeddings, or of buckets and weights, as a matrix."""
+    lists = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    values = lists[-1].flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(lists) == 1:
+        return values.reshape(len(lists[0]), -1)
+    out = np.zeros((len(lists[0]), BUCKETS))
+    count = lists[0].value_lengths().to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(count)), count), lists[0].flatten().to_numpy(zero_copy_only=False)] = values
+    return out
+
+
+class _Best:
+    """The k best vectors so far of each question, by score in millionths, then by id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.place, self.ids = k, np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64), None
+
+    def add(self, ids: pa.Array, score: np.ndarray) -> None:
+        """score: millionths by question and vector, -1 for no match."""
+        held = 0 if self.ids is None else len(self.ids)
+        every = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
+        rank = np.empty(len(every), np.int64)
+        rank[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+        place = np.concatenate([self.place, np.broadcast_to(held + np.arange(len(ids)), score.shape)], axis=1)
+        score = np.concatenate([self.score, score], axis=1)
+        order = np.where(score < 0, -1, score * len(every) + (len(every) - 1 - rank[place]))
+        if order.shape[1] > self.k:
+            top = np.argpartition(-order, self.k - 1, axis=1)[:, : self.k]
+            score, place = np.take_along_axis(score, top, 1), np.take_along_axis(place, top, 1)
+        used, back = np.unique(place, return_inverse=True)
+        self.score, self.place, self.ids = score, back.reshape(place.shape), every.take(pa.array(used))
+
+    def rows(self, asked: pa.Array, schema: pa.Schema) -> pa.RecordBatch:
+        at = np.nonzero(self.score >= 0)
+        ids = self.ids.take(pa.array(self.place[at]))
+        return pa.RecordBatch.from_arrays([asked.take(pa.array(at[0])), ids, pa.array(self.score[at] / 1e6)], schema=schema)
+
+
+def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: int, matched_only: bool) -> DataFrame:
+    """question_id, vector_id, score of each task's k best per question; ids of any type. Questions go out in passes of
+    QUESTION_BYTES; a task holds TILE vectors' scores for BLOCK questions at a time."""
+    if not K[0] <= k <= K[1]:
+        raise ValueError(f"k must lie in {K[0]}..{K[1]}")
+    spark = questions.sparkSession
+    q, v = questions.select("question_id", *payload).where(F.col(payload[-1]).isNotNull()), vectors.select("vector_id", *payload).where(F.col(payload[-1]).isNotNull())
+    kinds = [q.schema["question_id"].dataType, v.schema["vector_id"].dataType]
+    schema = pa.schema([("question_id", to_arrow_type(kinds[0])), ("vector_id", to_arrow_type(kinds[1])), ("score", pa.float64())])
+    ddl = f"question_id {kinds[0].simpleString()}, vector_id {kinds[1].simpleString()}, score double"
+
+    def near(rows: list) -> DataFrame:
+        matrix = _matrix([pa.array([r[p] for r in rows], pa.list_(pa.float64() if p != "buckets" else pa.int32())) for p in payload])
+        sent = spark.sparkContext.broadcast((pa.array([r.question_id for r in rows], schema.field(0).type), matrix))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked, m = sent.value
+            blocks = [(slice(i, i + BLOCK), _Best(len(m[i : i + BLOCK]), k)) for i in range(0, len(m), BLOCK)]
+            some = False
+            for b in batches:
+                for i in range(0, b.num_rows, TILE):
+                    part, some = b.slice(i, TILE), True
+                    x = _matrix(part.columns[1:]).T
+                    for at, found in blocks:
+                        dots = m[at] @ x
+                        score = np.rint(np.clip(dots, 0, 1) * 1e6).astype(np.int64)
+                        found.add(part.column(0), np.where(dots > 0, score, -1) if matched_only else score)
+            if some:
+                for at, found in blocks:
+                    yield found.rows(asked[at], schema)
+
+        return v.mapInArrow(run, ddl)
+
+    parts, held = [], []
+    for row in q.toLocalIterator():
+        held.append(row)
+        if len(held) * 8 * (BUCKETS if len(payload) > 1 else len(row[payload[0]])) >= QUESTION_BYTES:
+            parts.append(near(held))
+            held = []
+    if held or not parts:
+        parts.append(near(held) if held else spark.createDataFrame([], ddl))
+    return best(functools.reduce(DataFrame.unionByName, parts), k)
+
+
 def search_sparse(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-    """Sparse rows (question_id | vector_id, bucket, weight) to the k best per question: equi-join on the bucket."""
-    score = questions.withColumnRenamed("weight", "qw").join(corpus, "bucket").groupBy("question_id", "vector_id").agg(F.sum(F.col("qw") * F.col("weight")).alias("score"))
-    return best(score, k)
+    """Sparse rows (question_id | vector_id, bucket, weight) to the k best per question among vectors that share a bucket
+    with it: vectors are packed to a row each, then scored in blocks like dense ones."""
+    return _nearest(packed(questions, "question_id"), packed(corpus, "vector_id"), ["buckets", "weights"], k, True)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -57,41 +149,13 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, vectors: DataFrame, k: int, space: str | None = None, block: int = BLOCK) -> DataFrame:
+def search(questions: DataFrame, vectors: DataFrame, k: int, space: str | None = None) -> DataFrame:
     """question_id, vector_id, score, rank: the k nearest vectors by dot product, exactly, in one space (a partition).
 
-    questions: question_id, embedding; vectors: vector_id, embedding (and space, if one is named).
+    questions: question_id, embedding; vectors: vector_id, embedding (and space, if one is named). Ids keep their types;
+    rows without an embedding are left out.
     """
-    corpus = (vectors if space is None else vectors.where(F.col("space") == space)).select("vector_id", "embedding").where("embedding is not null")
-    spark, parts, held = questions.sparkSession, [], []
-
-    def near(names: list, matrix: np.ndarray) -> DataFrame:
-        sent = spark.sparkContext.broadcast((names, matrix))
-        schema = pa.schema([("question_id", pa.int64()), ("vector_id", pa.int64()), ("score", pa.float64())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, m = sent.value
-            for b in batches:
-                ids = b.column(0).to_numpy()
-                if not len(ids):
-                    continue
-                scores = np.round(np.clip(m @ np.array(b.column(1).to_pylist(), np.float64).T, 0, 1), 6)
-                order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asked, order.shape[1])), pa.array(ids[order].ravel()), pa.array(np.take_along_axis(scores, order, 1).ravel())], schema=schema)
-
-        return corpus.mapInArrow(run, "question_id bigint, vector_id bigint, score double")
-
-    for row in questions.select("question_id", "embedding").where("embedding is not null").toLocalIterator():
-        held.append(row)
-        if len(held) == block:
-            parts.append(near([r.question_id for r in held], np.array([r.embedding for r in held], np.float64)))
-            held = []
-    if held or not parts:
-        parts.append(near([r.question_id for r in held], np.array([r.embedding for r in held], np.float64).reshape(len(held), -1)) if held else spark.createDataFrame([], "question_id bigint, vector_id bigint, score double"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return best(out, k)
+    return _nearest(questions, vectors if space is None else vectors.where(F.col("space") == space), ["embedding"], k, False)
 
 
 def apply_threshold(matches: DataFrame, threshold: float) -> DataFrame:
@@ -106,11 +170,36 @@ def rank_matches(matches: DataFrame) -> DataFrame:
 
 
 def retrieve(questions: DataFrame, vectors: DataFrame, k: int, threshold: float, space: str | None = None) -> DataFrame:
-    """Search, threshold and rank. Questions with use_rag false get no matches; those with own chunks are left to the caller."""
+    """Search, threshold and rank. Questions with use_rag false get no matches; those with own chunks are left out (see answer_matches)."""
     asked = questions.where("use_rag") if "use_rag" in questions.columns else questions
     return rank_matches(apply_threshold(search(asked, vectors, k, space), threshold))
 
 
+def answer_matches(questions: DataFrame, vectors: DataFrame, pointer: DataFrame, k: int, threshold: float, model: str, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Matches of questions (question_id, question, and, if given, use_rag and own_chunks: array<struct<vector_id,content,
+    source>>) in the space that answers come from: question_id, vector_id, content, source_key, score, dropped, rank, embedding_model.
+
+    pointer: the one-row table of status.production; a space that holds nothing fails the job. Questions are embedded by
+    `embedder` (adds embedding) unless they have one; a match of another model fails the job. Questions that don't ask
+    for a search get no rows; those with chunks of their own get these, in their order, with score 1, and no search.
+    """
+    row = pointer.select("space", "state").first()
+    if row is None or row.state == "missing":
+        raise ValueError("the space that answers come from holds no vectors")
+    own = F.col("own_chunks") if "own_chunks" in questions.columns else F.lit(None).cast("array<struct<vector_id:string,content:string,source:string>>")
+    has_own = F.coalesce(F.size(own) > 0, F.lit(False))
+    asks = F.coalesce(F.col("use_rag"), F.lit(True)) if "use_rag" in questions.columns else F.lit(True)
+    given = questions.where(asks & has_own).select("question_id", F.posexplode(own).alias("rank", "c"))
+    given = given.select("question_id", F.col("c.vector_id").cast("string").alias("vector_id"), F.col("c.content").alias("content"), F.col("c.source").alias("source_key"), F.lit(1.0).alias("score"), F.lit(False).alias("dropped"), "rank")
+    searched = questions.where(asks & ~has_own)
+    searched = embedder(searched) if embedder and "embedding" not in searched.columns else searched
+    inside = vectors.where(F.col("space") == row.space)
+    found = retrieve(searched.select("question_id", "embedding"), inside, k, threshold)
+    found = assert_same_model(found.join(inside.select("vector_id", "content", "source_key", "embedding_model"), "vector_id"), model)
+    found = found.select("question_id", F.col("vector_id").cast("string").alias("vector_id"), "content", "source_key", "score", "dropped", "rank", "embedding_model")
+    return found.unionByName(given.withColumn("embedding_model", F.lit(model)))
+
+
 def assert_same_model(matches: DataFrame, model: str) -> DataFrame:
     """matches; the job fails where a stamped model differs from the query's. Unstamped rows pass."""
     other = (F.coalesce("embedding_model", F.lit("")) != "") & (F.col("embedding_model") != model)

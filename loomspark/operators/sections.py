@@ -131,16 +131,32 @@ def probes(chunks: DataFrame, width: int = 96, least: int = 16) -> DataFrame:
 
 
 def map_sections(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct (source_key, chunk_index, position, title) of the sections in which a chunk's probes lie."""
-    spans = section_spans(docs, found_only=True)
-    asked = probes(chunks).select("source_key", "chunk_index", F.explode("probes").alias("probe"))
-    placed = asked.join(docs.select("source_key", text.strip("text").alias("whole")), "source_key").select("source_key", "chunk_index", (F.expr("locate(probe, whole)") - 1).alias("at")).where("at >= 0")
-    return placed.join(spans, "source_key").where("at >= start and at < end").select("source_key", "chunk_index", "position", "title").distinct()
+    """Distinct (source_key, chunk_index, position, title) of the sections in which a chunk's probes lie. A document's
+    spans are one array beside its probes; no pairs of probes and sections become rows."""
+    spans = section_spans(docs, found_only=True).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "position", "title"))).alias("spans"))
+    whole = docs.select("source_key", text.strip("text").alias("whole")).join(spans, "source_key")
+    asked = probes(chunks).select("source_key", "chunk_index", "probes").join(whole, "source_key")
+    at = F.filter(F.transform("probes", lambda p: F.call_function("locate", p, F.col("whole")) - 1), lambda a: a >= 0)
+    asked = asked.select("source_key", "chunk_index", "spans", at.alias("at"))
+    hit = F.filter("spans", lambda s: F.exists("at", lambda a: (a >= s["start"]) & (a < s["end"])))
+    return asked.select("source_key", "chunk_index", F.explode(hit).alias("s")).select("source_key", "chunk_index", "s.position", "s.title").distinct()
 
 
 def stamp_pages(chunks: DataFrame, page_spans: DataFrame) -> DataFrame:
-    """chunks (start_offset, end_offset) with page_start and page_end: least and greatest page whose span they touch."""
-    touch = page_spans.select("source_key", "page", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    on = (chunks["source_key"] == touch["source_key"]) & (touch["ps"] < chunks["end_offset"]) & (touch["pe"] > chunks["start_offset"])
-    pages = chunks.join(touch, on).groupBy(chunks["source_key"], chunks["chunk_index"]).agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"))
-    return chunks.join(pages, ["source_key", "chunk_index"], "left")
+    """chunks (start_offset, end_offset) with page_start and page_end: least and greatest page whose span they touch.
+
+    A document's spans follow each other in order of pages, as assemble_pages makes them. Both sides are merged by
+    offset: the first page that ends after a chunk's start, and the last that begins before its end.
+    """
+    c = chunks.select("source_key", "chunk_index", F.col("start_offset").alias("s"), F.col("end_offset").alias("e"))
+    p = page_spans.select("source_key", "page", "start", "end")
+    none = F.lit(None).cast("int")
+    key = ["source_key", "chunk_index"]
+    # at one offset chunks come first: a span that ends at a start, or begins at an end, isn't touched
+    ends = c.select(*key, F.col("s").alias("at"), none.alias("page")).unionByName(p.select("source_key", none.alias("chunk_index"), F.col("end").alias("at"), "page"))
+    begins = c.select(*key, F.col("e").alias("at"), none.alias("page")).unionByName(p.select("source_key", none.alias("chunk_index"), F.col("start").alias("at"), "page"))
+    upto = Window.partitionBy("source_key").rowsBetween(Window.unboundedPreceding, 0)
+    first = ends.withColumn("page_start", F.min("page").over(upto.orderBy(F.col("at").desc(), F.col("page").isNotNull()))).where("chunk_index is not null").select(*key, "page_start")
+    last = begins.withColumn("page_end", F.max("page").over(upto.orderBy("at", F.col("page").isNotNull()))).where("chunk_index is not null").select(*key, "page_end")
+    pages = first.join(last, key).where("page_start <= page_end")
+    return chunks.join(pages, key, "left")

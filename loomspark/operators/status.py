@@ -105,10 +105,11 @@ def select_work(statuses: DataFrame, keys: DataFrame | None = None) -> DataFrame
 
 
 def variants(vectors: DataFrame) -> DataFrame:
-    """Spaces whose name is a chunking variant: vectors, expected total, files, whether interrupted, latest time, first model."""
+    """Spaces whose name is a chunking variant: vectors, expected total, number of files, whether interrupted, latest time,
+    first model. The files themselves are rows of indexed_keys."""
     docs = indexed_documents(vectors).where(ids.variant_struct("space").isNotNull())
     return docs.groupBy("space").agg(
-        F.sum("chunk_count").alias("vectors"), F.sum(F.coalesce("chunk_total", F.lit(0))).cast("bigint").alias("expected"), F.array_sort(F.collect_set("source_key")).alias("files"),
+        F.sum("chunk_count").alias("vectors"), F.sum(F.coalesce("chunk_total", F.lit(0))).cast("bigint").alias("expected"), F.count_distinct("source_key").alias("files"),
         F.bool_or((F.coalesce("chunk_total", F.lit(0)) != 0) & (F.col("chunk_count") < F.col("chunk_total"))).alias("interrupted"),
         F.max("embedded_at").alias("embedded_at"), F.min_by("embedding_model", "source_key").alias("embedding_model"),
     )
@@ -148,7 +149,7 @@ def index_plan(chunks: DataFrame, vectors: DataFrame, space: str, model: str, fo
     """
     document, parsed = ids.parsed_vector_id("vector_id")
     held = vectors.where((F.col("space") == space) & F.col("document_id").isNotNull()).select(F.col("document_id").alias("d"), parsed.alias("i"), F.col("vector_id").alias("held_id"), F.col("content").alias("held"), F.col("embedding_model").alias("held_model"))
-    want = chunks.select("document_id", "chunk_index", "vector_id", "content").join(chunks.select("document_id").distinct(), "document_id", "left_semi")
+    want = chunks.select("document_id", "chunk_index", "vector_id", "content")
     held = held.join(chunks.select(F.col("document_id").alias("d")).distinct(), "d", "left_semi")
     both = want.join(held, (F.col("document_id") == F.col("d")) & (F.col("chunk_index") == F.col("i")), "full_outer")
     same = F.coalesce((F.col("held") == F.col("content")) & (F.col("held_model") == model), F.lit(False)) & F.lit(not force)

@@ -151,7 +151,7 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("a2_variants", with_cte(*INDEX, "rollup", then=f"""SELECT space, sum(chunk_count)::BIGINT AS vectors, sum(chunk_total)::BIGINT AS expected, count(DISTINCT source_key) AS n_files, bool_or(chunk_total <> 0 AND chunk_count < chunk_total) AS interrupted, max(embedded)::BIGINT AS embedded, arg_min(embedding_model, source_key) AS embedding_model FROM firsts WHERE space = '{VARIANT}' GROUP BY space"""))
 def a2(spark: SparkSession, d: str) -> DataFrame:
-    return status.variants(vectors(spark, d)).select("space", "vectors", "expected", F.size("files").cast("bigint").alias("n_files"), "interrupted", seconds("embedded_at").alias("embedded"), "embedding_model")
+    return status.variants(vectors(spark, d)).select("space", "vectors", "expected", F.col("files").alias("n_files"), "interrupted", seconds("embedded_at").alias("embedded"), "embedding_model")
 
 
 @registered("a3_space_stats", with_cte(*INDEX, then="SELECT space, count(*) AS vectors FROM vectors GROUP BY ROLLUP (space)"))

@@ -11,6 +11,7 @@ from ..sources import stored
 from ..streaming import jobs
 from .corpus import _STATE
 from .scratch import fresh
+from .screening import MASK, ONLY_MAIL
 from .tables import MODEL, VARIANT, sources, table, vectors, with_cte
 
 _BASE = ("files", "sources", "allchunks", "chunks", "vectors", "rollup")
@@ -77,12 +78,11 @@ def r2(spark: SparkSession, d: str) -> DataFrame:
     return finished(jobs.dedupe_requests(e, "3650 days"), "requests", "append").select("source_key", "variant")
 
 
-@registered("r3_stream_screen", r"SELECT doc_id, 'allowed' AS verdict, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS text_md5 FROM documents WHERE NOT regexp_matches(text, '\d{3}')")
+@registered("r3_stream_screen", r"SELECT doc_id, 'allowed' AS verdict, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[EMAIL]', 'g')) AS text_md5 FROM documents")
 def r3(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, screened for addresses; r3_stream_screen_all looks for all kinds."""
     out = fresh(spark, "screened")
-    docs = stream(spark, d, "documents").where(~F.col("text").rlike(r"\d{3}"))  # no numbers: addresses are all there is to find
-    mask = {"actions": {"personal": "mask", "business": "mask", "ambiguous": "mask", "infra": "tag"}}
-    jobs.stream_screen(docs.select("doc_id", "text"), mask, out, fresh(spark, "audit"), fresh(spark, "screen-checkpoint")).awaitTermination()
+    jobs.stream_screen(stream(spark, d, "documents").select("doc_id", "text"), MASK, out, fresh(spark, "audit"), fresh(spark, "screen-checkpoint"), ONLY_MAIL).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "verdict", F.md5("text").alias("text_md5"))
 
 

@@ -69,6 +69,22 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def replace_buckets(df: DataFrame, path: str, buckets: dict) -> None:
+    """Writes df over the buckets {column: value, bucket column: numbers} of the table at path, also those that df leaves
+    empty, and no others. df may read from path: it is staged first."""
+    (outer, value), (inner, numbers) = buckets.items()
+    spark = df.sparkSession
+    stage = f"{path.rstrip('/')}-stage-{uuid.uuid4().hex}"
+    df.write.parquet(stage)
+    staged = spark.read.schema(df.schema).parquet(stage)
+    full = {r[0] for r in staged.select(inner).distinct().collect()}
+    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(outer, inner).parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for gone in [stage, *(f"{path}/{outer}={value}/{inner}={n}" for n in numbers if n not in full)]:
+        p = jvm.org.apache.hadoop.fs.Path(gone)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def merged(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """stored with changes in place of the rows of their keys: the upsert of history tables."""
     return stored.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes, allowMissingColumns=True)

@@ -7,28 +7,41 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
 from ..operators import chunking, governance, status
 from ..sources import stored
 
 
-def _index_batch(batch: DataFrame, epoch: int, path: str, space: str, model: str) -> None:
-    """One micro-batch of files: chunk, plan against the stored space, write only what changed."""
-    spark = batch.sparkSession
-    schema = "vector_id string, source_key string, document_id string, chunk_index int, chunk_total int, content string, embedding_model string, space string"
-    held = stored.read_table(spark, path, schema)
-    latest = batch.groupBy("source_key").agg(F.max_by("text", "last_modified").alias("text"))
-    _, size, overlap = status.ids.parse_variant(space)
-    chunks = chunking.chunk_fixed(latest, size, overlap)
-    plan = status.index_plan(chunks, held, space, model)
-    gone = plan.where("action = 'prune'").select("vector_id")
-    new = chunks.join(plan.where("action = 'embed'").select("vector_id"), "vector_id", "left_semi").select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content")
-    after = stored.upserted(stored.delete_vectors(held, gone, space), new, space, model)
-    stored.replace_partitions(after.select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content", "embedding_model", "space"), path, "space")
+#: Columns of the vector table, and its buckets by document, which are rewritten only where a document changed.
+_TABLE = "vector_id string, source_key string, document_id string, chunk_index int, chunk_total int, content string, source_etag string, embedded_at timestamp, embedding_model string, embedding array<float>, space string, bucket int"
+BUCKETS = 256
 
 
-def stream_index(files: DataFrame, path: str, checkpoint: str, space: str, model: str):
-    """New and changed files (source_key, text, last_modified) into the vector table; rerunning a batch changes nothing."""
-    run = functools.partial(_index_batch, path=path, space=space, model=model)
+def _index_batch(batch: DataFrame, epoch: int, path: str, space: str, model: str, embed=None) -> None:
+    """One micro-batch of files: cut as the space says, plan against the stored space, write the buckets that changed."""
+    held = stored.read_table(batch.sparkSession, path, _TABLE).where(F.col("space") == space)
+    others = [c for c in batch.columns if c not in ("source_key", "last_modified")]
+    latest = batch.groupBy("source_key").agg(F.max_by(F.struct(*others), "last_modified").alias("f")).select("source_key", "f.*")
+    etag = F.col("etag") if "etag" in others else F.md5("text")
+    latest = latest.select("source_key", "text", etag.alias("source_etag"), ids.document_id("source_key").alias("document_id")).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+    touched = [r.bucket for r in latest.select("bucket").distinct().collect()]  # BUCKETS at most
+    held = held.where(F.col("bucket").isin(touched))
+    chunks = chunking.chunk_all(latest, [space])
+    plan = status.index_plan(chunks, held, space, model)
+    new = chunks.join(plan.where("action = 'embed'").select("vector_id"), "vector_id", "left_semi")
+    new = new.join(latest.select("source_key", "source_etag", "bucket"), "source_key").select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content", "source_etag", "bucket", F.current_timestamp().alias("embedded_at"))
+    new = embed(new) if embed else new
+    empty = latest.select("document_id").join(chunks.select("document_id").distinct(), "document_id", "left_anti")
+    kept = stored.delete_documents(stored.delete_vectors(held, plan.where("action = 'prune'").select("vector_id"), space), empty, space)
+    after = stored.upserted(kept, new, space, model)
+    stored.replace_buckets(after.select(*held.columns), path, {"space": space, "bucket": touched})
+
+
+def stream_index(files: DataFrame, path: str, checkpoint: str, space: str, model: str, embed=None):
+    """New and changed files (source_key, text, last_modified, and etag if there is one) into the vector table at path, cut by
+    the variant that names the space; `embed` adds an embedding column to new rows. Vectors that a batch doesn't touch
+    keep all their columns; rerunning a batch changes nothing."""
+    run = functools.partial(_index_batch, path=path, space=space, model=model, embed=embed)
     return files.writeStream.foreachBatch(lambda b, e: run(b, e)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -37,11 +50,11 @@ def dedupe_requests(requests: DataFrame, delay: str) -> DataFrame:
     return requests.withWatermark("at", delay).dropDuplicatesWithinWatermark(["source_key", "variant"])
 
 
-def stream_screen(docs: DataFrame, policy: dict, out: str, audit_out: str, checkpoint: str):
+def stream_screen(docs: DataFrame, policy: dict, out: str, audit_out: str, checkpoint: str, recognizers=governance.RECOGNIZERS):
     """Screened text to one table and the audit of its findings to another."""
 
     def put(batch: DataFrame, epoch: int) -> None:
-        done = governance.screen(batch, policy).persist()
+        done = governance.screen(batch, policy, recognizers).persist()
         done.select("doc_id", "text", "verdict").withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(out)
         governance.audit(done).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(audit_out)
         done.unpersist()
@@ -67,3 +80,15 @@ def stream_timeline(events: DataFrame, timeout: str) -> DataFrame:
 def resume(events: DataFrame, cursor: int) -> DataFrame:
     """The rows after the last one seen."""
     return events.where(F.col("cursor") > cursor)
+
+
+def stream_replayable(events: DataFrame, ttl: str) -> DataFrame:
+    """Events (job_id, cursor, at, event) that a client may still replay: each once, for as long after its time as ttl says;
+    their state goes with the watermark, later arrivals of an older time are left out."""
+    return events.withWatermark("at", ttl).dropDuplicates(["job_id", "cursor", "at"])
+
+
+def retained(events: DataFrame, now, ttl: str) -> DataFrame:
+    """The same of a stored table: rows of jobs whose last event isn't older than ttl at `now`."""
+    last = events.groupBy("job_id").agg(F.max("at").alias("last")).where(F.col("last") >= now - F.expr(f"interval {ttl}")).select("job_id")
+    return events.join(last, "job_id", "left_semi")
