@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.text import norm
+from . import sections as _sections
 
 #: Fixed values.
 TOLERANCE, DERIVATION_TOLERANCE, SIMILAR, LEAST_QUESTION, CONTEXT_CHARS, DIGEST = 0.05, 0.25, 0.85, 12, 110, 120
 PER_SECTION, CROSS, UNANSWERABLE, ARITHMETIC = (500, 1, 5), (1.0, 2, 12), (0.45, 2, 8), 12
+MOST_VARIANTS = 1000
 TYPES, DIFFICULTIES = ("lookup", "arithmetic", "multi_hop", "unanswerable", "temporal", "distractor", "synthesis"), ("easy", "medium", "hard")
 
 
@@ -71,6 +73,44 @@ def eval_report(scores: DataFrame) -> DataFrame:
     return grouped
 
 
+def score_variants(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """A row per variant and golden row: variant, id, type, difficulty, correct, recall, precision, failed, error.
+
+    matches: variant, id, source_key, chunk_index, dropped; chunks: variant, source_key, chunk_index, content; docs:
+    source_key, text. The sections in which a row's kept matches lie are what was retrieved. answers (variant, id,
+    answer, error) are scored where given; without them `correct` is null. A row with an error is recorded as failed, and
+    neither right nor wrong.
+    """
+    kept = matches.where("not dropped").select("variant", "id", "source_key", "chunk_index").distinct()
+    used = chunks.join(kept.select("variant", "source_key", "chunk_index").distinct(), ["variant", "source_key", "chunk_index"], "left_semi")
+    titles = kept.join(_sections.map_sections(used, docs, by=("variant",)), ["variant", "source_key", "chunk_index"])
+    titles = titles.groupBy("variant", "id").agg(F.array_sort(F.collect_set("title")).alias("titles"))
+    said = answers.select("variant", "id", F.col("answer").alias("pred_answer"), "error") if answers is not None else None
+    plans = chunks.select("variant").distinct()
+    rows = _every_pair(gold, plans).join(titles, ["variant", "id"], "left")
+    rows = rows.join(said, ["variant", "id"], "left") if said is not None else rows.withColumn("pred_answer", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
+    absent = {"numeric_answer": "double", "numeric_tolerance": "double", "answer_keys": "array<string>", "forbidden_keys": "array<string>", "must_refuse": "boolean"}
+    for c, kind in absent.items():
+        rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast(kind))
+    scored = score(rows.withColumn("retrieved_sections", F.coalesce("titles", F.array().cast("array<string>"))))
+    failed = F.col("error").isNotNull()
+    correct = F.when(~failed & F.lit(answers is not None), F.col("correct"))
+    return scored.select("variant", "id", "type", "difficulty", correct.alias("correct"), F.when(~failed, F.col("recall")).alias("recall"), F.when(~failed, F.col("precision")).alias("precision"), failed.alias("failed"), "error")
+
+
+def _every_pair(gold: DataFrame, plans: DataFrame) -> DataFrame:
+    """gold once for each variant; the variants of a comparison are a handful, and named in an array."""
+    names = [r.variant for r in plans.limit(MOST_VARIANTS + 1).collect()]
+    if len(names) > MOST_VARIANTS:
+        raise ValueError(f"at most {MOST_VARIANTS} variants are compared at once")
+    return gold.withColumn("variant", F.explode(F.array(*map(F.lit, sorted(names))) if names else F.array().cast("array<string>")))
+
+
+def compare_variants_run(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """The leaderboard of all variants over all golden rows."""
+    return leaderboard(variant_totals(score_variants(gold, matches, chunks, docs, answers)))
+
+
 def variant_totals(row_scores: DataFrame) -> DataFrame:
     """Per variant: rows, correct, failed, and recall and precision over measured rows (0 where none is)."""
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c)
@@ -222,13 +262,39 @@ def renumber(rows: DataFrame) -> DataFrame:
     return rows.withColumn("question_id", F.when(live, F.format_string("Q%03d", n)).otherwise(""))
 
 
-def apply_row_updates(rows: DataFrame, updates: DataFrame) -> DataFrame:
-    """Only given fields change (question, answer, review); a change of content sets edited; ids are renumbered."""
+def withdraw(sets: DataFrame, set_ids: DataFrame, at) -> DataFrame:
+    """sets with those of set_ids marked deleted at a time; rows stay, and live() leaves them out."""
+    return _marked(sets, set_ids, F.lit(True), at)
+
+
+def restore(sets: DataFrame, set_ids: DataFrame) -> DataFrame:
+    return _marked(sets, set_ids, F.lit(False), F.lit(None))
+
+
+def _marked(sets: DataFrame, set_ids: DataFrame, deleted: Column, at) -> DataFrame:
+    asked = set_ids.select(F.col("set_id").alias("__asked")).distinct()
+    was = F.col("deleted") if "deleted" in sets.columns else F.lit(False)
+    when = F.col("deleted_at") if "deleted_at" in sets.columns else F.lit(None).cast("timestamp")
+    both = sets.join(asked, F.col("set_id") == F.col("__asked"), "left")
+    chosen = F.col("__asked").isNotNull()
+    return both.withColumn("deleted", F.when(chosen, deleted).otherwise(F.coalesce(was, F.lit(False)))).withColumn("deleted_at", F.when(chosen, at).otherwise(when).cast("timestamp")).drop("__asked")
+
+
+def apply_row_updates(rows: DataFrame, updates: DataFrame, sections: DataFrame | None = None, found: DataFrame | None = None) -> DataFrame:
+    """Only given fields change (question, answer, review); a change of content sets edited; ids are renumbered. With the
+    sections and facts of the documents, sets that hold an edited row are validated again, whole, since an edit can make
+    another row its duplicate; other sets keep their issues and status."""
     u = updates.select(F.col("row_id").alias("__id"), F.col("question").alias("__q"), F.col("answer").alias("__a"), F.col("review").alias("__r"))
     r = rows.join(u, F.col("row_id") == F.col("__id"), "left")
     r = r.withColumn("edited", F.coalesce("edited", F.lit(False)) | F.coalesce(F.col("__q").isNotNull() | F.col("__a").isNotNull(), F.lit(False)))
     r = r.withColumn("question", F.coalesce("__q", "question")).withColumn("answer", F.coalesce("__a", "answer")).withColumn("review", F.coalesce("__r", "review"))
-    return renumber(r.drop("__id", "__q", "__a", "__r"))
+    r = renumber(r.drop("__id", "__q", "__a", "__r"))
+    if sections is None:
+        return r
+    content = updates.where(F.col("question").isNotNull() | F.col("answer").isNotNull()).select("row_id")
+    touched = rows.join(content, "row_id", "left_semi").select("source_key").distinct()
+    again = validate(r.join(touched, "source_key", "left_semi").drop("issues", "status"), sections, found)
+    return r.join(touched, "source_key", "left_anti").unionByName(again, allowMissingColumns=True)
 
 
 def set_counts(sets: DataFrame, rows: DataFrame) -> DataFrame:

@@ -130,16 +130,16 @@ def probes(chunks: DataFrame, width: int = 96, least: int = 16) -> DataFrame:
     return chunks.withColumn("probes", F.array_distinct(F.filter(F.transform(parts, text.strip), lambda p: F.length(p) >= least)))
 
 
-def map_sections(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Distinct (source_key, chunk_index, position, title) of the sections in which a chunk's probes lie. A document's
+def map_sections(chunks: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct (source_key, chunk_index, further key columns `by`, position, title) of the sections in which a chunk's probes lie. A document's
     spans are one array beside its probes; no pairs of probes and sections become rows."""
     spans = section_spans(docs, found_only=True).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "position", "title"))).alias("spans"))
     whole = docs.select("source_key", text.strip("text").alias("whole")).join(spans, "source_key")
-    asked = probes(chunks).select("source_key", "chunk_index", "probes").join(whole, "source_key")
+    asked = probes(chunks).select("source_key", "chunk_index", *by, "probes").join(whole, "source_key")
     at = F.filter(F.transform("probes", lambda p: F.call_function("locate", p, F.col("whole")) - 1), lambda a: a >= 0)
-    asked = asked.select("source_key", "chunk_index", "spans", at.alias("at"))
+    asked = asked.select("source_key", "chunk_index", *by, "spans", at.alias("at"))
     hit = F.filter("spans", lambda s: F.exists("at", lambda a: (a >= s["start"]) & (a < s["end"])))
-    return asked.select("source_key", "chunk_index", F.explode(hit).alias("s")).select("source_key", "chunk_index", "s.position", "s.title").distinct()
+    return asked.select("source_key", "chunk_index", *by, F.explode(hit).alias("s")).select("source_key", "chunk_index", *by, "s.position", "s.title").distinct()
 
 
 def stamp_pages(chunks: DataFrame, page_spans: DataFrame) -> DataFrame:
