@@ -36,13 +36,12 @@ def combinations(histogram: np.ndarray, window: int) -> np.ndarray:
     have = have[have > 0]
     a = have[(2 * have <= window) & (histogram[np.minimum(window - have, len(histogram) - 1)] > 0) & (have < window)]
     pairs = np.stack([a, window - a, np.zeros_like(a)], axis=1)
-    x, y = np.meshgrid(have, have, indexing="ij")
-    z = window - x - y
-    ok = (x <= y) & (y <= z)
-    x, y, z = x[ok], y[ok], z[ok]
-    ok = histogram[z] > 0
-    triples = np.stack([x[ok], y[ok], z[ok]], axis=1)
-    return np.concatenate([pairs, triples]).astype(np.int64)
+    triples = [np.zeros((0, 3), np.int64)]
+    for x in have[3 * have <= window].tolist():
+        y = have[(have >= x) & (2 * have <= window - x)]
+        y = y[histogram[window - x - y] > 0]
+        triples.append(np.stack([np.full(len(y), x), y, window - x - y], axis=1))
+    return np.concatenate([pairs, *triples]).astype(np.int32)
 
 
 def repeat_counts(histogram: np.ndarray, combos: np.ndarray) -> np.ndarray:
@@ -89,7 +88,7 @@ def plan(tails: np.ndarray, window: int, fill: int) -> tuple[np.ndarray, np.ndar
     histogram = np.bincount(tails, minlength=window + 1)
     combos = combinations(histogram, window)
     counts = rounded(histogram, combos, repeat_counts(histogram, combos)) if len(combos) else np.zeros(0, np.int64)
-    rows = np.repeat(combos, counts, axis=0)
+    rows = np.repeat(combos, counts, axis=0).astype(np.int64)
     by_length = np.argsort(tails, kind="stable")
     begin = np.cumsum(histogram) - histogram
     slots = rows[rows > 0]

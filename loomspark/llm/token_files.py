@@ -119,8 +119,11 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, end_id: int
     Rows go out in ascending doc_id order (null doc_ids first, equal ones by text), so file order and place in
     the file give a document's place in the corpus. Null and empty texts have only the end id. Other columns
     are not read. Repeated rows are written each. No rows: no files, an empty manifest. A task that is run
-    again writes files of other names; only those of the attempt that the manifest names count.
+    again writes files of other names; only those of the attempt that the manifest names count. partitions: writing
+    tasks, 1 at least.
     """
+    if partitions is not None and partitions < 1:
+        raise ValueError("a corpus is written by one task at least")
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -52,6 +52,10 @@ def library(path):
 # --- 1
 
 
+SIZES = pytest.mark.parametrize("data", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+
+
+@SIZES
 def test_decontaminate_equals_brute_force(spark, data):
     docs = [(r.doc_id, r.text) for r in _docs(spark, data).select("doc_id", "text").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
@@ -169,6 +173,7 @@ def test_character_classes_equal_library():
     assert [points[i] for i in range(len(texts)) if got[i] != want[i]] == []
 
 
+@SIZES
 def test_token_counts_of_documents(spark, data, odd, empty):
     lib = library_byte()
     want = {r.doc_id: len(lib.encode(r.text, add_special_tokens=False).ids) for r in _docs(spark, data).collect()}
@@ -199,6 +204,7 @@ def _expected_files(rows, path):
     return out
 
 
+@SIZES
 def test_token_files(spark, data, odd, empty):
     docs = sorted((r.doc_id, r.text) for r in _docs(spark, data).collect())
     assert sorted(tuple(r) for r in token_files.op2_token_files(spark, data).collect()) == _expected_files(docs, WORD)
@@ -230,6 +236,7 @@ def check_pieces(docs, pieces, window=2048):
     return sum(n for p in sequences.values() for _, n in p) / (window * len(sequences))
 
 
+@SIZES
 @pytest.mark.parametrize("group", [16384, 40])
 def test_packing(spark, data, group):
     lib = library_byte()
@@ -362,6 +369,7 @@ def test_bundle_frames_are_independent():
 # --- 7
 
 
+@SIZES
 def test_sharding(spark, data, odd, empty):
     rows = common.saved(sharding.with_slot(_docs(spark, data)), "s")
     docs = {r.doc_id: r.text for r in _docs(spark, data).collect()}
@@ -525,6 +533,7 @@ def reference_components(fingerprints):
     return {i: find(i) for i in ids}
 
 
+@SIZES
 def test_simhash_of_documents(spark, data):
     docs = {r.doc_id: r.text for r in _docs(spark, data).collect()}
     fps = {k: reference_fingerprint(t) for k, t in docs.items()}
