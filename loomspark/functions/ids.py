@@ -61,6 +61,14 @@ def resolve_variant(named: str | None, strategy: str | None = None, size: int |
     return default
 
 
+def resolved_variant(named, strategy, size, overlap, default: str = "") -> Column:
+    """The same as a column: null where what was named, or asked for, is no variant."""
+    asked = F.concat_ws("-", col(strategy), col(size).cast("string"), col(overlap).cast("string"))
+    valid = lambda v: F.when(variant_struct(v).isNotNull(), v)
+    whole = col(strategy).isNotNull() & col(size).isNotNull() & col(overlap).isNotNull()
+    return F.when(col(named) == "", "").when(col(named).isNotNull(), valid(col(named))).when(whole, valid(asked)).otherwise(default)
+
+
 def variant_struct(variant) -> Column:
     """strategy, size, overlap; null where parse_variant refuses."""
     v = col(variant)

@@ -97,20 +97,20 @@ def v6(spark: SparkSession, d: str) -> DataFrame:
 PROMPTS = {"system": "Answer from the context.", "context_block": "Context:\n{chunks}", "no_context": "Nothing was found for: {query}"}
 
 
-@registered("v7_messages", "SELECT item_id AS question_id, CASE WHEN item_id % 4 = 1 THEN '' ELSE 'system|' END || CASE WHEN item_id % 3 = 0 THEN 'system|' WHEN item_id % 2 = 0 THEN 'system|' ELSE '' END || 'user' AS roles, length(text)::INT AS n FROM benchmark")
+@registered("v7_messages", "SELECT item_id AS question_id, md5(CASE WHEN item_id % 4 = 1 THEN '' ELSE 'system:Answer from the context.|' END || CASE WHEN item_id % 3 = 0 THEN 'system:Context:' || chr(10) || 'c' || item_id || '|' WHEN item_id % 2 = 0 THEN 'system:Nothing was found for: ' || text || '|' ELSE '' END || 'user:' || text) AS messages_md5 FROM benchmark")
 def v7(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark")
     q = b.select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), (F.col("item_id") % 2 == 0).alias("use_rag"), F.when(F.col("item_id") % 4 == 1, " ").alias("system_prompt"))
-    m = search.messages(q, b.where("item_id % 3 = 0").select(F.col("item_id").alias("question_id"), F.lit("c").alias("context")), PROMPTS)
-    return m.select("question_id", F.array_join(F.transform("messages", lambda x: x["role"]), "|").alias("roles"), F.length(F.element_at("messages", -1)["content"]).alias("n"))
+    m = search.messages(q, b.where("item_id % 3 = 0").select(F.col("item_id").alias("question_id"), F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("context")), PROMPTS)
+    return m.select("question_id", F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|")).alias("messages_md5"))
 
 
-@registered("v9_splice_tables", "SELECT doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END AS warned, CASE WHEN doc_id % 3 = 0 THEN length(text) + 7 ELSE length(text) + 2 + 3 + 2 + length('[Table 001](table://' || doc_id || '/table-001)') END::INT AS n FROM documents")
+@registered("v9_splice_tables", """SELECT doc_id::VARCHAR AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'table-001: not found in the document text; left as-is.' ELSE '' END AS warned, length(x)::INT AS n, md5(x) AS text_md5 FROM (SELECT doc_id, text || chr(10) || CASE WHEN doc_id % 3 = 0 THEN '|a|b|' ELSE 'abc' || chr(10) || chr(10) || '[Table 001](table://' || doc_id || '/table-001)' END || chr(10) AS x FROM documents)""")
 def v9(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.concat("text", F.lit("\n|a|b|\n")).alias("text"), F.array(F.struct(F.lit(1).alias("page"), F.lit(0).alias("start"), (F.length("text") + 7).alias("end"))).alias("spans"))
     t = docs.select("document_id", F.lit("table-001").alias("table_id"), F.when(F.col("document_id").cast("bigint") % 3 == 0, "|x|").otherwise("|a|b|").alias("markdown"), F.lit(None).cast("int").alias("page"), F.lit("").alias("caption"))
     out = search.splice_tables(docs, t, t.select("document_id", "table_id", F.lit("abc").alias("description")))
-    return out.select("document_id", F.size("warnings").alias("warned"), F.col("spans")[0]["end"].alias("n"))
+    return out.select("document_id", F.array_join("warnings", "; ").alias("warned"), F.col("spans")[0]["end"].alias("n"), F.md5("text").alias("text_md5"))
 
 
 @registered("j17_active_prompts", "SELECT DISTINCT lang AS prompt_id, CASE WHEN lang = 'en' THEN 'own' ELSE 'default ' || lang END AS template, lang = 'en' AS overridden FROM documents")
@@ -160,10 +160,13 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
     return golden.eval_report(golden.score_predictions(gold(spark, d), predictions(spark, d)))
 
 
-@registered("u1_section_metrics", "SELECT doc_id AS id, CASE WHEN doc_id % 13 <> 0 AND doc_id % 7 <> 0 THEN 0.5 END AS recall FROM documents")
+@registered("u1_section_metrics", "SELECT doc_id AS id, CASE WHEN cited THEN hits / 2 END AS recall, CASE WHEN cited THEN CASE WHEN n = 0 THEN 0.0 ELSE hits / n END END AS precision FROM (SELECT doc_id, doc_id % 13 <> 0 AND doc_id % 7 <> 0 AS cited, (n_chars % 2 = 0)::INT + (n_chars % 3 = 0)::INT AS hits, (n_chars % 2 = 0)::INT + (n_chars % 3 = 0)::INT + (n_chars % 5 = 0)::INT AS n FROM documents)")
 def u1(spark: SparkSession, d: str) -> DataFrame:
-    g = gold(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 != 0, F.array(F.upper("source"), F.lit("x"))).alias("found")), "id")
-    return g.select("id", golden.section_metrics(F.col("gold_sections"), F.col("found"))[0].alias("recall"))
+    if_even = lambda k, title: F.when(F.col("n_chars") % k == 0, title)
+    found = F.array_compact(F.array(if_even(2, F.concat(F.lit("  "), F.upper("source"))), if_even(3, F.initcap("lang")), if_even(5, F.lit("elsewhere")), if_even(2, F.col("source"))))
+    g = gold(spark, d).join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 13 != 0, found).alias("found")), "id")
+    recall, precision = golden.section_metrics(F.col("gold_sections"), F.col("found"))
+    return g.select("id", recall.alias("recall"), precision.alias("precision"))
 
 
 def variant_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -219,9 +222,14 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return golden.fact_counts(golden.facts(fact_sections(spark, d)))
 
 
-@registered("l6_render_digest", f"WITH {_FACTS} SELECT source_key, least(120, count(*)) AS n_lines FROM fv GROUP BY 1")
+@registered("l6_render_digest", r"""WITH l AS (SELECT source || '/' || (doc_id // 1000) AS source_key, doc_id, string_split('It has ' || format('{:,}', n_chars) || ' characters, no. ' || doc_id || ' of 1,000.5 and 1,000.5' || chr(10) || text, chr(10)) AS lines FROM documents),
+m AS (SELECT source_key, doc_id, i, lines[i] AS line, regexp_extract_all(lines[i], '-?\d[\d,]*(?:\.\d+)?') AS toks FROM l, unnest(range(1, len(lines) + 1)) u(i)),
+f AS (SELECT source_key, doc_id, i, j, toks[j] AS token, left(trim(regexp_replace(line, '\s+', ' ', 'g')), 110) AS context FROM m, unnest(range(1, len(toks) + 1)) u(j)),
+o AS (SELECT * FROM f WHERE context <> '' AND try_cast(replace(token, ',', '') AS DOUBLE) IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source_key, doc_id, token, context ORDER BY i, j) = 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY doc_id, i, j) AS nth FROM o QUALIFY nth <= 120)
+SELECT source_key, md5(string_agg('[doc-' || doc_id || '] ' || token || ' — ' || context, chr(10) ORDER BY nth)) AS digest_md5, count(*) AS n_lines FROM n GROUP BY 1""")
 def l6(spark: SparkSession, d: str) -> DataFrame:
-    return golden.render_digest(golden.facts(fact_sections(spark, d))).select("source_key", F.size(F.split("digest", "\n")).cast("bigint").alias("n_lines"))
+    return golden.render_digest(golden.facts(fact_sections(spark, d))).select("source_key", F.md5("digest").alias("digest_md5"), F.size(F.split("digest", "\n")).cast("bigint").alias("n_lines"))
 
 
 @registered("g3_quota", r"""WITH s AS (SELECT source || '/' || (doc_id // 1000) AS source_key, length(regexp_replace('It has ' || format('{:,}', n_chars) || ' characters, no. ' || doc_id || ' of 1,000.5 and 1,000.5' || chr(10) || text, '\s+$', '')) AS n FROM documents)
@@ -375,16 +383,20 @@ def l2(spark: SparkSession, d: str) -> DataFrame:
     return traces.list_traces(trace_table(spark, d), eval_table(spark, d), 50, 20).select("trace_id", F.unix_timestamp("created_at").alias("created"))
 
 
-@registered("t4_trace_detail", f"WITH {_T} SELECT trace_id, 4::BIGINT AS n_chunks, CASE WHEN trace_id % 4 <> 0 THEN 5 END::BIGINT AS n_evals FROM t")
+@registered("t4_trace_detail", f"WITH {_T} SELECT trace_id, (SELECT string_agg(rank || ':' || vector_id || ':' || dropped, ',' ORDER BY rank) FROM c WHERE c.trace_id = t.trace_id) AS chunks, (SELECT string_agg(eval_id || ':' || target || ':' || verdict || ':' || deleted, ',' ORDER BY eval_id) FROM e WHERE e.trace_id = t.trace_id) AS evals FROM t")
 def t4(spark: SparkSession, d: str) -> DataFrame:
     x = traces.trace_detail(trace_table(spark, d), chunk_table(spark, d), eval_table(spark, d))
-    return x.select("trace_id", F.expr("cast(size(chunks) as bigint)").alias("n_chunks"), F.expr("cast(if(evaluations is null, null, size(evaluations)) as bigint)").alias("n_evals"))
+    shown = lambda c, names: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, lambda r: F.concat_ws(":", *[r[n].cast("string") for n in names])), ","))
+    return x.select("trace_id", shown("chunks", ("rank", "vector_id", "dropped")).alias("chunks"), shown("evaluations", ("eval_id", "target", "verdict", "deleted")).alias("evals"))
 
 
-@registered("io13_export_evaluations", f"WITH {_T} SELECT trace_id, round(trace_id / 1e7, 8) AS cost, (SELECT count(DISTINCT target) FROM e WHERE e.trace_id = t.trace_id AND NOT deleted) AS targets FROM t WHERE trace_id IN (SELECT trace_id FROM e WHERE NOT deleted)")
+@registered("io13_export_evaluations", f"WITH {_T}, v AS (SELECT trace_id, target, arg_max(verdict, eval_id) AS verdict, count(*) AS n FROM e WHERE NOT deleted GROUP BY ALL) SELECT trace_id, md5(question) AS question_md5, round(trace_id / 1e7, 8) AS cost, (SELECT string_agg(vector_id, ',' ORDER BY rank) FROM c WHERE c.trace_id = t.trace_id) AS chunks, (SELECT round(max(score), 6) FROM c WHERE c.trace_id = t.trace_id) AS top, (SELECT string_agg(target || ':' || verdict || ':' || n, ',' ORDER BY target) FROM v WHERE v.trace_id = t.trace_id) AS verdicts FROM t WHERE trace_id IN (SELECT trace_id FROM v)")
 def io13(spark: SparkSession, d: str) -> DataFrame:
     x = traces.export_evaluations(trace_table(spark, d), chunk_table(spark, d), eval_table(spark, d))
-    return x.select("trace_id", F.get_json_object("value", "$.total_cost").cast("double").alias("cost"), F.size(F.from_json(F.get_json_object("value", "$.evaluations"), "map<string,string>")).cast("bigint").alias("targets"))
+    record = F.from_json("value", "question string, total_cost double, chunks array<struct<vector_id:string,score:double>>, evaluations map<string,array<struct<verdict:string>>>")
+    x = x.select("trace_id", record.alias("r"))
+    latest = F.transform(F.array_sort(F.map_keys("r.evaluations")), lambda k: F.concat_ws(":", k, F.element_at("r.evaluations", k)[0]["verdict"], F.size(F.element_at("r.evaluations", k)).cast("string")))
+    return x.select("trace_id", F.md5("r.question").alias("question_md5"), F.col("r.total_cost").alias("cost"), F.array_join("r.chunks.vector_id", ",").alias("chunks"), F.col("r.chunks")[0]["score"].alias("top"), F.array_join(latest, ",").alias("verdicts"))
 
 
 @registered("j14_prune_traces", f"WITH {_T}, m AS (SELECT max(created) AS now FROM t) SELECT trace_id, (SELECT count(*) FROM c WHERE c.trace_id = t.trace_id) AS n_chunks FROM t, m WHERE created >= now - 2592000 OR trace_id IN (SELECT trace_id FROM e)")
@@ -395,15 +407,13 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     return kept.join(c.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n_chunks")), "trace_id").select("trace_id", "n_chunks")
 
 
-@registered("j18_delete_trace", f"WITH {_T} SELECT 'traces' AS tab, count(*) AS n FROM t WHERE trace_id % 2 = 1 UNION ALL SELECT 'chunks', count(*) FROM c WHERE trace_id % 2 = 1 UNION ALL SELECT 'evals', count(*) FROM e WHERE trace_id % 2 = 1")
+@registered("j18_delete_trace", f"WITH {_T} SELECT 'traces' AS tab, trace_id AS key FROM t WHERE trace_id % 2 = 1 UNION ALL SELECT 'chunks', trace_id * 10 + rank FROM c WHERE trace_id % 2 = 1 UNION ALL SELECT 'evals', eval_id FROM e WHERE trace_id % 2 = 1")
 def j18(spark: SparkSession, d: str) -> DataFrame:
     t = trace_table(spark, d)
     left = traces.delete_traces(t.where("trace_id % 2 = 0"), t, chunk_table(spark, d), eval_table(spark, d))
-    out = None
-    for name, df in zip(("traces", "chunks", "evals"), left, strict=True):
-        n = df.agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"))
-        out = n if out is None else out.unionByName(n)
-    return out
+    keys = F.col("trace_id"), F.col("trace_id") * 10 + F.col("rank"), F.col("eval_id")
+    parts = [df.select(F.lit(name).alias("tab"), k.alias("key")) for name, df, k in zip(("traces", "chunks", "evals"), left, keys, strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @registered("a11_distinct_models", f"WITH {_T} SELECT DISTINCT model FROM t")

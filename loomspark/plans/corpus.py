@@ -187,9 +187,9 @@ def t8(spark: SparkSession, d: str) -> DataFrame:
     return status.select_work(st, files(spark, d).where("doc_id % 4 = 0"))
 
 
-@registered("v4_production", with_cte(*INDEX, "rollup", then=f"SELECT '{VARIANT}' AS space, 'ready' AS state, (SELECT sum(chunk_count)::BIGINT FROM firsts WHERE space = '{VARIANT}') AS vectors"))
+@registered("v4_production", with_cte(*INDEX, "rollup", then=f"SELECT p.space, CASE WHEN p.space = '' THEN 'original' WHEN n IS NULL THEN 'missing' ELSE 'ready' END AS state, n AS vectors FROM (VALUES (''), ('{VARIANT}'), ('fixed-999-0')) p(space) LEFT JOIN (SELECT space, sum(chunk_count)::BIGINT AS n FROM firsts WHERE space <> '' GROUP BY 1) USING (space)"))
 def v4(spark: SparkSession, d: str) -> DataFrame:
-    pointer = spark.createDataFrame([(VARIANT,)], "space string")
+    pointer = spark.createDataFrame([("",), (VARIANT,), ("fixed-999-0",)], "space string")
     return status.production(pointer, status.variants(vectors(spark, d))).select("space", "state", "vectors")
 
 

@@ -8,13 +8,14 @@ from pyspark.sql import types as T
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """Rows of a JSONL file; the job fails on a line that isn't JSON or has no id, and says which."""
+    """Rows of a JSONL file; the job fails on a line that isn't JSON or has no id, and says its file and its text (the
+    lines of a file that is read in splits have no numbers)."""
     schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     lines = spark.read.text(path, wholetext=False).where(F.trim("value") != "")
     row = F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
     parsed = lines.withColumn("row", row)
     bad = F.col("row").isNull() | F.col("row._bad").isNotNull() | F.col("row.id").isNull()
-    said = F.concat(F.lit("bad line: "), F.substring("value", 1, 200))
+    said = F.concat(F.lit("bad line in "), F.col("_metadata.file_path"), F.lit(": "), F.substring("value", 1, 200))
     first = schema.fields[0]
     checked = parsed.withColumn("id0", F.when(bad, F.raise_error(said).cast(first.dataType)).otherwise(F.col(f"row.{first.name}")))
     return checked.select(F.col("id0").alias(first.name), *[F.col(f"row.{f.name}").alias(f.name) for f in schema.fields[1:]])

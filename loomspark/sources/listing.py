@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import ids, text
 
 #: Content types by extension, the pipeline's own prefix, the largest upload.
 TYPES = {".txt": "text/plain", ".md": "text/markdown", ".pdf": "application/pdf"}
@@ -53,6 +53,22 @@ def decode_text(files: DataFrame) -> DataFrame:
     return files.withColumn("text", F.coalesce(plain, other(F.when(~F.is_valid_utf8(F.col("content").cast("string")), F.col("content")))))
 
 
+#: How the text of a format is got: extension -> a transform of (source_key, content, ...) that adds text. A format more is
+#: a row more; formats that are known but not listed here (.pdf) are routed and left without text.
+EXTRACTORS: dict[str, Callable[[DataFrame], DataFrame]] = {".txt": decode_text, ".md": decode_text, ".markdown": decode_text}
+
+
+def extract_text(files: DataFrame, extractors: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
+    """files (source_key, content) with extension, text and extracted (whether there was an extractor for the extension)."""
+    table = EXTRACTORS | (extractors or {})
+    rows = files.withColumn("extension", text.extension("source_key"))
+    out = rows.where(~F.col("extension").isin(*table)).withColumn("text", F.lit(None).cast("string")).withColumn("extracted", F.lit(False))
+    for extract in dict.fromkeys(table.values()):
+        kinds = [x for x, f in table.items() if f is extract]
+        out = out.unionByName(extract(rows.where(F.col("extension").isin(*kinds))).withColumn("extracted", F.lit(True)))
+    return out
+
+
 def route_by_type(files: DataFrame) -> DataFrame:
     """files with extension and route; unsupported ones stay, labelled."""
     return files.withColumn("extension", text.extension("source_key")).withColumn("route", F.when(F.col("extension").isin(*TYPES), "supported").otherwise("unsupported"))
@@ -105,7 +121,10 @@ def classify_uploads(incoming: DataFrame, sources: DataFrame) -> DataFrame:
     return both.withColumn("outcome", F.when(F.col("k").isNull(), "created").when(F.coalesce(F.col("e") == F.col("md5"), F.lit(False)), "identical").otherwise("conflict")).drop("k", "e")
 
 
-def replace_sources(sources: DataFrame, incoming: DataFrame, vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sources with incoming rows in place of theirs, vectors without any of the replaced keys)."""
+def replace_sources(sources: DataFrame, incoming: DataFrame, vectors: DataFrame, *derived: DataFrame) -> tuple[DataFrame, ...]:
+    """(sources with incoming rows in place of theirs, vectors without any of the replaced keys, and each derived table,
+    extractions and table artifacts by document_id, without what was made of the replaced files)."""
     keys = incoming.select("source_key").distinct()
-    return sources.join(keys, "source_key", "left_anti").unionByName(incoming), vectors.join(keys, "source_key", "left_anti")
+    documents = keys.select(ids.document_id("source_key").alias("document_id"))
+    kept = sources.join(keys, "source_key", "left_anti").unionByName(incoming), vectors.join(keys, "source_key", "left_anti")
+    return (*kept, *(d.join(documents, "document_id", "left_anti") for d in derived))
