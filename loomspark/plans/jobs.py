@@ -27,12 +27,15 @@ def t9(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sweep(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """A sweep over a stored index, as it would find one."""
-    path = fresh(spark, "vectors")
-    v = vectors(spark, d)
-    v.write.partitionBy("space").parquet(path)
-    held = spark.read.schema(v.schema).parquet(path).withColumn("space", F.coalesce("space", F.lit("")))
-    return sweep.index_sweep(sources(spark, d), held, "", VARIANT, MODEL)
+    """A sweep over the stored index."""
+    return sweep.index_sweep(sources(spark, d), vectors(spark, d), "", VARIANT, MODEL, keep=kept)
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written in the shared folder and read back."""
+    path = fresh(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @registered("t9_index_sweep_vectors", with_cte(*_BASE, then=f", {_TODO} SELECT vector_id, md5(content) AS content_md5 FROM vectors WHERE space = '' AND vector_id NOT IN (SELECT vector_id FROM p WHERE a <> 'reuse') AND source_key NOT IN (SELECT source_key FROM stale WHERE source_key NOT IN (SELECT source_key FROM w)) UNION ALL SELECT c.vector_id, md5(content) FROM chunks c JOIN p ON c.vector_id = p.vector_id AND p.a = 'embed'").replace("\n, stale", ",\nstale"))

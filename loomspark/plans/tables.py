@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ids, text
 from ..operators import chunking
+from .scratch import stored
 
 SIZE, OVERLAP, MODEL, OLD_MODEL, VARIANT = 64, 16, "hash-1024", "hash-512", "fixed-64-16"
 
@@ -39,6 +40,11 @@ def chunks(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The index as it lies in its store."""
+    return stored(spark, d, "vectors", lambda: _indexed(spark, d))
+
+
+def _indexed(spark: SparkSession, d: str) -> DataFrame:
     f = files(spark, d)
     n = F.regexp_extract("source_key", r"(\d+)\.txt$", 1).cast("bigint")
     c = chunks(spark, d, every=True).withColumn("n", n).where("n % 19 <> 0")

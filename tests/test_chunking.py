@@ -1,11 +1,13 @@
 """Properties that hold for every strategy, and the sequential cuts against their rules."""
 
+import hashlib
 import re
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from loomspark import registry
 from loomspark.functions import ids
 from loomspark.operators import chunking, sections
 from loomspark.plans import tables
@@ -133,6 +135,21 @@ def test_recursive_keeps_all_text(text, size):
     assert "".join("".join(p[0] for p in parts).split()) == "".join(whole.split())
 
 
+def test_split_and_section_spans(spark, data):
+    """Default slices by the rule; every section's span in its document holds its body."""
+    docs = {r.source_key: r.text for r in tables.files(spark, data).collect()}
+    got = {}
+    for r in registry.queries()["c10_split_text"](spark, data).collect():
+        got.setdefault(r.source_key, []).append((r.position, r.content_md5))
+    for key, text in docs.items():
+        assert [m for _, m in sorted(got.get(key, []))] == [hashlib.md5(c.encode()).hexdigest() for c, _ in by_rule(text, 400, 0)]
+    f = tables.files(spark, data)
+    bodies = {(r.source_key, r.position): r.body for r in sections.sections(f).collect()}
+    spans = sections.section_spans(f, found_only=True).collect()
+    assert len(spans) > len(docs) / 2
+    assert all(docs[r.source_key].strip()[r.start : r.end] == bodies[r.source_key, r.position] for r in spans)
+
+
 def test_section_mapping(spark):
     body = " ".join(f"word{i}" for i in range(60))
     other = " ".join(f"term{i}" for i in range(60))

@@ -59,3 +59,43 @@ def test_where_answers_come_from(spark):
         search.answer_matches(q, v, at("s", "missing"), 5, 0.5, "m")
     with pytest.raises(Exception, match="embedded with old"):
         search.answer_matches(q, v, at("t", "ready"), 5, 0.5, "m").collect()
+
+
+def validated_by_hand(rows, sections, figures):
+    """{row_id: issues} by the rules, with plain strings."""
+    import re
+
+    n = lambda t: re.sub(r"\s+", " ", t or "").strip().lower()
+    out, seen = {}, {}
+    for r in sorted(rows, key=lambda r: r.position):
+        secs = [(t, n(f"{t}\n{b}")) for t, b in sections[r.source_key]]
+        doc, issues = " ".join(b for _, b in secs), []
+        issues += [f"sections_exist: {t}" for t in r.gold_sections or [] if t not in dict(secs)]
+        issues += [f"keys_verbatim: {k}" for k in r.answer_keys or [] if n(k) not in doc]
+        issues += [f"keys_in_section: {k}" for k in r.answer_keys or [] if n(k) in doc and r.gold_sections and not any(n(k) in b for t, b in secs if t in r.gold_sections)]
+        stated = lambda x: any(abs(x - f) < 1e-9 for f in figures.get(r.source_key, ()))  # noqa: B023, E731
+        if r.numeric_answer is not None and not stated(r.numeric_answer):
+            issues.append("numeric_grounded: " + ("not stated, no derivation" if not r.operands else "derivation uses figures that are not stated"))
+        issues += [f"forbidden_grounded: {k}" for k in r.forbidden_keys or [] if n(k) not in doc]
+        issues += [f"forbidden_grounded: {k}" for k in r.forbidden_keys or [] if n(k) and n(k) in n(r.answer)]
+        if (r.type == "unanswerable") != bool(r.must_refuse):
+            issues.append("refusal_shape: " + ("typed unanswerable without must_refuse" if r.type == "unanswerable" else "must_refuse on another type"))
+        out[r.row_id] = issues
+        seen.setdefault(r.source_key, []).append(r)
+    return out
+
+
+def test_validation_equals_rules(spark, data):
+    from loomspark.plans import answers
+
+    s = answers.fact_sections(spark, data)
+    rows, found = answers.gold_rows(spark, data).collect(), golden.facts(s).collect()
+    secs, figures = {}, {}
+    for r in sorted(s.where("level <> 'sub'").collect(), key=lambda r: r.position):
+        secs.setdefault(r.source_key, []).append((r.title, r.body))
+    for r in found:
+        figures.setdefault(r.source_key, set()).add(r.value)
+    want = validated_by_hand(rows, secs, figures)
+    got = {r.row_id: r.issues for r in golden.validate(answers.gold_rows(spark, data), s, golden.facts(s)).collect()}
+    own = lambda issues: sorted(i for i in issues if not i.startswith(("self_check", "no_duplicates")))
+    assert {k: own(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}

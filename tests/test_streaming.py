@@ -31,6 +31,34 @@ def test_index_follows_files(spark, tmp_path):
     assert key(spark.read.parquet(out)) == key(want)
 
 
+def test_index_cuts_as_the_space_says_and_keeps_columns(spark, tmp_path):
+    """A boundary space over two batches: what a batch doesn't touch keeps its embedding, an emptied file leaves nothing."""
+    src, out, cp = str(tmp_path / "in"), str(tmp_path / "vec"), str(tmp_path / "cp")
+    text = "First words here. " + "alpha beta gamma. " * 60 + "\n\n" + "delta epsilon " * 50
+    embed = lambda df: df.withColumn("embedding", F.array(F.length("content").cast("float")))
+    go = lambda: jobs.stream_index(spark.readStream.schema(FILES).parquet(src), out, cp, "boundary-64-16", "m", embed).awaitTermination(120)
+    _files(spark, [("a.txt", text), ("b.txt", "y " * 200), ("c.txt", "gone " * 10)], src)
+    go()
+    before = {r.vector_id: r for r in spark.read.parquet(out).where("source_key = 'b.txt'").collect()}
+    _files(spark, [("a.txt", text + " And a new end."), ("c.txt", " ")], src)
+    go()
+    want = chunking.chunk_all(spark.createDataFrame([("a.txt", text + " And a new end."), ("b.txt", "y " * 200)], "source_key string, text string"), ["boundary-64-16"])
+    now = spark.read.parquet(out).collect()
+    assert sorted((r.vector_id, r.content, r.chunk_total) for r in now) == sorted((r.vector_id, r.content, r.chunk_total) for r in want.collect())
+    assert all(r.embedding == [float(len(r.content))] and r.source_etag for r in now)
+    assert {r.vector_id: r for r in now if r.source_key == "b.txt"} == before
+
+
+def test_indexed_in_two_batches_equals_batch(spark, data):
+    from loomspark import registry
+    from loomspark.plans import tables
+
+    f = tables.files(spark, data).withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit(" And more."))).otherwise(F.col("text")))
+    want = chunking.chunk_all(f, ["boundary-64-16"]).select("vector_id", "chunk_index", F.md5("content").alias("m")).collect()
+    got = registry.queries()["r1_stream_index_boundary"](spark, data).collect()
+    assert sorted((r.vector_id, r.chunk_index, r.content_md5) for r in got) == sorted(map(tuple, want)) and all(r.embedding_model for r in got)
+
+
 def test_totals_equal_batch(spark, data, tmp_path):
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "event_type", "value")
     e.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "ev"))

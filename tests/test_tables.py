@@ -143,3 +143,12 @@ def test_chunk_in_sql(spark):
         got = [r.content for r in spark.sql(f"SELECT c.* FROM sql_docs, LATERAL chunk(text, '{v}') c ORDER BY position").collect()]
         assert got == [r.content for r in chunking.chunk_all(docs, [v]).orderBy("chunk_index").collect()]
     assert ids.resolve_variant("fixed-64-16", "boundary", 128, 0) == "fixed-64-16" and ids.resolve_variant(None, "boundary", 128, 0) == "boundary-128-0" and ids.resolve_variant(None) == ""
+
+
+def test_values_read_back(spark):
+    from loomspark.functions import values
+
+    df = spark.createDataFrame([("1704067200.5",), ("x",), (None,), ("nan",), ("1e400",), ("-3.9",), ("",), ("99999999999999",)], "v string")
+    rows = df.select(values.from_epoch("v").cast("string").alias("at"), values.as_count("v").alias("n"), values.as_page("v").alias("p")).collect()
+    assert [r.at for r in rows] == ["2024-01-01 00:00:00.5", None, None, None, None, "1969-12-31 23:59:56.1", None, None]
+    assert [r.n for r in rows] == [1704067200, 0, 0, 0, 0, -3, 0, 99999999999999] and [r.p for r in rows][1:7] == [None, None, None, None, -3, None]
