@@ -134,7 +134,7 @@ def _bisected(values: np.ndarray, order: np.ndarray, shift: int, low: np.ndarray
         if not open_ones.any():
             return low
         middle = (low + high) >> 1
-        found = values[order[np.minimum(middle, len(order) - 1)] + shift]
+        found = values[np.minimum(order[np.minimum(middle, len(order) - 1)] + shift, len(values) - 1)]  # a closed range may lie at the end
         below = (found <= wanted) if right else (found < wanted)
         low = np.where(open_ones & below, middle + 1, low)
         high = np.where(open_ones & ~below, middle, high)

@@ -75,6 +75,15 @@ def test_search_shard(texts, items):
     assert got == sorted((t, i, *m) for t, text in enumerate(texts) for i, item in enumerate(items) for m in longest_by_hand(text, item, 3))
 
 
+def test_ranges_at_the_end_of_the_shard():
+    """The last suffix of a shard is also the greatest, and windows are longer than what is left of it."""
+    tests = decontaminate.TestSet([("0", b"a a b b c c c"), ("1", b"c c c c c c c c c c c")])
+    for text in ("x c", "c", "b c c", "a a b b c c c", "c " * 11):
+        _, hit, pairs, _ = decontaminate.search_shard(tests, *common.flat(pa.array([text], pa.string())))
+        want = decontaminate.brute_force([(0, text)], [(0, "a a b b c c c"), (1, "c c c c c c c c c c c")])[0]
+        assert (int(hit.sum()), pairs.shape[1]) == want[2:4]
+
+
 def longest_by_hand(text, item, window):
     """(item word, word, words) of each match that can't be made longer."""
     a, b = (re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower()) for t in (item, text))
