@@ -87,8 +87,18 @@ def seconds(c: str):
 
 
 def pages_of(spark: SparkSession, d: str) -> DataFrame:
-    """source_key, page, text: the documents of a source and language as pages 1, 2, ... by doc_id, thirty a file."""
-    docs = table(spark, d, "documents").withColumn("n", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) - 1)
+    """source_key, page, text: the documents of a source and language as pages 1, 2, ... by doc_id, thirty a file.
+
+    Ids are ranked without their texts, in ranges of ids: a range's rows are ranked in it, and counts of the ranges
+    before it are added, so that a source of many documents is ranked by many tasks.
+    """
+    docs, group = table(spark, d, "documents"), ["source", "lang"]
+    keys = docs.select(*group, "doc_id", F.floor(F.col("doc_id") / 10_000).alias("range"))
+    before = F.sum("c").over(Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
+    counts = keys.groupBy(*group, "range").agg(F.count(F.lit(1)).alias("c")).withColumn("before", F.coalesce(before, F.lit(0))).drop("c")
+    ranked = keys.withColumn("nth", F.row_number().over(Window.partitionBy(*group, "range").orderBy("doc_id")) - 1)
+    ranked = ranked.join(counts, [*group, "range"]).select("doc_id", (F.col("nth") + F.col("before")).alias("n"))
+    docs = docs.join(ranked, "doc_id")
     key = F.concat("source", F.lit("-"), "lang", F.lit("-"), F.floor(F.col("n") / 30).cast("string"), F.lit(".pdf"))
     return docs.select(key.alias("source_key"), (F.col("n") % 30 + 1).cast("int").alias("page"), "text")
 
