@@ -16,7 +16,7 @@ import numpy as np
 from . import spans
 
 #: Slots of a worker's cache, the ids that it holds at most before it starts anew, and bytes of text handled at once.
-SLOTS, POOL, AT_ONCE = 1 << 20, 4_000_000, 1 << 20
+SLOTS, POOL, AT_ONCE = 1 << 21, 4_000_000, 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -101,31 +101,39 @@ class Encoder:
         self.renew()
 
     def renew(self) -> None:
-        self.key = np.zeros(SLOTS, np.uint64)
-        #: place of a chunk's bytes in raw, their number (0: a free slot), and place and number of its ids in pool
-        self.at, self.size = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
-        self.first, self.count = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        #: of each slot: half of its chunk's hash, place of its bytes in raw and their number (0: free), place and number of its ids
+        self.key = np.zeros(SLOTS, np.uint32)
+        self.at, self.first = np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)
+        self.size, self.count = np.zeros(SLOTS, np.uint8), np.zeros(SLOTS, np.uint8)
         self.raw, self.pool = _Growing(np.uint8), _Growing(np.uint32)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, chunks: list[str]) -> list[np.ndarray]:
-        """ids of each chunk. Those whose ends and marks allow it go together, the mark between them."""
-        mark, out = self.mark, [None] * len(chunks)
+    def _learn(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all chunks one after the other, place and number of each chunk's). Chunks whose ends and marks allow
+        it go through the library together, the mark between them."""
+        mark = self.mark
         together = [i for i, t in enumerate(chunks) if mark and mark not in t and (core := t[1:] if t[0] == " " else t) and core == core.strip()]
         alone = sorted(set(range(len(chunks))).difference(together))
         groups = [together[i : i + 512] for i in range(0, len(together), 512)]
-        for group, ids in zip(groups, self._library([self.between.join([chunks[i] for i in g]) for g in groups]), strict=True):
-            parts = np.split(ids, np.flatnonzero(ids == self.mark_id))
-            if len(parts) == len(group):
-                for k, i in enumerate(group):
-                    out[i] = parts[k][k > 0 :]
+        order, ids, counts = [], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for group, found in zip(groups, self._library([self.between.join([chunks[i] for i in g]) for g in groups]), strict=True):
+            marks = np.flatnonzero(found == self.mark_id)
+            if len(marks) == len(group) - 1:
+                order += group
+                ids.append(np.delete(found, marks))
+                counts.append(np.diff(np.concatenate([[-1], marks, [len(found)]])) - 1)
             else:  # a chunk's own ids hold the mark's
                 alone += group
-        for i, ids in zip(alone, self._library([chunks[i] for i in alone]), strict=True):
-            out[i] = ids
-        return out
+        for i, found in zip(alone, self._library([chunks[i] for i in alone]), strict=True):
+            order.append(i)
+            ids.append(found)
+            counts.append(np.array([len(found)]))
+        lengths = np.concatenate(counts)
+        count, place = np.empty(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        count[order], place[order] = lengths, np.cumsum(lengths) - lengths
+        return np.concatenate(ids), place, count
 
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, n + 1 offsets into them)."""
@@ -147,8 +155,8 @@ class Encoder:
         """ids of all chunks, and how many each has. A cached chunk counts only if its bytes are the same."""
         size = end - start
         h = spans.hashes(data, start, end)
-        slot = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
-        known = (self.key[slot] == h) & (self.size[slot] == size)
+        slot, key = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), h.astype(np.uint32)
+        known = (self.key[slot] == key) & (self.size[slot] == size)
         hit = np.flatnonzero(known)
         known[hit] = spans.equal(data, start[hit], self.raw.data, self.at[slot[hit]].astype(np.int64), size[hit])
         first, count = self.first[slot].astype(np.int64), self.count[slot].astype(np.int64)
@@ -156,17 +164,16 @@ class Encoder:
         if len(miss):
             raw, number = data.tobytes(), {}
             back = np.array([number.setdefault(raw[s:e], len(number)) for s, e in zip(start[miss].tolist(), end[miss].tolist(), strict=True)])
-            learnt = self._learn([piece.decode() for piece in number])
-            lengths = np.array([len(x) for x in learnt], np.int64)
-            places = self.pool.add(np.concatenate(learnt)) + np.cumsum(lengths) - lengths
+            learnt, places, lengths = self._learn([piece.decode() for piece in number])
+            places += self.pool.add(learnt)
             first[miss], count[miss] = places[back], lengths[back]
             where = miss[np.unique(back, return_index=True)[1]]
             sizes = size[where]
             kept = self.raw.add(np.frombuffer(b"".join(number), np.uint8)) + np.cumsum(sizes) - sizes
-            slots = slot[where]
+            slots, short = slot[where], np.flatnonzero((sizes < 256) & (lengths < 256))  # longer chunks are not cached
             # one newcomer a slot: of several the last in order, in all columns alike
-            last = len(slots) - 1 - np.unique(slots[::-1], return_index=True)[1]
-            for column, values in ((self.key, h[where]), (self.at, kept), (self.size, sizes), (self.first, places), (self.count, lengths)):
+            last = short[len(short) - 1 - np.unique(slots[short][::-1], return_index=True)[1]]
+            for column, values in ((self.key, key[where]), (self.at, kept), (self.size, sizes), (self.first, places), (self.count, lengths)):
                 column[slots[last]] = values[last]
         ids = self.pool.data[spans.gathered(first, count)]
         if self.pool.used > POOL or self.raw.used > 4 * POOL:

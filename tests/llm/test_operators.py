@@ -636,6 +636,8 @@ def test_queries_with_sql_equal_it(spark, data):
 def test_pipeline_stages_equal_brute_force(spark, data):
     import corpus_pipeline as cp
 
+    from .test_stages import brute_force_components
+
     docs = _docs(spark, data)
     text = {r.doc_id: r.text for r in docs.collect()}
     model = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
@@ -644,8 +646,8 @@ def test_pipeline_stages_equal_brute_force(spark, data):
     for k in kept:
         groups[re.sub(r"[\x20\x09-\x0D]", "", text[k])].append(k)
     kept2 = {min(g, key=lambda k: (-len(text[k]), k)) for g in groups.values()}
-    parts = reference_components({k: reference_fingerprint(text[k]) for k in sorted(kept2)})
-    kept3 = {k for k, c in parts.items() if k == c}
+    rows = [(k, text[k]) for k in sorted(kept2)]
+    kept3 = {rows[i][0] for i, least in brute_force_components(rows).items() if i == least}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
     kept4 = {r[0] for r in decontaminate.brute_force([(k, text[k]) for k in kept3], items) if not r[5]}
     out = docs
