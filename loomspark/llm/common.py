@@ -97,7 +97,8 @@ def without(docs: DataFrame, key: list[Column], dropped: DataFrame, keys: DataFr
     """docs without the rows whose key is in dropped (its columns in the key's order; nulls are equal), and one of the
     rows that share a key: the longest text, then the least of all columns. All columns stay. keys has the keys of
     all rows where they are known."""
-    held = [f"__key{i}" for i in range(len(key))]
+    own = uuid.uuid4().hex  # names that no column of docs has
+    held, row, shorter = [f"key{i}_{own}" for i in range(len(key))], f"row_{own}", f"shorter_{own}"
     keyed = docs.select("*", *[k.alias(h) for k, h in zip(key, held, strict=True)])
     keys = keyed.select(*held) if keys is None else keys.toDF(*held)
     repeated = saved(keys.groupBy(*held).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-rows")
@@ -110,6 +111,6 @@ def without(docs: DataFrame, key: list[Column], dropped: DataFrame, keys: DataFr
     stay = joined(keyed, dropped, "left_anti")
     if repeated.isEmpty():
         return stay.drop(*held)
-    shorter = -F.coalesce(F.length("text"), F.lit(0))
-    once = joined(stay, repeated, "left_semi").groupBy(*held).agg(F.min(F.struct(shorter.alias("__shorter"), *docs.columns)).alias("__row"))
-    return joined(stay, repeated, "left_anti").drop(*held).unionByName(once.select("__row.*").drop("__shorter"))
+    first = F.struct((-F.coalesce(F.length("text"), F.lit(0))).alias(shorter), *docs.columns)
+    once = joined(stay, repeated, "left_semi").groupBy(*held).agg(F.min(first).alias(row))
+    return joined(stay, repeated, "left_anti").drop(*held).unionByName(once.select(f"{row}.*").drop(shorter))

@@ -43,6 +43,28 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+_ODD = 0x9E3779B97F4A7C15
+_odd_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def quick_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The same in half the time, modulo 2 ** 64: some words collide by design of the modulus, so only for use before
+    the bytes are compared."""
+    if len(_odd_powers[0]) <= len(data):
+        for i, base in enumerate((_ODD, pow(_ODD, -1, 1 << 64))):
+            x = np.full(len(data) + 1, base, np.uint64)
+            x[0] = 1
+            _odd_powers[i] = np.cumprod(x, dtype=np.uint64)
+    power, inverse = _odd_powers
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
+    h = (sums[end] - sums[start]) * inverse[start]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def equal(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Whether a[a_at:a_at + size] and b[b_at:b_at + size] are the same bytes, for each range."""
     out = np.ones(len(size), bool)

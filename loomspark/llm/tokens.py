@@ -154,7 +154,7 @@ class Encoder:
     def _ids(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all chunks, and how many each has. A cached chunk counts only if its bytes are the same."""
         size = end - start
-        h = spans.hashes(data, start, end)
+        h = spans.quick_hashes(data, start, end)
         slot, key = (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64), h.astype(np.uint32)
         known = (self.key[slot] == key) & (self.size[slot] == size)
         hit = np.flatnonzero(known)

@@ -110,6 +110,7 @@ def test_recall_on_planted_near_copies(spark):
 def test_stages_on_empty_and_odd_tables(spark):
     rows = [(None, None, None), (1, "", "x"), (1, "", "x"), (2, "word " * 30000, "x"), (3, "a b c", None), (3, "a b c", None), (None, "a  b c", "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("node", F.lit(1)).withColumn("fp", F.lit(2)).withColumn("bucket", F.lit("x"))
+    docs = docs.withColumn("__key0", F.lit(3)).withColumn("__row", F.lit(4)).withColumn("__shorter", F.lit(5))
     d = "/root/testdata/sf0.001"
     for name, stage in cp.STAGES:
         for frame in (docs, docs.limit(0)):
