@@ -12,17 +12,20 @@ of all pages is spread.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from . import common
 
-#: Bits of filter a key, and the filter's size at most (bytes). Rules up to BROADCAST_RULES are sent to all tasks.
-BITS_A_KEY, MOST_BYTES, BROADCAST_RULES = 16, 16 << 20, 100_000
+#: Bits of filter a key, and the filter's size at most (bytes). Rules of up to BROADCAST_BYTES are sent to all tasks.
+BITS_A_KEY, MOST_BYTES, BROADCAST_BYTES = 16, 16 << 20, 8 << 20
 _SALTS = np.array([0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31], np.uint32)
 
 #: The rules of op3: verdict, host, path.
@@ -63,6 +66,23 @@ def _places(h: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block, np.uint32(1) << ((u.astype(np.uint32)[:, None] * _SALTS) >> np.uint32(27))
 
 
+def _keys(lengths: dict[int, list[int]], longest: int):
+    """The candidate keys (host, path) of a row of host and path, as one column whose size doesn't follow the rules.
+
+    lengths: for each number of labels that rules have, the path lengths of those rules, ascending; longest: characters
+    of the longest listed host.
+    """
+    shapes = F.from_json(F.lit(json.dumps([{"k": k, "n": n} for k, n in lengths.items()])), "array<struct<k:int,n:array<int>>>")  # one constant, however long
+    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
+
+    def of(shape):
+        domain = F.call_function("substring_index", F.col("host"), F.lit("."), -shape["k"])
+        some = F.filter(shape["n"], lambda n: (n <= F.length("path")) & (F.length(domain) <= longest))
+        return F.transform(some, lambda n: F.struct(domain.alias("host"), F.call_function("substring", F.col("path"), F.lit(1), n).alias("path")))
+
+    return F.flatten(F.transform(F.filter(shapes, lambda shape: shape["k"] <= labels), of))
+
+
 def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """pages (with a column url) with host, path, rule and verdict added; columns of those names are replaced.
 
@@ -70,47 +90,49 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     order stays. A rule fits its host and all subdomains when the page's path starts with the rule's. The
     longest rule (host and path together, then host) gives the verdict, without one it is `default` and rule is
     null. Null urls and those without :// have an empty host and path. Repeated rows stay. Rules with nulls are
-    left out. Pages may have columns of any other name. Only the pages that the filter passes are joined and
-    shuffled; for those pages is read a second time. A long url costs in proportion to its length: only
-    domains of as many labels and characters as rules have are looked at.
+    left out. Pages may have columns of any other name. Pages that the filter passes are stored, with the number that
+    brings a page's keys together again; only they are joined and shuffled, and for them pages is read a second time. A
+    url costs in proportion to its labels and to the path lengths of rules that it reaches: only domains of as many labels
+    and characters as rules have are looked at. The plan has one size for any list.
     """
     spark = pages.sparkSession
     rules = rules.select("verdict", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path").dropna()
     rules = common.saved(rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict")), "url-rules")
-    n = rules.count()
+    n, longest, size = rules.agg(F.count(F.lit(1)), F.coalesce(F.max(F.length("host")), F.lit(0)), F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0))).first()
+    lengths: dict[int, list[int]] = {}
     shape = rules.select(F.size(F.split("host", r"\.")).alias("labels"), F.length("path").alias("length")).distinct()
-    shapes = sorted((r.labels, r.length) for r in shape.toLocalIterator())  # as many as kinds of rules, not as rules
-    longest = rules.agg(F.max(F.length("host"))).first()[0] or 0
+    for r in shape.orderBy("labels", "length").toLocalIterator():  # as many as kinds of rules, not as rules
+        lengths.setdefault(r.labels, []).append(r.length)
     bloom = spark.sparkContext.broadcast(build_filter(rules.select(F.xxhash64("host", "path").alias("h")), n))
 
-    @F.pandas_udf("array<int>")
-    def possible(hashes: pd.Series, given: pd.Series) -> pd.Series:
-        """Places of the given keys that the filter passes."""
-        counts = np.array([len(x) for x in hashes])
-        block, bits = _places(np.concatenate([*hashes, np.zeros(0, np.int64)]), len(bloom.value))
-        hit = ((bloom.value[block] & bits) == bits).all(axis=1) & np.concatenate([*given, np.zeros(0, bool)]).astype(bool)
-        return pd.Series([np.flatnonzero(x).astype(np.int32) for x in np.split(hit, np.cumsum(counts)[:-1])], dtype=object)
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """row, host, path and, for the hashes of the keys, the places of those that the filter passes."""
+        for b in batches:
+            hashes = b.column(3)
+            block, bits = _places(hashes.flatten().to_numpy(), len(bloom.value))
+            hit = np.flatnonzero(((bloom.value[block] & bits) == bits).all(axis=1))
+            ends = hashes.offsets.to_numpy().astype(np.int64) - hashes.offsets[0].as_py()
+            at = np.searchsorted(hit, ends)
+            inside = hit - np.repeat(ends[:-1], np.diff(at))
+            places = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(inside.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], places], names=["row", "host", "path", "at"])
 
     kept = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     host, path = canonical(F.col("url"))
     row = F.struct(*[F.col(f"`{c}`") for c in kept]) if kept else F.lit(None)  # pages' columns lie in one, no name can clash
     rows = pages.select(row.alias("row"), host.alias("host"), path.alias("path"))
-    labels = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit(""))) + 1
-    domain = {k: F.substring_index("host", ".", -k) for k in {k for k, _ in shapes}}
-    keys = [
-        F.when((labels >= k) & (F.length(domain[k]) <= longest) & (F.length("path") >= n_path), F.struct(domain[k].alias("host"), F.substring("path", 1, n_path).alias("path")))
-        for k, n_path in shapes
-    ]
-    hashes = F.array(*[F.coalesce(F.when(k.isNotNull(), F.xxhash64(k["host"], k["path"])), F.lit(0)) for k in keys]).cast("array<bigint>")
-    rows = rows.withColumn("at", possible(hashes, F.array(*[k.isNotNull() for k in keys]).cast("array<boolean>")))
     columns = [F.col("row." + f"`{c}`") for c in kept]
+    if not lengths:
+        return rows.select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    keys = _keys(lengths, longest)
+    hashed = rows.withColumn("hashes", F.transform(keys, lambda k: F.xxhash64(k["host"], k["path"])))
+    rows = hashed.mapInArrow(probe, StructType([*rows.schema.fields, StructField("at", ArrayType(IntegerType()))]))
     clean = rows.where("size(at) = 0").select(*columns, "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
-    if not keys:
-        return clean
-    passed = rows.where("size(at) > 0").withColumn("id", F.monotonically_increasing_id()).withColumn("key", F.explode(F.transform("at", lambda i: F.get(F.array(*keys), i))))
+    passed = common.saved(rows.where("size(at) > 0").withColumn("id", F.monotonically_increasing_id()), "passed-pages")  # stored, so that the ids stay
+    asked = passed.select("id", "row", "host", "path", F.explode(F.transform("at", lambda i: F.get(keys, i))).alias("key"))
     exact = rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
-    exact = F.broadcast(exact) if n <= BROADCAST_RULES else exact
-    joined = passed.join(exact, (F.col("key.host") == F.col("rule_host")) & (F.col("key.path") == F.col("rule_path")), "left")
+    exact = F.broadcast(exact) if size <= BROADCAST_BYTES else exact
+    joined = asked.join(exact, (F.col("key.host") == F.col("rule_host")) & (F.col("key.path") == F.col("rule_path")), "left")
     found = F.struct((F.length("rule_host") + F.length("rule_path")).alias("n"), F.length("rule_host").alias("n_host"), F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict"))
     best = joined.groupBy("id").agg(F.any_value("row").alias("row"), F.any_value("host").alias("host"), F.any_value("path").alias("path"), F.max(F.when(F.col("rule_host").isNotNull(), found)).alias("best"))
     return clean.unionByName(best.select(*columns, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))

@@ -2,11 +2,14 @@
 
 A bundle holds WARC/1.1 records in independent Zstandard frames of some hundred kB. After the last frame comes
 a skippable frame with the seek table of the Zstandard seekable format: compressed and plain size of each
-frame, their number, a descriptor and the magic number. An index table maps each record to bundle, frame and
-place in the frame's plain bytes, so that one record is read with one range read and one small decompression.
+frame, their number, a descriptor and the magic number. An index table maps each record identifier (WARC-Record-ID) to
+bundle, frame and place in the frame's plain bytes, so that one record is read with one range read and one small
+decompression.
 
 Equal payloads of at least MIN_REVISIT bytes are stored once: the record of the smallest page_id is the
-response, the others are revisits that name it.
+response, the others are revisits. Responses are written first, so that a revisit can name the response's identifier
+(WARC-Refers-To). A revisit needs no html: its row comes from the table of digests. Pages whose key a filter of the
+revisits rejects are written where they are read; only pages that it passes without need are looked up by key.
 """
 
 from __future__ import annotations
@@ -24,29 +27,32 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, url_filter
 
 MIN_REVISIT = 100
 #: Plain bytes after which a frame ends, and compressed bytes after which a bundle ends.
 FRAME_BYTES, BUNDLE_BYTES = 256 << 10, 64 << 20
+#: Keys of some 50 bytes that are sent to all tasks at most.
+MOST_BROADCAST = 100_000
 _SKIPPABLE, _SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Records carry the time of the format's own example where pages have none.
 _DATE = "2016-09-19T17:20:24Z"
 
 
-def make_record(name: str, page_id, url: str | None, payload: bytes, digest: bytes, refers_to, refers_url: str | None = None) -> bytes:
-    """A response with an HTTP head and the payload, or a revisit with the head alone. name: unique among all records."""
-    kind = b"response" if refers_to is None else b"revisit"
-    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:%b>" % str(uuid.uuid5(uuid.NAMESPACE_URL, name)).encode(), b"WARC-Date: " + _DATE.encode()]
+def make_record(record_id: str, page_id, url: str | None, payload: bytes | None, n_bytes: int, digest: bytes, refers_to=None, refers_record: str | None = None, refers_url: str | None = None) -> bytes:
+    """A response with an HTTP head and the payload, or a revisit (payload None) with the head alone. record_id: a UUID that
+    no other record has."""
+    kind = b"response" if payload is not None else b"revisit"
+    head = [b"WARC/1.1", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:uuid:%b>" % record_id.encode(), b"WARC-Date: " + _DATE.encode()]
     if url is not None:
         head.append(b"WARC-Target-URI: " + " ".join(url.split()).encode())
     head += [b"WARC-Payload-Digest: sha256:" + base64.b32encode(digest), b"X-Page-Id: %b" % (b"null" if page_id is None else b"%d" % page_id)]
-    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
-    if refers_to is None:
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n_bytes
+    if payload is not None:
         block += payload
     else:
-        head += [b"X-Refers-To-Page: %d" % refers_to, b"WARC-Refers-To-Date: " + _DATE.encode(), b"WARC-Profile: " + _PROFILE.encode()]
+        head += [b"X-Refers-To-Page: %d" % refers_to, b"WARC-Refers-To: <urn:uuid:%b>" % refers_record.encode(), b"WARC-Refers-To-Date: " + _DATE.encode(), b"WARC-Profile: " + _PROFILE.encode()]
         head += [b"WARC-Refers-To-Target-URI: " + " ".join(refers_url.split()).encode()] if refers_url is not None else []
     head += [b"Content-Type: application/http; msgtype=response", b"Content-Length: %d" % len(block)]
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
@@ -146,35 +152,34 @@ def _digest(html) -> Column:
     return F.unhex(F.sha2(html.cast("binary"), 256))
 
 
-def revisits(pages: DataFrame) -> DataFrame:
-    """page_id and digest of each payload of MIN_REVISIT bytes or more that a page with a smaller id has, and that page: refers_to, refers_url."""
+def revisits(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(digests, revisits), both stored: page_id, url, n_bytes and digest of each page with an id and MIN_REVISIT bytes or more,
+    and those of them whose payload a page with a smaller id has, with that id: refers_to."""
     html = F.col("html").cast("string")
-    digests = common.saved(pages.where((F.octet_length(html) >= MIN_REVISIT) & F.col("page_id").isNotNull()).select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), _digest(html).alias("digest")), "payloads")
-    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.min(F.struct("page_id", "url"))["url"].alias("refers_url"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("of"), "refers_to", "refers_url")
-    return digests.join(first, digests["digest"] == first["of"]).where("page_id > refers_to").select(F.col("page_id").alias("revisit_id"), F.col("digest").alias("revisit_digest"), "refers_to", "refers_url").distinct()
+    fits = pages.where((F.octet_length(html) >= MIN_REVISIT) & F.col("page_id").isNotNull())
+    digests = common.saved(fits.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.octet_length(html).cast("bigint").alias("n_bytes"), _digest(html).alias("digest")), "payloads")
+    first = digests.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("digest").alias("of"), "refers_to")
+    return digests, common.saved(digests.join(first, digests["digest"] == first["of"]).where("page_id > refers_to").drop("of"), "revisits")
 
 
-_INDEX = "page_id bigint, uri string, bytes bigint, frame int, offset bigint, length bigint"
+def _filter(keys: DataFrame):
+    """A function that says for hashes whether they may be among those of keys (h); it holds a bounded filter."""
+    bloom = url_filter.build_filter(keys, keys.count())
 
+    def possible(h: np.ndarray) -> np.ndarray:
+        block, bits = url_filter._places(h, len(bloom))
+        return ((bloom[block] & bits) == bits).all(axis=1)
 
-def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
-    """Writes a record per row of pages (page_id, url, html) under folder; returns the index, one row per record:
-    page_id, bundle uri and size, frame, offset and length in the frame's plain bytes. Each bundle opens with a
-    warcinfo record, which the index leaves out.
+    return possible
 
-    Null html counts as empty. A null page_id is always a response and is not referred to; a page whose id and
-    payload repeat is a response each time, with names of their own. Other columns are not read. An empty table
-    writes nothing. Store the index before use: each evaluation writes. A task that runs again writes bundles of
-    other names.
-    """
-    source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    later = common.saved(revisits(pages), "revisits").withColumn("asks", F.lit(0).cast("bigint"))
-    # pages that can't be revisits meet nothing: each has a key of its own, none is a hot one
-    asks = F.when((F.octet_length("html") >= MIN_REVISIT) & F.col("page_id").isNotNull(), F.lit(0)).otherwise(F.monotonically_increasing_id() + 1)
-    source = source.withColumn("asking", asks).withColumn("digest", _digest(F.coalesce("html", F.lit(""))))
-    meet = (F.coalesce("page_id", F.lit(0)) == later["revisit_id"]) & (source["digest"] == later["revisit_digest"]) & (source["asking"] == later["asks"])
-    marked = source.join(later, meet, "left").select("page_id", source["url"], "html", "refers_to", "digest", "refers_url")
-    schema = pa.schema([("page_id", pa.int64()), ("uri", pa.string()), ("bytes", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
+
+_INDEX = "record_id string, page_id bigint, url string, digest binary, uri string, bytes bigint, frame int, offset bigint, length bigint"
+
+
+def _writer(folder: str, kept_back=None):
+    """A map over rows (page_id, url, html, n_bytes, digest, refers_to, refers_record, refers_url, h) to the index of the records
+    it writes: of all rows, or of those without h or whose h `kept_back` rejects. A response refers to null."""
+    schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("digest", pa.binary()), ("uri", pa.string()), ("bytes", pa.int64()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer = None
@@ -184,26 +189,70 @@ def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
             fs, path = common.filesystem(uri)
             with fs.open_output_stream(path, compression=None) as out:
                 out.write(data)
-            frame, offset, length = zip(*places, strict=True)
-            return common.record(schema, page_id=ids, uri=[uri] * len(ids), bytes=[len(data)] * len(ids), frame=frame, offset=offset, length=length)
-
-        for b in batches:
-            for page_id, url, payload, *rest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), common.texts(b.column(2)), *[b.column(i).to_pylist() for i in (4, 3, 5)], strict=True):
-                if writer is None:
-                    uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
-                    writer, ids, places = BundleWriter(), [], []
-                    writer.add(make_info(uri.rsplit("/", 1)[1]))
-                ids.append(page_id)
-                places.append(writer.add(make_record(f"{uri} {len(ids)}", page_id, url, payload, *rest)))
-                if writer.out.tell() >= BUNDLE_BYTES:
-                    yield flush()
-                    writer = None
+            record_id, page_id, url, digest, (frame, offset, length) = *zip(*[r[:4] for r in rows], strict=True), zip(*[r[4] for r in rows], strict=True)
+            return common.record(schema, record_id=record_id, page_id=page_id, url=url, digest=digest, uri=[uri] * len(rows), bytes=[len(data)] * len(rows), frame=frame, offset=offset, length=length)
+
+        for batch in batches:
+            if kept_back is not None and batch.num_rows:
+                h = batch.column(8)
+                batch = batch.filter(pa.array(~kept_back(h.fill_null(0).to_numpy()) | h.is_null().to_numpy(zero_copy_only=False)))
+            for b in common.blocks([batch], "html"):
+                htmls = b.column(2).to_pylist()
+                for page_id, url, html, n_bytes, digest, *refers in zip(*[b.column(i).to_pylist() for i in (0, 1)], htmls, *[b.column(i).to_pylist() for i in (3, 4, 5, 6, 7)], strict=True):
+                    if writer is None:
+                        uri = f"{folder}/{uuid.uuid4().hex}.warc.zst"
+                        writer, rows = BundleWriter(), []
+                        writer.add(make_info(uri.rsplit("/", 1)[1]))
+                    record_id = str(uuid.uuid5(uuid.NAMESPACE_URL, f"{uri} {len(rows)}"))
+                    payload = (html or "").encode() if refers[0] is None else None
+                    rows.append((record_id, page_id, url, digest, writer.add(make_record(record_id, page_id, url, payload, n_bytes, digest, *refers))))
+                    if writer.out.tell() >= BUNDLE_BYTES:
+                        yield flush()
+                        writer = None
         if writer is not None:
             yield flush()
 
+    return run
+
+
+def write_bundles(pages: DataFrame, folder: str) -> DataFrame:
+    """Writes a record per row of pages (page_id, url, html) under folder; returns the index, stored, one row per record:
+    record_id (the UUID of WARC-Record-ID), page_id, url, digest, bundle uri and size, frame, offset and length in the
+    frame's plain bytes. Each bundle opens with a warcinfo record, which the index leaves out.
+
+    Null html counts as empty. A null page_id is always a response and is not referred to; a page whose id and
+    payload repeat is a response each time, with identifiers of their own, and revisits name the one of the least
+    identifier. Other columns are not read. An empty table writes nothing. A task that runs again writes bundles of
+    other names; the index lists those of the attempt that counts.
+    """
     fs, path = common.filesystem(folder)
     fs.create_dir(path, recursive=True)
-    return marked.mapInArrow(run, _INDEX)
+    digests, later = revisits(pages)
+    key = F.xxhash64("page_id", "digest").alias("h")
+    possible = _filter(later.select(key))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("refers_to", "bigint"), ("refers_record", "string"), ("refers_url", "string"))]
+    source = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    source = source.withColumn("n_bytes", F.coalesce(F.octet_length("html"), F.lit(0)).cast("bigint")).withColumn("digest", _digest(F.coalesce("html", F.lit(""))))
+    small = F.col("page_id").isNull() | (F.col("n_bytes") < MIN_REVISIT)
+    rows = source.select("page_id", "url", "html", "n_bytes", "digest", *none, F.when(~small, key).alias("h"))
+
+    written = rows.mapInArrow(_writer(folder, possible), _INDEX)
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(possible(b.column(2).to_numpy())))
+
+    asked = digests.select("page_id", "digest", key).mapInArrow(passed, "page_id bigint, digest binary, h bigint").drop("h").distinct()
+    wrongly = common.saved(asked.join(later.select("page_id", "digest"), ["page_id", "digest"], "left_anti"), "passed-without-need")
+    if n := wrongly.count():
+        wrongly = F.broadcast(wrongly) if n <= MOST_BROADCAST else wrongly
+        missed = rows.where("h is not null").join(wrongly, ["page_id", "digest"], "left_semi").select(*rows.columns)
+        written = written.unionByName(missed.mapInArrow(_writer(folder), _INDEX))
+    responses = common.saved(written, "response-index")
+    named = responses.where("page_id is not null").groupBy(F.col("page_id").alias("refers_to"), F.col("digest").alias("of")).agg(F.min(F.struct("record_id", "url")).alias("to"))
+    told = later.join(named, (later["refers_to"] == named["refers_to"]) & (later["digest"] == named["of"])).select("page_id", later["url"], F.lit(None).cast("string").alias("html"), "n_bytes", "digest", later["refers_to"], F.col("to.record_id").alias("refers_record"), F.col("to.url").alias("refers_url"), F.lit(0).cast("bigint").alias("h"))
+    return responses.unionByName(common.saved(told.mapInArrow(_writer(folder), _INDEX), "revisit-index"))
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
@@ -240,8 +289,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = common.saved(write_bundles(common.read(spark, sf_dir, "pages"), common.fresh(spark, "warc")), "warc-index")
-    return read_bundles(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read_bundles(write_bundles(common.read(spark, sf_dir, "pages"), common.fresh(spark, "warc"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = {

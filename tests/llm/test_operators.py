@@ -367,9 +367,40 @@ def test_warc_bundles(spark):
     assert warc.write_bundles(pages.limit(0), common.fresh(spark, "w")).count() == 0
 
 
+@pytest.mark.parametrize("blocks", [None, 1])
+def test_records_are_found_by_their_identifiers(spark, monkeypatch, blocks):
+    """Each identifier of the bundles is in the index once, repeated and null page ids too, and revisits name a response of
+    their payload; with a filter of one block, which passes nearly all, the records are the same."""
+    if blocks:
+        monkeypatch.setattr(warc, "_filter", lambda keys: (lambda h: np.ones(len(h), bool)))
+    rng = np.random.default_rng(7)
+    rows = [(None if i % 11 == 0 else int(rng.integers(0, 60)), f"http://u/{i % 40}", f"<p>{int(rng.integers(0, 25)):0>150}" if i % 3 else "small") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    index = warc.write_bundles(pages, common.fresh(spark, "w"))
+    found = {}
+    for r in index.collect():
+        headers, block = warc.open_bundle(r.uri, r.bytes).record(r.frame, r.offset)
+        assert headers["WARC-Record-ID"] == f"<urn:uuid:{r.record_id}>" and r.record_id not in found
+        found[r.record_id] = (r.page_id, headers, block)
+    bundles = {r.uri: r.bytes for r in index.collect()}
+    listed = [h["WARC-Record-ID"][10:-1] for uri, size in bundles.items() for h, _ in warc.open_bundle(uri, size).records() if h["WARC-Type"] != "warcinfo"]
+    assert sorted(listed) == sorted(found) and len(listed) == len(rows)
+    first = {}
+    for k, _, html in rows:
+        if k is not None and len(html) >= 100:
+            first[html] = min(first.get(html, k), k)
+    want = sorted((-1 if k is None else k, "revisit" if k is not None and html in first and k > first[html] else "response") for k, _, html in rows)
+    assert want == sorted((-1 if k is None else k, h["WARC-Type"]) for k, h, _ in found.values())
+    for k, headers, _ in found.values():
+        if headers["WARC-Type"] == "revisit":
+            named, other, block = found[headers["WARC-Refers-To"][10:-1]]
+            assert other["WARC-Type"] == "response" and other["WARC-Payload-Digest"] == headers["WARC-Payload-Digest"] and named == int(headers["X-Refers-To-Page"]) < k
+            assert other["WARC-Target-URI"] == headers["WARC-Refers-To-Target-URI"] and first[warc.http_payload(block)[0].decode()] == named
+
+
 def test_bundle_frames_are_independent():
     w = warc.BundleWriter()
-    places = [w.add(warc.make_record(f"n{i}", i, f"u{i}", bytes([65 + i % 26]) * 50_000, b"d" * 32, None)) for i in range(30)]
+    places = [w.add(warc.make_record(f"n{i}", i, f"u{i}", bytes([65 + i % 26]) * 50_000, 50_000, b"d" * 32)) for i in range(30)]
     raw = w.finish()
     b = warc.Bundle(lambda at, n: raw[at : at + n], len(raw))
     assert len(b.sizes) > 3 and len(list(b.records())) == 30
@@ -676,3 +707,34 @@ def test_url_filter_on_clashing_columns_and_long_hosts(spark):
     assert all(r[c] == "mine" for r in got.values() for c in names if c != "Rule")
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r.verdict for r in url_filter.judge(pages, none, "block").collect()} == {"block"}
+
+
+def test_many_rule_shapes_by_brute_force(spark):
+    """Rules of 400 path lengths and up to 6 labels; the plan is as long as with a few rules."""
+    import io
+    from contextlib import redirect_stdout
+
+    def lines(df):
+        out = io.StringIO()
+        with redirect_stdout(out):
+            df.explain("simple")
+        return out.getvalue().count("\n")
+
+    rng = np.random.default_rng(5)
+    part = lambda k: "".join("abc"[i] for i in rng.integers(0, 3, k))
+    hosts = [".".join(part(1) for _ in range(int(rng.integers(1, 7)))) for _ in range(300)]
+    tail = part(500)
+    rules = {(h, "/" + tail[: int(rng.integers(0, 400))]): ("block", "allow")[int(rng.integers(0, 2))] for h in hosts for _ in range(4)}
+    pages = [(i, f"http://{part(1)}.{hosts[int(rng.integers(0, 300))]}/{tail[: int(rng.integers(0, 500))]}") for i in range(400)]
+    table = spark.createDataFrame([(v, h, p) for (h, p), v in rules.items()], "verdict string, host string, path string")
+    made = url_filter.judge(spark.createDataFrame(pages, "page_id long, url string"), table)
+    plan = lines(made)
+    got = {r.page_id: (r.rule, r.verdict) for r in made.collect()}
+    for i, url in pages:
+        host, _, path = url[7:].partition("/")
+        fits = [(len(h) + len(p), len(h), h + p, v) for (h, p), v in rules.items() if (host == h or host.endswith("." + h)) and ("/" + path).startswith(p)]
+        assert got[i] == (max(fits)[2:] if fits else (None, "allow"))
+    assert sum(r is not None for r, _ in got.values()) > 50
+
+    few = url_filter.judge(spark.createDataFrame(pages[:1], "page_id long, url string"), table.limit(2))
+    assert plan == lines(few)
