@@ -6,8 +6,10 @@ shingles, in 25 bands of five, and rows that agree on a band share a bucket. Fir
 the bucket's least row; rows that this connects need no more comparison among themselves. Then buckets of three rows or
 more that still hold several components are compared bit-sliced (simhash.close_pairs: vertical planes, carry-save
 counters, blocks abandoned), only across components and only in the first band that two rows share. What lies within
-the radius is compared by its shingle sets in the same task, which returns links, not pairs. A bucket beyond TILE rows
-is dealt out in chunks, and each two chunks meet in a task of their own.
+the radius is compared by its shingle sets in the same task, which returns links, not pairs: products of blocks of a
+matrix of rows by the shingles that several rows share count what many pairs have in common. A bucket beyond TILE rows is
+dealt out in chunks, and each two chunks meet in a task of their own: rows of a bucket are shuffled as often as it has
+chunks.
 
 A link is set only where the shingle sets themselves are similar enough, so no pair is linked by chance; a pair is
 missed when no band agrees or its fingerprints lie beyond the radius.
@@ -32,8 +34,8 @@ BANDS, ROWS = 25, 5
 #: Bits between fingerprints up to which shingle sets are compared, those of the first, surer pass, too: 9.7 bits are
 #: expected at 0.8, with a deviation of 2.9.
 RADIUS, SURE = 20, 8
-#: Rows, and shingles, of a chunk of a bucket.
-TILE, TILE_SHINGLES = 1024, 2_000_000
+#: Rows, and shingles, of a chunk of a bucket; cells of a matrix of the shingles that rows of a tile share.
+TILE, TILE_SHINGLES, CELLS = 8192, 2_000_000, 1 << 24
 #: Candidate pairs that are held at once.
 PAIRS = 1 << 19
 _RANDOM = np.random.default_rng(42)
@@ -90,28 +92,39 @@ def sketches(rows: DataFrame) -> DataFrame:
 
 
 def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b: nodes of rows) whose shingle sets have at least SIMILARITY of their union in common."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    texts = common.saved(rows.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"]), "candidate-texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    """The distinct pairs (a, b: nodes of rows) whose shingle sets have at least SIMILARITY of their union in common.
+
+    The pairs of one a are dealt out in chunks of TILE; a chunk meets a's set once, whatever it holds.
+    """
+    pairs = pairs.select("a", "b").distinct()
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+    needed = pairs.select(F.col("b").alias("node")).union(chunks.select(F.col("a").alias("node"))).distinct()
+    sets = common.saved(shingle_sets(rows.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"])), "star-sets")
+    heads = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("node"), F.lit(0).alias("own"))
+    others = pairs.join(chunks, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.col("b").alias("node"), F.lit(1).alias("own"))
+    met = heads.unionByName(others).join(sets, "node").select("a", "chunk", "own", "node", "shingles")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, set()
+        head, held = None, np.zeros(0, np.uint64)
         for batch in batches:
-            for b in common.blocks([batch], "text_a"):
-                keep = []
-                for i in range(b.num_rows):
-                    one, other = (common.texts(b.column(k).slice(i, 1))[0] for k in (2, 3))
-                    if one != last:
-                        last, held = one, set(shingles(one))
-                    mine = set(shingles(other))
-                    common_ones = len(held & mine)
-                    keep.append(common_ones >= SIMILARITY * (len(held) + len(mine) - common_ones))
-                at = np.flatnonzero(keep)
-                yield common.record(schema, a=b.column(0).take(pa.array(at)), b=b.column(1).take(pa.array(at)))
+            for b in common.blocks([batch], "shingles"):
+                left, right = [], []
+                for a, own, node, shingles in zip(*[b.column(k).to_pylist() for k in (0, 2, 3, 4)], strict=True):
+                    mine = np.frombuffer(shingles, np.uint64)
+                    if not own:
+                        head, held = a, mine
+                        continue
+                    if a != head:
+                        raise ValueError("a chunk without its head")
+                    both = np.count_nonzero(held[np.minimum(np.searchsorted(held, mine), len(held) - 1)] == mine)
+                    if both >= SIMILARITY * (len(held) + len(mine) - both):
+                        left.append(a)
+                        right.append(node)
+                yield common.record(schema, a=left, b=right)
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(partitions, "a", "chunk").sortWithinPartitions("a", "chunk", "own").mapInArrow(run, "a bigint, b bigint")
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
@@ -137,31 +150,59 @@ def tile_links(bucket: int, chunk, component, fp, names, sets: list[np.ndarray],
     alike = order[1:][start[order[1:]] == start[order[:-1]]]
     forest.union(order[:-1][start[order[1:]] == start[order[:-1]]], alike)
     size = np.array([len(s) for s in sets])
-    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    _, ids, n_of = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     at = np.cumsum(size) - size
-    mark, found = np.zeros(len(known), bool), []
+    mark, found = np.zeros(len(n_of), bool), []
+    shared = np.flatnonzero(n_of > 1)  # others count in no intersection
+    matrix = None
+    if n * len(shared) <= CELLS and n > 64:
+        column = np.full(len(n_of), -1)
+        column[shared] = np.arange(len(shared))
+        matrix = np.zeros((n, len(shared)), np.float32)  # whole numbers below 2 ** 24 add exactly
+        of = column[ids]
+        matrix[np.repeat(np.arange(n), size)[of >= 0], of[of >= 0]] = 1
+
+    def one_by_one(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Shingles in common of each pair; pairs of one i lie together."""
+        out = np.zeros(len(i), np.int64)
+        cuts = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i))
+        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            one, others = int(i[s]), j[s:e]
+            mine = ids[at[one] : at[one] + size[one]]
+            mark[mine] = True
+            out[s:e] = np.add.reduceat(mark[ids[spans.gathered(at[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
+            mark[mine] = False
+        return out
+
+    def in_common(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        low, high = int(j.min()), int(j.max()) + 1
+        first, last = int(i[0]), int(i[-1]) + 1
+        if matrix is None or (last - first) * (high - low) > 64 * len(i):
+            return one_by_one(i, j)
+        return (matrix[first:last] @ matrix[low:high].T)[i - first, j - low].astype(np.int64)
 
     def verify(i: np.ndarray, j: np.ndarray) -> None:
-        apart = forest.roots(i) != forest.roots(j)
+        apart = (forest.roots(i) != forest.roots(j)) & (np.minimum(size[i], size[j]) >= SIMILARITY * np.maximum(size[i], size[j]))
         i, j = i[apart], j[apart]
         if band:
             later = ~(names[i, :band] == names[j, :band]).any(axis=1)
             i, j = i[later], j[later]
         by = np.argsort(i, kind="stable")
         i, j = i[by], j[by]
-        cuts = np.append(np.flatnonzero(np.append(True, i[1:] != i[:-1])), len(i)) if len(i) else np.zeros(1, int)
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            one, others = int(i[s]), j[s:e]
-            others = others[forest.roots(others) != forest.roots(np.array([one]))]
-            if not len(others):
+        for k in range(0, n, 256):  # what a few rows connect needs no comparison later on
+            s, e = np.searchsorted(i, (k, k + 256))
+            some = np.arange(s, e)
+            some = some[forest.roots(i[some]) != forest.roots(j[some])]
+            if not len(some):
                 continue
-            mine = ids[at[one] : at[one] + size[one]]
-            mark[mine] = True
-            both = np.add.reduceat(mark[ids[spans.gathered(at[others], size[others])]], np.cumsum(size[others]) - size[others], dtype=np.int64)
-            mark[mine] = False
-            others = others[both >= SIMILARITY * (size[one] + size[others] - both)]
-            found.extend((one, k) for k in others.tolist())
-            forest.union(np.full(len(others), one), others)
+            both = in_common(i[some], j[some])
+            some = some[both >= SIMILARITY * (size[i[some]] + size[j[some]] - both)]
+            while len(some):  # one link for each two components
+                x, y = forest.roots(i[some]), forest.roots(j[some])
+                _, one = np.unique(np.minimum(x, y) * n + np.maximum(x, y), return_index=True)
+                found.extend(zip(i[some[one]].tolist(), j[some[one]].tolist(), strict=True))
+                forest.union(i[some[one]], j[some[one]])
+                some = some[forest.roots(i[some]) != forest.roots(j[some])]
 
     for radius in (SURE, RADIUS):
         held, many = [], 0
