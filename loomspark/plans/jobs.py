@@ -72,7 +72,7 @@ def r1(spark: SparkSession, d: str) -> DataFrame:
     f = f.select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source_key"), "text", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("last_modified"))
     out = fresh(spark, "stream-index")
     jobs.stream_index(f, out, fresh(spark, "stream-index-checkpoint"), VARIANT, MODEL).awaitTermination()
-    return spark.read.parquet(out).select("vector_id", F.md5("content").alias("content_md5"))
+    return jobs.index_table(spark, out).read().select("vector_id", F.md5("content").alias("content_md5"))
 
 
 @registered("r2_dedupe_requests", "SELECT DISTINCT user_id::VARCHAR AS source_key, event_type AS variant FROM events")

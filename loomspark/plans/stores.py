@@ -45,7 +45,7 @@ def io6(spark: SparkSession, d: str) -> DataFrame:
     path, every = fresh(spark, "extractions"), _extractions(spark, d).drop("tables")
     stored.save_extractions(every, path, 16)
     stored.save_extractions(every.where("doc_id % 4 = 0").withColumn("text", F.concat("text", F.lit("+"))), path, 16)
-    return spark.read.parquet(path).select("document_id", F.md5("text").alias("text_md5"))
+    return stored.extractions_table(spark, path, every.schema).read().select("document_id", F.md5("text").alias("text_md5"))
 
 
 @registered("io7_table_artifacts", with_cte("files", then="SELECT substr(sha1(f.source_key), 1, 16) AS document_id, 'table-001' AS table_id, '|' || source || '|' AS markdown, 1 AS page, lang AS caption FROM files f JOIN documents USING (doc_id) UNION ALL SELECT substr(sha1(f.source_key), 1, 16), 'table-002', '|' || n_chars || '|', 2, lang FROM files f JOIN documents USING (doc_id) WHERE doc_id % 2 = 0"))
@@ -116,7 +116,7 @@ def r1b(spark: SparkSession, d: str) -> DataFrame:
         batch.drop("doc_id").write.mode("append").parquet(source)
         s = spark.readStream.schema(batch.drop("doc_id").schema).parquet(source)
         jobs.stream_index(s, out, cp, "boundary-64-16", MODEL).awaitTermination()
-    return spark.read.parquet(out).select("vector_id", "chunk_index", "chunk_total", F.md5("content").alias("content_md5"), "source_etag", "embedding_model")
+    return jobs.index_table(spark, out).read().select("vector_id", "chunk_index", "chunk_total", F.md5("content").alias("content_md5"), "source_etag", "embedding_model")
 
 
 @registered("fn_values", """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 1704067200 + doc_id * 3600 END AS seconds, CASE doc_id % 4 WHEN 0 THEN n_chars ELSE 0 END::BIGINT AS n, CASE doc_id % 4 WHEN 0 THEN n_chars END::BIGINT AS page FROM documents""")

@@ -1,4 +1,4 @@
-"""The vector table: upsert, delete, fetch, and a staged write that replaces only what changed."""
+"""The vector table and stored extractions: upsert, delete, fetch, and writes that replace only what changed."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import ids
+from . import versions
 
 
 def upserted(vectors: DataFrame, incoming: DataFrame, space: str, model: str) -> DataFrame:
@@ -69,36 +71,25 @@ def replace_partitions(df: DataFrame, path: str, by: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def replace_buckets(df: DataFrame, path: str, buckets: dict) -> None:
-    """Writes df over the buckets {column: value, bucket column: numbers} of the table at path, also those that df leaves
-    empty, and no others. df may read from path: it is staged first."""
-    (outer, value), (inner, numbers) = buckets.items()
-    spark = df.sparkSession
-    stage = f"{path.rstrip('/')}-stage-{uuid.uuid4().hex}"
-    df.write.parquet(stage)
-    staged = spark.read.schema(df.schema).parquet(stage)
-    full = {r[0] for r in staged.select(inner).distinct().collect()}
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(outer, inner).parquet(path)
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for gone in [stage, *(f"{path}/{outer}={value}/{inner}={n}" for n in numbers if n not in full)]:
-        p = jvm.org.apache.hadoop.fs.Path(gone)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def merged(stored: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """stored with changes in place of the rows of their keys: the upsert of history tables."""
     return stored.join(changes.select(*keys).distinct(), keys, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
-def save_extractions(extractions: DataFrame, path: str, buckets: int = 256) -> None:
-    """Stores extractions (document_id, ...) by bucket of their document: only buckets that hold one of them are
-    rewritten, with the other documents of the bucket kept."""
-    spark = extractions.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-    new = extractions.withColumn("bucket", bucket)
-    old = read_table(spark, path, new.schema)
-    touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
-    replace_partitions(merged(touched, new, ["document_id"]).select(*new.columns), path, "bucket")
+def extractions_table(spark: SparkSession, path: str, schema) -> versions.VersionedTable:
+    """The table of stored extractions of a schema, by bucket of their document."""
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    return versions.VersionedTable(spark, path, T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]), "bucket")
+
+
+def save_extractions(extractions: DataFrame, path: str, buckets: int = 256) -> int:
+    """Stores extractions (document_id, ...) as a new version of the table: only buckets that hold one of them are
+    rewritten, with the other documents of the bucket kept. Returns the version."""
+    table = extractions_table(extractions.sparkSession, path, extractions.schema)
+    parent = table.version()
+    new = extractions.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]  # as many as buckets
+    return table.commit(merged(table.read(parent, touched), new, ["document_id"]).select(*table.schema.names), touched, parent)
 
 
 def pruned_artifacts(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import functools
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..operators import chunking, governance, status
-from ..sources import stored
+from ..sources import stored, versions
 
 
 #: Columns of the vector table, and its buckets by document, which are rewritten only where a document changed.
@@ -17,31 +18,47 @@ _TABLE = "vector_id string, source_key string, document_id string, chunk_index i
 BUCKETS = 256
 
 
-def _index_batch(batch: DataFrame, epoch: int, path: str, space: str, model: str, embed=None) -> None:
-    """One micro-batch of files: cut as the space says, plan against the stored space, write the buckets that changed."""
-    held = stored.read_table(batch.sparkSession, path, _TABLE).where(F.col("space") == space)
+def index_table(spark: SparkSession, path: str) -> versions.VersionedTable:
+    """The vector table at path."""
+    return versions.VersionedTable(spark, path, _TABLE, "bucket")
+
+
+def _index_batch(batch: DataFrame, epoch: int, path: str, space: str, model: str, query: str, embed=None) -> None:
+    """One micro-batch of files: stored once, cut as the space says, planned against the version that stands, and committed as the
+    next one. Of the same file in a batch the last change counts. A batch that was committed before changes nothing."""
+    spark = batch.sparkSession
+    table = index_table(spark, path)
+    parent = table.version()
+    if table.manifest(parent)["batches"].get(query, -1) >= epoch:
+        return
     others = [c for c in batch.columns if c not in ("source_key", "last_modified")]
     latest = batch.groupBy("source_key").agg(F.max_by(F.struct(*others), "last_modified").alias("f")).select("source_key", "f.*")
     etag = F.col("etag") if "etag" in others else F.md5("text")
     latest = latest.select("source_key", "text", etag.alias("source_etag"), ids.document_id("source_key").alias("document_id")).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+    staged = f"{path}/staged/{uuid.uuid4().hex}"
+    latest.write.parquet(staged)
+    latest = spark.read.schema(latest.schema).parquet(staged)
     touched = [r.bucket for r in latest.select("bucket").distinct().collect()]  # BUCKETS at most
-    held = held.where(F.col("bucket").isin(touched))
+    every = table.read(parent, touched)
+    held = every.where(F.col("space") == space)
     chunks = chunking.chunk_all(latest, [space])
     plan = status.index_plan(chunks, held, space, model)
     new = chunks.join(plan.where("action = 'embed'").select("vector_id"), "vector_id", "left_semi")
     new = new.join(latest.select("source_key", "source_etag", "bucket"), "source_key").select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content", "source_etag", "bucket", F.current_timestamp().alias("embedded_at"))
     new = embed(new) if embed else new
     empty = latest.select("document_id").join(chunks.select("document_id").distinct(), "document_id", "left_anti")
-    kept = stored.delete_documents(stored.delete_vectors(held, plan.where("action = 'prune'").select("vector_id"), space), empty, space)
-    after = stored.upserted(kept, new, space, model)
-    stored.replace_buckets(after.select(*held.columns), path, {"space": space, "bucket": touched})
+    kept = stored.delete_documents(stored.delete_vectors(every, plan.where("action = 'prune'").select("vector_id"), space), empty, space)
+    table.commit(stored.upserted(kept, new, space, model), touched, parent, query, epoch)
+    gone = table._path(staged)
+    table._fs.delete(gone, True)
 
 
 def stream_index(files: DataFrame, path: str, checkpoint: str, space: str, model: str, embed=None):
     """New and changed files (source_key, text, last_modified, and etag if there is one) into the vector table at path, cut by
     the variant that names the space; `embed` adds an embedding column to new rows. Vectors that a batch doesn't touch
-    keep all their columns; rerunning a batch changes nothing."""
-    run = functools.partial(_index_batch, path=path, space=space, model=model, embed=embed)
+    keep all their columns. Each batch is one version of the table (index_table), so readers see whole batches; a
+    batch that runs again after its commit, or that died before it, leaves no trace of its first run."""
+    run = functools.partial(_index_batch, path=path, space=space, model=model, query=checkpoint, embed=embed)
     return files.writeStream.foreachBatch(lambda b, e: run(b, e)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

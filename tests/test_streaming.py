@@ -28,7 +28,7 @@ def test_index_follows_files(spark, tmp_path):
     go()
     want = chunking.chunk_fixed(spark.createDataFrame([("a.txt", "x " * 70), ("b.txt", "y " * 30)], "source_key string, text string"), 64, 16)
     key = lambda df: sorted((r.vector_id, r.content) for r in df.select("vector_id", "content").collect())
-    assert key(spark.read.parquet(out)) == key(want)
+    assert key(jobs.index_table(spark, out).read()) == key(want)
 
 
 def test_index_cuts_as_the_space_says_and_keeps_columns(spark, tmp_path):
@@ -39,11 +39,11 @@ def test_index_cuts_as_the_space_says_and_keeps_columns(spark, tmp_path):
     go = lambda: jobs.stream_index(spark.readStream.schema(FILES).parquet(src), out, cp, "boundary-64-16", "m", embed).awaitTermination(120)
     _files(spark, [("a.txt", text), ("b.txt", "y " * 200), ("c.txt", "gone " * 10)], src)
     go()
-    before = {r.vector_id: r for r in spark.read.parquet(out).where("source_key = 'b.txt'").collect()}
+    before = {r.vector_id: r for r in jobs.index_table(spark, out).read().where("source_key = 'b.txt'").collect()}
     _files(spark, [("a.txt", text + " And a new end."), ("c.txt", " ")], src)
     go()
     want = chunking.chunk_all(spark.createDataFrame([("a.txt", text + " And a new end."), ("b.txt", "y " * 200)], "source_key string, text string"), ["boundary-64-16"])
-    now = spark.read.parquet(out).collect()
+    now = jobs.index_table(spark, out).read().collect()
     assert sorted((r.vector_id, r.content, r.chunk_total) for r in now) == sorted((r.vector_id, r.content, r.chunk_total) for r in want.collect())
     assert all(r.embedding == [float(len(r.content))] and r.source_etag for r in now)
     assert {r.vector_id: r for r in now if r.source_key == "b.txt"} == before

@@ -126,7 +126,7 @@ def test_extractions_replace_their_own(spark, tmp_path):
     path, schema = str(tmp_path / "ex"), "document_id string, text string"
     stored.save_extractions(spark.createDataFrame([("a", "1"), ("b", "2")], schema), path, 2)
     stored.save_extractions(spark.createDataFrame([("a", "new"), ("c", "3")], schema), path, 2)
-    assert {(r.document_id, r.text) for r in spark.read.parquet(path).collect()} == {("a", "new"), ("b", "2"), ("c", "3")}
+    assert {(r.document_id, r.text) for r in stored.extractions_table(spark, path, schema).read().collect()} == {("a", "new"), ("b", "2"), ("c", "3")}
     t = "document_id string, table_id string"
     gone = stored.pruned_artifacts(spark.createDataFrame([("a", "t1"), ("a", "t2"), ("b", "t1")], t), spark.createDataFrame([("a", "t1")], t))
     assert [(r.document_id, r.table_id) for r in gone.collect()] == [("a", "t2")]
