@@ -36,6 +36,8 @@ BANDS, ROWS = 25, 5
 RADIUS, SURE = 20, 8
 #: Rows, and shingles, of a chunk of a bucket; cells of a matrix of the shingles that rows of a tile share.
 TILE, TILE_SHINGLES, CELLS = 8192, 2_000_000, 1 << 24
+#: Pairs of a bucket's least row that one task compares.
+STAR = 256
 #: Candidate pairs that are held at once.
 PAIRS = 1 << 19
 _RANDOM = np.random.default_rng(42)
@@ -94,10 +96,10 @@ def sketches(rows: DataFrame) -> DataFrame:
 def similar(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The distinct pairs (a, b: nodes of rows) whose shingle sets have at least SIMILARITY of their union in common.
 
-    The pairs of one a are dealt out in chunks of TILE; a chunk meets a's set once, whatever it holds.
+    The pairs of one a are dealt out in chunks of about STAR; a chunk meets a's set once, whatever it holds.
     """
     pairs = pairs.select("a", "b").distinct()
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("chunks"))
+    chunks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("chunks"))
     needed = pairs.select(F.col("b").alias("node")).union(chunks.select(F.col("a").alias("node"))).distinct()
     sets = common.saved(shingle_sets(rows.select("node", "text").join(needed, "node", "left_semi").dropDuplicates(["node"])), "star-sets")
     heads = chunks.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.col("a").alias("node"), F.lit(0).alias("own"))
