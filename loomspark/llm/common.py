@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+def release() -> None:
+    """Gives memory that this worker has freed back to the system: workers live on from one stage to the next."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most `most` bytes of text each; a longer text comes alone and whole."""
     for batch in batches:
@@ -80,6 +87,7 @@ def blocks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = BL
             last = max(first + 1, int(np.searchsorted(upto, before + most, "right")))
             yield batch.slice(first, last - first)
             first = last
+        release()
 
 
 def texts(column: pa.Array) -> list[bytes]:
