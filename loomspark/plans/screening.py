@@ -52,14 +52,14 @@ def w3(spark: SparkSession, d: str) -> DataFrame:
     return sections.citable_titles(sections.sections(binder(spark, d, F.concat(F.lit("## doc-"), (F.col("doc_id") % 7).cast("string"))))).select("source_key", "title")
 
 
-@registered("s3_plain_headings", r"""WITH l AS (SELECT source_key, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line, text FROM (SELECT source || '/' || doc_id || '.txt' AS source_key, text FROM documents WHERE doc_id % 23 <> 0)),
+@registered("s3_plain_headings", r"""WITH l AS (SELECT source_key, unnest(range(len(string_split(text, chr(10))))) AS n, unnest(string_split(text, chr(10))) AS line, text FROM (SELECT source || '/' || doc_id || '.txt' AS source_key, text FROM documents)),
 t AS (SELECT *, regexp_replace(line, '^\s+|\s+$', '', 'g') AS title, regexp_replace(array_to_string(string_split(text, chr(10))[n + 2:], chr(10)), '^\s+|\s+$', '', 'g') AS rest FROM l),
 r AS (SELECT *, regexp_matches(line, '^\s*(={8,}|-{8,}|_{8,}|\*{8,}|~{8,})\s*$') AS rule FROM t),
 k AS (SELECT *, regexp_extract(title, '^\s*(\d+(?:\.\d+)*)\.?\s+(\S.*[^.\s])\s*$', 1) AS num FROM r WHERE length(title) BETWEEN 1 AND 90 AND NOT regexp_matches(title, '[,;:]$') AND length(rest) >= 40)
 SELECT source_key, n::INT AS start, title, CASE WHEN num LIKE '%.%' THEN 'sub' ELSE 'top' END AS level FROM k WHERE source_key NOT IN (SELECT source_key FROM r WHERE rule OR regexp_matches(line, '^\s{0,3}#{1,6}\s+.+?\s*#*\s*$'))
 AND (num <> '' OR regexp_replace(lower(string_split(title, ' ')[1]), '[.:]+$', '') IN ('article', 'section', 'chapter', 'part', 'appendix', 'exhibit', 'schedule', 'annex', 'clause') OR (regexp_matches(title, '\p{L}') AND NOT regexp_matches(regexp_replace(title, '\p{Lu}', '', 'g'), '\p{L}')))""")
 def s3(spark: SparkSession, d: str) -> DataFrame:
-    return sections.headings(sources(spark, d)).select("source_key", "start", "title", "level")
+    return sections.headings(files(spark, d)).select("source_key", "start", "title", "level")
 
 
 @registered("s4_sections_of_documents")
