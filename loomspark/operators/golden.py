@@ -6,6 +6,8 @@ must_refuse, gold_sections. predictions: id, answer, retrieved_sections.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -174,11 +176,55 @@ def recomputed(operator: Column, x: Column) -> Column:
     return F.when(F.size(x) == 0, None).when(operator == "sum", total).when(operator == "difference", 2 * a - total).when(operator == "ratio", F.try_divide(a, b)).when(operator == "percent_of", F.try_divide(a, b) * 100).when(operator == "percent_change", F.try_divide(a - b, b) * 100)
 
 
-def validate(rows: DataFrame, sections: DataFrame, found: DataFrame) -> DataFrame:
+class Grounds:
+    """What a check of a row can ask of its document's sections and figures; all answers are columns."""
+
+    def titled(self, title: Column) -> Column:
+        """Whether a section has the title."""
+        return F.array_contains("titles", title)
+
+    def verbatim(self, key: Column) -> Column:
+        """Whether the document holds an answer key or forbidden key of the row."""
+        return F.element_at("verdicts", norm(key))["verbatim"]
+
+    def cited(self, key: Column) -> Column:
+        """Whether one of the row's gold sections holds the key."""
+        return F.exists(_list("gold_sections"), lambda t: F.array_contains(F.element_at("verdicts", norm(key))["titles"], t))
+
+    def states(self, figure: Column) -> Column:
+        """Whether the document states the row's answer figure, or one of its operands."""
+        return F.array_contains("stated", figure)
+
+
+def _numeric_grounded(g: Grounds) -> Column:
+    operands = F.coalesce("operands", F.array().cast("array<double>"))
+    computed, answer = recomputed(F.col("operator"), operands), F.col("numeric_answer")
+    said = F.when(answer.isNull() | g.states(answer), None).when(computed.isNull(), "not stated, no derivation").when(F.exists(operands, lambda o: ~g.states(o)), "derivation uses figures that are not stated")
+    return F.array_compact(F.array(said.when(F.abs(computed - answer) > DERIVATION_TOLERANCE, "derivation computes another figure")))
+
+
+def _refusal_shape(g: Grounds) -> Column:
+    unanswerable, refuses = F.col("type") == "unanswerable", F.coalesce("must_refuse", F.lit(False))
+    return F.array_compact(F.array(F.when(unanswerable & ~refuses, "typed unanswerable without must_refuse").when(refuses & ~unanswerable, "must_refuse on another type")))
+
+
+#: The checks of a row by name, in order. A caller adds to a copy and passes it to validate.
+CHECKS: list[tuple[str, Callable[[Grounds], Column]]] = [
+    ("sections_exist", lambda g: F.filter(_list("gold_sections"), lambda t: ~g.titled(t))),
+    ("keys_verbatim", lambda g: F.filter(_list("answer_keys"), lambda k: ~g.verbatim(k))),
+    ("keys_in_section", lambda g: F.filter(_list("answer_keys"), lambda k: g.verbatim(k) & (F.size(_list("gold_sections")) > 0) & ~g.cited(k))),
+    ("numeric_grounded", _numeric_grounded),
+    ("forbidden_grounded", lambda g: F.filter(_list("forbidden_keys"), lambda k: ~g.verbatim(k))),
+    ("forbidden_grounded", lambda g: F.filter(_list("forbidden_keys"), lambda k: (norm(k) != "") & F.contains(norm("answer"), norm(k)))),
+    ("refusal_shape", _refusal_shape),
+]
+
+
+def validate(rows: DataFrame, sections: DataFrame, found: DataFrame, checks: list[tuple[str, Callable[[Grounds], Column]]] | None = None) -> DataFrame:
     """rows (set_id = source_key, row_id, position, ...; operator and operands of a derivation) with issues and status.
 
-    Checks: sections_exist, keys_verbatim, keys_in_section, numeric_grounded, forbidden_grounded, refusal_shape,
-    self_check, no_duplicates. A document's keys and numbers are gathered and looked up in its sections once; rows are
+    Checks: those of CHECKS, or the given ones (a name, and a function of Grounds to the array of a row's findings, in which
+    any column of rows may be used), then self_check and no_duplicates. All are columns of one pass. A document's keys and numbers are gathered and looked up in its sections once; rows are
     joined to the verdicts, not to the text.
     """
     no_text, no_numbers = F.array().cast("array<string>"), F.array().cast("array<double>")
@@ -194,26 +240,9 @@ def validate(rows: DataFrame, sections: DataFrame, found: DataFrame) -> DataFram
     stated = F.filter("numbers", lambda n: F.exists(F.coalesce("figures", no_numbers), lambda f: F.abs(f - n) < 1e-9))
     checked = asked.select("source_key", F.map_from_entries(verdict).alias("verdicts"), stated.alias("stated"), F.transform(every, lambda x: x["title"]).alias("titles"))
     r = rows.join(checked, "source_key", "left")
-    states = lambda v: F.array_contains("stated", v)
-    issue = lambda name, items: F.transform(items, lambda k: F.concat(F.lit(f"{name}: "), k))
-    of = lambda k: F.element_at("verdicts", norm(k))
-    verbatim = lambda k: of(k)["verbatim"]
-    cited = lambda k: F.exists(_list("gold_sections"), lambda t: F.array_contains(of(k)["titles"], t))
-    operands = F.coalesce("operands", no_numbers)
-    computed = recomputed(F.col("operator"), operands)
-    numeric = F.when(F.col("numeric_answer").isNull() | states(F.col("numeric_answer")), None).when(computed.isNull(), "not stated, no derivation").when(F.exists(operands, lambda o: ~states(o)), "derivation uses figures that are not stated").when(F.abs(computed - F.col("numeric_answer")) > DERIVATION_TOLERANCE, "derivation computes another figure")
-    unanswerable = F.col("type") == "unanswerable"
-    shape = F.when(unanswerable & ~F.coalesce("must_refuse", F.lit(False)), "typed unanswerable without must_refuse").when(F.coalesce("must_refuse", F.lit(False)) & ~unanswerable, "must_refuse on another type")
-    low = norm("answer")
-    issues = F.concat(
-        issue("sections_exist", F.filter(_list("gold_sections"), lambda t: ~F.array_contains("titles", t))),
-        issue("keys_verbatim", F.filter(_list("answer_keys"), lambda k: ~verbatim(k))),
-        issue("keys_in_section", F.filter(_list("answer_keys"), lambda k: verbatim(k) & (F.size(_list("gold_sections")) > 0) & ~cited(k))),
-        issue("numeric_grounded", F.array_compact(F.array(numeric))),
-        issue("forbidden_grounded", F.filter(_list("forbidden_keys"), lambda k: ~verbatim(k))),
-        issue("forbidden_grounded", F.filter(_list("forbidden_keys"), lambda k: (norm(k) != "") & F.contains(low, norm(k)))),
-        issue("refusal_shape", F.array_compact(F.array(shape))),
-    )
+    grounds, none = Grounds(), F.array().cast("array<string>")
+    named = lambda name, items: F.transform(F.coalesce(items, none), lambda x: F.concat(F.lit(f"{name}: "), x))
+    issues = F.concat(none, *[named(name, check(grounds)) for name, check in (CHECKS if checks is None else checks)])
     r = r.withColumn("issues", issues).drop("verdicts", "stated", "titles")
     own = score(r.withColumn("pred_answer", F.col("answer")).withColumn("retrieved_sections", F.lit(None).cast("array<string>")))
     r = own.withColumn("issues", F.concat("issues", F.when(~F.col("correct"), F.array(F.lit("self_check: the reference answer fails its own row"))).otherwise(F.array().cast("array<string>")))).drop("pred_answer", "retrieved_sections", "reasons", "correct", "support", "recall", "precision")

@@ -1,5 +1,7 @@
 """The forty golden rows: right answers pass, six wrong ones fail; scoring of variants end to end."""
 
+from pyspark.sql import functions as F
+
 from loomspark.operators import chunking, golden, search, sections
 
 from .golden_rows import ROWS
@@ -99,3 +101,17 @@ def test_validation_equals_rules(spark, data):
     got = {r.row_id: r.issues for r in golden.validate(answers.gold_rows(spark, data), s, golden.facts(s)).collect()}
     own = lambda issues: sorted(i for i in issues if not i.startswith(("self_check", "no_duplicates")))
     assert {k: own(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_a_callers_check_shows_up(spark, data):
+    from loomspark.plans import answers
+
+    s, rows = answers.fact_sections(spark, data), answers.gold_rows(spark, data)
+    mine = ("short_answer", lambda g: F.when(F.length("answer") < 40, F.array(F.lit("under 40 characters"))))
+    found = golden.facts(s)
+    usual = {r.row_id: list(r.issues) for r in golden.validate(rows, s, found).collect()}
+    got = {r.row_id: r for r in golden.validate(rows, s, found, [*golden.CHECKS, mine]).collect()}
+    added = {k: [i for i in r.issues if i not in usual[k]] for k, r in got.items()}
+    assert set(map(tuple, added.values())) == {(), ("short_answer: under 40 characters",)}
+    assert all((len(r.answer or "x" * 40) < 40) == bool(added[k]) and (r.status == "flagged") == bool(r.issues) for k, r in got.items())
+    assert all(i.startswith(("self_check", "no_duplicates")) for r in golden.validate(rows, s, found, []).collect() for i in r.issues)
