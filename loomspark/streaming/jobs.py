@@ -5,7 +5,9 @@ from __future__ import annotations
 import functools
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids
@@ -67,6 +69,44 @@ def dedupe_requests(requests: DataFrame, delay: str) -> DataFrame:
     return requests.withWatermark("at", delay).dropDuplicatesWithinWatermark(["source_key", "variant"])
 
 
+def _first_after(times: np.ndarray, last: int | None, hold: int) -> list[int]:
+    """Of sorted times those that lie hold or more after the one taken before them, the first after `last`."""
+    taken, i = [], 0 if last is None else int(np.searchsorted(times, last + hold))
+    while i < len(times):
+        taken.append(int(times[i]))
+        i = int(np.searchsorted(times, taken[-1] + hold))
+    return taken
+
+
+def admitted_requests(requests: DataFrame, hold: str, delay: str) -> DataFrame:
+    """Requests (at, source_key, variant), of which one holds its file and variant for the time `hold`: others within
+    it collapse into it, and the first one after it is admitted again, also where no batch came in between.
+
+    The state of a file and variant is the time of the last admitted request; a timer drops it when the watermark (delay
+    behind the latest request) has passed the hold. Requests older than the watermark are left out, as are those
+    without a time; null keys are a key of their own. A key's requests of one batch are told by their times alone, eight
+    bytes each, so that a hot key stays small.
+    """
+    micros = requests.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_seconds(0) + interval {hold})")).first()[0]
+
+    def admit(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = np.sort(np.concatenate([b["us"].to_numpy(dtype=np.int64) for b in batches]))
+        taken = _first_after(times, state.get[0] if state.exists else None, micros)
+        if taken:
+            state.update((taken[-1],))
+        # the timer can't lie before the watermark; the hold of a request that is this late is over with the batch
+        state.setTimeoutTimestamp(max((state.get[0] + micros) // 1000, state.getCurrentWatermarkMs() + 1))
+        if taken:
+            yield pd.DataFrame({"source_key": key[0], "variant": key[1], "us": taken})
+
+    timed = requests.where("at is not null").withWatermark("at", delay).select("at", "source_key", "variant", F.unix_micros("at").alias("us"))
+    out = timed.groupBy("source_key", "variant").applyInPandasWithState(admit, "source_key string, variant string, us long", "last long", "append", "EventTimeTimeout")
+    return out.select("source_key", "variant", F.timestamp_micros("us").alias("at"))
+
+
 def stream_screen(docs: DataFrame, policy: dict, out: str, audit_out: str, checkpoint: str, recognizers=governance.RECOGNIZERS):
     """Screened text to one table and the audit of its findings to another."""
 
@@ -105,6 +145,18 @@ def stream_replayable(events: DataFrame, ttl: str) -> DataFrame:
     return events.withWatermark("at", ttl).dropDuplicates(["job_id", "cursor", "at"])
 
 
+def expired_jobs(events: DataFrame, ttl: Column | str, delay: str) -> DataFrame:
+    """Jobs whose replay state is over: (job_id, started, last, n) of each run of events (job_id, at) with less than ttl
+    between them, given once the watermark (delay behind the latest event) has passed ttl after the last.
+
+    ttl may be a column, so that each job has its own. A job whose events come again after its expiry begins anew. The
+    state of a living job is its bounds and count; events whose own ttl has passed the watermark are left out.
+    """
+    alive = F.session_window("at", ttl)
+    runs = events.withWatermark("at", delay).groupBy(alive.alias("alive"), "job_id").agg(F.min("at").alias("started"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n"))
+    return runs.select("job_id", "started", "last", "n")
+
+
 def retained(events: DataFrame, now, ttl: str) -> DataFrame:
     """The same of a stored table: rows of jobs whose last event isn't older than ttl at `now`."""
     last = events.groupBy("job_id").agg(F.max("at").alias("last")).where(F.col("last") >= now - F.expr(f"interval {ttl}")).select("job_id")

@@ -95,3 +95,49 @@ def test_stages_pair_and_open_ones_come_out(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = {(r.trace_id, r.sequence): r.status for r in _run(spark, jobs.stream_timeline(stream, "10 minutes"), tmp_path, "stages").collect()}
     assert got[("t", 1)] == "completed" and got[("z", 9)] == "completed" and got.get(("t", 2)) == "open"
+
+
+def test_holds_are_taken_one_by_one():
+    import numpy as np
+
+    for seed in range(50):
+        rng = np.random.default_rng(seed)
+        times, hold, last = np.sort(rng.integers(0, 200, 60)), int(rng.integers(1, 40)), None if seed % 2 else int(rng.integers(0, 100))
+        want, held = [], last
+        for t in times.tolist():
+            if held is None or t >= held + hold:
+                want.append(t)
+                held = t
+        assert jobs._first_after(times, last, hold) == want
+
+
+def test_a_hold_ends_although_no_batch_came_between(spark, tmp_path):
+    """Over three batches: a request after the hold is admitted, one within it not, a late one not; null keys hold too; expired
+    state doesn't come back."""
+    path, schema = str(tmp_path / "rq"), "at timestamp, source_key string, variant string"
+    batches = [
+        [(0, "a", "v"), (30, "a", "v"), (700, "a", "v"), (0, None, "v"), (5, None, "v"), (None, "a", "v"), (3, "b", "w")],
+        [(1200, "a", "v"), (1300, "a", "v"), (20, "late", "v"), (100_000, "c", "v")],
+        [(100_001, "c", "v"), (100_002, "a", "v"), (1400, "a", "v")],
+    ]
+    out = []
+    for rows in batches:
+        df = spark.createDataFrame(rows, "s int, source_key string, variant string").select(F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("at"), "source_key", "variant")
+        df.write.mode("append").parquet(path)
+        got = jobs.admitted_requests(spark.readStream.schema(schema).parquet(path), "10 minutes", "1 minute")
+        q = got.writeStream.foreachBatch(lambda b, e: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    taken = sorted((str(r.source_key), int(r.at.timestamp()) - 1704067200) for r in out)
+    assert taken == [("None", 0), ("a", 0), ("a", 700), ("a", 1300), ("a", 100_002), ("b", 3), ("c", 100_000)]
+
+
+def test_jobs_expire_and_begin_anew(spark, tmp_path):
+    path, schema, out = str(tmp_path / "ev"), "at timestamp, job_id long", []
+    for rows in ([(0, 1), (500, 1), (0, 2)], [(5000, 1), (5100, 2), (10, 3)], [(9000, 4)]):
+        df = spark.createDataFrame(rows, "s int, job_id long").select(F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("at"), "job_id")
+        df.write.mode("append").parquet(path)
+        ttl = F.when(F.col("job_id") == 1, "15 minutes").otherwise("1 hour")
+        q = jobs.expired_jobs(spark.readStream.schema(schema).parquet(path), ttl, "1 minute").writeStream.foreachBatch(lambda b, e: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    lives = sorted((r.job_id, int(r.started.timestamp()) - 1704067200, int(r["last"].timestamp()) - 1704067200, r.n) for r in out)
+    assert lives == [(1, 0, 500, 2), (1, 5000, 5000, 1), (2, 0, 0, 1), (2, 5100, 5100, 1), (3, 10, 10, 1)]
