@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, text
 from ..operators import golden, search, sections, traces
 from ..registry import registered
+from .scratch import stored
 from .screening import binder
 from .tables import chunks, sources, table, vectors, with_cte
 
@@ -289,6 +290,23 @@ def g7(spark: SparkSession, d: str) -> DataFrame:
     return golden.apply_row_updates(r, u).select("row_id", F.when(F.col("question") == "new?", "new?").alias("asked"), "edited", "review")
 
 
+def revalidation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Validated rows as stored, updates (in half of the sets every seventh row gets an answer that refuses), sections and figures."""
+    s = fact_sections(spark, d)
+    found, half = golden.facts(s), (F.crc32("source_key") % 2 == 0) & (F.col("row_id") % 7 == 0)
+    rows = stored(spark, d, "validated", lambda: golden.validate(gold_rows(spark, d), s, found))
+    none = F.lit(None).cast("string")
+    u = gold_rows(spark, d).where(half).select("row_id", none.alias("question"), F.lit("The document does not say.").alias("answer"), none.alias("review"))
+    return rows, u, s, found
+
+
+@registered("g7_revalidated")
+def g7_again(spark: SparkSession, d: str) -> DataFrame:
+    """Edited answers are tested again with their sets; sets without an edit keep what they had."""
+    rows, u, s, found = revalidation(spark, d)
+    return golden.apply_row_updates(rows, u, s, found).select("source_key", "row_id", "edited", "status", F.array_join("issues", "; ").alias("issues"))
+
+
 @registered("a9_g11_set_counts", "SELECT source AS set_id, source || '-report' AS slug, count(*) AS n_rows, count(*) FILTER (WHERE doc_id % 3 = 0) AS valid, count(*) FILTER (WHERE doc_id % 4 = 0) AS accepted FROM documents WHERE source <> 'src3' GROUP BY 1")
 def a9(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")

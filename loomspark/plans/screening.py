@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -165,6 +167,26 @@ def d8(spark: SparkSession, d: str) -> DataFrame:
     return governance.screen(docs, None, ONLY_MAIL).select("doc_id", "verdict", F.size("findings").alias("n_findings"), F.md5("text").alias("text_md5"))
 
 
+def mail_or_fail(body: str):
+    """Addresses of a text; of one whose length is a multiple of five nothing but an error."""
+    if len(body) % 5 == 0:
+        raise ValueError(f"{len(body)} characters")
+    return [(m.start(), m.end(), "EMAIL", 0.95) for m in re.finditer(governance.EMAIL, body)]
+
+
+@registered("d8_failing_detector", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'skipped' WHEN length(text) % 5 = 0 THEN 'failed' ELSE 'completed' END AS stage,
+CASE WHEN doc_id % 3 <> 0 AND length(text) % 5 = 0 THEN 'ValueError: ' || length(text) || ' characters' END AS failure,
+CASE WHEN doc_id % 3 = 0 THEN 'unscreened' WHEN length(text) % 5 <> 0 THEN 'allowed' WHEN doc_id % 3 = 1 THEN 'unscreened' ELSE 'blocked' END AS verdict,
+CASE WHEN doc_id % 3 = 0 OR length(text) % 5 = 0 THEN 0 ELSE len(regexp_extract_all(text, '{_MAIL}')) END::INT AS n_findings,
+md5(CASE WHEN doc_id % 3 <> 2 THEN text WHEN length(text) % 5 = 0 THEN '' ELSE regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g') END) AS text_md5 FROM documents""")
+def d8_failing(spark: SparkSession, d: str) -> DataFrame:
+    """A detector that fails on some texts, in all three modes."""
+    p = governance.policy_column({"actions": {"personal": "mask", "business": "mask", "ambiguous": "mask"}})
+    mode = F.element_at(F.array(F.lit("off"), F.lit("audit_only"), F.lit("enforce")), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = table(spark, d, "documents").withColumn("policy", p.withField("mode", mode))
+    return governance.screen_with(docs, mail_or_fail).select("doc_id", "stage", "failure", "verdict", F.size("findings").alias("n_findings"), F.md5("text").alias("text_md5"))
+
+
 @registered("d9_resolve_policy", "SELECT doc_id, CASE WHEN source = 'src1' THEN 'audit_only' ELSE 'enforce' END AS mode, CASE WHEN source IN ('src1', 'src2') THEN 'full' ELSE 'none' END AS verbatim, CASE WHEN source = 'src2' THEN 'reject' ELSE 'mask' END AS personal FROM documents")
 def d9(spark: SparkSession, d: str) -> DataFrame:
     own = table(spark, d, "documents").where("source in ('src1', 'src2')").select("source").distinct()

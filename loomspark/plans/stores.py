@@ -70,6 +70,17 @@ def io11(spark: SparkSession, d: str) -> DataFrame:
     return lines.read_jsonl(spark, path, "id bigint, source string, n_chars bigint, text string").select("id", "source", "n_chars", F.md5("text").alias("text_md5"))
 
 
+@registered("io11_bad_lines", "SELECT doc_id AS id, CASE doc_id % 3 WHEN 0 THEN 'cut' ELSE 'no id' END AS fault, doc_id - (SELECT min(doc_id) FROM documents e WHERE e.doc_id // 1000 = d.doc_id // 1000) + 1 AS line FROM documents d WHERE doc_id % 3 < 2")
+def io11_bad(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each thousand ids, lines by id; of three lines one is cut short and one has no id."""
+    path, n = fresh(spark, "jsonl"), F.col("doc_id") % 3
+    line = F.to_json(F.struct(F.when(n != 1, F.col("doc_id")).alias("id"), F.col("doc_id").alias("nth"), "text"))
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 1000).alias("thousand"), F.when(n == 0, F.concat(F.lit(r'{"nth":'), F.col("doc_id").cast("string"), F.lit(","))).otherwise(line).alias("value"))
+    docs.repartition("thousand").sortWithinPartitions("thousand", "doc_id").select("thousand", "value").write.partitionBy("thousand").text(path)
+    bad = lines.bad_lines(spark, path, "id bigint, nth bigint, text string")
+    return bad.select(F.regexp_extract("value", r'"nth":(\d+)', 1).cast("bigint").alias("id"), F.when(F.col("value").endswith("}"), "no id").otherwise("cut").alias("fault"), "line")
+
+
 @registered("v5_resolve_variant", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'recursive-512-64' WHEN 1 THEN '' WHEN 2 THEN NULL WHEN 3 THEN CASE WHEN 64 + n_chars BETWEEN 64 AND 8000 THEN 'fixed-' || (64 + n_chars) || '-16' END ELSE 'boundary-64-16' END AS space FROM documents")
 def v5(spark: SparkSession, d: str) -> DataFrame:
     """A named space, the original one, an unknown name, a geometry, nothing."""

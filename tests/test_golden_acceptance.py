@@ -115,3 +115,24 @@ def test_a_callers_check_shows_up(spark, data):
     assert set(map(tuple, added.values())) == {(), ("short_answer: under 40 characters",)}
     assert all((len(r.answer or "x" * 40) < 40) == bool(added[k]) and (r.status == "flagged") == bool(r.issues) for k, r in got.items())
     assert all(i.startswith(("self_check", "no_duplicates")) for r in golden.validate(rows, s, found, []).collect() for i in r.issues)
+
+
+def test_edited_sets_are_validated_again(spark, data):
+    """Issues and status after an edit are those of a validation of the edited rows; sets without an edit keep what they had."""
+    from loomspark.plans import answers
+
+    rows, u, s, found = answers.revalidation(spark, data)
+    edited = {r.row_id for r in u.collect()}
+    answer = F.when(F.col("row_id").isin(*edited), "The document does not say.").otherwise(F.col("answer"))
+    want = {r.row_id: r for r in golden.validate(answers.gold_rows(spark, data).withColumn("answer", answer), s, found).collect()}
+    before = {r.row_id: r for r in rows.collect()}
+    touched = {want[i].source_key for i in edited}
+    # what untouched sets hold is marked, so that it can be told from what a validation says
+    marked = rows.withColumn("issues", F.when(F.col("source_key").isin(*touched), F.col("issues")).otherwise(F.array(F.lit("old"))))
+    got = golden.apply_row_updates(marked, u, s, found).collect()
+    assert len(got) == len(want) and touched and touched != {r.source_key for r in got}
+    for r in got:
+        assert r.edited == (r.row_id in edited)
+        assert list(r.issues) == (list(want[r.row_id].issues) if r.source_key in touched else ["old"])
+        assert r.status == (want if r.source_key in touched else before)[r.row_id].status
+    assert any(list(want[i].issues) != list(before[i].issues) for i in edited)

@@ -152,3 +152,30 @@ def test_values_read_back(spark):
     rows = df.select(values.from_epoch("v").cast("string").alias("at"), values.as_count("v").alias("n"), values.as_page("v").alias("p")).collect()
     assert [r.at for r in rows] == ["2024-01-01 00:00:00.5", None, None, None, None, "1969-12-31 23:59:56.1", None, None]
     assert [r.n for r in rows] == [1704067200, 0, 0, 0, 0, -3, 0, 99999999999999] and [r.p for r in rows][1:7] == [None, None, None, None, -3, None]
+
+
+def test_bad_lines_have_numbers_in_split_files(spark, tmp_path):
+    """Two files of several splits each, blank lines among them, against numbers counted by hand."""
+    want = set()
+    for name, step in (("a", 7), ("b", 11)):
+        rows = ["" if i % 5 == 0 else "{oops" if i % step == 0 else '{"answer": "no id"}' if i % step == 1 else f'{{"id": "Q{i}", "answer": "{"x" * (i % 90)}"}}' for i in range(1, 2000)]
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(rows) + "\n")
+        want |= {(name, n, r) for n, r in enumerate(rows, 1) if r and '"id"' not in r}
+    schema, old = "id string, answer string", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        assert lines._heads(lines._tagged(spark, str(tmp_path), lines.T._parse_datatype_string(schema))).groupBy("file").count().where("count > 4").count() == 2
+        got = {(r.file[-7], r.line, r.value) for r in lines.bad_lines(spark, str(tmp_path), schema).collect()}
+        assert got == want
+        first = min(want)
+        with pytest.raises(ValueError, match=rf"bad line {first[1]} of .*a\.jsonl: "):
+            lines.read_jsonl(spark, str(tmp_path), schema)
+        (tmp_path / "late").mkdir()
+        late = [f'{{"id": "Q{i}"}}' for i in range(3000)] + ["{"]
+        (tmp_path / "late" / "c.jsonl").write_text("\n".join(late))
+        with pytest.raises(ValueError, match=r"bad line 3001 of "):
+            lines.read_jsonl(spark, str(tmp_path / "late" / "c.jsonl"), schema)
+        (tmp_path / "late" / "none.jsonl").write_text("")
+        assert lines.read_jsonl(spark, str(tmp_path / "late" / "none.jsonl"), schema).count() == 0
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
