@@ -1,12 +1,11 @@
 """Embedding, exact similarity search inside a space, and what becomes of the matches.
 
-Questions are sent to all tasks, in passes of bounded size; each task keeps its own best k per question with NumPy, over
-all its batches, so that only k rows per question and task are shuffled.
+Questions of a checked size are broadcast, more of them meet the vectors in a grid of partitions; each task keeps its own
+best k per question with NumPy, over all its batches, so that only k rows per question and task go on.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Questions, and vectors, whose scores are in memory at once; bytes of questions in a pass; bounds of k; sparse width.
+#: Questions, and vectors, whose scores are in memory at once; bytes of questions in a task; bounds of k; sparse width.
 BLOCK, TILE, QUESTION_BYTES, K = 1024, 1024, 64 << 20, (1, 50)
 BUCKETS = 1024
 
@@ -64,7 +63,7 @@ def _matrix(columns: list[pa.Array]) -> np.ndarray:
 
 
 class _Best:
-    """The k best vectors so far of each question, by score in millionths, then by id."""
+    """The k best vectors so far of each question, by score in millionths, then by id, nulls first."""
 
     def __init__(self, n: int, k: int):
         self.k, self.score, self.place, self.ids = k, np.zeros((n, 0), np.int64), np.zeros((n, 0), np.int64), None
@@ -74,7 +73,7 @@ class _Best:
         held = 0 if self.ids is None else len(self.ids)
         every = ids if self.ids is None else pa.concat_arrays([self.ids, ids])
         rank = np.empty(len(every), np.int64)
-        rank[pc.sort_indices(every).to_numpy()] = np.arange(len(every))
+        rank[pc.sort_indices(every, null_placement="at_start").to_numpy()] = np.arange(len(every))
         place = np.concatenate([self.place, np.broadcast_to(held + np.arange(len(ids)), score.shape)], axis=1)
         score = np.concatenate([self.score, score], axis=1)
         order = np.where(score < 0, -1, score * len(every) + (len(every) - 1 - rank[place]))
@@ -90,54 +89,102 @@ class _Best:
         return pa.RecordBatch.from_arrays([asked.take(pa.array(at[0])), ids, pa.array(self.score[at] / 1e6)], schema=schema)
 
 
-def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: int, matched_only: bool) -> DataFrame:
-    """question_id, vector_id, score of each task's k best per question; ids of any type. Questions go out in passes of
-    QUESTION_BYTES; a task holds TILE vectors' scores for BLOCK questions at a time."""
+class _Scan:
+    """Questions in memory, in blocks, and the vectors that go by them."""
+
+    def __init__(self, asked: pa.Array, matrix: np.ndarray, k: int, matched_only: bool):
+        self.matched_only = matched_only
+        self.blocks = [(asked[i : i + BLOCK], matrix[i : i + BLOCK], _Best(len(matrix[i : i + BLOCK]), k)) for i in range(0, len(matrix), BLOCK)]
+        self.some = False
+
+    def add(self, ids: pa.Array, payload: list[pa.Array]) -> None:
+        for i in range(0, len(ids), TILE):
+            x, self.some = _matrix([c.slice(i, TILE) for c in payload]).T, True
+            for _, m, found in self.blocks:
+                dots = m @ x
+                score = np.rint(np.clip(dots, 0, 1) * 1e6).astype(np.int64)
+                found.add(ids.slice(i, TILE), np.where(dots > 0, score, -1) if self.matched_only else score)
+
+    def results(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        for asked, _, found in self.blocks if self.some else []:
+            yield found.rows(asked, schema)
+
+
+def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: int, matched_only: bool, question_bytes: int) -> DataFrame:
+    """The k best of each question; ids of any type. Questions of at most question_bytes are broadcast, and vectors go by
+    them where they lie; more of them meet the vectors in a grid (_grid). Questions are read more than once: store what is costly."""
     if not K[0] <= k <= K[1]:
         raise ValueError(f"k must lie in {K[0]}..{K[1]}")
-    spark = questions.sparkSession
     q, v = questions.select("question_id", *payload).where(F.col(payload[-1]).isNotNull()), vectors.select("vector_id", *payload).where(F.col(payload[-1]).isNotNull())
     kinds = [q.schema["question_id"].dataType, v.schema["vector_id"].dataType]
     schema = pa.schema([("question_id", to_arrow_type(kinds[0])), ("vector_id", to_arrow_type(kinds[1])), ("score", pa.float64())])
     ddl = f"question_id {kinds[0].simpleString()}, vector_id {kinds[1].simpleString()}, score double"
-
-    def near(rows: list) -> DataFrame:
-        matrix = _matrix([pa.array([r[p] for r in rows], pa.list_(pa.float64() if p != "buckets" else pa.int32())) for p in payload])
-        sent = spark.sparkContext.broadcast((pa.array([r.question_id for r in rows], schema.field(0).type), matrix))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            asked, m = sent.value
-            blocks = [(slice(i, i + BLOCK), _Best(len(m[i : i + BLOCK]), k)) for i in range(0, len(m), BLOCK)]
-            some = False
-            for b in batches:
-                for i in range(0, b.num_rows, TILE):
-                    part, some = b.slice(i, TILE), True
-                    x = _matrix(part.columns[1:]).T
-                    for at, found in blocks:
-                        dots = m[at] @ x
-                        score = np.rint(np.clip(dots, 0, 1) * 1e6).astype(np.int64)
-                        found.add(part.column(0), np.where(dots > 0, score, -1) if matched_only else score)
-            if some:
-                for at, found in blocks:
-                    yield found.rows(asked[at], schema)
-
-        return v.mapInArrow(run, ddl)
-
-    parts, held = [], []
-    for row in q.toLocalIterator():
-        held.append(row)
-        if len(held) * 8 * (BUCKETS if len(payload) > 1 else len(row[payload[0]])) >= QUESTION_BYTES:
-            parts.append(near(held))
-            held = []
-    if held or not parts:
-        parts.append(near(held) if held else spark.createDataFrame([], ddl))
-    return best(functools.reduce(DataFrame.unionByName, parts), k)
-
-
-def search_sparse(questions: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
+    first = q.first()
+    if first is None:
+        return best(q.sparkSession.createDataFrame([], ddl), k)
+    width = BUCKETS if len(payload) > 1 else max(1, len(first[payload[0]]))
+    most = max(1, question_bytes // (8 * width))
+    rows = q.limit(most + 1).collect()
+    if len(rows) > most:
+        return best(_grid(q, v, payload, k, matched_only, most, schema, ddl), k)
+    matrix = _matrix([pa.array([r[p] for r in rows], pa.list_(pa.float64() if p != "buckets" else pa.int32())) for p in payload])
+    sent = q.sparkSession.sparkContext.broadcast((pa.array([r.question_id for r in rows], schema.field(0).type), matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _Scan(*sent.value, k, matched_only)
+        for b in batches:
+            scan.add(b.column(0), b.columns[1:])
+        yield from scan.results(schema)
+
+    return best(v.mapInArrow(run, ddl), k)
+
+
+def _grid(q: DataFrame, v: DataFrame, payload: list[str], k: int, matched_only: bool, most: int, schema: pa.Schema, ddl: str) -> DataFrame:
+    """A cell of the grid is a partition: about `most` questions, which it holds, and a slice of the vectors, which go by. Vectors are
+    read once and sent to each tile of questions, questions to each slice; slices are as many as make the
+    shuffle's number of partitions. Nothing passes the driver but the number of questions.
+
+    Of repeated questions (id and embedding) k stay, which is all that the k best of their id can need, so that no tile
+    grows with copies; vectors don't have to fit in memory, and copies of one in different files go to different slices.
+    """
+    copies = q.groupBy("question_id", *payload).agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
+    q = copies.select("question_id", *payload, F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
+    tiles = -(-q.count() // most)
+    slices = -(-int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")) // tiles)
+    tile = F.pmod(F.xxhash64("question_id", *payload, "copy"), F.lit(tiles)).cast("int")
+    place = F.pmod(F.xxhash64("vector_id", *payload, F.spark_partition_id()), F.lit(slices)).cast("int")
+    to_slices = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("tile") * slices + s))
+    to_tiles = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tiles - 1)), lambda t: t * slices + F.col("slice")))
+    asked = q.withColumn("tile", tile).select(to_slices.alias("cell"), F.lit(0).alias("side"), "question_id", F.lit(None).cast(v.schema["vector_id"].dataType).alias("vector_id"), *payload)
+    held = v.withColumn("slice", place).select(to_tiles.alias("cell"), F.lit(1).alias("side"), F.lit(None).cast(q.schema["question_id"].dataType).alias("question_id"), "vector_id", *payload)
+    cells = asked.unionByName(held).repartitionById(tiles * slices, F.col("cell")).sortWithinPartitions("cell", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, matrices, scan = None, [], [], None
+        for b in batches:
+            cell = b.column(0).to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist()] if len(cell) else []
+            for i, j in zip(starts, [*starts[1:], len(cell)]):
+                if cell[i] != now:
+                    yield from scan.results(schema) if scan else ()
+                    now, ids, matrices, scan = cell[i], [], [], None
+                part = b.slice(i, j - i)
+                n = pc.sum(pc.equal(part.column(1), 0)).as_py()
+                if n:
+                    ids.append(part.column(2).slice(0, n))
+                    matrices.append(_matrix([c.slice(0, n) for c in part.columns[4:]]))
+                if n < part.num_rows and ids:
+                    scan = scan or _Scan(pa.concat_arrays(ids), np.concatenate(matrices), k, matched_only)
+                    scan.add(part.column(3).slice(n), [c.slice(n) for c in part.columns[4:]])
+        yield from scan.results(schema) if scan else ()
+
+    return cells.mapInArrow(run, ddl)
+
+
+def search_sparse(questions: DataFrame, corpus: DataFrame, k: int, question_bytes: int = QUESTION_BYTES) -> DataFrame:
     """Sparse rows (question_id | vector_id, bucket, weight) to the k best per question among vectors that share a bucket
     with it: vectors are packed to a row each, then scored in blocks like dense ones."""
-    return _nearest(packed(questions, "question_id"), packed(corpus, "vector_id"), ["buckets", "weights"], k, True)
+    return _nearest(packed(questions, "question_id"), packed(corpus, "vector_id"), ["buckets", "weights"], k, True, question_bytes)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -149,13 +196,13 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, vectors: DataFrame, k: int, space: str | None = None) -> DataFrame:
+def search(questions: DataFrame, vectors: DataFrame, k: int, space: str | None = None, question_bytes: int = QUESTION_BYTES) -> DataFrame:
     """question_id, vector_id, score, rank: the k nearest vectors by dot product, exactly, in one space (a partition).
 
     questions: question_id, embedding; vectors: vector_id, embedding (and space, if one is named). Ids keep their types;
-    rows without an embedding are left out.
+    rows without an embedding are left out. Questions beyond question_bytes aren't broadcast.
     """
-    return _nearest(questions, vectors if space is None else vectors.where(F.col("space") == space), ["embedding"], k, False)
+    return _nearest(questions, vectors if space is None else vectors.where(F.col("space") == space), ["embedding"], k, False, question_bytes)
 
 
 def apply_threshold(matches: DataFrame, threshold: float) -> DataFrame:

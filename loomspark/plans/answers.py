@@ -33,6 +33,12 @@ def v2(spark: SparkSession, d: str) -> DataFrame:
     return search.search(asked(spark, d), space(spark, d), 10)
 
 
+@registered("v2_search_grid", f"WITH {_TOP} SELECT question_id, vector_id, score, rank::INT AS rank FROM t")
+def v2_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The same with questions of two kilobytes in a task, as if there were too many to broadcast."""
+    return search.search(asked(spark, d), space(spark, d), 10, question_bytes=1 << 11)
+
+
 @registered("l1_top_k_in_space", f"WITH {_SCORED} SELECT question_id, vector_id, score, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vector_id)::INT AS rank FROM s WHERE space = 1 QUALIFY rank <= 5")
 def l1(spark: SparkSession, d: str) -> DataFrame:
     return search.search(asked(spark, d), space(spark, d), 5, "s1")

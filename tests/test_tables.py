@@ -179,3 +179,29 @@ def test_bad_lines_have_numbers_in_split_files(spark, tmp_path):
         assert lines.read_jsonl(spark, str(tmp_path / "late" / "none.jsonl"), schema).count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_search_grid_equals_broadcast(spark):
+    """Repeated questions and vectors, ties, nulls, string ids, empty sides; dense and sparse, against plain NumPy and each other."""
+    import numpy as np
+
+    from loomspark.operators import search
+
+    rng = np.random.default_rng(5)
+    v = [(f"v{i % 150}", rng.integers(-2, 3, 8).astype(float).tolist()) for i in range(150)] + [("same", [1.0] * 8)] * 400 + [(None, [0.5] * 8), ("none", None)]
+    q = [(i, rng.integers(-2, 3, 8).astype(float).tolist()) for i in range(60)] + [(99, [0.1] * 8)] * 70 + [(100, None), (None, [0.05] * 8)]
+    qs, vs = spark.createDataFrame(q, "question_id long, embedding array<double>").repartition(3), spark.createDataFrame(v, "vector_id string, embedding array<double>").repartition(5)
+    rows = lambda df: sorted(map(str, df.select("question_id", "vector_id", "score", "rank").collect()))
+    small, grid = rows(search.search(qs, vs, 7)), search.search(qs, vs, 7, question_bytes=64 * 9)
+    assert rows(grid) == small and len(small) == 62 * 7 and "BroadcastNestedLoop" not in grid._jdf.queryExecution().toString()
+    want = {}
+    for i, e in q[:60]:
+        scored = sorted((-round(float(np.clip(np.dot(e, x), 0, 1)), 6), (n is not None, n or "")) for n, x in v if x)
+        want[i] = [(n[1] or None, -s) for s, n in scored[:7]]
+    for i in want:
+        got = [(r.vector_id, r.score) for r in grid.where(f"question_id = {i}").orderBy("rank").collect()] if i % 20 == 0 else None
+        assert got is None or got == want[i]
+    assert search.search(qs.limit(0), vs, 3).count() == 0 and search.search(qs, vs.limit(0), 3, question_bytes=64).count() == 0
+    flat = lambda df, key: df.where("embedding is not null").dropDuplicates([key]).select(key, F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
+    sq, sv = flat(qs, "question_id").where("question_id is not null"), flat(vs, "vector_id").where("vector_id is not null")
+    assert rows(search.search_sparse(sq, sv, 5)) == rows(search.search_sparse(sq, sv, 5, question_bytes=8 * 1024 * 7))
