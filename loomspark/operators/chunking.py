@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, text
+from ..functions import ids, locate, text
 
 CHUNK_COLUMNS = ("source_key", "document_id", "chunk_index", "chunk_total", "vector_id", "content", "token_count", "overlap", "start_offset", "end_offset", "note")
 
@@ -282,7 +282,13 @@ def overlap_check(chunks: DataFrame) -> DataFrame:
 
 
 def locate_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """start and end of each chunk in its stripped document: first hit from the cursor, else any hit, else the cursor."""
-    both = chunks.join(docs.select("source_key", text.strip("text").alias("doc_text")), "source_key")
-    at = F.coalesce(F.expr("nullif(locate(content, doc_text, cursor + 1), 0)"), F.expr("nullif(locate(content, doc_text), 0)"), F.col("cursor") + 1) - 1
-    return both.withColumn("start", at).withColumn("end", F.col("start") + F.length("content")).drop("doc_text")
+    """start and end of each chunk in its stripped document: first hit from the cursor, else any hit, else the cursor. A document is
+    one row with all its chunks, so its text meets them once. A chunk without content, or of a null text, is at its cursor;
+    one without a cursor at any hit."""
+    held = chunks.groupBy("source_key").agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in chunks.columns])).alias("cs"))
+    both = held.join(docs.select("source_key", text.strip("text").alias("doc_text")), "source_key")
+    part = lambda c, other: F.transform("cs", lambda x: F.coalesce(x[c], other))
+    both = both.select("cs", locate.places_from("doc_text", part("content", F.lit("")), part("cursor", F.lit(-1))).alias("at"))
+    rows = both.select(F.explode(F.arrays_zip("cs", "at")).alias("r"))
+    start = F.when(F.col("r.cs.content").isNull(), F.col("r.cs.cursor")).when(F.col("r.at") >= 0, F.col("r.at"))
+    return rows.select("r.cs.*", start.cast("int").alias("start")).withColumn("end", F.col("start") + F.length("content"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import locate, text
 from . import chunking
 
 #: The least body of a plain heading, title length of an untitled block, longest heading, words that
@@ -132,14 +132,14 @@ def probes(chunks: DataFrame, width: int = 96, least: int = 16) -> DataFrame:
 
 def map_sections(chunks: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (source_key, chunk_index, further key columns `by`, position, title) of the sections in which a chunk's probes lie. A document's
-    spans are one array beside its probes; no pairs of probes and sections become rows."""
+    spans and the probes of all its chunks are one row, and one pass of its text finds them all."""
     spans = section_spans(docs, found_only=True).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "position", "title"))).alias("spans"))
-    whole = docs.select("source_key", text.strip("text").alias("whole")).join(spans, "source_key")
-    asked = probes(chunks).select("source_key", "chunk_index", *by, "probes").join(whole, "source_key")
-    at = F.filter(F.transform("probes", lambda p: F.call_function("locate", p, F.col("whole")) - 1), lambda a: a >= 0)
-    asked = asked.select("source_key", "chunk_index", *by, "spans", at.alias("at"))
-    hit = F.filter("spans", lambda s: F.exists("at", lambda a: (a >= s["start"]) & (a < s["end"])))
-    return asked.select("source_key", "chunk_index", *by, F.explode(hit).alias("s")).select("source_key", "chunk_index", *by, "s.position", "s.title").distinct()
+    asked = probes(chunks).groupBy("source_key").agg(F.collect_list(F.struct("chunk_index", *by, "probes")).alias("asked"))
+    row = asked.join(spans, "source_key").join(docs.select("source_key", text.strip("text").alias("whole")), "source_key")
+    row = row.select("source_key", "spans", "asked", locate.places_of("whole", F.transform("asked", lambda c: c["probes"])).alias("at"))
+    inside = lambda c, at: F.transform(F.filter("spans", lambda s: F.exists(at, lambda a: (a >= s["start"]) & (a < s["end"]))), lambda s: F.struct(*[c[x].alias(x) for x in ("chunk_index", *by)], s["position"].alias("position"), s["title"].alias("title")))
+    hits = row.select("source_key", F.explode(F.flatten(F.zip_with("asked", "at", inside))).alias("h"))
+    return hits.select("source_key", "h.*").distinct()
 
 
 def stamp_pages(chunks: DataFrame, page_spans: DataFrame) -> DataFrame:

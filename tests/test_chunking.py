@@ -165,3 +165,33 @@ def test_pages(spark):
     row = listing.assemble_pages(pages).first()
     assert [s.page for s in row.spans] == [1, 2, 3] and row.spans[0].start == 0 and row.spans[-1].end == len(row.text)
     assert all(a.end == b.start for a, b in zip(row.spans, row.spans[1:], strict=False))
+
+
+def test_passages_are_found_in_one_pass(monkeypatch):
+    """Against str.find: repetitive and random texts, astral letters, needles longer than the text, over several parts, sums that clash."""
+    import random
+
+    import numpy as np
+
+    from loomspark.functions import locate
+
+    rng = random.Random(3)
+    for part in (7, 64, 1 << 20):
+        monkeypatch.setattr(locate, "PART", part)
+        for letters in ("ab", "abcdefgh \n", "a\U0001F600\ud800b", "a"):
+            for n in (0, 1, 5, 300):
+                whole = "".join(rng.choice(letters) for _ in range(n))
+                needles = ["", whole, whole + "x"] + [whole[(i := rng.randrange(n + 1)) : i + rng.randrange(40)] for _ in range(20)] + ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(20)]
+                assert locate.first_hits(whole, needles) == [whole.find(x) for x in needles]
+                cursors = [rng.randrange(n + 3) for _ in needles]
+                assert locate.next_hits(whole, needles, cursors) == [p if c <= n and (p := whole.find(x, c)) >= 0 else whole.find(x) for x, c in zip(needles, cursors)]
+    monkeypatch.setattr(locate, "BASE", np.uint64(1))
+    assert locate.first_hits("xxabba", ["ab", "ba", "bb", "aa", "xb"]) == [2, 4, 3, -1, -1]
+
+
+def test_located_chunks_keep_their_rows(spark):
+    rows = [("d", 0, "alpha", 0), ("d", 1, "alpha", 3), ("d", 2, "nowhere", 4), ("d", 3, None, 2), ("d", 4, "beta", None), ("d", 5, "zzz", None), ("n", 0, "x", 1), ("gone", 0, "x", 0)]
+    c = spark.createDataFrame(rows, "source_key string, chunk_index int, content string, cursor int")
+    docs = spark.createDataFrame([("d", "  alpha beta alpha ", 9), ("n", None, 9)], "source_key string, text string, start int")
+    got = {(r.source_key, r.chunk_index): (r.start, r.end) for r in chunking.locate_chunks(c, docs).collect()}
+    assert got == {("d", 0): (0, 5), ("d", 1): (11, 16), ("d", 2): (4, 11), ("d", 3): (2, None), ("d", 4): (6, 10), ("d", 5): (None, None), ("n", 0): (1, 2)}
