@@ -88,3 +88,18 @@ def places_from(wholes: pd.Series, needles: pd.Series, cursors: pd.Series) -> pd
         hits = next_hits(whole, list(ns), cs) if whole is not None else [-1] * len(cs)
         out.append([c if h < 0 else h for h, c in zip(hits, cs)])
     return pd.Series(out)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("found", T.BooleanType())))
+def places_in_turn(wholes: pd.Series, needles: pd.Series) -> pd.Series:
+    """For each passage of a document where it begins after the end of the one before, else anywhere; one that isn't there begins at that end."""
+    out = []
+    for whole, ns in zip(wholes, needles):
+        places, cursor = [], 0
+        for n in ns:
+            hit = p if (p := whole.find(n, cursor)) >= 0 else whole.find(n)
+            start = hit if hit >= 0 else cursor
+            places.append({"start": start, "found": hit >= 0})
+            cursor = start + len(n)
+        out.append(places)
+    return pd.Series(out, dtype=object)

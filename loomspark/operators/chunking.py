@@ -1,18 +1,21 @@
 """Cutting documents into chunks. Input: source_key, text; output: one row per chunk.
 
 The fixed strategy is all columns. Boundary and recursive cuts depend on what was emitted before, so they run inside
-Arrow batches, document by document, as searches in the sorted offsets of a text's words and breaks; chunks are
-numbered there, and nothing is shuffled. Structural cuts use the sections of sections.py, which are shuffled by document.
+Arrow batches, in blocks of documents, as searches in the sorted offsets of their words and breaks; chunks are
+numbered there. Structural cuts use the sections of sections.py. Nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,16 +71,25 @@ _BREAKS = ((re.compile(r"\n\s*\n"), "cut at a blank line"), (re.compile(r"(?<=[.
 _LEVELS = (("\n\n", "a blank line"), ("\n", "a line end"), (". ", "a sentence end"), (" ", "a word break"))
 #: What other cuts are called.
 _WHOLE, _TAIL, _LIMIT, _NO_BREAK = "the whole document fits in one chunk", "the document's tail, taken whole", "the token limit", "no break in reach — cut at the token limit"
-_INK = re.compile(r"\S+")
+#: White space by code; all from the last entry on are ink.
+_SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+#: What parts the texts of a block: white space that is none of the separators above.
+_END = "\r"
+#: Bytes of text that are cut together, whole documents.
+BLOCK = 1 << 20
 
 
 class Marks:
-    """A stripped text and where its words lie: the first and, after the last, the end character of each, ascending."""
+    """Stripped texts one after another, where each starts, and where the words lie: the first and, after the last, the end character of each, ascending."""
 
-    def __init__(self, text: str):
-        self.text = text.strip()
-        found = [m.span() for m in _INK.finditer(self.text)]
-        self.heads, self.ends = np.array(found, np.int64).reshape(-1, 2).T
+    def __init__(self, *texts: str):
+        stripped = [t.strip() for t in texts]
+        self.text = _END.join(stripped)
+        self.starts = np.cumsum([0, *(len(t) + 1 for t in stripped)])[:-1]
+        codes = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        ink = np.concatenate([[False], ~_SPACE[np.minimum(codes, len(_SPACE) - 1)], [False]])
+        turns = np.flatnonzero(ink[1:] != ink[:-1])
+        self.heads, self.ends = turns[::2], turns[1::2]
 
     def upto(self, at) -> np.ndarray:
         """Words that end at or before each offset."""
@@ -87,10 +99,10 @@ class Marks:
         """Words of which some character lies in start..end."""
         return int(np.searchsorted(self.heads, end, "left") - np.searchsorted(self.ends, start, "right"))
 
-    def segment(self, first: int, last: int, note: str) -> Segment:
-        """Words first..last-1 with what lies between them."""
+    def segment(self, first: int, last: int, note: str, origin: int = 0) -> Segment:
+        """Words first..last-1 with what lies between them; offsets from the origin."""
         start, end = int(self.heads[first]), int(self.ends[last - 1])
-        return self.text[start:end], start, end, note
+        return self.text[start:end], start - origin, end - origin, note
 
 
 def boundary_cuts(marks: Marks, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
@@ -117,46 +129,60 @@ def boundary_segments(text: str, size: int, overlap: int) -> Iterator[Segment]:
         yield marks.segment(*cut)
 
 
-def recursive_pieces(marks: Marks, size: int) -> tuple[np.ndarray, list[str]]:
-    """(offsets between pieces, name of the cut that made each piece): level by level, the pieces that are too large are
-    cut at all separators in them, and what no separator helps is cut every `size` words."""
-    edges, names = np.array([0, len(marks.text)]), np.array([_LIMIT], object)
+def recursive_pieces(marks: Marks, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets between pieces, level of the cut that made each piece): level by level, the pieces that are too large are
+    cut at all separators in them, and what no separator helps is cut every `size` words. All texts are cut together."""
+    edges = np.unique(np.append(marks.starts, len(marks.text)))
+    levels = np.full(len(edges) - 1, len(_LEVELS))
 
-    def refined(cuts: np.ndarray, said: str) -> tuple[np.ndarray, np.ndarray]:
-        large = np.diff(marks.upto(edges)) > size
+    def refined(cuts: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
         piece = np.searchsorted(edges, cuts, "left") - 1  # the piece that a cut falls in, or ends
-        inside = cuts[large[np.minimum(piece, len(large) - 1)] & ~np.isin(cuts, edges)]
-        every = np.union1d(edges, inside)
+        large = np.diff(marks.upto(edges)) > size
+        inside = large[piece] & (edges[piece + 1] != cuts)
+        cut = np.zeros(len(large), bool)
+        cut[piece[inside]] = True
+        every = np.sort(np.concatenate([edges, cuts[inside]]))
         parent = np.searchsorted(edges, every[:-1], "right") - 1
-        fresh = np.isin(np.arange(len(large)), np.searchsorted(edges, inside, "left") - 1)
-        return every, np.where(fresh[parent], said, names[parent])
+        return every, np.where(cut[parent], level, levels[parent])
 
-    for separator, said in _LEVELS:
-        edges, names = refined(np.array([m.end() for m in re.finditer(re.escape(separator), marks.text)], np.int64), said)
+    for level, (separator, _) in enumerate(_LEVELS):
+        if (np.diff(marks.upto(edges)) > size).any():
+            edges, levels = refined(np.array([m.end() for m in re.finditer(re.escape(separator), marks.text)], np.int64), level)
     counts = marks.upto(edges)
-    every = [marks.ends[k + size - 1 : last - 1 : size] for k, last in zip(counts[:-1], counts[1:], strict=True) if last - k > size]
-    edges, names = refined(np.concatenate([np.zeros(0, np.int64), *every]), _LIMIT)
-    return edges, names.tolist()
-
-
-def recursive_cuts(marks: Marks, size: int, overlap: int) -> Iterator[tuple[int, int, str]]:
-    """Pieces packed up to the size by running sums of words; the next chunk goes back over whole pieces within the overlap."""
-    edges, names = recursive_pieces(marks, size)
-    upto, first = marks.upto(edges), 0
-    while first < len(names):
-        last = max(first + 1, int(np.searchsorted(upto, upto[first] + size, "right")) - 1)
-        if upto[last] > upto[first]:
-            yield int(upto[first]), int(upto[last]), f"cut at {names[last - 1]}"
-        if last == len(names):
-            return
-        first = min(last, max(first + 1, int(np.searchsorted(upto, upto[last] - overlap, "left"))))
+    large = np.flatnonzero(np.diff(counts) > size)
+    if len(large):
+        every = [marks.ends[k + size - 1 : last - 1 : size] for k, last in zip(counts[large], counts[large + 1], strict=True)]
+        edges, levels = refined(np.concatenate(every), len(_LEVELS))
+    return edges, levels
+
+
+def recursive_cuts(marks: Marks, size: int, overlap: int) -> Iterator[list[tuple[int, int, str]]]:
+    """(first word, last word + 1, note) of each text's chunks: pieces packed up to the size by running sums of words; the
+    next chunk goes back over whole pieces within the overlap."""
+    edges, levels = recursive_pieces(marks, size)
+    said = [f"cut at {name}" for name in (*(name for _, name in _LEVELS), _LIMIT)]
+    upto, levels = marks.upto(edges).tolist(), levels.tolist()
+    for first, end in itertools.pairwise(np.searchsorted(edges, np.append(marks.starts, len(marks.text))).tolist()):
+        cuts = []
+        while first < end:
+            last = max(first + 1, bisect_right(upto, upto[first] + size, first, end + 1) - 1)
+            if upto[last] > upto[first]:
+                cuts.append((upto[first], upto[last], said[levels[last - 1]]))
+            if last == end:
+                break
+            first = min(last, max(first + 1, bisect_left(upto, upto[last] - overlap, first, end + 1)))
+        yield cuts
+
+
+def recursive_blocks(texts: list[str], size: int, overlap: int) -> Iterator[list[Segment]]:
+    """The segments of each text of a block."""
+    marks = Marks(*texts)
+    for origin, cuts in zip(marks.starts.tolist(), recursive_cuts(marks, size, overlap), strict=True):
+        yield [marks.segment(*cut, origin) for cut in cuts]
 
 
 def recursive_segments(text: str, size: int, overlap: int) -> Iterator[Segment]:
-    marks = Marks(text)
-    if len(marks.ends):
-        for cut in recursive_cuts(marks, size, overlap):
-            yield marks.segment(*cut)
+    return iter(next(recursive_blocks([text], size, overlap)))
 
 
 def merged_sections(tokens_from: np.ndarray, tokens_to: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -196,30 +222,46 @@ _SEGMENTS = pa.schema([("source_key", pa.string()), ("plan", pa.int32()), ("posi
 _SEGMENTS_DDL = "source_key string, plan int, position int, total int, content string, start_offset int, end_offset int, note string"
 
 
-def _cut_map(*cuts: Callable[..., Iterator[Segment]]):
-    """A map over (source_key, further columns) to the segments of each cut in turn, numbered, with their total."""
+def each(cut: Callable[..., Iterator[Segment]]) -> Callable[..., Iterator[list[Segment]]]:
+    """A cut of one document as a cut of a block, given as columns."""
+    return lambda *columns: (list(cut(*row)) for row in zip(*columns, strict=True))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about BLOCK bytes in the second column, the text."""
+    upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+    for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(upto // BLOCK)) + 1).tolist(), batch.num_rows]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def _cut_map(*cuts: Callable[..., Iterator[list[Segment]]]):
+    """A map over (source_key, text, further columns) to the segments of each cut in turn, numbered, with their total."""
 
     def run(batches):
-        for b in batches:
-            for key, *args in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                for plan, cut in enumerate(cuts):
-                    found = list(cut(*args))
-                    if found:
-                        columns = [[key] * len(found), [plan] * len(found), range(len(found)), [len(found)] * len(found), *zip(*found, strict=True)]
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SEGMENTS, strict=True)], schema=_SEGMENTS)
+        for block in itertools.chain.from_iterable(map(_blocks, batches)):
+            keys, *columns = [c.to_pylist() for c in block.columns]
+            for plan, cut in enumerate(cuts):
+                rows = [(key, plan, i, len(found), *segment) for key, found in zip(keys, cut(*columns), strict=True) for i, segment in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SEGMENTS, strict=True)], schema=_SEGMENTS)
 
     return run
 
 
+def _segments(docs: DataFrame, *cuts: Callable[[list[str]], Iterator[list[Segment]]]) -> DataFrame:
+    return docs.select("source_key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_cut_map(*cuts), _SEGMENTS_DDL)
+
+
 def segmented(docs: DataFrame, *cuts: Callable[[str], Iterator[Segment]]) -> DataFrame:
     """Segments of each document's whole text by each cut, in one pass and without a shuffle."""
-    return docs.select("source_key", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_cut_map(*cuts), _SEGMENTS_DDL)
+    return _segments(docs, *map(each, cuts))
 
 
 def _sequential(docs: DataFrame, plans: list[tuple[str, int, int]]) -> DataFrame:
     """Chunks of boundary and recursive plans (strategy, size, overlap), with a column plan: the place in plans."""
-    by = {"boundary": boundary_segments, "recursive": recursive_segments}
-    return numbered(segmented(docs, *[functools.partial(by[s], size=n, overlap=o) for s, n, o in plans]), [o for _, _, o in plans])
+    cut = {"boundary": lambda n, o: each(functools.partial(boundary_segments, size=n, overlap=o)), "recursive": lambda n, o: functools.partial(recursive_blocks, size=n, overlap=o)}
+    return numbered(_segments(docs, *[cut[s](n, o) for s, n, o in plans]), [o for _, _, o in plans])
 
 
 def chunk_boundary(docs: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -231,13 +273,12 @@ def chunk_recursive(docs: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def chunk_structural(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    from .sections import section_spans
+    from .sections import with_spans
 
     ids.parse_variant(ids.variant_id("structural", size, overlap))
-    spans = section_spans(docs).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("position", "title", "start", "end"))).alias("spans"))
-    cut = lambda text, spans: structural_segments(text, [(x["title"], x["start"], x["end"]) for x in spans], size, overlap)
-    both = docs.select("source_key", F.coalesce("text", F.lit("")).alias("text")).join(spans, "source_key")
-    return numbered(both.mapInArrow(_cut_map(cut), _SEGMENTS_DDL), [overlap]).select(*CHUNK_COLUMNS)
+    cut = each(lambda text, spans: structural_segments(text, [(x["title"], x["start"], x["end"]) for x in spans], size, overlap))
+    rows = with_spans(docs.select("source_key", F.coalesce("text", F.lit("")).alias("text")))
+    return numbered(rows.select("source_key", "text", "spans").mapInArrow(_cut_map(cut), _SEGMENTS_DDL), [overlap]).select(*CHUNK_COLUMNS)
 
 
 STRATEGIES: dict[str, Callable[[DataFrame, int, int], DataFrame]] = {"fixed": chunk_fixed, "boundary": chunk_boundary, "recursive": chunk_recursive, "structural": chunk_structural}

@@ -1,16 +1,21 @@
 """Titled sections of documents (source_key, text), by ruled, ATX or plain headings, else token slices.
 
-Lines are classified with windows per document; bodies are cut from the document's own line array. Output:
-source_key, position, title, level (top, sub or preamble), body, subsections.
+A document's lines are an array of its own row: they are classified there, and bodies are cut from it, so nothing is
+shuffled. Output: source_key, position, title, level (top, sub or preamble), body, subsections.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import locate, text
 from . import chunking
+from .governance import bound
 
 #: The least body of a plain heading, title length of an untitled block, longest heading, words that
 #: begin headings, and the patterns of rules, ATX headings and numbered headings.
@@ -22,103 +27,154 @@ NUMBERED = r"^\s*(\d+(?:\.\d+)*)\.?\s+(\S.*[^.\s])\s*$"
 SLICE_TOKENS = 400
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    lines = docs.select("source_key", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    doc = Window.partitionBy("source_key").orderBy("n")
-    title = text.strip("line")
-    plausible = (F.length("title") > 0) & (F.length("title") <= MAX_HEADING) & ~F.col("title").rlike("[,;:]$")
-    lines = lines.withColumn("title", title).withColumn("plausible", plausible).withColumn("rule", F.col("line").rlike(RULE))
-    # where the ink of the lines after this one begins and ends, in characters of the document
-    begin = F.coalesce(F.sum(F.length("line") + 1).over(doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inked = F.when(F.length("title") > 0, F.col("begin") + F.length("line") - F.length(F.regexp_replace("line", r"^\s+", "")))
-    after = doc.rowsBetween(1, Window.unboundedFollowing)
-    return (
-        lines.withColumn("begin", begin).withColumn("ink_from", inked).withColumn("ink_to", F.col("ink_from") + F.length("title"))
-        .withColumn("above", F.coalesce(F.lag("rule").over(doc), F.lit(False))).withColumn("below", F.coalesce(F.lead("rule").over(doc), F.lit(False)))
-        .withColumn("following", F.coalesce(F.max("ink_to").over(after) - F.min("ink_from").over(after), F.lit(0)))
-    )
+def _last_with_body(body: Column) -> Column:
+    """The last line from whose ink on a text holds MIN_BODY characters up to its last: so has what follows any line above it."""
+    inked = lambda t: F.regexp_replace(t, r"\s+$", "")
+    return F.size(F.split(bound(inked(body), lambda t: inked(F.substring(t, F.lit(1), F.length(t) - MIN_BODY + 1))), "\n")) - 1
+
+
+def _classes(lines: Column) -> Column:
+    """What each line is: its text without outer white space, whether it may be a heading or is a rule, its hashes."""
+    titled = F.transform(lines, lambda line: F.struct(line.alias("line"), text.strip(line).alias("title")))
+    plausible = lambda t: (F.length(t) > 0) & (F.length(t) <= MAX_HEADING) & ~t.rlike("[,;:]$")
+    return F.transform(titled, lambda x: F.struct(x["line"].alias("line"), x["title"].alias("title"), plausible(x["title"]).alias("plausible"), x["line"].rlike(RULE).alias("rule"), F.length(F.regexp_extract(x["line"], ATX, 1)).alias("hashes")))
+
+
+def _plain_level(title: Column) -> Column:
+    """Level of a title that is numbered, begins with a keyword or has no small letters; else null."""
+    number = F.regexp_extract(title, NUMBERED, 1)
+    first_word = F.regexp_replace(F.lower(F.split(title, " ")[0]), "[.:]+$", "")
+    capitals = title.rlike(r"\p{L}") & ~title.rlike(r"[\p{L}&&[^\p{Lu}]]")
+    return F.when(number != "", F.when(F.contains(number, F.lit(".")), "sub").otherwise("top")).when(first_word.isin(*KEYWORDS) | capitals, "top")
+
+
+def _found(body: Column, lines: Column) -> Column:
+    """Headings (start, body_start, title, level) of the first convention that finds any, in order."""
+
+    def of_classes(c: Column, last: Column) -> Column:
+        def kinds(x: Column, i: Column) -> Column:
+            above, below = F.coalesce(F.get(c, i - 1)["rule"], F.lit(False)), F.coalesce(F.get(c, i + 1)["rule"], F.lit(False))
+            row = lambda kind, start, to, title, depth, level: F.struct(F.lit(kind).alias("kind"), start.alias("start"), to.alias("body_start"), title.alias("title"), depth.alias("depth"), level.alias("level"))
+            top = F.lit("top")
+            return F.array_compact(F.array(
+                F.when(x["plausible"] & (above | below), row(1, i - above.cast("int"), i + 1 + below.cast("int"), x["title"], F.lit(0), top)),
+                F.when(x["hashes"] > 0, row(2, i, i + 1, text.strip(F.regexp_extract(x["line"], ATX, 2)), x["hashes"], top)),
+                F.when(x["plausible"] & (i < last), bound(_plain_level(x["title"]), lambda level: F.when(level.isNotNull(), row(3, i, i + 1, x["title"], F.lit(0), level)))),
+            ))
+
+        return bound(F.flatten(F.transform(c, kinds)), chosen)
+
+    def chosen(found: Column) -> Column:
+        first = F.array_min(F.transform(found, lambda h: h["kind"]))
+        return bound(bound(first, lambda kind: F.filter(found, lambda h: h["kind"] == kind)), levelled)
+
+    def levelled(kept: Column) -> Column:
+        # the depth that most hash headings have, the least of these, makes sections
+        most = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda d: F.struct(F.size(F.filter(kept, lambda h: h["depth"] == d)), -d)))["col2"]
+        level = lambda h, depth: F.when((h["kind"] == 2) & (h["depth"] > depth), "sub").otherwise(h["level"])
+        return bound(-most, lambda depth: F.array_sort(F.transform(kept, lambda h: F.struct(h["start"].alias("start"), h["body_start"].alias("body_start"), h["title"].alias("title"), level(h, depth).alias("level")))))
+
+    return bound(_last_with_body(body), lambda last: bound(_classes(lines), lambda c: of_classes(c, last)))
 
 
 def headings(docs: DataFrame) -> DataFrame:
     """source_key, start (first line), body_start, title, level, of the first convention that finds any heading in a document."""
-    lines = _lines(docs)
-    hashes = F.length(F.regexp_extract("line", ATX, 1))
-    first_word = F.regexp_replace(F.lower(F.split("title", " ")[0]), "[.:]+$", "")
-    numbered = F.regexp_extract("title", NUMBERED, 1)
-    capitals = F.col("title").rlike(r"\p{L}") & ~F.col("title").rlike(r"[\p{L}&&[^\p{Lu}]]")
-    plain = F.when(numbered != "", F.when(F.contains(numbered, F.lit(".")), "sub").otherwise("top")).when(first_word.isin(*KEYWORDS), "top").when(capitals, "top")
-    kinds = F.array(
-        F.when(F.col("plausible") & (F.col("above") | F.col("below")), F.struct(F.lit(1).alias("kind"), (F.col("n") - F.col("above").cast("int")).alias("start"), (F.col("n") + 1 + F.col("below").cast("int")).alias("body_start"), F.col("title").alias("title"), F.lit(0).alias("depth"), F.lit("top").alias("level"))),
-        F.when(hashes > 0, F.struct(F.lit(2).alias("kind"), F.col("n").alias("start"), (F.col("n") + 1).alias("body_start"), text.strip(F.regexp_extract("line", ATX, 2)).alias("title"), hashes.alias("depth"), F.lit("top").alias("level"))),
-        F.when(F.col("plausible") & plain.isNotNull() & (F.col("following") >= MIN_BODY), F.struct(F.lit(3).alias("kind"), F.col("n").alias("start"), (F.col("n") + 1).alias("body_start"), F.col("title").alias("title"), F.lit(0).alias("depth"), plain.alias("level"))),
-    )
-    found = lines.select("source_key", F.explode(F.array_compact(kinds)).alias("h")).select("source_key", "h.*")
-    best = found.groupBy("source_key").agg(F.min("kind").alias("chosen"))
-    depth = found.where("kind = 2").groupBy("source_key", "depth").agg(F.count(F.lit(1)).alias("c")).groupBy("source_key").agg(F.min_by("depth", F.struct(-F.col("c"), F.col("depth"))).alias("section_depth"))
-    found = found.join(best, "source_key").where("kind = chosen").join(depth, "source_key", "left")
-    level = F.when((F.col("kind") == 2) & (F.col("depth") > F.col("section_depth")), "sub").otherwise(F.col("level"))
-    return found.select("source_key", "start", "body_start", "title", level.alias("level"))
-
-
-def _carved(docs: DataFrame) -> DataFrame:
-    """A row per heading, after a preamble of enough text; sections in document order."""
-    order = Window.partitionBy("source_key").orderBy("start", "body_start")
-    h = headings(docs).withColumn("until", F.lead("start").over(order))
-    h = h.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("start", "body_start", "title", "level", "until"))).alias("hs"))
-    lines = docs.join(h, "source_key").select("source_key", "hs", F.split("text", "\n").alias("lines"))
-    body = lambda a, b: text.strip(F.array_join(F.slice("lines", a + 1, F.greatest(F.lit(0), b - a)), "\n"))
-    cut = F.transform("hs", lambda x: F.struct(x["start"].alias("start"), x["title"].alias("title"), x["level"].alias("level"), body(x["body_start"], F.coalesce(x["until"], F.size("lines"))).alias("body")))
-    opening = F.filter(F.slice("lines", 1, F.col("hs")[0]["start"]), lambda s: (F.length(text.strip(s)) > 0) & ~s.rlike(RULE))
-    pre = F.struct(F.lit(-1).alias("start"), F.coalesce(F.substring(text.strip(F.get(opening, F.lit(0))), 1, TITLE_CHARS), F.lit("Untitled")).alias("title"), F.lit("preamble").alias("level"), body(F.lit(0), F.col("hs")[0]["start"]).alias("body"))
-    every = F.concat(F.filter(F.array(pre), lambda p: F.length(p["body"]) >= MIN_BODY), cut)
-    return lines.select("source_key", F.posexplode(every).alias("position", "s")).select("source_key", "position", "s.*")
-
-
-def _folded(carved: DataFrame) -> DataFrame:
+    body = F.coalesce("text", F.lit(""))
+    found = docs.select("source_key", F.explode_outer(bound(F.split(body, "\n"), lambda lines: _found(body, lines))).alias("h"))
+    return found.where("h is not null").select("source_key", "h.*")
+
+
+def _opening(lines: Column) -> Column:
+    """A title for text without one: its first line with ink that is no rule."""
+    inked = F.filter(lines, lambda s: (F.length(text.strip(s)) > 0) & ~s.rlike(RULE))
+    return F.coalesce(F.substring(text.strip(F.get(inked, F.lit(0))), 1, TITLE_CHARS), F.lit("Untitled"))
+
+
+def _carved(lines: Column, hs: Column) -> Column:
+    """A section per heading, after a preamble of enough text."""
+    body = lambda a, b: text.strip(F.array_join(F.slice(lines, a + 1, F.greatest(F.lit(0), b - a)), "\n"))
+    section = lambda title, level, held: F.struct(title.alias("title"), level.alias("level"), held.alias("body"))
+    cut = F.transform(hs, lambda h, i: section(h["title"], h["level"], body(h["body_start"], F.coalesce(F.get(hs, i + 1)["start"], F.size(lines)))))
+    above = F.coalesce(F.get(hs, F.lit(0))["start"], F.lit(0))
+    preamble = section(_opening(F.slice(lines, F.lit(1), above)), F.lit("preamble"), body(F.lit(0), above))
+    return F.concat(F.filter(F.array(preamble), lambda p: F.length(p["body"]) >= MIN_BODY), cut)
+
+
+def _folded(carved: Column) -> Column:
     """Subsections go into the section above them: their titles listed, their text appended."""
-    order = Window.partitionBy("source_key").orderBy("position")
-    island = F.sum(F.when((F.col("level") != "sub") | (F.col("position") == 0), 1).otherwise(0)).over(order)
-    grouped = carved.withColumn("island", island).groupBy("source_key", "island").agg(F.array_sort(F.collect_list(F.struct("position", "title", "level", "body"))).alias("parts"))
-    head, rest = F.col("parts")[0], F.slice("parts", 2, F.size("parts"))
-    pieces = F.concat(F.array(head["body"]), F.transform(rest, lambda s: text.strip(F.concat(s["title"], F.lit("\n"), s["body"]))))
-    return grouped.select(
-        "source_key", head["position"].alias("position"), head["title"].alias("title"), head["level"].alias("level"),
-        text.strip(F.array_join(F.filter(pieces, lambda p: F.length(p) > 0), "\n\n")).alias("body"), F.transform(rest, lambda s: s["title"]).alias("subsections"),
-    ).where(F.length("body") > 0)
+
+    def fold(every: Column) -> Column:
+        def of_heads(heads: Column) -> Column:
+            def one(first: Column, k: Column) -> Column:
+                head, rest = F.get(every, first), F.slice(every, first + 2, F.coalesce(F.get(heads, k + 1), F.size(every)) - first - 1)
+                pieces = F.concat(F.array(head["body"]), F.transform(rest, lambda s: text.strip(F.concat(s["title"], F.lit("\n"), s["body"]))))
+                body = text.strip(F.array_join(F.filter(pieces, lambda p: F.length(p) > 0), "\n\n"))
+                return F.struct(first.alias("position"), head["title"].alias("title"), head["level"].alias("level"), body.alias("body"), F.transform(rest, lambda s: s["title"]).alias("subsections"))
+
+            return F.filter(F.transform(heads, one), lambda s: F.length(s["body"]) > 0)
+
+        return bound(F.array_compact(F.transform(every, lambda s, i: F.when((s["level"] != "sub") | (i == 0), i))), of_heads)
+
+    return bound(carved, fold)
+
+
+def unique_titles(sections: Column) -> Column:
+    """A title that repeats in its document gets its ordinal: `title (2)`. Titles are brought together by a sort, each run is numbered."""
+
+    def numbered(s: Column) -> Column:
+        def of_runs(runs: Column) -> Column:
+            def run(first: Column, k: Column) -> Column:
+                said = lambda x, nth: F.when(nth > 0, F.concat(x["title"], F.lit(" ("), (nth + 1).cast("string"), F.lit(")"))).otherwise(x["title"])
+                return F.transform(F.slice(s, first + 1, F.coalesce(F.get(runs, k + 1), F.size(s)) - first), lambda x, nth: F.struct(x["position"].alias("position"), said(x, nth).alias("title"), *[x[c].alias(c) for c in ("level", "body", "subsections")]))
+
+            return F.array_sort(F.flatten(F.transform(runs, run)))
+
+        return bound(F.array_compact(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["title"] != x["title"]), i))), of_runs)
+
+    by_title = F.transform(sections, lambda x: F.struct(*[x[c].alias(c) for c in ("title", "position", "level", "body", "subsections")]))
+    return bound(F.array_sort(by_title), numbered)
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _token_slices(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([None if t is None else [c for c, *_ in chunking.boundary_segments(t, SLICE_TOKENS, 0)] for t in texts], dtype=object)
 
 
-def unique_titles(sections: DataFrame) -> DataFrame:
-    """A title that repeats in its document gets its ordinal: `title (2)`."""
-    nth = F.row_number().over(Window.partitionBy("source_key", "title").orderBy("position"))
-    return sections.withColumn("nth", nth).withColumn("title", F.when(F.col("nth") > 1, F.format_string("%s (%d)", "title", "nth")).otherwise(F.col("title"))).drop("nth")
+def with_sections(docs: DataFrame) -> DataFrame:
+    """docs with an array `sections` (position, title, level, body, subsections); a document without headings, or with no text
+    under any, is cut into slices of tokens. A null text is an empty one and has none."""
+    body = F.coalesce("text", F.lit(""))
+    titled = bound(F.split(body, "\n"), lambda lines: bound(_found(body, lines), lambda hs: F.when(F.size(hs) > 0, _folded(_carved(lines, hs)))))
+    docs = docs.withColumn("__titled", titled)
+    without = F.size(F.coalesce("__titled", F.array())) == 0
+    docs = docs.withColumn("__slices", _token_slices(F.when(without, body)))
+    slices = F.transform("__slices", lambda c, i: F.struct(i.alias("position"), _opening(F.split(c, "\n")).alias("title"), F.lit("preamble").alias("level"), c.alias("body"), F.array().cast("array<string>").alias("subsections")))
+    return docs.withColumn("sections", unique_titles(F.when(without, slices).otherwise(F.col("__titled")))).drop("__titled", "__slices")
 
 
 def sections(docs: DataFrame) -> DataFrame:
-    """Sections of every document; one without headings, or with no text under any, is cut into slices of tokens."""
-    docs = docs.select("source_key", "text")
-    titled = _folded(_carved(docs))
-    untitled = docs.join(titled.select("source_key").distinct(), "source_key", "left_anti")
-    slices = chunking.segmented(untitled, lambda t: chunking.boundary_segments(t, SLICE_TOKENS, 0))
-    opening = F.filter(F.split("content", "\n"), lambda s: (F.length(text.strip(s)) > 0) & ~s.rlike(RULE))
-    slices = slices.select("source_key", "position", F.coalesce(F.substring(text.strip(F.get(opening, F.lit(0))), 1, TITLE_CHARS), F.lit("Untitled")).alias("title"), F.lit("preamble").alias("level"), F.col("content").alias("body"), F.expr("cast(array() as array<string>)").alias("subsections"))
-    return unique_titles(titled.unionByName(slices))
+    """Sections of every document, a row each."""
+    rows = with_sections(docs.select("source_key", "text")).select("source_key", F.explode_outer("sections").alias("s"))
+    return rows.where("s is not null").select("source_key", "s.*")
 
 
 def citable_titles(sections: DataFrame) -> DataFrame:
     return sections.where("level <> 'sub'").select("source_key", "position", "title")
 
 
-_SPANS = """aggregate(bodies, named_struct('cursor', 0, 'out', cast(array() as array<struct<position:int,title:string,start:int,end:int,found:boolean>>)),
-  (acc, s) -> element_at(transform(array(coalesce(nullif(locate(s.body, whole, acc.cursor + 1), 0), nullif(locate(s.body, whole), 0), 0)),
-    p -> named_struct('cursor', if(p > 0, p - 1, acc.cursor), 'out', concat(acc.out, array(named_struct('position', s.position, 'title', s.title,
-      'start', if(p > 0, p - 1, acc.cursor), 'end', if(p > 0, p - 1, acc.cursor) + length(s.body), 'found', p > 0))))), 1), acc -> acc.out)"""
+def with_spans(docs: DataFrame) -> DataFrame:
+    """docs with an array `spans` (position, title, start, end, found) of the bodies in the stripped text, searched forward;
+    a body that is not there verbatim stands at the cursor."""
+    rows = with_sections(docs)
+    rows = rows.withColumn("__at", locate.places_in_turn(text.strip(F.coalesce("text", F.lit(""))), F.transform("sections", lambda s: s["body"])))
+    span = lambda s, at: F.struct(s["position"].alias("position"), s["title"].alias("title"), at["start"].alias("start"), (at["start"] + F.length(s["body"])).alias("end"), at["found"].alias("found"))
+    return rows.withColumn("spans", F.zip_with("sections", "__at", span)).drop("__at", "sections")
 
 
 def section_spans(docs: DataFrame, found_only: bool = False) -> DataFrame:
-    """source_key, position, title, start, end of each body in the stripped text, searched forward; a body that is not
-    there verbatim stands at the cursor, or is left out with found_only."""
-    bodies = sections(docs).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("position", "title", "body"))).alias("bodies"))
-    spans = docs.select("source_key", text.strip("text").alias("whole")).join(bodies, "source_key").select("source_key", F.explode(F.expr(_SPANS)).alias("s")).select("source_key", "s.*")
+    """source_key, position, title, start, end of the spans of with_spans, a row each; with found_only those that are there verbatim."""
+    spans = with_spans(docs.select("source_key", "text")).select("source_key", F.explode_outer("spans").alias("s")).where("s is not null").select("source_key", "s.*")
     return spans.where("found").drop("found") if found_only else spans.drop("found")
 
 
@@ -133,9 +189,9 @@ def probes(chunks: DataFrame, width: int = 96, least: int = 16) -> DataFrame:
 def map_sections(chunks: DataFrame, docs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct (source_key, chunk_index, further key columns `by`, position, title) of the sections in which a chunk's probes lie. A document's
     spans and the probes of all its chunks are one row, and one pass of its text finds them all."""
-    spans = section_spans(docs, found_only=True).groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "position", "title"))).alias("spans"))
+    spans = with_spans(docs.select("source_key", "text")).select("source_key", F.filter("spans", lambda s: s["found"]).alias("spans"), text.strip("text").alias("whole"))
     asked = probes(chunks).groupBy("source_key").agg(F.collect_list(F.struct("chunk_index", *by, "probes")).alias("asked"))
-    row = asked.join(spans, "source_key").join(docs.select("source_key", text.strip("text").alias("whole")), "source_key")
+    row = asked.join(spans, "source_key")
     row = row.select("source_key", "spans", "asked", locate.places_of("whole", F.transform("asked", lambda c: c["probes"])).alias("at"))
     inside = lambda c, at: F.transform(F.filter("spans", lambda s: F.exists(at, lambda a: (a >= s["start"]) & (a < s["end"]))), lambda s: F.struct(*[c[x].alias(x) for x in ("chunk_index", *by)], s["position"].alias("position"), s["title"].alias("title")))
     hits = row.select("source_key", F.explode(F.flatten(F.zip_with("asked", "at", inside))).alias("h"))

@@ -150,6 +150,35 @@ def test_split_and_section_spans(spark, data):
     assert all(docs[r.source_key].strip()[r.start : r.end] == bodies[r.source_key, r.position] for r in spans)
 
 
+def test_sections_are_cut_in_their_row(spark):
+    """No shuffle; of repeated titles each has its ordinal; empty, blank and null texts have no sections; further columns don't matter."""
+    rows = [("a", "## T\nfirst\n## U\nsecond\n## T\nthird\n### Sub\nfourth\n## T\nfifth", 1), ("b", "", 2), ("c", None, 3), ("d", " \n \t\n", 4), ("e", "no heading here", 5), ("a", "## T\nalone", 6), ("f", "## Empty\n## Bare", 7)]
+    docs = spark.createDataFrame(rows, "source_key string, text string, sections int")
+    found = sections.sections(docs)
+    for df in (found, sections.headings(docs), sections.section_spans(docs), chunking.chunk_all(docs, ["structural-64-16"])):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.source_key, r.position, r.title, r.level, r.body, tuple(r.subsections)) for r in found.collect())
+    assert got == [
+        ("a", 0, "T", "top", "alone", ()), ("a", 0, "T", "top", "first", ()), ("a", 1, "U", "top", "second", ()), ("a", 2, "T (2)", "top", "third\n\nSub\nfourth", ("Sub",)),
+        ("a", 4, "T (3)", "top", "fifth", ()), ("e", 0, "no heading here", "preamble", "no heading here", ()), ("f", 0, "## Empty", "preamble", "## Empty\n## Bare", ()),
+    ]
+    spans = {(r.source_key, r.title): (r.start, r.end) for r in sections.section_spans(docs, found_only=True).where("title <> 'T'").collect()}
+    assert spans == {("a", "U"): (16, 22), ("a", "T (3)"): (54, 59), ("e", "no heading here"): (0, 15), ("f", "## Empty"): (0, 16)}
+
+
+@pytest.mark.parametrize("rest, n", [("x" * 39, 0), ("x" * 40, 1), ("x\n\n" + "y" * 37, 1), ("x\n\n" + "y" * 36, 0), ("\n  \n" + "y" * 40 + "  \n\n", 1), ("", 0)])
+def test_plain_headings_need_text_after_them(spark, rest, n):
+    docs = spark.createDataFrame([("a", f"SECTION ONE\n{rest}")], "source_key string, text string")
+    assert [(r.start, r.title, r.level) for r in sections.headings(docs).collect()] == [(0, "SECTION ONE", "top")] * n
+
+
+@given(st.lists(st.text(alphabet="ab .\n\r\u00a0", max_size=80), max_size=6), st.integers(2, 9), st.integers(0, 3))
+def test_documents_of_a_block_are_cut_alone(texts, size, overlap):
+    alone = [list(chunking.recursive_segments(t, size, overlap)) for t in texts]
+    assert list(chunking.recursive_blocks(texts, size, overlap)) == alone
+    assert all(t.strip()[s:e] == c for t, found in zip(texts, alone, strict=True) for c, s, e, _ in found)
+
+
 def test_section_mapping(spark):
     body = " ".join(f"word{i}" for i in range(60))
     other = " ".join(f"term{i}" for i in range(60))
