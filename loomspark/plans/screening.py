@@ -105,7 +105,7 @@ ONLY_MAIL = (governance.RECOGNIZERS[0],)
 SELECT doc_id, m[i] AS value, (length(array_to_string(p[1:i], '')) + length(array_to_string(m[1:i - 1], '')))::INT AS start FROM m, unnest(range(1, len(m) + 1)) AS u(i)""")
 def d1(spark: SparkSession, d: str) -> DataFrame:
     found = governance.detect(table(spark, d, "documents"), ONLY_MAIL)
-    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.value", "f.start")
+    return governance.findings_of(found, "doc_id").select("doc_id", "f.value", "f.start")
 
 
 @registered("d1_detect_ip_ssn", r"""WITH i AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '(?i)(?:(?:version|build|release)[\s:`''"]*|^|[^\w.])((?:\d{1,3}\.){3}\d{1,3})(?:$|[^\w.])', 0), regexp_extract_all(text, '(?i)(?:(?:version|build|release)[\s:`''"]*|^|[^\w.])((?:\d{1,3}\.){3}\d{1,3})(?:$|[^\w.])', 1))) AS z FROM documents)
@@ -113,13 +113,13 @@ SELECT doc_id, 'IP_ADDRESS' AS entity, z[2] AS value FROM i WHERE NOT regexp_mat
 UNION ALL SELECT doc_id, 'SSN', unnest(regexp_extract_all(text, '(?:^|[^\w-])(\d{3}-\d{2}-\d{4})(?:$|[^\w-])', 1)) FROM documents""")
 def d1b(spark: SparkSession, d: str) -> DataFrame:
     found = governance.detect(table(spark, d, "documents"))
-    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.entity", "f.value").where("entity in ('IP_ADDRESS', 'SSN')")
+    return governance.findings_of(found, "doc_id").select("doc_id", "f.entity", "f.value").where("entity in ('IP_ADDRESS', 'SSN')")
 
 
 @registered("d2_d3_findings")
 def d2(spark: SparkSession, d: str) -> DataFrame:
     found = governance.detect(table(spark, d, "documents"))
-    return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.entity", "f.value", "f.start", "f.end", "f.confidence")
+    return governance.findings_of(found, "doc_id").select("doc_id", "f.entity", "f.value", "f.start", "f.end", "f.confidence")
 
 
 _CLASS = "CASE WHEN lower(regexp_extract(v, '@([^@]*)$', 1)) = 'example.org' OR lower(regexp_replace(v, '@[^@]*$', '')) IN ('admin', 'billing', 'careers', 'contact', 'hello', 'help', 'hr', 'info', 'no-reply', 'noreply', 'office', 'press', 'sales', 'service', 'support', 'team') THEN 'business' WHEN lower(regexp_extract(v, '@([^@]*)$', 1)) IN ('aol.com', 'gmail.com', 'gmx.com', 'hotmail.com', 'icloud.com', 'live.com', 'mail.com', 'msn.com', 'outlook.com', 'proton.me', 'protonmail.com', 'yahoo.com', 'yandex.com', 'zoho.com') THEN 'personal' ELSE 'ambiguous' END"
@@ -130,7 +130,7 @@ POLICY = {"own_domains": ["example.org"], "actions": {"personal": "mask", "busin
 @registered("d4_classify", f"{_MAILS} SELECT doc_id, v AS value, class FROM c")
 def d4(spark: SparkSession, d: str) -> DataFrame:
     out = governance.screen(table(spark, d, "documents"), POLICY, ONLY_MAIL)
-    return out.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.value", "f.class")
+    return governance.findings_of(out, "doc_id").select("doc_id", "f.value", "f.class")
 
 
 @registered("d5_apply_policy", f"SELECT doc_id, 'allowed' AS verdict, md5(regexp_replace(text, '{_MAIL}', '[EMAIL]', 'g')) AS text_md5 FROM documents")
@@ -220,7 +220,7 @@ MASK = {"actions": {"personal": "mask", "business": "mask", "ambiguous": "mask",
 @registered("d4_classify_all")
 def d4_all(spark: SparkSession, d: str) -> DataFrame:
     out = governance.screen(table(spark, d, "documents"), POLICY)
-    return out.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.entity", "f.value", "f.class")
+    return governance.findings_of(out, "doc_id").select("doc_id", "f.entity", "f.value", "f.class")
 
 
 @registered("d5_apply_policy_all")

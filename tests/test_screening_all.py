@@ -1,9 +1,11 @@
 """The screening queries over all documents and recognizers, against brute force on a small table."""
 
 import hashlib
+import random
 import re
 
 from loomspark import registry
+from loomspark.operators import governance
 
 DOCS = [
     (0, "mail a.b@gmail.com or info@example.org"), (1, "her mobile is +63 917 555 0123 now"), (2, "ssn 000-12-3456 here"), (3, "card 4111 1111 1111 1111 stays, 4111 1111 1111 1112 is none"),
@@ -52,3 +54,41 @@ def test_screening_queries_run_all_recognizers(spark, tmp_path):
     assert rows("a5_summarize_findings_all") == sorted({(*k, kinds.count(k)) for k in kinds})
     blocked = {k for k, _, _, c in CLASSES if c in ("personal", "ambiguous")}
     assert rows("d11_blocked_leave_no_chunks_all") == [(f"s/{k}.txt", 1) for k, t in DOCS if k not in blocked and t]
+
+
+def plausible(entity, value, before):
+    digits = [int(c) for c in value if c.isdigit()]
+    if entity == "CREDIT_CARD":
+        doubled = [d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))]
+        return 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0
+    return entity != "IP_ADDRESS" or (all(int(o) <= 255 for o in value.split(".")) and not re.search(governance.VERSION_BEFORE, before[-governance.VERSION_WINDOW :].lower()))
+
+
+def found_by_hand(text):
+    every = [(m.start(), -len(m[0]), i, name, m[0], sure) for i, (name, pattern, sure, _) in enumerate(governance.RECOGNIZERS) for m in re.finditer(pattern, text) if plausible(name, m[0], text[: m.start()])]
+    out, reach = [], 0
+    for start, minus, _, name, value, sure in sorted(every):
+        if start >= reach:
+            reach = start - minus
+            out.append((name, value, start, reach, sure))
+    return out
+
+
+def test_findings_by_hand_on_all_documents(spark):
+    d = "/root/testdata/sf0.01"
+    want = sorted((r.doc_id, *f) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect() for f in found_by_hand(r.text or ""))
+    df = registry.queries()["d2_d3_findings"](spark, d)
+    assert df._jdf.queryExecution().executedPlan().toString().count("regexp_extract_all") == len(governance.RECOGNIZERS)  # each pattern is searched once
+    assert len(want) > 50 and sorted(tuple(r) for r in df.collect()) == want
+
+
+def test_findings_by_hand_on_odd_texts(spark):
+    """Matches that touch, overlap or repeat, other digits, long runs, no text."""
+    parts = ["4111 1111 1111 1111", "4111111111111111", "192.0.2.44", "1.2.3.4.5", "000-12-3456", "+63 917 555 0123", "(202) 555-0180", "a@b.co", "version 10.4.0.1", "\u0664\u0665-1", " ", "-", ".", "x", "\n", "build:", "\U0001f600"]
+    rng = random.Random(5)
+    texts = [None, "", *("".join(rng.choice(parts) for _ in range(rng.randrange(1, 12))) for _ in range(400)), "a@b.co " * 3000 + "12" * 5000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {}
+    for r in governance.findings_of(governance.detect(docs), "doc_id").collect():
+        got.setdefault(r.doc_id, []).append((r.f.entity, r.f.value, r.f.start, r.f.end, r.f.confidence))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(f) for k, t in enumerate(texts) if (f := found_by_hand(t or ""))}
