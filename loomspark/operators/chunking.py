@@ -304,7 +304,8 @@ def preview(docs: DataFrame, variant: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chunk_stats(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Per document and variant: count, total, least, median and most tokens, and the share that is repeated."""
+    """Per document and variant: count, total, least, median and most tokens, and the share that is repeated. The median is
+    taken from counts of each distinct value, which a chunk's size bounds."""
     whole = docs.select("source_key", F.size(text.tokens(text.strip("text"))).alias("doc_tokens"))
     shape = chunks.groupBy("source_key", "variant").agg(
         F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("total_tokens"), F.min("token_count").alias("min_tokens"),
