@@ -90,16 +90,43 @@ def places_from(wholes: pd.Series, needles: pd.Series, cursors: pd.Series) -> pd
     return pd.Series(out)
 
 
+#: Characters of the windows that rule a passage out, and how far from its cursor a passage is looked for before that.
+WIDTH, NEAR = 32, 1 << 12
+
+
+def _window_sums(codes: np.ndarray) -> np.ndarray:
+    out = np.zeros(max(0, len(codes) - WIDTH + 1), np.uint64)
+    for j in range(WIDTH):
+        out = out * BASE + codes[j : j + len(out)]
+    return out
+
+
+def absence(whole: str):
+    """A test whether the text surely doesn't hold a passage: some window of it has a sum that no window of the text has. Sums
+    are kept as bits of a table of at most 128 MB; a passage that isn't ruled out may be there or not."""
+    bits = min(27, len(whole).bit_length() + 3)
+    seen, shift = np.zeros(1 << bits, bool), np.uint64(64 - bits)
+    for at in range(0, len(whole), PART):
+        seen[_window_sums(_codes(whole[at : at + PART + WIDTH - 1])) >> shift] = True
+    return lambda passage: not seen[_window_sums(_codes(passage)) >> shift].all()
+
+
+def hits_in_turn(whole: str, needles: list[str]) -> list[tuple[int, bool]]:
+    """(start, found) of each passage: after the end of the one before, else anywhere; one that isn't there begins at that end."""
+    out, cursor, absent = [], 0, None
+    for n in needles:
+        hit = whole.find(n, cursor, cursor + len(n) + NEAR)
+        if hit < 0:
+            absent = absent or absence(whole)
+            if not absent(n):
+                hit = p if (p := whole.find(n, cursor)) >= 0 else whole.find(n)
+        start = hit if hit >= 0 else cursor
+        out.append((start, hit >= 0))
+        cursor = start + len(n)
+    return out
+
+
 @F.pandas_udf(T.ArrayType(T.StructType().add("start", T.IntegerType()).add("found", T.BooleanType())))
 def places_in_turn(wholes: pd.Series, needles: pd.Series) -> pd.Series:
-    """For each passage of a document where it begins after the end of the one before, else anywhere; one that isn't there begins at that end."""
-    out = []
-    for whole, ns in zip(wholes, needles):
-        places, cursor = [], 0
-        for n in ns:
-            hit = p if (p := whole.find(n, cursor)) >= 0 else whole.find(n)
-            start = hit if hit >= 0 else cursor
-            places.append({"start": start, "found": hit >= 0})
-            cursor = start + len(n)
-        out.append(places)
-    return pd.Series(out, dtype=object)
+    """hits_in_turn for the passages of each document."""
+    return pd.Series([[{"start": start, "found": found} for start, found in hits_in_turn(whole, list(ns))] for whole, ns in zip(wholes, needles)], dtype=object)

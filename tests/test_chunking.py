@@ -218,6 +218,35 @@ def test_passages_are_found_in_one_pass(monkeypatch):
     assert locate.first_hits("xxabba", ["ab", "ba", "bb", "aa", "xb"]) == [2, 4, 3, -1, -1]
 
 
+def in_turn_by_hand(whole, needles):
+    out, cursor = [], 0
+    for n in needles:
+        hit = whole.find(n, cursor) if whole.find(n, cursor) >= 0 else whole.find(n)
+        out.append((max(hit, 0) if hit >= 0 else cursor, hit >= 0))
+        cursor = out[-1][0] + len(n)
+    return out
+
+
+def test_passages_in_turn(monkeypatch):
+    """Against str.find: near and far, behind the cursor, absent, shorter and longer than a window, over several parts."""
+    import random
+
+    from loomspark.functions import locate
+
+    rng = random.Random(7)
+    for part, near, width in ((7, 0, 3), (64, 5, 8), (1 << 20, 1 << 12, 32)):
+        monkeypatch.setattr(locate, "PART", part)
+        monkeypatch.setattr(locate, "NEAR", near)
+        monkeypatch.setattr(locate, "WIDTH", width)
+        for letters in ("ab", "abcdefgh \n", "a\U0001F600\ud800b", "a"):
+            for n in (0, 1, 5, 300):
+                whole = "".join(rng.choice(letters) for _ in range(n))
+                needles = [whole[(i := rng.randrange(n + 1)) : i + rng.randrange(60)] + rng.choice(["", "", "z"]) for _ in range(30)] + ["", whole, whole + "x"]
+                assert locate.hits_in_turn(whole, needles) == in_turn_by_hand(whole, needles)
+                absent = locate.absence(whole)
+                assert not any(absent(x) for x in needles if x in whole)
+
+
 def test_located_chunks_keep_their_rows(spark):
     rows = [("d", 0, "alpha", 0), ("d", 1, "alpha", 3), ("d", 2, "nowhere", 4), ("d", 3, None, 2), ("d", 4, "beta", None), ("d", 5, "zzz", None), ("n", 0, "x", 1), ("gone", 0, "x", 0)]
     c = spark.createDataFrame(rows, "source_key string, chunk_index int, content string, cursor int")
