@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Questions, and vectors, whose scores are in memory at once; bytes of questions in a task; bounds of k; sparse width.
-BLOCK, TILE, QUESTION_BYTES, K = 1024, 1024, 64 << 20, (1, 50)
+#: Questions, and vectors, whose scores are in memory at once; bytes of questions in a task; vectors of a slice of the grid
+#: at least; bounds of k; sparse width.
+BLOCK, TILE, QUESTION_BYTES, SLICE, K = 1024, 1024, 64 << 20, 4096, (1, 50)
 BUCKETS = 1024
 
 
@@ -110,7 +111,7 @@ class _Scan:
             yield found.rows(asked, schema)
 
 
-def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: int, matched_only: bool, question_bytes: int) -> DataFrame:
+def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: int, matched_only: bool, question_bytes: int, tile_bytes: int) -> DataFrame:
     """The k best of each question; ids of any type. Questions of at most question_bytes are broadcast, and vectors go by
     them where they lie; more of them meet the vectors in a grid (_grid). Questions are read more than once: store what is costly."""
     if not K[0] <= k <= K[1]:
@@ -126,7 +127,7 @@ def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: in
     most = max(1, question_bytes // (8 * width))
     rows = q.limit(most + 1).collect()
     if len(rows) > most:
-        return best(_grid(q, v, payload, k, matched_only, most, schema, ddl), k)
+        return best(_grid(q, v, payload, k, matched_only, max(1, tile_bytes // (8 * width)), schema, ddl), k)
     matrix = _matrix([pa.array([r[p] for r in rows], pa.list_(pa.float64() if p != "buckets" else pa.int32())) for p in payload])
     sent = q.sparkSession.sparkContext.broadcast((pa.array([r.question_id for r in rows], schema.field(0).type), matrix))
 
@@ -140,17 +141,20 @@ def _nearest(questions: DataFrame, vectors: DataFrame, payload: list[str], k: in
 
 
 def _grid(q: DataFrame, v: DataFrame, payload: list[str], k: int, matched_only: bool, most: int, schema: pa.Schema, ddl: str) -> DataFrame:
-    """A cell of the grid is a partition: about `most` questions, which it holds, and a slice of the vectors, which go by. Vectors are
-    read once and sent to each tile of questions, questions to each slice; slices are as many as make the
-    shuffle's number of partitions. Nothing passes the driver but the number of questions.
+    """A cell of the grid is a partition: at most about `most` questions, which it holds, and a slice of the vectors, which go by.
+    Vectors are sent to each tile of questions, questions to each slice. A tile is as large as a task may hold, so vectors
+    are shuffled once for each `most` questions; a slice has as many vectors as a tile has questions, SLICE at least, so
+    questions are shuffled no more than vectors. Nothing passes the driver but the numbers of questions and vectors.
 
     Of repeated questions (id and embedding) k stay, which is all that the k best of their id can need, so that no tile
     grows with copies; vectors don't have to fit in memory, and copies of one in different files go to different slices.
     """
     copies = q.groupBy("question_id", *payload).agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("n"))
     q = copies.select("question_id", *payload, F.explode(F.sequence(F.lit(1), "n")).alias("copy"))
-    tiles = -(-q.count() // most)
-    slices = -(-int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")) // tiles)
+    n = q.count()
+    tiles = -(-n // most)
+    slices = min(-(-v.count() // max(SLICE, -(-n // tiles))), -(-int(q.sparkSession.conf.get("spark.sql.shuffle.partitions")) // tiles))
+    slices = max(1, slices)
     tile = F.pmod(F.xxhash64("question_id", *payload, "copy"), F.lit(tiles)).cast("int")
     place = F.pmod(F.xxhash64("vector_id", *payload, F.spark_partition_id()), F.lit(slices)).cast("int")
     to_slices = F.explode(F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: F.col("tile") * slices + s))
@@ -181,10 +185,10 @@ def _grid(q: DataFrame, v: DataFrame, payload: list[str], k: int, matched_only:
     return cells.mapInArrow(run, ddl)
 
 
-def search_sparse(questions: DataFrame, corpus: DataFrame, k: int, question_bytes: int = QUESTION_BYTES) -> DataFrame:
+def search_sparse(questions: DataFrame, corpus: DataFrame, k: int, question_bytes: int = QUESTION_BYTES, tile_bytes: int = QUESTION_BYTES) -> DataFrame:
     """Sparse rows (question_id | vector_id, bucket, weight) to the k best per question among vectors that share a bucket
     with it: vectors are packed to a row each, then scored in blocks like dense ones."""
-    return _nearest(packed(questions, "question_id"), packed(corpus, "vector_id"), ["buckets", "weights"], k, True, question_bytes)
+    return _nearest(packed(questions, "question_id"), packed(corpus, "vector_id"), ["buckets", "weights"], k, True, question_bytes, tile_bytes)
 
 
 def best(scored: DataFrame, k: int) -> DataFrame:
@@ -196,13 +200,13 @@ def best(scored: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def search(questions: DataFrame, vectors: DataFrame, k: int, space: str | None = None, question_bytes: int = QUESTION_BYTES) -> DataFrame:
+def search(questions: DataFrame, vectors: DataFrame, k: int, space: str | None = None, question_bytes: int = QUESTION_BYTES, tile_bytes: int = QUESTION_BYTES) -> DataFrame:
     """question_id, vector_id, score, rank: the k nearest vectors by dot product, exactly, in one space (a partition).
 
     questions: question_id, embedding; vectors: vector_id, embedding (and space, if one is named). Ids keep their types;
-    rows without an embedding are left out. Questions beyond question_bytes aren't broadcast.
+    rows without an embedding are left out. Questions beyond question_bytes aren't broadcast; a task then holds tile_bytes of them.
     """
-    return _nearest(questions, vectors if space is None else vectors.where(F.col("space") == space), ["embedding"], k, False, question_bytes)
+    return _nearest(questions, vectors if space is None else vectors.where(F.col("space") == space), ["embedding"], k, False, question_bytes, tile_bytes)
 
 
 def apply_threshold(matches: DataFrame, threshold: float) -> DataFrame:

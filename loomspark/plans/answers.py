@@ -35,7 +35,7 @@ def v2(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("v2_search_grid", f"WITH {_TOP} SELECT question_id, vector_id, score, rank::INT AS rank FROM t")
 def v2_grid(spark: SparkSession, d: str) -> DataFrame:
-    """The same with questions of two kilobytes in a task, as if there were too many to broadcast."""
+    """The same without a broadcast, as if two kilobytes of questions were too many for one."""
     return search.search(asked(spark, d), space(spark, d), 10, question_bytes=1 << 11)
 
 

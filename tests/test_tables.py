@@ -1,5 +1,7 @@
 """Stored tables, decoding, JSONL, uploads, pointers and guards."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -205,3 +207,20 @@ def test_search_grid_equals_broadcast(spark):
     flat = lambda df, key: df.where("embedding is not null").dropDuplicates([key]).select(key, F.posexplode("embedding").alias("bucket", "weight")).where("weight <> 0")
     sq, sv = flat(qs, "question_id").where("question_id is not null"), flat(vs, "vector_id").where("vector_id is not null")
     assert rows(search.search_sparse(sq, sv, 5)) == rows(search.search_sparse(sq, sv, 5, question_bytes=8 * 1024 * 7))
+
+
+def test_search_grid_shuffles_vectors_by_what_a_task_holds(spark):
+    """Questions too many to broadcast lie in few tiles, so each vector is sent to few cells; small tiles give the same rows."""
+    import numpy as np
+
+    from loomspark.operators import search
+
+    rng = np.random.default_rng(7)
+    rows = lambda df: sorted(map(str, df.collect()))
+    vs = spark.createDataFrame([(i, rng.integers(-2, 3, 8).astype(float).tolist()) for i in range(400)], "vector_id long, embedding array<double>")
+    qs = vs.where("vector_id % 2 = 0").withColumnRenamed("vector_id", "question_id")
+    grid = search.search(qs, vs, 5, question_bytes=64)
+    plan = grid._jdf.queryExecution().analyzed().toString()
+    sent = [int(x) for x in re.findall(r"sequence\(0, (\d+)", plan)]
+    assert sorted(sent) == [0, 0], "one tile and one slice"
+    assert rows(grid) == rows(search.search(qs, vs, 5)) == rows(search.search(qs, vs, 5, question_bytes=64, tile_bytes=64 * 9))
