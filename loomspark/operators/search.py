@@ -284,9 +284,15 @@ def rendered(template: str, values: dict[str, Column]) -> Column:
     return F.concat(*[F.coalesce(p, F.lit("")) for p in parts]) if parts else F.lit("")
 
 
+def shown_score(score: str) -> Column:
+    """A score of 0..1 to three decimals, rounded from its exact binary value as C and Python do it. format_string rounds the
+    shortest decimal form instead; format_number is exact, but for the one digit of 0.0005."""
+    return F.when(F.col(score).between(0.0005, 0.001), "0.001").otherwise(F.format_number(score, 3))
+
+
 def context_block(matches: DataFrame, template: str = CHUNK_FORMAT) -> DataFrame:
     """question_id, context: kept matches through the template, best first, a blank line between."""
-    names = {"content": F.col("content"), "chunk_id": F.col("vector_id").cast("string"), "score": F.format_string("%.3f", "score"), "source": F.col("source"), "document_id": F.col("document_id"), "rank": (F.col("rank") + 1).cast("string")}
+    names = {"content": F.col("content"), "chunk_id": F.col("vector_id").cast("string"), "score": shown_score("score"), "source": F.col("source"), "document_id": F.col("document_id"), "rank": (F.col("rank") + 1).cast("string")}
     rows = matches.where("not dropped").select("question_id", "rank", rendered(template, names).alias("part"))
     return rows.groupBy("question_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "part"))), lambda r: r["part"]), "\n\n").alias("context"))
 

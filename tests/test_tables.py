@@ -224,3 +224,13 @@ def test_search_grid_shuffles_vectors_by_what_a_task_holds(spark):
     sent = [int(x) for x in re.findall(r"sequence\(0, (\d+)", plan)]
     assert sorted(sent) == [0, 0], "one tile and one slice"
     assert rows(grid) == rows(search.search(qs, vs, 5)) == rows(search.search(qs, vs, 5, question_bytes=64, tile_bytes=64 * 9))
+
+
+def test_context_scores_are_rounded_from_their_exact_value(spark):
+    """All scores of six decimals that lie half way between two of three, against Python's formatting."""
+    from loomspark.operators import search
+
+    scores = [(i, (2 * i + 1) / 2000) for i in range(1000)] + [(1000, 1.0), (1001, 0.0), (1002, 0.123456)]
+    m = spark.createDataFrame(scores, "question_id long, score double").withColumns({c: F.lit("x") for c in ("content", "vector_id", "source", "document_id")}).withColumns({"dropped": F.lit(False), "rank": F.lit(0)})
+    got = {r.question_id: r.context for r in search.context_block(m, "{score}").collect()}
+    assert got == {i: f"{x:.3f}" for i, x in scores}
