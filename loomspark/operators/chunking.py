@@ -16,10 +16,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, locate, text
+from .governance import bound, with_sums_before
 
 CHUNK_COLUMNS = ("source_key", "document_id", "chunk_index", "chunk_total", "vector_id", "content", "token_count", "overlap", "start_offset", "end_offset", "note")
 
@@ -42,26 +43,47 @@ def truncate_tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("text", F.array_join(F.slice(text.tokens("text"), 1, n), ""))
 
 
-def fixed_windows(docs: DataFrame, size: int, overlap: int) -> DataFrame:
-    """Equal token windows: position, content, its offsets in the stripped text, and the window count; no shuffle."""
+#: What \s of the token pattern takes.
+_BLANK = " \t\n\x0b\f\r"
+
+
+def fixed_windows(docs: DataFrame, size: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Equal token windows: position, content, its offsets in the stripped text, and the window count; no shuffle. keep: further
+    columns of docs. Windows are made inside their document's row, so none carries the document's tokens, and end by running
+    sums of the tokens' lengths: the work is the text's length times size / (size - overlap)."""
     step = size - overlap
-    t = docs.select("source_key", text.tokens(text.strip("text")).alias("t")).where(F.size("t") > 0)
-    last = F.greatest(F.lit(0), F.ceil((F.size("t") - size) / F.lit(step)).cast("int"))
-    t = t.withColumn("lengths", F.transform("t", F.length))
-    w = t.select("source_key", "t", "lengths", F.posexplode(F.sequence(F.lit(0), last)).alias("position", "w"), (last + 1).alias("windows"))
-    content = text.strip(F.array_join(F.slice("t", F.col("w") * step + 1, size), ""))
-    w = w.withColumn("content", content).withColumn("end_offset", F.aggregate(F.slice("lengths", 1, F.col("w") * step + size), F.lit(0), lambda a, x: a + x))  # a window ends with its last token
-    return w.select("source_key", "position", "content", (F.col("end_offset") - F.length("content")).alias("start_offset"), "end_offset", "windows", F.least(F.lit(size), F.size("t") - F.col("w") * step).alias("token_count"))
+    length = lambda tokens: F.aggregate(tokens, F.lit(0), lambda a, x: a + F.length(x))
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.lit(0), F.ceil((F.size(t) - size) / F.lit(step)).cast("int"))
+        every = F.when(F.size(t) > 0, F.sequence(F.lit(0), last))
+
+        def placed(before) -> Column:
+            def one(w: Column) -> Column:
+                def filled(tokens: Column) -> Column:
+                    # a window ends with its last token, so white space is in front of it only
+                    return F.struct(w.alias("position"), F.ltrim(F.array_join(tokens, ""), F.lit(_BLANK)).alias("content"), (before(w) + length(tokens)).alias("end_offset"), (last + 1).alias("windows"), F.size(tokens).alias("token_count"))
+
+                return bound(F.slice(t, w * step + 1, size), filled)
+
+            return F.transform(every, one)
+
+        return bound(F.transform(every, lambda w: length(F.slice(t, w * step + 1, step))), lambda steps: with_sums_before(steps, placed))
+
+    # an outer explode: for a plain one the optimizer adds a filter that cuts all windows again
+    rows = docs.select("source_key", *keep, F.explode_outer(bound(text.tokens(F.trim("text", F.lit(_BLANK))), cut)).alias("w")).where("w is not null")
+    return rows.select("source_key", *keep, "w.position", "w.content", (F.col("w.end_offset") - F.length("w.content")).alias("start_offset"), "w.end_offset", "w.windows", "w.token_count")
 
 
-def chunk_fixed(docs: DataFrame, size: int, overlap: int) -> DataFrame:
+def chunk_fixed(docs: DataFrame, size: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Chunk columns, and those of docs that are named in keep."""
     ids.parse_variant(ids.variant_id("fixed", size, overlap))
     # a window of tokens is never blank, so positions are indices and no window function is needed
-    w = fixed_windows(docs, size, overlap).withColumn("document_id", ids.document_id("source_key"))
+    w = fixed_windows(docs, size, overlap, keep).withColumn("document_id", ids.document_id("source_key"))
     w = w.withColumn("chunk_index", F.col("position").cast("int")).withColumn("chunk_total", F.col("windows").cast("int"))
     w = w.withColumn("vector_id", ids.vector_id("document_id", "chunk_index")).withColumn("overlap", F.when(F.col("position") == 0, 0).otherwise(overlap))
     w = w.withColumn("note", F.when(F.col("position") == F.col("windows") - 1, "the document's tail, taken whole").otherwise("a token window"))
-    return w.select(*CHUNK_COLUMNS)
+    return w.select(*CHUNK_COLUMNS, *keep)
 
 
 Segment = tuple[str, int, int, str]

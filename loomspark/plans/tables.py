@@ -45,19 +45,21 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    f = files(spark, d)
-    n = F.regexp_extract("source_key", r"(\d+)\.txt$", 1).cast("bigint")
-    c = chunks(spark, d, every=True).withColumn("n", n).where("n % 19 <> 0")
+    """One pass over the documents: a chunk's row and those that the drift adds to it come from one row of its document."""
+    n = F.col("n")
+    changed = n % 11 == 0
+    f = files(spark, d).withColumn("n", F.regexp_extract("source_key", r"(\d+)\.txt$", 1).cast("bigint")).where("n % 19 <> 0")
+    f = f.withColumn("source_etag", F.when(changed, F.md5(F.concat("text", F.lit("!")))).otherwise(F.col("etag")))
+    c = chunking.chunk_fixed(f, SIZE, OVERLAP, ("n", "source_etag"))
     c = c.where("not (n % 7 = 0 and chunk_index = chunk_total - 1 and chunk_total > 1)")
-    extra = c.where("n % 13 = 0 and chunk_index = 0").withColumn("chunk_index", F.col("chunk_total")).withColumn("vector_id", ids.vector_id("document_id", "chunk_index"))
-    c = c.unionByName(extra).join(f.select("source_key", "text"), "source_key")
-    changed = F.col("n") % 11 == 0
-    c = c.select(
-        F.lit("").alias("space"), "vector_id", "source_key", "document_id", "chunk_index", "chunk_total", F.when(changed, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"),
-        F.when(changed, F.md5(F.concat("text", F.lit("!")))).otherwise(F.md5("text")).alias("source_etag"), F.timestamp_seconds(F.lit(1706745600) + F.col("n") * 60).alias("embedded_at"),
-        F.when(F.col("n") % 17 == 0, OLD_MODEL).otherwise(MODEL).alias("embedding_model"), "n",
+    extra = F.when((n % 13 == 0) & (F.col("chunk_index") == 0), F.col("chunk_total"))
+    c = c.withColumn("index", F.explode(F.array_compact(F.array("chunk_index", extra))))
+    c = c.withColumn("space", F.explode(F.array_compact(F.array(F.lit(""), F.when(n % 3 == 0, VARIANT)))))
+    return c.select(
+        "space", ids.vector_id("document_id", "index").alias("vector_id"), "source_key", "document_id", F.col("index").alias("chunk_index"), "chunk_total",
+        F.when(changed, F.concat("content", F.lit("!"))).otherwise(F.col("content")).alias("content"), "source_etag", F.timestamp_seconds(F.lit(1706745600) + n * 60).alias("embedded_at"),
+        F.when((n % 17 == 0) & (F.col("space") == ""), OLD_MODEL).otherwise(MODEL).alias("embedding_model"),
     )
-    return c.unionByName(c.where("n % 3 = 0").withColumn("space", F.lit(VARIANT)).withColumn("embedding_model", F.lit(MODEL))).drop("n")
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
