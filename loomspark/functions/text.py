@@ -30,8 +30,12 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: What \s of a pattern takes.
+BLANK = " \t\n\x0b\f\r"
+
+
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    return F.trim(col(c), F.lit(BLANK))
 
 
 def norm(c) -> Column:

@@ -43,10 +43,6 @@ def truncate_tokens(docs: DataFrame, n: int) -> DataFrame:
     return docs.withColumn("text", F.array_join(F.slice(text.tokens("text"), 1, n), ""))
 
 
-#: What \s of the token pattern takes.
-_BLANK = " \t\n\x0b\f\r"
-
-
 def fixed_windows(docs: DataFrame, size: int, overlap: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """Equal token windows: position, content, its offsets in the stripped text, and the window count; no shuffle. keep: further
     columns of docs. Windows are made inside their document's row, so none carries the document's tokens, and end by running
@@ -62,7 +58,7 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int, keep: tuple[str, ...
             def one(w: Column) -> Column:
                 def filled(tokens: Column) -> Column:
                     # a window ends with its last token, so white space is in front of it only
-                    return F.struct(w.alias("position"), F.ltrim(F.array_join(tokens, ""), F.lit(_BLANK)).alias("content"), (before(w) + length(tokens)).alias("end_offset"), (last + 1).alias("windows"), F.size(tokens).alias("token_count"))
+                    return F.struct(w.alias("position"), F.ltrim(F.array_join(tokens, ""), F.lit(text.BLANK)).alias("content"), (before(w) + length(tokens)).alias("end_offset"), (last + 1).alias("windows"), F.size(tokens).alias("token_count"))
 
                 return bound(F.slice(t, w * step + 1, size), filled)
 
@@ -71,7 +67,7 @@ def fixed_windows(docs: DataFrame, size: int, overlap: int, keep: tuple[str, ...
         return bound(F.transform(every, lambda w: length(F.slice(t, w * step + 1, step))), lambda steps: with_sums_before(steps, placed))
 
     # an outer explode: for a plain one the optimizer adds a filter that cuts all windows again
-    rows = docs.select("source_key", *keep, F.explode_outer(bound(text.tokens(F.trim("text", F.lit(_BLANK))), cut)).alias("w")).where("w is not null")
+    rows = docs.select("source_key", *keep, F.explode_outer(bound(text.tokens(text.strip("text")), cut)).alias("w")).where("w is not null")
     return rows.select("source_key", *keep, "w.position", "w.content", (F.col("w.end_offset") - F.length("w.content")).alias("start_offset"), "w.end_offset", "w.windows", "w.token_count")
 
 

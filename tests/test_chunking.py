@@ -253,3 +253,23 @@ def test_located_chunks_keep_their_rows(spark):
     docs = spark.createDataFrame([("d", "  alpha beta alpha ", 9), ("n", None, 9)], "source_key string, text string, start int")
     got = {(r.source_key, r.chunk_index): (r.start, r.end) for r in chunking.locate_chunks(c, docs).collect()}
     assert got == {("d", 0): (0, 5), ("d", 1): (11, 16), ("d", 2): (4, 11), ("d", 3): (2, None), ("d", 4): (6, 10), ("d", 5): (None, None), ("n", 0): (1, 2)}
+
+
+def test_few_passages_of_a_short_text_are_searched_plainly(monkeypatch):
+    """Below the bound no sums are made; above it they find the same, also where the text is cut into parts."""
+    from loomspark.functions import locate
+
+    whole = " ".join(f"w{i % 50}" for i in range(600))
+    needles = ["w49 w0", "w7 w9", "", "w599", whole[50:146], whole[-96:], whole + "x"]
+    want = [whole.find(n) for n in needles]
+
+    def none(s):
+        raise AssertionError("sums were made")
+
+    with monkeypatch.context() as m:
+        m.setattr(locate, "_codes", none)
+        assert locate.first_hits(whole, needles) == want
+    monkeypatch.setattr(locate, "PLAIN", 0)
+    for part in (locate.PART, 100, 7):
+        monkeypatch.setattr(locate, "PART", part)
+        assert locate.first_hits(whole, needles) == want
