@@ -71,39 +71,84 @@ def dedupe_requests(requests: DataFrame, delay: str) -> DataFrame:
 
 def _first_after(times: np.ndarray, last: int | None, hold: int) -> list[int]:
     """Of sorted times those that lie hold or more after the one taken before them, the first after `last`."""
-    taken, i = [], 0 if last is None else int(np.searchsorted(times, last + hold))
-    while i < len(times):
-        taken.append(int(times[i]))
-        i = int(np.searchsorted(times, taken[-1] + hold))
-    return taken
+    return _taken(np.zeros(len(times), np.int64), times, np.array([_NEVER if last is None else last]), hold)[1].tolist()
 
 
-def admitted_requests(requests: DataFrame, hold: str, delay: str) -> DataFrame:
+#: The last time of a key that has none.
+_NEVER = -(1 << 63)
+
+
+def _taken(keys: np.ndarray, times: np.ndarray, last: np.ndarray, hold: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, time) of what is taken of the times of many keys, numbered from 0 and sorted by key and time: of each key the times
+    that lie hold or more after the one taken before them, the first after last[key]. All keys take a step at once."""
+    ends, n = np.searchsorted(keys, np.arange(len(last)), "right"), np.arange(len(last))
+    at, found = np.searchsorted(keys, n, "left"), [np.zeros(0, np.int64)]
+    due = np.where(last == _NEVER, _NEVER, last + hold)
+    while len(n):
+        low, high = at, ends[n]
+        while (low < high).any():  # the first time at or after what is due, by halves
+            mid = (low + high) // 2
+            before = (low < high) & (times[np.minimum(mid, len(times) - 1)] < due)
+            low, high = np.where(before, mid + 1, low), np.where(before | (low >= high), high, mid)
+        going = low < ends[n]
+        n, at = n[going], low[going]
+        found.append(at)
+        due = times[at] + hold
+    places = np.sort(np.concatenate(found))
+    return keys[places], times[places]
+
+
+#: Parts of the keys of admitted requests. A part's keys are one state, so a batch costs a call for each part, not for each key.
+HELD_PARTS = 1024
+
+
+def admitted_requests(requests: DataFrame, hold: str, delay: str, parts: int = HELD_PARTS) -> DataFrame:
     """Requests (at, source_key, variant), of which one holds its file and variant for the time `hold`: others within
     it collapse into it, and the first one after it is admitted again, also where no batch came in between.
 
-    The state of a file and variant is the time of the last admitted request; a timer drops it when the watermark (delay
-    behind the latest request) has passed the hold. Requests older than the watermark are left out, as are those
-    without a time; null keys are a key of their own. A key's requests of one batch are told by their times alone, eight
-    bytes each, so that a hot key stays small.
+    The state of a file and variant is the time of the last admitted request; it goes when the watermark (delay
+    behind the latest request) has passed the hold. Keys are dealt out to `parts`, which a checkpoint fixes; a part's state is a
+    list of its keys and their times, and a timer drops it when the last of them is over. Requests older than the watermark are left
+    out, as are those without a time; null keys are a key of their own. A part's requests of one batch are told by a number of their key
+    and their times alone, sixteen bytes each, so that a hot key stays small.
     """
     micros = requests.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_seconds(0) + interval {hold})")).first()[0]
 
-    def admit(key, batches, state):
+    def admit(part, batches, state):
         if state.hasTimedOut:
             state.remove()
             return
-        times = np.sort(np.concatenate([b["us"].to_numpy(dtype=np.int64) for b in batches]))
-        taken = _first_after(times, state.get[0] if state.exists else None, micros)
-        if taken:
-            state.update((taken[-1],))
-        # the timer can't lie before the watermark; the hold of a request that is this late is over with the batch
-        state.setTimeoutTimestamp(max((state.get[0] + micros) // 1000, state.getCurrentWatermarkMs() + 1))
-        if taken:
-            yield pd.DataFrame({"source_key": key[0], "variant": key[1], "us": taken})
-
-    timed = requests.where("at is not null").withWatermark("at", delay).select("at", "source_key", "variant", F.unix_micros("at").alias("us"))
-    out = timed.groupBy("source_key", "variant").applyInPandasWithState(admit, "source_key string, variant string, us long", "last long", "append", "EventTimeTimeout")
+        number: dict[tuple, int] = {}
+        last: list[int] = []
+        over = state.getCurrentWatermarkMs() * 1000
+        for source, variant, at in zip(*state.get, strict=True) if state.exists else ():
+            if at + micros > over:
+                number[source, variant] = len(last)
+                last.append(at)
+        keys, times = [], []
+        for b in batches:
+            told = [pd.factorize(b[c], use_na_sentinel=True) for c in ("source_key", "variant")]
+            pairs, place = np.unique(np.stack([codes for codes, _ in told], axis=1), axis=0, return_inverse=True)
+            named = [tuple(None if c < 0 else names[c] for c, (_, names) in zip(pair, told, strict=True)) for pair in pairs.tolist()]
+            keys.append(np.array([number.setdefault(k, len(number)) for k in named], np.int64)[place.reshape(-1)])
+            times.append(b["us"].to_numpy(dtype=np.int64))
+        last += [_NEVER] * (len(number) - len(last))
+        k, t = np.concatenate(keys), np.concatenate(times)
+        order = np.lexsort((t, k))
+        k, t = _taken(k[order], t[order], np.array(last, np.int64), micros)
+        held = np.array(last, np.int64)
+        np.maximum.at(held, k, t)
+        every = list(number)
+        # a late request's hold may be over with its batch; the timer can't lie before the watermark
+        live = [i for i, at in enumerate(held.tolist()) if at != _NEVER]
+        state.update(([every[i][0] for i in live], [every[i][1] for i in live], held[live].tolist()))
+        state.setTimeoutTimestamp(max((int(held.max()) + micros) // 1000, state.getCurrentWatermarkMs() + 1))
+        if len(k):
+            yield pd.DataFrame({"source_key": [every[i][0] for i in k.tolist()], "variant": [every[i][1] for i in k.tolist()], "us": t})
+
+    part = F.pmod(F.xxhash64("source_key", "variant"), F.lit(parts)).cast("int")
+    timed = requests.where("at is not null").withWatermark("at", delay).select("at", "source_key", "variant", F.unix_micros("at").alias("us"), part.alias("part"))
+    out = timed.groupBy("part").applyInPandasWithState(admit, "source_key string, variant string, us long", "source_keys array<string>, variants array<string>, lasts array<bigint>", "append", "EventTimeTimeout")
     return out.select("source_key", "variant", F.timestamp_micros("us").alias("at"))
 
 

@@ -111,6 +111,29 @@ def test_holds_are_taken_one_by_one():
         assert jobs._first_after(times, last, hold) == want
 
 
+def test_holds_of_many_keys_are_taken_at_once():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        keys, times, hold = np.sort(rng.integers(0, 9, 80)), rng.integers(0, 200, 80), int(rng.integers(1, 40))
+        last = np.where(rng.random(10) < 0.5, jobs._NEVER, rng.integers(0, 100, 10))
+        times = times[np.lexsort((times, keys))]
+        want = [(k, t) for k in range(10) for t in jobs._first_after(times[keys == k], None if last[k] == jobs._NEVER else int(last[k]), hold)]
+        assert list(zip(*[x.tolist() for x in jobs._taken(keys, times, last, hold)])) == want
+
+
+def test_keys_of_one_part_hold_for_themselves(spark, tmp_path):
+    """All keys in one part: a state is a list of keys, nulls among them, over three batches."""
+    path, schema, out = str(tmp_path / "rq"), "at timestamp, source_key string, variant string", []
+    for rows in ([(0, "a", "v"), (0, "a", None), (1, None, "v"), (2, None, None), (700, "b", "v")], [(650, "a", "v"), (660, "a", None), (670, "b", "v"), (700, None, "v"), (710, None, None)], [(1301, "b", "v"), (1400, "c", "v"), (1200, "a", "v")]):
+        spark.createDataFrame(rows, "s int, source_key string, variant string").select(F.timestamp_seconds(F.lit(1704067200) + F.col("s")).alias("at"), "source_key", "variant").write.mode("append").parquet(path)
+        got = jobs.admitted_requests(spark.readStream.schema(schema).parquet(path), "10 minutes", "1 minute", parts=1)
+        assert got.writeStream.foreachBatch(lambda b, e: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(120)
+    taken = sorted((str(r.source_key), str(r.variant), int(r.at.timestamp()) - 1704067200) for r in out)
+    assert taken == [("None", "None", 2), ("None", "None", 710), ("None", "v", 1), ("None", "v", 700), ("a", "None", 0), ("a", "None", 660), ("a", "v", 0), ("a", "v", 650), ("b", "v", 700), ("b", "v", 1301), ("c", "v", 1400)]
+
+
 def test_a_hold_ends_although_no_batch_came_between(spark, tmp_path):
     """Over three batches: a request after the hold is admitted, one within it not, a late one not; null keys hold too; expired
     state doesn't come back."""
