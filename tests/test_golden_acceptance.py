@@ -136,3 +136,27 @@ def test_edited_sets_are_validated_again(spark, data):
         assert list(r.issues) == (list(want[r.row_id].issues) if r.source_key in touched else ["old"])
         assert r.status == (want if r.source_key in touched else before)[r.row_id].status
     assert any(list(want[i].issues) != list(before[i].issues) for i in edited)
+
+
+def test_stated_numbers_are_those_of_a_plain_search():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 40):
+        figures = np.sort(rng.integers(0, 30, n) + rng.choice([0.0, 5e-10, 2e-9], n))
+        asked = np.array([*rng.integers(-2, 32, 50).tolist(), np.inf, -np.inf, np.nan])
+        assert golden._stated(figures, asked).tolist() == [x for x in asked.tolist() if any(abs(x - f) < 1e-9 for f in figures)]
+
+
+def test_rows_of_the_same_words_meet_others_once(spark):
+    """Many copies of a question, in any order of words, and rows near to them: those behind another one are found, as by all pairs, and copies aren't
+    paired with each other."""
+    words = [f"w{i}" for i in range(20)]
+    asked = [words, words[::-1], words[:19] + ["x"], words[:12] + ["y"] * 3, words[:17] + ["a", "b", "c"], words[:18] + ["a", "b"]]
+    rows = [("s" if i % 7 else "t", i, (i * 37) % 101, " ".join(asked[i % len(asked)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "source_key string, row_id long, position long, question string")
+    alike = lambda a, b: len(set(a) & set(b)) / max(len(set(a)), len(set(b))) >= golden.SIMILAR
+    want = {(s, i) for s, i, p, q in rows if any(s == s2 and p2 < p and alike(q.split(), q2.split()) for s2, _, p2, q2 in rows)}
+    found = golden.duplicate_questions(df)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "array_intersect" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "min(position" in plan
