@@ -78,21 +78,26 @@ def eval_report(scores: DataFrame) -> DataFrame:
     return grouped
 
 
-def score_variants(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def score_variants(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs: DataFrame, answers: DataFrame | None = None, variants: list[str] | None = None) -> DataFrame:
     """A row per variant and golden row: variant, id, type, difficulty, correct, recall, precision, failed, error.
 
     matches: variant, id, source_key, chunk_index, dropped; chunks: variant, source_key, chunk_index, content; docs:
-    source_key, text. The sections in which a row's kept matches lie are what was retrieved. answers (variant, id,
+    source_key, text. Matches that bring their chunk's content (as a search returns it) are looked up by it, and chunks aren't
+    read for it. variants: the names of the compared variants, if known; else they are taken from chunks. The sections in which a row's kept matches lie are what was retrieved. answers (variant, id,
     answer, error) are scored where given; without them `correct` is null. A row with an error is recorded as failed, and
     neither right nor wrong.
     """
+    key = ["variant", "source_key", "chunk_index"]
     kept = matches.where("not dropped").select("variant", "id", "source_key", "chunk_index").distinct()
-    used = chunks.join(kept.select("variant", "source_key", "chunk_index").distinct(), ["variant", "source_key", "chunk_index"], "left_semi")
+    if "content" in matches.columns:
+        used = matches.where("not dropped").groupBy(*key).agg(F.max("content").alias("content"))
+    else:
+        used = chunks.join(kept.select(*key).distinct(), key, "left_semi")
     titles = kept.join(_sections.map_sections(used, docs, by=("variant",)), ["variant", "source_key", "chunk_index"])
     titles = titles.groupBy("variant", "id").agg(F.array_sort(F.collect_set("title")).alias("titles"))
     said = answers.select("variant", "id", F.col("answer").alias("pred_answer"), "error") if answers is not None else None
-    plans = chunks.select("variant").distinct()
-    rows = _every_pair(gold, plans).join(titles, ["variant", "id"], "left")
+    names = _named(chunks.select("variant").distinct()) if variants is None else variants
+    rows = _every_pair(gold, names).join(titles, ["variant", "id"], "left")
     rows = rows.join(said, ["variant", "id"], "left") if said is not None else rows.withColumn("pred_answer", F.lit(None).cast("string")).withColumn("error", F.lit(None).cast("string"))
     absent = {"numeric_answer": "double", "numeric_tolerance": "double", "answer_keys": "array<string>", "forbidden_keys": "array<string>", "must_refuse": "boolean"}
     for c, kind in absent.items():
@@ -103,17 +108,20 @@ def score_variants(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs:
     return scored.select("variant", "id", "type", "difficulty", correct.alias("correct"), F.when(~failed, F.col("recall")).alias("recall"), F.when(~failed, F.col("precision")).alias("precision"), failed.alias("failed"), "error")
 
 
-def _every_pair(gold: DataFrame, plans: DataFrame) -> DataFrame:
+def _named(plans: DataFrame) -> list[str]:
+    return [r.variant for r in plans.limit(MOST_VARIANTS + 1).collect()]
+
+
+def _every_pair(gold: DataFrame, names: list[str]) -> DataFrame:
     """gold once for each variant; the variants of a comparison are a handful, and named in an array."""
-    names = [r.variant for r in plans.limit(MOST_VARIANTS + 1).collect()]
     if len(names) > MOST_VARIANTS:
         raise ValueError(f"at most {MOST_VARIANTS} variants are compared at once")
-    return gold.withColumn("variant", F.explode(F.array(*map(F.lit, sorted(names))) if names else F.array().cast("array<string>")))
+    return gold.withColumn("variant", F.explode(F.array(*map(F.lit, sorted(set(names)))) if names else F.array().cast("array<string>")))
 
 
-def compare_variants_run(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+def compare_variants_run(gold: DataFrame, matches: DataFrame, chunks: DataFrame, docs: DataFrame, answers: DataFrame | None = None, variants: list[str] | None = None) -> DataFrame:
     """The leaderboard of all variants over all golden rows."""
-    return leaderboard(variant_totals(score_variants(gold, matches, chunks, docs, answers)))
+    return leaderboard(variant_totals(score_variants(gold, matches, chunks, docs, answers, variants)))
 
 
 def variant_totals(row_scores: DataFrame) -> DataFrame:

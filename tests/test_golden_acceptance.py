@@ -160,3 +160,16 @@ def test_rows_of_the_same_words_meet_others_once(spark):
     found = golden.duplicate_questions(df)
     assert {tuple(r) for r in found.collect()} == want
     assert "array_intersect" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "min(position" in plan
+
+
+def test_matches_with_content_need_no_chunks(spark):
+    """Variants scored by the content of their matches, with chunks that can't be read, are scored as with a look-up in chunks."""
+    body = lambda w: " ".join(f"{w}{i}" for i in range(70))
+    docs = spark.createDataFrame([("r.txt", f"## Section 4\n{body('a')}\n## Section 5\n{body('b')}")], "source_key string, text string")
+    gold = spark.createDataFrame([("Q1", "lookup", "easy", ["Section 4", "Section 5"])], "id string, type string, difficulty string, gold_sections array<string>")
+    chunks = chunking.chunk_all(docs, ["fixed-64-0", "fixed-128-0"])
+    matches = chunks.where("chunk_index < 2").select("variant", F.lit("Q1").alias("id"), "source_key", "chunk_index", (F.col("chunk_index") == 1).alias("dropped"))
+    want = sorted(map(tuple, golden.score_variants(gold, matches, chunks, docs).collect()))
+    held = matches.join(chunks.select("variant", "source_key", "chunk_index", "content"), ["variant", "source_key", "chunk_index"])
+    unread = chunks.withColumn("content", F.raise_error(F.lit("read")).cast("string")).withColumn("variant", F.raise_error(F.lit("read")).cast("string"))
+    assert sorted(map(tuple, golden.score_variants(gold, held, unread, docs, None, ["fixed-64-0", "fixed-128-0"]).collect())) == want and len(want) == 2
