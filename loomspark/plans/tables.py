@@ -25,7 +25,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, d: str) -> DataFrame:
     """All documents as files, stored or not: doc_id, source_key, etag, size, last_modified, text."""
-    docs = table(spark, d, "documents")
+    return as_files(table(spark, d, "documents"))
+
+
+def as_files(docs: DataFrame) -> DataFrame:
+    """Documents as files; they may be a stream."""
     key = F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return docs.select("doc_id", key.alias("source_key"), F.md5("text").alias("etag"), F.octet_length("text").cast("bigint").alias("size"), F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600).alias("last_modified"), "text")
 

@@ -12,11 +12,15 @@ from ..functions import ids
 from . import versions
 
 
+def stamped(incoming: DataFrame, space: str, model: str) -> DataFrame:
+    """incoming rows as rows of the space; the model is stamped where absent."""
+    stamp = F.coalesce(F.col("embedding_model"), F.lit(model)) if "embedding_model" in incoming.columns else F.lit(model)
+    return incoming.withColumn("space", F.lit(space)).withColumn("embedding_model", stamp)
+
+
 def upserted(vectors: DataFrame, incoming: DataFrame, space: str, model: str) -> DataFrame:
     """vectors with incoming rows in place of those of their ids in the space; the model is stamped where absent."""
-    new = incoming.withColumn("space", F.lit(space))
-    stamp = F.coalesce(F.col("embedding_model"), F.lit(model)) if "embedding_model" in incoming.columns else F.lit(model)
-    new = new.withColumn("embedding_model", stamp)
+    new = stamped(incoming, space, model)
     return vectors.join(new.select("space", "vector_id"), ["space", "vector_id"], "left_anti").unionByName(new, allowMissingColumns=True)
 
 

@@ -87,20 +87,22 @@ class VersionedTable:
         found = self.spark.read.schema(self.schema).option("basePath", f"{self.path}/data").parquet(*folders)
         return found.select(*self.schema.names)
 
-    def commit(self, rows: DataFrame, replaced: list | None = None, parent: int | None = None, query: str | None = None, batch: int | None = None) -> int:
+    def commit(self, rows: DataFrame, replaced: list | None = None, parent: int | None = None, query: str | None = None, batch: int | None = None, dealt: bool = False) -> int:
         """A new version in which rows stand for the buckets that they fall in and for the replaced ones; returns its number.
 
         rows may be read from this table. parent: the version that rows were made from (the last one if none is
         named); Conflict is raised if another job has committed since. query and batch: who commits; a batch of a query
         that is not after its last commit is left out, and the current version is returned. No rows and no replaced
-        buckets: a version like the parent. Null in the bucket column is refused.
+        buckets: a version like the parent. Null in the bucket column is refused. dealt: rows of a bucket lie in one
+        partition already and aren't shuffled again.
         """
         before = self.manifest(parent)
         if query is not None and before["batches"].get(query, -1) >= batch:
             return before["version"]
         folder = f"write={uuid.uuid4().hex}"
-        checked = rows.select(*[F.coalesce(c, F.raise_error(F.lit("a row without a bucket")).cast(self.schema[c].dataType)).alias(c) if c == self.by else F.col(c) for c in self.schema.names])
-        checked.repartition(self.by).write.partitionBy(self.by).parquet(f"{self.path}/data/{folder}")
+        # a filter keeps the order of the rows, so those that are sorted by bucket aren't sorted again
+        checked = rows.select(*self.schema.names).where(F.col(self.by).isNotNull() | F.raise_error(F.lit("a row without a bucket")).cast("boolean"))
+        (checked if dealt else checked.repartition(self.by)).write.option("compression", "zstd").partitionBy(self.by).parquet(f"{self.path}/data/{folder}")
         written = [s.getPath().getName().partition("=")[2] for s in self._listed(f"data/{folder}") if s.isDirectory()]
         buckets = {k: v for k, v in before["buckets"].items() if k not in {str(b) for b in replaced or []}} | dict.fromkeys(written, folder)
         batches = before["batches"] | ({query: batch} if query is not None else {})

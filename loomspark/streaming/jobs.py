@@ -7,11 +7,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids
-from ..operators import chunking, governance, status
+from ..operators import chunking, governance
 from ..sources import stored, versions
 
 
@@ -27,34 +27,61 @@ def index_table(spark: SparkSession, path: str) -> versions.VersionedTable:
 
 def _index_batch(batch: DataFrame, epoch: int, path: str, space: str, model: str, query: str, embed=None) -> None:
     """One micro-batch of files: stored once, cut as the space says, planned against the version that stands, and committed as the
-    next one. Of the same file in a batch the last change counts. A batch that was committed before changes nothing."""
+    next one. Of the same file in a batch the last change counts. A batch that was committed before changes nothing.
+
+    The plan is that of status.index_plan. Chunks, what the touched buckets hold, and a row for each file are dealt out by
+    bucket, as the commit needs them, in the one shuffle that carries contents; the rest are windows over that order.
+    """
     spark = batch.sparkSession
     table = index_table(spark, path)
     parent = table.version()
     if table.manifest(parent)["batches"].get(query, -1) >= epoch:
         return
-    others = [c for c in batch.columns if c not in ("source_key", "last_modified")]
-    latest = batch.groupBy("source_key").agg(F.max_by(F.struct(*others), "last_modified").alias("f")).select("source_key", "f.*")
-    etag = F.col("etag") if "etag" in others else F.md5("text")
-    latest = latest.select("source_key", "text", etag.alias("source_etag"), ids.document_id("source_key").alias("document_id")).withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int"))
+    etag = F.col("etag") if "etag" in batch.columns else F.md5("text")
     staged = f"{path}/staged/{uuid.uuid4().hex}"
-    latest.write.parquet(staged)
-    latest = spark.read.schema(latest.schema).parquet(staged)
-    touched = [r.bucket for r in latest.select("bucket").distinct().collect()]  # BUCKETS at most
-    every = table.read(parent, touched)
-    held = every.where(F.col("space") == space)
-    chunks = chunking.chunk_all(latest, [space])
-    plan = status.index_plan(chunks, held, space, model)
-    new = chunks.join(plan.where("action = 'embed'").select("vector_id"), "vector_id", "left_semi")
-    new = new.join(latest.select("source_key", "source_etag", "bucket"), "source_key").select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content", "source_etag", "bucket", F.current_timestamp().alias("embedded_at"))
-    new = embed(new) if embed else new
-    empty = latest.select("document_id").join(chunks.select("document_id").distinct(), "document_id", "left_anti")
-    kept = stored.delete_documents(stored.delete_vectors(every, plan.where("action = 'prune'").select("vector_id"), space), empty, space)
-    table.commit(stored.upserted(kept, new, space, model), touched, parent, query, epoch)
+    files = batch.where("source_key is not null").select("source_key", "text", "last_modified", etag.alias("source_etag"), F.monotonically_increasing_id().alias("row"))
+    files.write.option("compression", "zstd").parquet(staged)
+    files = spark.read.schema(files.schema).parquet(staged)
+    # without their texts; a file that comes once is not shuffled with its text
+    last = files.groupBy("source_key").agg(F.max(F.struct("last_modified", "source_etag", "row")).alias("f"))
+    last = last.select("source_key", ids.document_id("source_key").alias("document_id"), "f.source_etag", "f.row").withColumn("bucket", _bucket())
+    found = {r.bucket: r["count"] for r in last.groupBy("bucket").count().collect()}  # BUCKETS at most
+    latest = files if files.count() == sum(found.values()) else files.join(last.select("row"), "row", "left_semi")
+    rows = _indexed(table.read(parent, list(found)), chunking.chunk_all(latest, [space]), last, space, model)
+    if embed:
+        new = embed(rows.where("kind = 'new'").select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content", "source_etag", "bucket", "embedded_at"))
+        rows = rows.where("kind <> 'new'").drop("kind").unionByName(stored.stamped(new, space, model), allowMissingColumns=True)
+    table.commit(rows, list(found), parent, query, epoch, dealt=not embed)
     gone = table._path(staged)
     table._fs.delete(gone, True)
 
 
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("document_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _indexed(every: DataFrame, chunks: DataFrame, files: DataFrame, space: str, model: str) -> DataFrame:
+    """What is to stand in place of `every` once the space holds the chunks of files (document_id, source_etag, bucket), each
+    once: rows of the table with their kind (new, held, other), dealt out by bucket and sorted by it."""
+    _, parsed = ids.parsed_vector_id("vector_id")
+    mine = (F.col("space") == space) & F.col("document_id").isNotNull()
+    held = every.select("*", F.when(mine, parsed).alias("at"), F.when(mine, "held").otherwise("other").alias("kind"))
+    new = chunks.select("vector_id", "source_key", "document_id", "chunk_index", "chunk_total", "content", _bucket().alias("bucket"), F.lit(space).alias("space"), F.lit(model).alias("embedding_model"), F.current_timestamp().alias("embedded_at"), F.col("chunk_index").alias("at"), F.lit("new").alias("kind"))
+    rows = held.unionByName(new, allowMissingColumns=True).unionByName(files.select("document_id", "source_etag", "bucket", F.lit("file").alias("kind")), allowMissingColumns=True)
+    a_new, a_held, a_file = (F.col("kind") == k for k in ("new", "held", "file"))
+    position, whole = Window.partitionBy("bucket", "document_id", "at"), Window.partitionBy("bucket", "document_id")
+    rows = rows.repartition("bucket").withColumn("cut", F.max(F.when(a_new, F.col("content"))).over(position))
+    same = F.coalesce(a_held & (F.col("content") == F.col("cut")) & (F.col("embedding_model") == model), F.lit(False))
+    rows = rows.select(*every.columns, "at", "kind", F.col("cut").isNotNull().alias("wanted"), same.alias("same"))
+    # a position is embedded unless something is held there, all of it the same
+    rows = rows.withColumn("reused", F.coalesce(F.bool_and(F.when(a_held, F.col("same"))).over(position), F.lit(False)) & F.col("wanted"))
+    rows = rows.withColumn("touched", F.bool_or(a_file).over(whole)).withColumn("etag", F.max(F.when(a_file, F.col("source_etag"))).over(whole)).withColumn("changed", F.bool_or((a_new | a_held) & ~F.col("reused")).over(whole))
+    # chunk 0 carries the total, so it goes with any change of its document
+    reused = F.col("reused") & ~(F.col("changed") & (F.col("at") == 0))
+    stays = F.when(a_new, ~reused).when(a_held, ~F.col("touched") | reused).otherwise(~a_file)
+    return rows.where(stays).withColumn("source_etag", F.when(a_new, F.col("etag")).otherwise(F.col("source_etag"))).select(*every.columns, "kind")
+
+
 def stream_index(files: DataFrame, path: str, checkpoint: str, space: str, model: str, embed=None):
     """New and changed files (source_key, text, last_modified, and etag if there is one) into the vector table at path, cut by
     the variant that names the space; `embed` adds an embedding column to new rows. Vectors that a batch doesn't touch

@@ -59,6 +59,80 @@ def test_indexed_in_two_batches_equals_batch(spark, data):
     assert sorted((r.vector_id, r.chunk_index, r.content_md5) for r in got) == sorted(map(tuple, want)) and all(r.embedding_model for r in got)
 
 
+def _shuffled(spark, after=-1):
+    """(bytes written to shuffles by stages after a stage, the last stage)."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    stages = [stages.apply(i) for i in range(stages.size())]
+    return sum(s.shuffleWriteBytes() for s in stages if s.stageId() > after), max((s.stageId() for s in stages), default=-1)
+
+
+def test_an_index_batch_shuffles_contents_once(spark, tmp_path):
+    """Texts that don't compress: a batch moves its chunks and what their buckets hold once, and no text."""
+    import hashlib
+
+    src, out, cp = str(tmp_path / "in"), str(tmp_path / "vec"), str(tmp_path / "cp")
+    word = lambda *at: hashlib.sha256(repr(at).encode()).hexdigest()
+    text = lambda doc, end: " ".join(word(doc, i) for i in range(600)) + end
+    go = lambda: jobs.stream_index(spark.readStream.schema(FILES).parquet(src), out, cp, "boundary-64-16", "m").awaitTermination(120)
+    held = 0
+    for end in ("", " more"):
+        _files(spark, [(f"{d}.txt", text(d, end)) for d in range(60)], src)
+        before = _shuffled(spark)[1]
+        go()
+        now = jobs.index_table(spark, out).read().agg(F.sum(F.length("content"))).first()[0]
+        assert 0 < _shuffled(spark, before)[0] < 1.3 * (held + now)
+        held = now
+
+
+def test_index_batches_equal_a_plain_reckoning(spark, tmp_path):
+    """Over three batches: files that come twice, unknown times, emptied files; vectors of another model or space, with ids that can't be read, and too many of them."""
+    import datetime
+    import random
+
+    src, out, cp, space = str(tmp_path / "in"), str(tmp_path / "vec"), str(tmp_path / "cp"), "boundary-64-16"
+    rng, table = random.Random(5), jobs.index_table(spark, out)
+    key = lambda r: (r.space, r.vector_id)
+    facts = lambda r: (r.content, r.source_etag, r.embedding_model, r.chunk_index, r.chunk_total, r.source_key)
+    text = lambda: "".join(rng.choice(("alpha ", "beta. ", "gamma ", "\n\n")) for _ in range(rng.choice((0, 10, 150, 400))))
+    texts, want = {}, {}
+    for nth in range(3):
+        rows, latest = [], {}
+        for n in rng.sample(range(30), 30 if nth == 0 else 12):
+            times = rng.sample(range(1, 9), rng.choice((1, 1, 2, 3)))
+            # a change at the end leaves most chunks as they were
+            found = [(t, texts.get(n, "") + " and an end." if nth and rng.random() < 0.5 else text()) for t in times]
+            found += [(None, "of an unknown time")] * rng.choice((0, 1))
+            rows += [(f"f{n}.txt", x, None if t is None else datetime.datetime(2024, 1, t)) for t, x in found]
+            texts[n] = latest[n] = max((f for f in found if f[0]))[1]
+        if nth == 1:
+            rows, texts[90], latest[90] = [*rows, ("f90.txt", "alone and of an unknown time", None)], "alone", "alone and of an unknown time"
+        spark.createDataFrame(rows, FILES).coalesce(1).write.mode("append").parquet(src)
+        cut = chunking.chunk_all(spark.createDataFrame([(f"f{n}.txt", x) for n, x in latest.items()], "source_key string, text string"), [space])
+        tags = {r.source_key: r.e for r in spark.createDataFrame([(f"f{n}.txt", x) for n, x in latest.items()], "source_key string, text string").select("source_key", F.md5("text").alias("e")).collect()}
+        chunks = {}
+        for r in cut.collect():
+            chunks.setdefault(r.source_key, {})[r.chunk_index] = r
+        for k, tag in tags.items():
+            mine = {v: f for v, f in want.items() if v[0] == space and f[5] == k}
+            new = {(space, c.vector_id): (c.content, tag, "m", c.chunk_index, c.chunk_total, k) for c in chunks.get(k, {}).values()}
+            same = {v for v in new if v in mine and mine[v][0] == new[v][0] and mine[v][2] == "m"}
+            if same != set(new) | set(mine):
+                same -= {v for v in new if new[v][3] == 0}
+            want = {v: f for v, f in want.items() if v not in mine or v in same} | {v: f for v, f in new.items() if v not in same}
+        jobs.stream_index(spark.readStream.schema(FILES).parquet(src), out, cp, space, "m").awaitTermination(120)
+        assert {key(r): facts(r) for r in table.read().collect()} == want and table.read().count() == len(want)
+        # drift of the store: models, a second space, an id that can't be read, a chunk too many
+        n, at = F.regexp_extract("source_key", r"(\d+)", 1).cast("int"), F.col("chunk_index")
+        now = table.read().withColumn("embedding_model", F.when((n % 5 == 0) & (at == 1), "old").otherwise(F.col("embedding_model")))
+        first = now.where((at == 0) & (F.col("space") == space))
+        more = [first.where(n % 4 == 0).withColumn("space", F.lit("other")), first.where(n % 6 == 1).withColumn("vector_id", F.concat("document_id", F.lit("#x"))), first.where(n % 6 == 2).withColumn("vector_id", F.concat("document_id", F.lit("#00777")))]
+        for m in more if nth == 0 else ():
+            now = now.unionByName(m)
+        table.commit(now)
+        want = {key(r): facts(r) for r in table.read().collect()}
+
+
 def test_totals_equal_batch(spark, data, tmp_path):
     e = spark.read.parquet(f"{data}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "event_type", "value")
     e.orderBy("ts").coalesce(1).write.parquet(str(tmp_path / "ev"))
